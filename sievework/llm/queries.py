@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, packing, sharding, warc
+from . import chat, packing, sharding, simhash, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_warc": warc.op2_warc,
+    "op3_simhash": simhash.op3_simhash,
     "op9_packing": packing.op9_packing,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
