@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, packing, sentencepiece, sharding, simhash, warc
+from . import chat, langid, packing, sentencepiece, sharding, simhash, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_warc": warc.op2_warc,
     "op3_simhash": simhash.op3_simhash,
+    "op5_language_id": langid.op5_language_id,
     "op6_sentencepiece": sentencepiece.op6_sentencepiece,
     "op9_packing": packing.op9_packing,
     "op10_chat_formatting": chat.op10_chat_formatting,
