@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid, packing, sentencepiece, sharding, simhash, warc
+from . import chat, fingerprints, langid, packing, sentencepiece, sharding, simhash, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op5_language_id": langid.op5_language_id,
     "op6_sentencepiece": sentencepiece.op6_sentencepiece,
+    "op7_fingerprints": fingerprints.op7_fingerprints,
     "op9_packing": packing.op9_packing,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
