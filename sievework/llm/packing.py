@@ -12,6 +12,7 @@ documents, longest first, take the places of their group; (5) small ones go, lon
 
 from __future__ import annotations
 
+import array
 import bisect
 import functools
 import math
@@ -40,7 +41,6 @@ CACHED_WORDS = 400_000
 
 #: A space between two characters that are no white space: tokens never cross it, they start with it.
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-_LOOSE = re.compile(r"(?:^|\s) | (?:\s|$)")
 
 
 class WordEncoder:
@@ -58,23 +58,46 @@ class WordEncoder:
         self.engine.encode_special_tokens = True
         self.batch = getattr(self.engine, "encode_batch_fast", self.engine.encode_batch)
         self.cached, self.words = cached, {}
+        vocabulary = self.engine.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of tokens that start with a space
+        self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [_BETWEEN.split(t) if _LOOSE.search(t) else t.split(" ") for t in texts]
-        firsts = self._direct([s[0] for s in split])
-        known, extra = self.words, {}
-        need = list({w for s in split for w in s[1:]}.difference(known))
-        for at in range(0, len(need), 20_000):
-            some = need[at : at + 20_000]
-            found = dict(zip(some, self._direct([" " + w for w in some])))
-            (known if len(known) + len(found) <= self.cached else extra).update(found)
-        if not extra:
-            return [b"".join([first, *map(known.__getitem__, s[1:])]) for first, s in zip(firsts, split)]
-        return [b"".join([first, *[known[w] if w in known else extra[w] for w in s[1:]]]) for first, s in zip(firsts, split)]
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.batch(texts, add_special_tokens=False)]
+        split = [self._split(t) for t in texts]
+        firsts = self._whole([s[0] for s in split])
+        get = self.words.get
+        found = [[*map(get, s)] for s in split]  # of the first word, which has no space before it, nothing is used
+        need = {w for s, ids in zip(split, found) if None in ids for w, x in zip(s, ids) if x is None}
+        if need:
+            new = self._words(list(need))
+            if len(self.words) + len(new) <= self.cached:
+                self.words.update(new)
+            found = [[new[w] if x is None else x for w, x in zip(s, ids)] if None in ids else ids for s, ids in zip(split, found)]
+        return [b"".join([first, *ids[1:]]) for first, ids in zip(firsts, found)]
+
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        words = text.split(" ")
+        return _BETWEEN.split(text) if "" in words or [*map(str.strip, words)] != words else words
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array.array("I", e.ids).tobytes() for e in self.batch(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word with a space before it. Words without a space inside are encoded as one text of them all,
+        which is then cut before each token that starts with a space."""
+        plain, other = [], []
+        for w in words:
+            (plain if w and " " not in w and not w[0].isspace() and not w[-1].isspace() else other).append(w)
+        out = dict(zip(other, self._whole([" " + w for w in other])))
+        for at in range(0, len(plain), 20_000):
+            some = plain[at : at + 20_000]
+            ids = np.array(self.batch([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.begins[ids]) * 4).tolist()
+            data = ids.tobytes()
+            out.update(zip(some, (data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)]))))
+        return out
 
 
 @functools.lru_cache(maxsize=2)
