@@ -29,34 +29,45 @@ NONE = (1 << 63) - 1
 #: Bits of a sample that name the term and level; those above them order by ln a in steps of 2**-28.
 NAME_BITS = 27
 STEP_BITS = 28
+#: An odd number that spreads levels over the bits of a name.
+LEVEL_FACTOR = 0x9E3779B1
 
 
-def _uniform(h: str, shift: int) -> str:
-    """31 bits of a hash as a number within (0, 1)."""
-    return f"((shiftrightunsigned({h}, {shift}) & 2147483647L) + 0.5D) / 2147483648D"
+def _uniform(bits: str, width: int) -> str:
+    """``width`` bits as a number within (0, 1)."""
+    return f"((({bits}) + 0.5D) * {1 / (1 << width)!r}D)"
 
 
-def samples(weights: dict[str, str], count: int = SAMPLES, seed: int = SEED) -> list:
-    """The least sample for each k over rows of a column ``term`` (the term's hash); a list of columns for each weight.
-
-    weights: name of the output to the name of a column with the weight; a row with weight 0 or null takes no part.
-    """
+def sample_columns(count: int = SAMPLES, seed: int = SEED) -> list:
+    """The sample for each k of a row with columns ``term`` (the term's hash) and ``lw`` (ln of its weight)."""
     out = []
     for k in range(count):
-        h1, h2, h3 = (f"xxhash64(term, {seed + 3 * k + i}L)" for i in range(3))
-        r = f"(-ln({_uniform(h1, 0)} * {_uniform(h1, 32)}))"
-        c = f"(-ln({_uniform(h2, 0)} * {_uniform(h2, 32)}))"
-        b = f"({_uniform(h3, 0)})"
-        for name, w in weights.items():
-            t = f"floor(ln({w}) / {r} + {b})"
-            order = f"(ln({c}) - {r} * ({t} - {b} + 1D))"
-            # ln a lies within (-100, 100) but for chances below 1e-40; it is held in 36 bits with sign.
-            high = f"shiftleft(cast(floor(greatest(least({order}, 100D), -100D) * {1 << STEP_BITS}D) as bigint), {NAME_BITS})"
-            name_bits = f"(xxhash64(term, {t}) & {(1 << NAME_BITS) - 1}L)"
-            out.append(F.expr(f"min(case when {w} > 0 then {high} | {name_bits} end)").alias(f"{name}_{k}"))
+        h1, h2 = (f"xxhash64(term, {seed + 2 * k + i}L)" for i in range(2))
+        part = lambda h, at: _uniform(f"shiftrightunsigned({h}, {at}) & {(1 << 25) - 1}L", 25)
+        r = f"(-ln({part(h1, 0)} * {part(h1, 25)}))"
+        c = f"(-ln({part(h2, 0)} * {part(h2, 25)}))"
+        b = _uniform(f"shiftleft(shiftrightunsigned({h1}, 50), 14) | shiftrightunsigned({h2}, 50)", 28)
+        t = f"floor(lw / {r} + {b})"
+        order = f"(ln({c}) - {r} * ({t} - {b} + 1D))"
+        # ln a lies within (-100, 100) but for chances below 1e-40; it is held in 36 bits with sign.
+        high = f"shiftleft(cast(floor(greatest(least({order}, 100D), -100D) * {1 << STEP_BITS}D) as bigint), {NAME_BITS})"
+        name = f"((term ^ ({t} * {LEVEL_FACTOR}L)) & {(1 << NAME_BITS) - 1}L)"
+        out.append(F.expr(f"{high} | {name}"))
     return out
 
 
+def least_samples(entries: DataFrame, keys: list[str], names: list[str], count: int = SAMPLES, seed: int = SEED) -> DataFrame:
+    """By keys, an array of the least samples for each name, over rows with term, lw and ``use``.
+
+    Bit i of ``use`` tells whether the row counts for name i. Rows are reduced by (keys, use) first, so that each is
+    sampled once whatever it counts for, and the samples are computed inside the aggregates, which Spark compiles
+    to a method each; all of them in one projection would be too long a method for the JVM to compile.
+    """
+    least = entries.groupBy(*keys, "use").agg(*[F.min(x).alias(f"k{k}") for k, x in enumerate(sample_columns(count, seed))])
+    shared = least.groupBy(*keys).agg(*[F.min(F.when(F.col("use").bitwiseAND(F.lit(1 << i)) > 0, F.col(f"k{k}"))).alias(f"{name}_{k}") for i, name in enumerate(names) for k in range(count)])
+    return shared.select(*keys, *[F.array(*[F.coalesce(f"{name}_{k}", F.lit(NONE)) for k in range(count)]).alias(name) for name in names])
+
+
 def agreement(a, b):
     """Share of equal samples of two arrays."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1.0).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x) / F.size(a)
@@ -75,9 +86,9 @@ def words(text):
 def fingerprint(docs: DataFrame, count: int = SAMPLES, seed: int = SEED) -> DataFrame:
     """(id, samples) for rows of (id, text) with different ids: arrays of ``count`` longs."""
     terms = docs.select("id", F.explode(words(F.coalesce("text", F.lit(""))))).select("id", F.xxhash64("col").alias("term"), (F.col("col") != "").cast("int").alias("n"))
-    counted = terms.groupBy("id", "term").agg(F.sum("n").cast("double").alias("w"))
-    done = counted.groupBy("id").agg(*samples({"s": "w"}, count, seed))
-    return done.select("id", F.array(*[F.coalesce(f"s_{k}", F.lit(NONE)) for k in range(count)]).alias("samples"))
+    counted = terms.groupBy("id", "term").agg(F.sum("n").alias("n"))
+    entries = counted.select("id", "term", F.ln(F.greatest("n", F.lit(1))).alias("lw"), (F.col("n") > 0).cast("int").alias("use"))
+    return least_samples(entries, ["id"], ["samples"], count, seed)
 
 
 def in_order(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
@@ -139,8 +150,12 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.when(F.col("word") != "", 1.0).otherwise(0.0)
     terms = both.select("bucket", "place", F.xxhash64("word").alias("term"), F.when(F.col("kind") == 0, one).otherwise(0.0).alias("a"), F.when(F.col("kind") == 1, one).otherwise(0.0).alias("b"))
     counted = terms.groupBy("bucket", "place", "term").agg(F.sum("a").alias("wa"), F.sum("b").alias("wb"))
-    sampled = counted.groupBy("bucket", "place").agg(*samples({"a": "wa", "b": "wb"}))
-    arrays = sampled.select("bucket", "place", *[F.array(*[F.coalesce(f"{x}_{k}", F.lit(NONE)) for k in range(SAMPLES)]).alias(x) for x in "ab"])
+    entry = lambda w, use: F.struct(F.col(w).alias("w"), F.when(F.col(w) > 0, use).otherwise(0).alias("use"))
+    weights = F.when(F.col("wa") == F.col("wb"), F.array(entry("wa", 3))).when(F.col("wb") == 0, F.array(entry("wa", 1)))
+    weights = weights.when(F.col("wa") == 0, F.array(entry("wb", 2))).otherwise(F.array(entry("wa", 1), entry("wb", 2)))
+    entries = counted.select("bucket", "place", "term", F.explode(weights).alias("x"))
+    entries = entries.select("bucket", "place", "term", F.ln(F.greatest("x.w", F.lit(1.0))).alias("lw"), "x.use")
+    arrays = least_samples(entries, ["bucket", "place"], ["a", "b"])
 
     facts = rows.select("bucket", "place", "copy", "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
     joined = facts.join(arrays, ["bucket", "place"])
