@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, langid, packing, sentencepiece, sharding, simhash, warc
+from . import chat, fingerprints, langid, packing, sentencepiece, sharding, simhash, vafile, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_warc": warc.op2_warc,
     "op3_simhash": simhash.op3_simhash,
+    "op4_top_k": vafile.op4_top_k,
     "op5_language_id": langid.op5_language_id,
     "op6_sentencepiece": sentencepiece.op6_sentencepiece,
     "op7_fingerprints": fingerprints.op7_fingerprints,
@@ -17,5 +18,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_warc": warc.OP2_SQL,
+    "op4_top_k": vafile.OP4_SQL,
     "op10_chat_formatting": chat.OP10_SQL,
 }
