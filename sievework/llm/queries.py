@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, langid, packing, sentencepiece, sharding, simhash, vafile, warc
+from . import chat, fingerprints, langid, packing, sentencepiece, sharding, simhash, suffixes, vafile, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_language_id": langid.op5_language_id,
     "op6_sentencepiece": sentencepiece.op6_sentencepiece,
     "op7_fingerprints": fingerprints.op7_fingerprints,
+    "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_packing": packing.op9_packing,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
