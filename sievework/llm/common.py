@@ -46,3 +46,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def utf8_bytes(col) -> "F.Column":
     return F.coalesce(F.octet_length(col), F.lit(0)).cast("long")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns named c0, c1, ...: no name of the input can clash with one of an operator."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

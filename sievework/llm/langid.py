@@ -153,11 +153,12 @@ def fit(docs: DataFrame) -> Network | None:
     return train(*sample(docs))
 
 
-def predict(docs: DataFrame, network: Network | None, columns: Sequence[str] = ("doc_id", "text")) -> DataFrame:
-    """Adds lang_pred and score to the given columns of docs, over whole texts.
+def predict(docs: DataFrame, network: Network | None) -> DataFrame:
+    """(c0, c1, ..., lang_pred, score) for each row, over whole texts: c0 and so on are the columns of docs.
 
     A text that is null or without a letter is ``und`` with score 0, and so is every text where nothing was learned.
     """
+    own, at_text = common.numbered(docs), f"c{docs.columns.index('text')}"
     tables = network.pair_tables() if network is not None else None
     shared = docs.sparkSession.sparkContext.broadcast((network and vars(network), tables))  # about 12 MB, whatever the input
 
@@ -167,7 +168,7 @@ def predict(docs: DataFrame, network: Network | None, columns: Sequence[str] = (
         for pdf in batches:
             for at in range(0, len(pdf), 200):
                 part = pdf.iloc[at : at + 200]
-                texts = [t if t is not None and _LETTER.search(t) else None for t in part["text"]]
+                texts = [t if t is not None and _LETTER.search(t) else None for t in part[at_text]]
                 lang, score = [UNDETERMINED] * len(part), [0.0] * len(part)
                 live = [i for i, t in enumerate(texts) if t is not None] if net else []
                 if live:
@@ -181,12 +182,10 @@ def predict(docs: DataFrame, network: Network | None, columns: Sequence[str] = (
                         lang[i], score[i] = net.languages[int(row.argmax())], float(min(1.0, row.max()))
                 yield part.assign(lang_pred=lang, score=score)
 
-    narrow = docs.select(*columns)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields] + ["lang_pred string, score double"])
-    return narrow.mapInPandas(task, schema)
+    return own.mapInPandas(task, common.ddl(own) + ", lang_pred string, score double")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    found = predict(docs, fit(docs))
+    found = predict(docs.select("doc_id", "text"), fit(docs)).withColumnRenamed("c0", "doc_id")
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")

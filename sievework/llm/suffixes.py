@@ -378,31 +378,34 @@ def _kept(data: bytes, spans: np.ndarray, width: int) -> tuple[bytes, int, int]:
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, **how) -> DataFrame:
-    """(row, n_bytes, n_removed, n_spans, kept) for each row; row is a struct of all columns of docs.
+    """(c0, c1, ..., n_bytes, n_removed, n_spans, kept, kept_text) for each row: c0 and so on are the columns of docs.
 
-    ``kept`` has the bytes that remain, which may cut a character; a null text is an empty one. A row without a
-    doc_id keeps all bytes and takes none from others. Rows of equal doc_id take none from one another.
+    ``kept`` has the bytes that remain; ``kept_text`` is these as text, without characters that lost a part. A null
+    text is an empty one. A row without a doc_id keeps all bytes and takes none from others. Rows of equal doc_id
+    take none from one another.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("rid"), text.alias("text"))
+    own = common.numbered(docs)
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    keyed = own.withColumns({"doc_id": doc_id.cast("long"), "rid": F.xxhash64(doc_id, text), "text": F.coalesce(text, F.lit(""))})
     spans = repeated_spans(keyed.where(F.col("doc_id").isNotNull()).select("doc_id", "rid", "text"), width, **how)
-    joined = keyed.join(spans.hint("shuffle_hash"), ["doc_id", "rid"], "left").select("row", "text", "spans")
+    joined = keyed.join(spans.hint("shuffle_hash"), ["doc_id", "rid"], "left").select(*own.columns, "spans")
+    at = docs.columns.index("text")
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for text, spans in zip(pdf["text"], pdf["spans"]):
-                data = text.encode()
+            for text, spans in zip(pdf[f"c{at}"], pdf["spans"]):
+                data = (text or "").encode()
                 found = np.frombuffer(b"".join(spans), "<i8").reshape(-1, 2).copy() if spans is not None else np.empty((0, 2), np.int64)
                 kept, removed, number = _kept(data, found, width)
-                rows.append((len(data), removed, number, kept))
-            yield pd.concat([pdf[["row"]], pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"], index=pdf.index)], axis=1)
+                rows.append((len(data), removed, number, kept, kept.decode("utf-8", "ignore")))
+            facts = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "kept_text"], index=pdf.index)
+            yield pd.concat([pdf.drop(columns="spans"), facts], axis=1)
 
-    schema = f"row {joined.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
-    return joined.mapInPandas(task, schema)
+    return joined.mapInPandas(task, common.ddl(own) + ", n_bytes long, n_removed long, n_spans long, kept binary, kept_text string")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     done = remove_repeats(docs)
-    return done.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select(F.col("c0").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
