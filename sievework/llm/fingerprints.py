@@ -22,7 +22,9 @@ from . import common
 SAMPLES = 32
 SEED = 42
 #: Documents that a task holds in order at a time.
-BUCKET_DOCS = 4096
+BUCKET_DOCS = 2048
+#: Buckets share tasks beyond this many.
+MOST_PARTITIONS = 50_000
 CELLS = 4096
 #: The sample of a text without words.
 NONE = (1 << 63) - 1
@@ -132,9 +134,10 @@ def in_order(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     copies = F.when(F.col("ends").isNull(), F.array(F.struct("bucket", F.lit(False).alias("copy")))).otherwise(
         F.array(F.struct("bucket", F.lit(False).alias("copy")), F.struct(F.col("ends").alias("bucket"), F.lit(True).alias("copy")))
     )
-    rows = matched.select("doc_id", "text", F.explode(copies).alias("x")).select("x.*", "doc_id", "text")
+    parts = max(1, min(MOST_PARTITIONS, math.ceil(n / bucket_docs)))
+    rows = matched.select("doc_id", "text", F.explode(copies).alias("x")).select("x.*", "doc_id", "text").repartition(parts, "bucket")
     order = W.Window.partitionBy("bucket").orderBy("copy", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
-    return rows.select("bucket", F.row_number().over(order).alias("place"), "copy", "doc_id", "text", F.lead(F.coalesce("text", F.lit(""))).over(order).alias("next_text"))
+    return rows.select("bucket", F.row_number().over(order).alias("place"), "copy", "doc_id", "text", F.lead("text").over(order).alias("next_text"))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
