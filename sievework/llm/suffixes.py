@@ -30,8 +30,8 @@ from . import common
 WIDTH = 50
 GRAM = 20
 #: Text that a mapper looks at together, and text for each partition of the minimizers.
-BATCH_BYTES = 4 << 20
-PART_BYTES = 32 << 20
+BATCH_BYTES = 1 << 20
+PART_BYTES = 96 << 20
 #: Stretches that a task sorts at a time; a group of more is gone through in several goes.
 CHUNK = 40_000
 
@@ -207,11 +207,13 @@ def _spans(mark: np.ndarray, member: np.ndarray, at: np.ndarray, width: int) ->
     return member[i[new]], at[i[new]], at[i[last]] + width
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, rid, spans): start and end of the bytes to remove, as little-endian longs, for rows of (doc_id, rid, text).
+def repeated_spans(base: DataFrame, doc_id: str, text: str, width: int = WIDTH, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, rid, spans): start and end of the bytes to remove, as little-endian longs, for rows of base.
 
-    rid tells rows of equal doc_id apart; text is not null, doc_id neither.
+    base has the named columns and rid, which tells rows of equal doc_id apart. It is joined as a whole, so that a
+    later join of base with the spans can use the same exchange.
     """
+    docs = base.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), "rid", F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(total / PART_BYTES))
     hashed = docs.select("doc_id", "rid", F.xxhash64("text").alias("h1"), F.crc32(F.encode("text", "UTF-8")).alias("h2"), F.octet_length("text").alias("n"))
@@ -251,16 +253,15 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batch_
                 rows.append((int(who[d, 1] % parts), who[d : d + 1].tobytes(), b"", slot[by_doc[edges[d] : edges[d + 1]]].tobytes()))
             lead_slot, lead_doc = slot[first], doc[first]
             edges = np.searchsorted(lead_slot, np.arange(parts + 1, dtype=np.int64) << 32)
-            table = who.tobytes()
+            table, short = who.tobytes(), "<u2" if len(who) <= 1 << 16 else "<u4"
             for k in range(parts):
                 a, b = edges[k], edges[k + 1]
                 if a < b:
-                    rows.append((k, table, lead_doc[a:b].astype("<u4").tobytes(), lead_slot[a:b].astype("<u4").tobytes()))
+                    rows.append((k, table, lead_doc[a:b].astype(short).tobytes(), lead_slot[a:b].astype("<u4").tobytes()))
             yield pd.DataFrame(rows, columns=["part", "who", "doc", "slot"])
 
     def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        low, who = [], []
-        number = None
+        low, index, tables, number, known = [], [], [], None, 0
         for pdf in batches:
             out = []
             for part, table, doc, slot in zip(pdf["part"], pdf["who"], pdf["doc"], pdf["slot"]):
@@ -270,27 +271,32 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batch_
                     continue
                 number = part
                 low.append(np.frombuffer(slot, "<u4"))
-                who.append(ids[np.frombuffer(doc, "<u4")])
+                index.append(np.frombuffer(doc, "<u2" if len(ids) <= 1 << 16 else "<u4").astype(np.uint32) + np.uint32(known))
+                tables.append(ids)
+                known += len(ids)
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "rid", "slots"])
         if not low:
             return
-        low, who = np.concatenate(low), np.concatenate(who)
+        low, index, tables = np.concatenate(low), np.concatenate(index), np.concatenate(tables)
         order = np.argsort(low, kind="stable")
-        low = low[order]
+        low, index = low[order], index[order]
+        del order
         same = low[1:] == low[:-1]
-        shared = np.flatnonzero(np.append(same, False) | np.append(False, same))
-        if not len(shared):
-            return
-        low, who = low[shared], who[order[shared]]
-        order = np.lexsort((who[:, 1], who[:, 0]))
-        low, who = low[order].astype(np.int64) | (int(number) << 32), who[order]
-        edge = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]).any(1))))
-        rows = [(*who[a], low[a:b].tobytes()) for a, b in zip(edge, [*edge[1:], len(low)])]
-        yield pd.DataFrame(rows, columns=["doc_id", "rid", "slots"])
+        shared = np.append(same, False) | np.append(False, same)
+        low, index = low[shared], index[shared]
+        order = np.argsort(index, kind="stable")
+        low, index = low[order].astype(np.int64) | (int(number or 0) << 32), index[order]
+        edge = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1]))) if len(index) else []
+        for at in range(0, len(edge), 5_000):
+            some = edge[at : at + 5_000]
+            ends = [*edge[at + 1 : at + 5_001], len(low)][: len(some)]
+            rows = [(*tables[index[a]], low[a:b].tobytes()) for a, b in zip(some, ends)]
+            yield pd.DataFrame(rows, columns=["doc_id", "rid", "slots"])
 
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in in_batches(batches):
+        live_only = (pdf.loc[pdf["slots"].notna(), [doc_id, "rid", text, "slots"]].set_axis(["doc_id", "rid", "text", "slots"], axis=1) for pdf in batches)
+        for pdf in in_batches(x.assign(text=x["text"].fillna("")) for x in live_only if len(x)):
             texts = [t.encode() for t in pdf["text"]]
             doc, start, number, least = stretches(texts, width, gram)
             live = [np.unique(np.frombuffer(b"".join(s), np.int64)) for s in pdf["slots"]]
@@ -300,7 +306,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batch_
             for d, some in enumerate(live):
                 keep[edges[d] : edges[d + 1]] = np.isin(slot[edges[d] : edges[d + 1]], some)
             i = np.flatnonzero(keep)
-            ids, rids = pdf["doc_id"].to_numpy(), pdf["rid"].to_numpy()
+            ids, rids = pdf["doc_id"].to_numpy(np.int64), pdf["rid"].to_numpy()
             cut = [texts[d][s : s + k] for d, s, k in zip(doc[i].tolist(), start[i].tolist(), (number[i] + width - 1).tolist())]
             yield pd.DataFrame({"key": least[i].view(np.int64), "doc_id": ids[doc[i]], "rid": rids[doc[i]], "at": start[i], "segment": cut})
 
@@ -352,12 +358,14 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batch_
     entries = docs.mapInPandas(minimizers, "part int, who binary, doc binary, slot binary").repartitionById(parts, "part")
     live = entries.mapInPandas(between, "doc_id long, rid long, slots binary").groupBy("doc_id", "rid").agg(F.collect_list("slots").alias("slots"))
     live = common.keep(live.join(copies, ["doc_id", "rid"], "left_anti"))
-    segments = docs.join(live.hint("shuffle_hash"), ["doc_id", "rid"]).mapInPandas(cut_out, "key long, doc_id long, rid long, at long, segment binary")
+    slots_of = live.select(F.col("doc_id").alias("of_doc"), F.col("rid").alias("of_rid"), "slots").hint("shuffle_hash")
+    with_slots = base.join(slots_of, (base[doc_id] == F.col("of_doc")) & (base["rid"] == F.col("of_rid")), "left").drop("of_doc", "of_rid")
+    segments = with_slots.mapInPandas(cut_out, "key long, doc_id long, rid long, at long, segment binary")
     sorted_ = segments.repartition("key").sortWithinPartitions("key", "doc_id", "rid", "at")
     found = sorted_.mapInPandas(sort_groups, "doc_id long, rid long, spans binary")
     everything = F.lit(np.array([0, 1 << 62], "<i8").tobytes())
     found = found.union(copies.select("doc_id", "rid", everything.alias("spans")))
-    return common.keep(found.groupBy("doc_id", "rid").agg(F.collect_list("spans").alias("spans")))
+    return found.groupBy("doc_id", "rid").agg(F.collect_list("spans").alias("spans"))
 
 
 def _kept(data: bytes, spans: np.ndarray, width: int) -> tuple[bytes, int, int]:
@@ -385,10 +393,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, **how) -> DataFrame:
     take none from one another.
     """
     own = common.numbered(docs)
-    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
-    keyed = own.withColumns({"doc_id": doc_id.cast("long"), "rid": F.xxhash64(doc_id, text), "text": F.coalesce(text, F.lit(""))})
-    spans = repeated_spans(keyed.where(F.col("doc_id").isNotNull()).select("doc_id", "rid", "text"), width, **how)
-    joined = keyed.join(spans.hint("shuffle_hash"), ["doc_id", "rid"], "left").select(*own.columns, "spans")
+    doc_id, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    base = own.withColumn("rid", F.xxhash64(doc_id, text))
+    spans = repeated_spans(base, doc_id, text, width, **how)
+    spans_of = spans.select(F.col("doc_id").alias("of_doc"), F.col("rid").alias("of_rid"), "spans").hint("shuffle_hash")
+    joined = base.join(spans_of, (base[doc_id] == F.col("of_doc")) & (base["rid"] == F.col("of_rid")), "left").select(*own.columns, "spans")
     at = docs.columns.index("text")
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
