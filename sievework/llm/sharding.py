@@ -35,7 +35,7 @@ def shuffle_into_shards(df: DataFrame, shards: int, keys: Sequence[str], seed: i
     ``keys`` name what the scattering hash takes; rows equal in all of them meet in one bucket, so give columns
     that tell rows apart. ``shard`` is 0 to shards-1, ``slot`` the gapless place within it. Nulls in keys hash like
     a value. An empty table gives no rows; fewer rows than shards leave some shards empty. Equal rows are kept,
-    each in a slot of its own. A text longer than ``bucket_bytes`` makes its bucket that much larger.
+    each in a slot of its own. df is read more than once and has to give the same rows each time. A text longer than ``bucket_bytes`` makes its bucket that much larger.
     """
     if shards < 1 or bucket_bytes < 1:
         raise ValueError("shards and bucket_bytes must be positive")
