@@ -11,8 +11,8 @@ from sievework.plans.registry import query
 
 N = "with " + t.DNA
 RC = "reverse(translate({}, 'ACGT', 'TGCA'))"
-WINDOWS = N + ", w as (select contig, i as start, substring(seq, i, 23) as window from dna, unnest(range(1, greatest(length(seq) - 22, 1))) u(i) where length(seq) >= 23)"
-TARGETS = WINDOWS + f", g as (select contig, start, case when regexp_matches(window, 'GG$') then '+' else '-' end as strand, case when regexp_matches(window, 'GG$') then window else {RC.format('window')} end as target from w where regexp_matches(window, 'GG$') or regexp_matches(window, '^CC'))"
+WINDOWS = N + ", w as (select contig, i as start, substring(seq, i, 23) as win from dna, unnest(range(1, greatest(length(seq) - 21, 1))) u(i) where length(seq) >= 23)"
+TARGETS = WINDOWS + f", g as (select contig, start, case when regexp_matches(win, 'GG$') then '+' else '-' end as strand, case when regexp_matches(win, 'GG$') then win else {RC.format('win')} end as target from w where regexp_matches(win, 'GG$') or regexp_matches(win, '^CC'))"
 
 
 def _dna(s, d):
@@ -149,15 +149,15 @@ def _(s, d):
     return D.enumerate_guides(_dna(s, d)).where(C.starts_with_dinucleotide(F.col("target"), "GN")).select("contig", "start")
 
 
-@query("d02_cpf1", N + ", w as (select contig, i as start, substring(seq, i, 24) as window from dna, unnest(range(1, greatest(length(seq) - 23, 1))) u(i) where length(seq) >= 24) select contig, start, case when regexp_matches(window, '^TTT') then '+' else '-' end as strand, case when regexp_matches(window, '^TTT') then window else "
-       + RC.format("window") + " end as target from w where regexp_matches(window, '^TTT') or regexp_matches(window, 'AAA$')")
+@query("d02_cpf1", N + ", w as (select contig, i as start, substring(seq, i, 24) as win from dna, unnest(range(1, greatest(length(seq) - 22, 1))) u(i) where length(seq) >= 24) select contig, start, case when regexp_matches(win, '^TTT') then '+' else '-' end as strand, case when regexp_matches(win, '^TTT') then win else "
+       + RC.format("win") + " end as target from w where regexp_matches(win, '^TTT') or regexp_matches(win, 'AAA$')")
 def _(s, d):
     return D.enumerate_guides(_dna(s, d), D.MODES["cpf1"])
 
 
-@query("d03_half_sites", N + ", w as (select contig, i as start, substring(seq, i, 18) as window from dna, unnest(range(1, greatest(length(seq) - 17, 1))) u(i) where length(seq) >= 18) select contig, start, window, window like 'T%' as left, window like '%A' as right from w where window like 'T%' or window like '%A'")
+@query("d03_half_sites", N + ", w as (select contig, i as start, substring(seq, i, 18) as win from dna, unnest(range(1, greatest(length(seq) - 16, 1))) u(i) where length(seq) >= 18) select contig, start, win as site, win like 'T%' as left, win like '%A' as right from w where win like 'T%' or win like '%A'")
 def _(s, d):
-    return D.half_sites(_dna(s, d))
+    return D.half_sites(_dna(s, d)).withColumnRenamed("window", "site")
 
 
 X = "with " + t.EXONS + ", x as (select *, min(exon_start) over (partition by tx) + 20 as cds_start, max(exon_end) over (partition by tx) - 20 as cds_end from exons)"
@@ -295,7 +295,7 @@ def _(s, d):
     return _pairs(s, d)
 
 
-@query("j16_talen_pairs", N + ", w as (select contig, i as start, substring(seq, i, 18) as w from dna, unnest(range(1, greatest(length(seq) - 17, 1))) u(i) where length(seq) >= 18 and contig % 20 = 0) select a.contig, a.start as start_a, b.start as start_b from w a join w b on a.contig = b.contig and b.start - a.start > 32 and b.start - a.start <= 40 and a.w like 'T%' and b.w like '%A'")
+@query("j16_talen_pairs", N + ", w as (select contig, i as start, substring(seq, i, 18) as w from dna, unnest(range(1, greatest(length(seq) - 16, 1))) u(i) where length(seq) >= 18 and contig % 20 = 0) select a.contig, a.start as start_a, b.start as start_b from w a join w b on a.contig = b.contig and b.start - a.start > 32 and b.start - a.start <= 40 and a.w like 'T%' and b.w like '%A'")
 def _(s, d):
     h = D.half_sites(_dna(s, d).where("contig % 20 = 0"))
     return D.pairs_within(h, "contig", "start", 32, 40, F.col("left_a") & F.col("right_b")).selectExpr("contig_a as contig", "start_a", "start_b")
@@ -308,7 +308,7 @@ def _(s, d):
 
 
 CLUSTER = PAIRS + """, l as (select *, case when start_a <= lag(start_b) over w then 0 else 1 end as new from p window w as (partition by contig order by start_a, start_b)), r as (select *, sum(new) over (partition by contig order by start_a, start_b rows unbounded preceding) as run from l),
-k as (select *, row_number() over (partition by contig, run order by start_a, start_b) - 1 as at from r), c as (select contig, start_a, start_b, run::bigint::varchar || '.' || (at // 2)::bigint::varchar as cluster from k)"""
+k as (select *, row_number() over (partition by contig, run order by start_a, start_b) - 1 as place from r), c as (select contig, start_a, start_b, run::bigint::varchar || '.' || (place // 2)::bigint::varchar as cluster from k)"""
 
 
 @query("w10_clusters", CLUSTER + " select * from c")

@@ -14,8 +14,12 @@ from sievework.plans import tables as t
 from sievework.plans.registry import query
 
 L = "with " + t.LONG
-GOOD = F.col("efficacy") >= 90
-KIND = C.three_classes(F.col("efficacy"))
+def good():
+    return F.col("efficacy") >= 90
+
+def kind():
+    return C.three_classes(F.col("efficacy"))
+
 KIND_SQL = "case when efficacy < 60 then 'Poor' when efficacy >= 90 then 'Good' when efficacy is not null then 'Moderate' end"
 TOTALS = f", totals as (select count(*) filter (k = 'Good') as g, count(*) filter (k = 'Moderate') as m, count(*) filter (k = 'Poor') as p from (select {KIND_SQL} as k from guides))"
 
@@ -31,12 +35,12 @@ c as (select *, sum(p) over w as cp, sum(n) over w as cn, sum(p) over (partition
 
 @query("e01_roc_points", ROC + " select tool, round(score, 6) as threshold, round(cp / ap, 6) as tpr, round(cn / an, 6) as fpr from c")
 def _(s, d):
-    return M.roc_points(t.long_guides(s, d), GOOD).select("tool", *[M.r6(c).alias(c) for c in ("threshold", "tpr", "fpr")])
+    return M.roc_points(t.long_guides(s, d), good()).select("tool", *[M.r6(c).alias(c) for c in ("threshold", "tpr", "fpr")])
 
 
 @query("e02_auc", L + ", " + _auc_sql("efficacy >= 90") + " select tool, round((s - p * (p + 1) / 2.0) / (p * n), 6) as auc, p::bigint as pos, n::bigint as neg from a")
 def e02_auc(s, d):
-    return M.auc(t.long_guides(s, d), GOOD).select("tool", M.r6("auc").alias("auc"), "pos", "neg")
+    return M.auc(t.long_guides(s, d), good()).select("tool", M.r6("auc").alias("auc"), "pos", "neg")
 
 
 @query("e02_auc_binary", "with " + t.BINARY + ", x as (select 'n_chars' as tool, score, label from binary_labels), " + _auc_sql("label = 1").replace("from long", "from x") + " select tool, round((s - p * (p + 1) / 2.0) / (p * n), 6) as auc, p::bigint as pos, n::bigint as neg from a")
@@ -54,7 +58,7 @@ def _(s, d):
 
 @query("e04_average_precision", ROC + " select tool, round(sum(p / ap * cp / (cp + cn)), 6) as average_precision from c group by tool")
 def _(s, d):
-    return M.average_precision(t.long_guides(s, d), GOOD).select("tool", M.r6("average_precision").alias("average_precision"))
+    return M.average_precision(t.long_guides(s, d), good()).select("tool", M.r6("average_precision").alias("average_precision"))
 
 
 def _sweep(n: int) -> str:
@@ -76,7 +80,7 @@ def _rates(df):
 
 @query("e05_best_threshold", _sweep(500) + f", b as (select *, row_number() over (partition by tool order by least(tpr, specificity) desc, i) as k from q) select tool, round(threshold, 6) as threshold, {RATES} from b where k = 1")
 def _(s, d):
-    return _rates(M.best_threshold(t.long_guides(s, d), KIND, M.class_totals(t.guides(s, d), KIND)))
+    return _rates(M.best_threshold(t.long_guides(s, d), kind(), M.class_totals(t.guides(s, d), kind())))
 
 
 PRESET = (("tool_price", 40000.0), ("tool_disc", 0.05), ("tool_tax", 0.04))
@@ -96,21 +100,21 @@ f as (select tool, threshold, tp, pos - tp as fn, fp, neg - fp as tn, tp / pos a
 
 @query("e06_preset_thresholds", _preset_sql("'Good'") + f" select tool, round(threshold, 6) as threshold, {RATES} from f")
 def _(s, d):
-    return _rates(M.at_thresholds(t.long_guides(s, d), _preset(s), KIND, M.class_totals(t.guides(s, d), KIND)))
+    return _rates(M.at_thresholds(t.long_guides(s, d), _preset(s), kind(), M.class_totals(t.guides(s, d), kind())))
 
 
 @query("e07_lr_report", _preset_sql("'Good'").replace("), f as", "), f as") + ", two as (select tool, 'good_vs_rest' as comparison, tpr / (1 - specificity) as lr_plus from f) select tool, comparison, round(lr_plus, 6) as lr_plus from two union all select * from ("
        + _preset_sql("'Good', 'Moderate'") + " select tool, 'not_poor_vs_poor' as comparison, round(tpr / (1 - specificity), 6) as lr_plus from f)")
 def _(s, d):
-    l, p, n = t.long_guides(s, d), _preset(s), M.class_totals(t.guides(s, d), KIND)
-    a = M.at_thresholds(l, p, KIND, n).select("tool", F.lit("good_vs_rest").alias("comparison"), M.r6("lr_plus").alias("lr_plus"))
-    return a.unionByName(M.at_thresholds(l, p, KIND, n, ("Good", "Moderate")).select("tool", F.lit("not_poor_vs_poor").alias("comparison"), M.r6("lr_plus").alias("lr_plus")))
+    l, p, n = t.long_guides(s, d), _preset(s), M.class_totals(t.guides(s, d), kind())
+    a = M.at_thresholds(l, p, kind(), n).select("tool", F.lit("good_vs_rest").alias("comparison"), M.r6("lr_plus").alias("lr_plus"))
+    return a.unionByName(M.at_thresholds(l, p, kind(), n, ("Good", "Moderate")).select("tool", F.lit("not_poor_vs_poor").alias("comparison"), M.r6("lr_plus").alias("lr_plus")))
 
 
 @query("e08_misclassification", _preset_sql("'Good'") + ", w as (select tool, count(*) filter (hit and k = 'Poor')::double as bp, count(*) filter (hit and k = 'Moderate')::double as bm from x group by 1), n as (select count(*) filter (k = 'Poor') as p, count(*) filter (k = 'Moderate') as m from (select "
        + KIND_SQL + " as k from guides)) select tool, round(tpr, 6) as coverage, round(bp / n.p, 6) as poor_as_good, round(bm / n.m, 6) as moderate_as_good, round(tpr - bp / n.p, 6) as quality from f join w using (tool), n")
 def _(s, d):
-    r = M.at_thresholds(t.long_guides(s, d), _preset(s), KIND, M.class_totals(t.guides(s, d), KIND))
+    r = M.at_thresholds(t.long_guides(s, d), _preset(s), kind(), M.class_totals(t.guides(s, d), kind()))
     poor, moderate = F.col("Poor") / F.col("all_Poor"), F.col("Moderate") / F.col("all_Moderate")
     return r.select("tool", M.r6("tpr").alias("coverage"), M.r6(poor).alias("poor_as_good"), M.r6(moderate).alias("moderate_as_good"), M.r6(F.col("tpr") - poor).alias("quality"))
 
@@ -165,7 +169,7 @@ def _(s, d):
 @query("e14_best_f1", _sweep(100) + """, f as (select *, tp / (tp + fp) as precision, tpr as recall, coalesce(2 * tp / (2 * tp + fp + fn), 0) as f1 from q),
 b as (select *, row_number() over (partition by tool order by round(f1, 12) desc, i) as k from f) select tool, round(threshold, 6) as threshold, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1 from b where k = 1""")
 def _(s, d):
-    return M.best_f1(t.long_guides(s, d), KIND, M.class_totals(t.guides(s, d), KIND)).select("tool", *[M.r6(c).alias(c) for c in ("threshold", "precision", "recall", "f1")])
+    return M.best_f1(t.long_guides(s, d), kind(), M.class_totals(t.guides(s, d), kind())).select("tool", *[M.r6(c).alias(c) for c in ("threshold", "precision", "recall", "f1")])
 
 
 @query("e15_poor_detection", L + """, x as (select tool, score, efficacy < 60 as poor from long where score is not null),
@@ -182,13 +186,13 @@ pe as (select tool, round(corr(score, efficacy), 6) as pearson from long where s
        + " select tool, spearman, pearson, round((s - p * (p + 1) / 2.0) / (p * n), 6) as auc from a join sp using (tool) join pe using (tool)")
 def _(s, d):
     l = t.long_guides(s, d)
-    a = M.auc(l, GOOD).select("tool", M.r6("auc").alias("auc"))
+    a = M.auc(l, good()).select("tool", M.r6("auc").alias("auc"))
     return a.join(M.spearman(l).select("tool", M.r6("spearman").alias("spearman")), "tool").join(M.pearson(l).select("tool", M.r6("pearson").alias("pearson")), "tool")
 
 
 @query("e24_class_shares", "with " + t.GUIDES + f" select class, n, round(n * 100.0 / sum(n) over (), 6) as percent from (select {KIND_SQL} as class, count(*)::bigint as n from guides group by 1)")
 def _(s, d):
-    c = t.guides(s, d).groupBy(KIND.alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    c = t.guides(s, d).groupBy(kind().alias("class")).agg(F.count(F.lit(1)).alias("n"))
     return c.select("class", "n", M.r6(F.col("n") * 100 / F.sum("n").over(W.Window.partitionBy(F.lit(1)))).alias("percent"))
 
 

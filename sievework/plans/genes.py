@@ -11,15 +11,19 @@ from sievework.operators import metrics as M
 from sievework.plans import tables as t
 from sievework.plans.registry import query
 
-MARGIN = C.margin_classes(F.col("efficacy"), 85, 95)
+def margin():
+    return C.margin_classes(F.col("efficacy"), 85, 95)
+
 B = "with " + t.GUIDES + ", b as (select *, case when efficacy < 85 then 'poor' when efficacy > 95 then 'good' else 'ignore' end as bucket from guides), c as (select * from b where bucket <> 'ignore')"
 L = "with " + t.LONG
-BAD = F.col("efficacy") < 60
+def bad():
+    return F.col("efficacy") < 60
+
 SMALL = L + ", g as (select gene from guides group by gene having count(*) = 4 and count(*) filter (efficacy < 60) = 1), l4 as (select * from long where gene in (select gene from g))"
 
 
 def _b(s, d):
-    return t.guides(s, d).withColumn("bucket", MARGIN)
+    return t.guides(s, d).withColumn("bucket", margin())
 
 
 def _c(s, d):
@@ -27,7 +31,7 @@ def _c(s, d):
 
 
 def _l4(s, d):
-    return C.to_long(g.one_bad_of(t.guides(s, d), BAD), ("guide_id", "gene", "efficacy"), t.TOOLS)
+    return C.to_long(g.one_bad_of(t.guides(s, d), bad()), ("guide_id", "gene", "efficacy"), t.TOOLS)
 
 
 @query("a01_two_class_genes", B + " select guide_id, gene from c where gene in (select gene from c group by gene having count(distinct bucket) > 1)")
@@ -52,17 +56,17 @@ def _(s, d):
 
 @query("a05_bad_counts", "with " + t.GUIDES + ", x as (select gene, count(*)::bigint as total, count(*) filter (efficacy < 60)::bigint as bad from guides group by gene) select total, bad, count(*)::bigint as genes from x group by 1, 2")
 def _(s, d):
-    return g.bad_counts(t.guides(s, d), BAD).groupBy("total", "bad").agg(F.count(F.lit(1)).alias("genes"))
+    return g.bad_counts(t.guides(s, d), bad()).groupBy("total", "bad").agg(F.count(F.lit(1)).alias("genes"))
 
 
 @query("a05_one_bad_of_four", SMALL + " select guide_id, gene from guides where gene in (select gene from g)")
 def _(s, d):
-    return g.one_bad_of(t.guides(s, d), BAD).select("guide_id", "gene")
+    return g.one_bad_of(t.guides(s, d), bad()).select("guide_id", "gene")
 
 
 @query("w01_lowest_scored", SMALL + " select tool, gene, guide_id, efficacy < 60 as bad from (select *, row_number() over (partition by tool, gene order by score nulls first, guide_id) as k from l4) where k = 1")
 def _(s, d):
-    return g.lowest_scored(_l4(s, d)).select("tool", "gene", "guide_id", BAD.alias("bad"))
+    return g.lowest_scored(_l4(s, d)).select("tool", "gene", "guide_id", bad().alias("bad"))
 
 
 ENDS = """, v as (select * from long where score is not null and efficacy is not null), e as (select tool, gene, first(guide_id order by score desc, guide_id) as top_score, first(guide_id order by efficacy desc, guide_id) as top_efficacy,
@@ -76,7 +80,7 @@ def _(s, d):
 
 @query("w03_problem_guides", L + ", x as (select *, min(score) over (partition by tool, gene) as low from long) select tool, count(*)::bigint as bad, count(*) filter (score > low)::bigint as problems, round(count(*) filter (score > low) / count(*), 6) as failed_share from x where efficacy < 60 group by tool")
 def _(s, d):
-    return g.problem_guides(t.long_guides(s, d), BAD).withColumn("failed_share", M.r6("failed_share"))
+    return g.problem_guides(t.long_guides(s, d), bad()).withColumn("failed_share", M.r6("failed_share"))
 
 
 @query("w04_ranks_within_gene", "with " + t.GUIDES + " select guide_id, rank() over (partition by gene order by tool_disc desc) + (count(*) over (partition by gene, tool_disc) - 1) / 2 as r from guides")
@@ -198,7 +202,7 @@ DETECT = SMALL + ", x as (select tool, gene, efficacy < 60 as bad, row_number()
 @query("e21_bad_guide_detection", DETECT + """ select tool, n::bigint as genes, f::bigint as found, round(f / n, 6) as rate, round((f / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(f / n * (1 - f / n) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n), 6) as low,
  round((f / n + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt(f / n * (1 - f / n) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n), 6) as high, round(sqrt(f / n * (1 - f / n) / n), 6) as standard_error from c""")
 def _(s, d):
-    r = g.bad_guide_detection(_l4(s, d), BAD)
+    r = g.bad_guide_detection(_l4(s, d), bad())
     return r.select("tool", "genes", "found", *[M.r6(c).alias(c) for c in ("rate", "low", "high", "standard_error")])
 
 
@@ -210,4 +214,4 @@ def _(s, d):
 @query("e23_two_proportions", DETECT + """ select a.tool as tool_a, b.tool as tool_b, round((a.f / a.n - b.f / b.n) / sqrt((a.f + b.f) / (a.n + b.n) * (1 - (a.f + b.f) / (a.n + b.n)) * (1 / a.n + 1 / b.n)), 6) as z,
  case when z > 3.290527 then '***' when z > 2.575829 then '**' when z > 1.959964 then '*' else 'ns' end as stars from c a join c b on a.f / a.n > b.f / b.n or (a.f / a.n = b.f / b.n and a.tool < b.tool)""")
 def _(s, d):
-    return g.two_proportions(g.bad_guide_detection(_l4(s, d), BAD)).withColumn("z", M.r6("z"))
+    return g.two_proportions(g.bad_guide_detection(_l4(s, d), bad())).withColumn("z", M.r6("z"))
