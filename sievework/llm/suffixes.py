@@ -16,7 +16,6 @@ A document whose whole text is that of one with a smaller doc_id goes as a whole
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -33,15 +32,17 @@ GRAM = 20
 BATCH_BYTES = 1 << 20
 PART_BYTES = 96 << 20
 #: Stretches that a task sorts at a time; a group of more is gone through in several goes.
-CHUNK = 40_000
+CHUNK = 16_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
-@functools.lru_cache(maxsize=1)
+_TABLES: list[np.ndarray] = []
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
+    """Powers of the base and of its inverse modulo 2**64, n of them at least; a worker keeps the longest tables so far."""
 
     def up(base: int) -> np.ndarray:
         out = np.empty(n, np.uint64)
@@ -52,7 +53,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             have, step = have + more, step * step & _MASK
         return out
 
-    return up(_BASE), up(pow(_BASE, -1, 1 << 64))
+    if not _TABLES or len(_TABLES[0]) < n:
+        _TABLES[:] = [up(_BASE), up(pow(_BASE, -1, 1 << 64))]
+    return _TABLES[0], _TABLES[1]
 
 
 class Prefixes:
@@ -60,8 +63,7 @@ class Prefixes:
 
     def __init__(self, text: np.ndarray):
         self.text = text
-        size = max(1 << 16, 1 << (len(text) + 1).bit_length())
-        powers, self.inverse = _powers(size)
+        powers, self.inverse = _powers(max(1 << 16, len(text) + 1))
         self.sums = np.zeros(len(text) + 1, np.uint64)
         np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers[: len(text)], out=self.sums[1:])
 
