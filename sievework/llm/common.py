@@ -55,3 +55,14 @@ def numbered(df: DataFrame) -> DataFrame:
 
 def ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+#: Rows of a batch between Spark and Python. Texts are long: Spark's default of 10,000 takes hundreds of MB at once.
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let batches of texts be small, unless the session asks for smaller ones still."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= int(BATCH_ROWS):
+        spark.conf.set(name, BATCH_ROWS)

@@ -158,6 +158,7 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
 
     A text that is null or without a letter is ``und`` with score 0, and so is every text where nothing was learned.
     """
+    common.small_batches(docs.sparkSession)
     own, at_text = common.numbered(docs), f"c{docs.columns.index('text')}"
     tables = network.pair_tables() if network is not None else None
     shared = docs.sparkSession.sparkContext.broadcast((network and vars(network), tables))  # about 12 MB, whatever the input

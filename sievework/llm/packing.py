@@ -126,6 +126,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
                         start, end, k = end, end + size, k + 1
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    common.small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return narrow.mapInPandas(task, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

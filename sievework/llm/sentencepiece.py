@@ -168,6 +168,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
             same = [a == (b or "") for a, b in zip(text, pdf["text"])]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_ids": [len(x) // 4 for x in ids], "ids_crc32": [zlib.crc32(x) for x in ids], "decoded": text, "round_trip": same})
 
+    common.small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", "text").mapInPandas(task, f"doc_id {kind}, n_ids long, ids_crc32 long, decoded string, round_trip boolean")
     return found.select("doc_id", "n_ids", "ids_crc32", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), "round_trip")

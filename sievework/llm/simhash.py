@@ -112,6 +112,7 @@ def signatures(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "signature": [signature(t, how) for t in pdf["text"]]})
 
+    common.small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(task, "doc_id long, signature binary")
 
 

@@ -394,6 +394,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, **how) -> DataFrame:
     text is an empty one. A row without a doc_id keeps all bytes and takes none from others. Rows of equal doc_id
     take none from one another.
     """
+    common.small_batches(docs.sparkSession)
     own = common.numbered(docs)
     doc_id, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
     base = own.withColumn("rid", F.xxhash64(doc_id, text))
