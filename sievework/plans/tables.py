@@ -79,7 +79,7 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("select " + _COUNTS.format(key=_KEY.format(s="string"), s="string") + " from _lineitem")
 
 
-_COUNTS = """{key} as guide_id, concat('E', cast(l_suppkey % 5 as {s})) as experiment, cast(l_quantity as bigint) as t0_r1, cast(l_linenumber + 10 as bigint) as t0_r2, cast(l_quantity * (1 - l_discount * 8) as bigint) as t12_r1,
+_COUNTS = """{key} as guide_id, concat('E', cast(l_suppkey % 5 as {s})) as experiment, cast(l_quantity as bigint) as t0_r1, cast(l_linenumber + 10 as bigint) as t0_r2, cast(floor(l_quantity * (1 - l_discount * 8)) as bigint) as t12_r1,
  concat('{{', cast(cast(l_quantity as bigint) as {s}), ',', cast(l_linenumber + 10 as {s}), '}}') as packed"""
 COUNTS = "counts as (select " + _COUNTS.format(key=_KEY.format(s="varchar"), s="varchar") + " from lineitem)"
 
