@@ -211,7 +211,7 @@ def _(s, d):
     return D.merged(_spans(s, d), ("gene",)).withColumnRenamed("end", "stop")
 
 
-@query("d09_consensus", "with " + t.EXONS + ", p as (select distinct gene, tx, unnest(range(exon_start, exon_end)) as at from exons where gene in ('C1', 'C2', 'C4', 'C5', 'C7', 'C8')), c as (select gene, at from p group by 1, 2 having count(*) = (select count(distinct tx) from p q where q.gene = p.gene)) select gene, count(*)::bigint as positions from c group by 1")
+@query("d09_consensus", "with " + t.EXONS + ", p as (select distinct gene, tx, unnest(range(exon_start, exon_end)) as pos from exons where gene in ('C1', 'C2', 'C4', 'C5', 'C7', 'C8')), c as (select gene, pos from p group by 1, 2 having count(*) = (select count(distinct tx) from p q where q.gene = p.gene)) select gene, count(*)::bigint as positions from c group by 1")
 def _(s, d):
     c = D.consensus(_spans(s, d).where("gene in ('C1', 'C2', 'C4', 'C5', 'C7', 'C8')"))
     return c.groupBy("gene").agg(F.sum(F.col("end") - F.col("start")).alias("positions"))
