@@ -274,3 +274,38 @@ def control_guides(spark, n: int, sites: DataFrame, size: int = 20, k: int = 3,
     good = made.where(q.gc_fraction(F.col("seq")).between(0.4, 0.7) & (q.self_complementarity(F.col("seq")) == 0)).select(F.col("id").alias("guide"), "seq")
     hit = near_sites(good, sites, k, size).select("guide").distinct()
     return good.join(hit, "guide", "left_anti").orderBy("guide").limit(n)
+
+
+#: What a pair of off-targets costs on the same and on different strands, by kind of pair.
+PAIR_PENALTY = {"talen": (10_000, 5_000), "nickase": (0, 5_000)}
+
+
+def scored_pairs(pairs: DataFrame, hits: DataFrame, low: int, high: int, kind: str = "nickase") -> DataFrame:
+    """pair, off_same, off_other and score for pairs (pair, left, right) and hits (guide, contig, pos, strand).
+
+    Off-target pairs: hits of the two members on one contig at a distance of low to high, by binned equi-joins.
+    """
+    width = max(1, high)
+    side = lambda x: hits.select(F.col("guide").alias(x), F.col("contig").alias(f"contig_{x}"), F.col("pos").alias(f"pos_{x}"), F.col("strand").alias(f"strand_{x}"))
+    a = pairs.join(side("left"), "left").withColumn("_bin", F.explode(F.array(*[F.floor(F.col("pos_left") / width) + i for i in (-1, 0, 1)])))
+    b = pairs.select("pair", "right").join(side("right"), "right").withColumn("_bin", F.floor(F.col("pos_right") / width)).drop("right")
+    gap = F.abs(F.col("pos_left") - F.col("pos_right"))
+    met = a.join(b, ["pair", "_bin"]).where((F.col("contig_left") == F.col("contig_right")) & (gap >= low) & (gap <= high))
+    same = F.col("strand_left") == F.col("strand_right")
+    n = met.groupBy("pair").agg(F.count_if(same).alias("off_same"), F.count_if(~same).alias("off_other"))
+    cost = PAIR_PENALTY[kind]
+    out = pairs.join(n, "pair", "left").na.fill(0, ["off_same", "off_other"])
+    return out.withColumn("score", F.col("off_same") * cost[0] + F.col("off_other") * cost[1])
+
+
+def amplicons(guides: DataFrame, primers: DataFrame, barcodes: list[str], distance: int) -> DataFrame:
+    """gene, guide, forward, reverse, barcode: spaced guides with their first primer pair that has no off-targets.
+
+    primers: (guide, forward, reverse, off_targets, place). A barcode is used again where the primers differ: the k-th
+    guide that has a primer pair gets the k-th barcode, null beyond the list.
+    """
+    chosen = spaced(guides, "gene", "position", "score", distance)
+    clean = primers.where("off_targets = 0").withColumn("_k", F.row_number().over(W.Window.partitionBy("guide").orderBy("place", "forward", "reverse"))).where("_k = 1")
+    rows = chosen.join(clean.select("guide", "forward", "reverse"), "guide")
+    k = F.row_number().over(W.Window.partitionBy("forward", "reverse").orderBy("gene", "guide"))
+    return rows.withColumn("barcode", F.get(F.array(*[F.lit(b) for b in barcodes]), k - 1)).select("gene", "guide", "forward", "reverse", "barcode")

@@ -174,3 +174,36 @@ BASE_WEIGHTS = {"A": 313.21, "C": 289.18, "G": 329.21, "T": 304.2}
 
 def molecular_weight(s: Column) -> Column:
     return sum((F.length(F.regexp_replace(s, f"[^{b}]", "")) * w for b, w in BASE_WEIGHTS.items()), F.lit(-61.96))
+
+
+#: Published nearest-neighbour enthalpies (kcal/mol) and entropies (cal/mol K) of DNA dinucleotides.
+NEIGHBOURS = {
+    "AA": (-7.9, -22.2), "TT": (-7.9, -22.2), "AT": (-7.2, -20.4), "TA": (-7.2, -21.3), "CA": (-8.5, -22.7), "TG": (-8.5, -22.7), "GT": (-8.4, -22.4), "AC": (-8.4, -22.4),
+    "CT": (-7.8, -21.0), "AG": (-7.8, -21.0), "GA": (-8.2, -22.2), "TC": (-8.2, -22.2), "CG": (-10.6, -27.2), "GC": (-9.8, -24.4), "GG": (-8.0, -19.9), "CC": (-8.0, -19.9),
+}
+#: Enthalpy and entropy of an end by its base.
+ENDS = {"A": (2.3, 4.1), "T": (2.3, 4.1), "C": (0.1, -2.8), "G": (0.1, -2.8)}
+
+
+def melting_temperature(s: Column, concentration_nm: float = 50.0, sodium_mm: float = 50.0) -> Column:
+    """Nearest-neighbour melting temperature in Celsius with the entropy's salt term; null below two bases or beyond ACGT."""
+    table = lambda k: F.create_map(*[x for w, v in NEIGHBOURS.items() for x in (F.lit(w), F.lit(v[k]))])
+    ends = lambda k: F.create_map(*[x for w, v in ENDS.items() for x in (F.lit(w), F.lit(v[k]))])
+    steps = F.sequence(F.lit(1), F.length(s) - 1)
+
+    def total(k: int) -> Column:
+        inner = F.aggregate(steps, F.lit(0.0), lambda a, i: a + table(k)[F.substring(s, i, F.lit(2))])
+        return inner + ends(k)[F.substring(s, 1, 1)] + ends(k)[F.substring(s, -1, 1)]
+
+    entropy = total(1) + 0.368 * (F.length(s) - 1) * math.log(sodium_mm * 1e-3)
+    t = 1000 * total(0) / (entropy + 1.987 * math.log(concentration_nm * 1e-9 / 4)) - 273.15
+    return F.when((F.length(s) >= 2) & s.rlike("^[ACGT]+$"), t)
+
+
+def feature_matrix(features: DataFrame, names: Sequence[str]) -> DataFrame:
+    """guide and one z-scored column for each name; a feature that a guide lacks is 0."""
+    from sievework.operators import columns as C
+
+    wide = features.where(F.col("feature").isin(*names)).groupBy("guide").pivot("feature", list(names)).agg(F.first("value"))
+    whole = features.select("guide").distinct().join(wide, "guide", "left").na.fill(0, list(names))
+    return C.z_scores(whole, list(names)).drop(*names)

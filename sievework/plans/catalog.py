@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievework.plans import columns, design, evaluation, genes, relational  # noqa: F401
+from sievework.plans import columns, design, evaluation, genes, more, relational  # noqa: F401
 from sievework.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
