@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import common, langid, packing, simhash, suffixes
+from sievework.llm import common, langid, packing, shingles, suffixes
 
 #: A document goes if no language of the corpus reaches this probability.
 LEAST_SCORE = 0.4
@@ -34,21 +34,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near duplicates, five-word shingles at a similarity of 0.8.
+    """Keeps the smallest doc_id of each group of near duplicates: sets of five-word shingles at a Jaccard of 0.8 or more.
 
     Repeated rows of a doc_id come down to one. Rows without a doc_id go if a row with one is near, else they stay.
     """
-    found = common.keep(simhash.near_duplicates(docs, simhash.FIVE_WORDS))
-    without = found.where("doc_id is null and component_id is not null").select(F.xxhash64("signature").alias("s")).distinct()
+    found = common.keep(shingles.near_duplicates(docs))
+    without = found.where("doc_id is null and component_id is not null").select("of_text").distinct()
     lost = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
     repeated = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not repeated.isEmpty():
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
     if not without.isEmpty():
-        signed = simhash.signatures(kept.where("doc_id is null").select("doc_id", "text").withColumn("doc_id", F.xxhash64("text")), simhash.FIVE_WORDS)
-        gone = signed.withColumn("s", F.xxhash64("signature")).join(without, "s", "left_semi").select(F.col("doc_id").alias("of_text")).distinct()
-        orphans = kept.where("doc_id is null").join(gone, F.xxhash64("text") == F.col("of_text"), "left_anti")
+        orphans = kept.where("doc_id is null").join(without, F.xxhash64("text") == F.col("of_text"), "left_anti")
         kept = kept.where("doc_id is not null").unionByName(orphans)
     return kept
 
