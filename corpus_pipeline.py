@@ -34,21 +34,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near duplicates: sets of five-word shingles at a Jaccard of 0.8 or more.
+    """Keeps one row of each group of near duplicates: SimHash candidates with a Jaccard of five-word shingles of 0.8 or more.
 
-    Repeated rows of a doc_id come down to one. Rows without a doc_id go if a row with one is near, else they stay.
+    It is the row with the smallest doc_id, of these the one with the least hash of the text; a null doc_id comes after
+    all others. Of rows equal in doc_id and text any one stays. Rows, not doc_ids, go: other texts of a doc_id stay.
     """
     found = common.keep(shingles.near_duplicates(docs))
-    without = found.where("doc_id is null and component_id is not null").select("of_text").distinct()
-    lost = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if not repeated.isEmpty():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    if not without.isEmpty():
-        orphans = kept.where("doc_id is null").join(without, F.xxhash64("text") == F.col("of_text"), "left_anti")
-        kept = kept.where("doc_id is not null").unionByName(orphans)
-    return kept
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "of_text")
+    rows = found.groupBy("component", "doc_id", "of_text").agg(F.count(F.lit(1)).alias("n"))
+    best = rows.groupBy("component").agg(F.min(order).alias("best"))
+    judged = rows.join(best, "component").select("doc_id", "of_text", "n", (order == F.col("best")).alias("stays"))
+    judged = common.keep(judged.where("not stays or n > 1").select(F.col("doc_id").alias("of_doc"), "of_text", "stays"))
+    own = common.numbered(docs)
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    here = doc_id.cast("long").eqNullSafe(F.col("of_doc")) & (F.xxhash64(text) == F.col("of_text"))
+    kept = own.join(judged, here, "left_anti")
+    repeated = own.join(judged.where("stays"), here).groupBy("of_doc", "of_text").agg(F.min_by(F.struct(*own.columns), text).alias("row"))
+    return _named(kept.unionByName(repeated.select("row.*")), docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

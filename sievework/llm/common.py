@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +69,23 @@ def small_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= int(BATCH_ROWS):
         spark.conf.set(name, BATCH_ROWS)
+
+
+def groups(batches: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
+    """The rows of each value of a column, of batches that are sorted by it; a group is held as a whole."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        values = pdf[column].to_numpy()
+        if held and held[-1][column].iloc[0] != values[0]:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        edges = np.concatenate(([0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]))
+        for a, b in zip(edges[:-1], edges[1:]):
+            if a and held:
+                yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+                held = []
+            held.append(pdf.iloc[a:b])
+    if held:
+        yield pd.concat(held, ignore_index=True)

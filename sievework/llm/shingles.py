@@ -1,19 +1,23 @@
-"""Near duplicates at an exact Jaccard similarity of the sets of five-word shingles, without comparing all pairs.
-
-Two sets at 0.8 or more share at least four fifths of the larger one, so in any order of all shingles their prefixes
-(a set's first n - ceil(0.8 n) + 1 shingles) meet in one shingle: that is the key by which pairs meet, and no pair is
-lost. The order puts shingles that a sample of the texts finds common last, which keeps buckets small; any order gives
-the same result. Pairs of a bucket pass two bounds that a near pair can't fail: the ratio of the sizes, and the bits in
-which sketches differ (each shingle flips one bit, so these are at most as many as the shingles in which the sets
-differ). What is left is decided by the shingles themselves.
-
-Pairs are decided in two turns. The first takes of each bucket the pairs of a row with the bucket's first and with the
-one before it, which links large groups of copies at few pairs; the second takes all pairs of a bucket that are not in
-one group by then.
+"""Near duplicates by SimHash, decided by the exact Jaccard similarity of the sets of five-word shingles.
+
+A fingerprint of all shingles differs in 15 % of its bits at a similarity of 0.8, too many for any key to find. So a
+text gets several fingerprints, each the SimHash of the ``SAMPLED`` shingles with the least seeded hashes: at a
+similarity s one of n is the same with a probability of 1 - (1 - s**SAMPLED)**n, and n is such that this is at least
+``RECALL`` for the least similarity and more above it (6 for 0.8). Texts with a fingerprint within ``DISTANCE`` bits
+meet through the pigeonring keys of the operator.
+
+Candidates then pass two bounds that a near pair can't fail, the ratio of the sizes and the bits in which sketches
+differ (each shingle flips one bit, so these are at most as many as the shingles in which the sets differ), and what is
+left is decided by the shingles themselves.
+
+Pairs are proposed in three turns, so that a large group of copies costs few of them: rows to a leader that is near many
+of its bucket; then, between what is not connected by then, the best pair of each row with each group; then all that
+remain. A bucket of more than ``BUCKET_ROWS`` texts is cut into blocks, and each two blocks meet in a task of their own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,19 +25,20 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from . import common, graph, simhash
 
 WORDS = 5
 #: The least Jaccard similarity, as a fraction.
 LEAST = (4, 5)
-SKETCH_BITS = 1024
-SAMPLE_TEXTS = 4_000
-COMMON_SHINGLES = 100_000
+RECALL = 0.98
+SAMPLED = 3
+DISTANCE = 1
+SEGMENTS = 4
+BUCKET_ROWS = 4096
+#: Bits of a sketch: a power of two of at least four for each shingle, within these.
+SKETCH_BITS = (1 << 10, 1 << 20)
 PAIRS_AT_ONCE = 100_000
-#: Up to so many texts with a pair to decide, their hashes are broadcast; beyond, the texts are shuffled.
-BROADCAST_TEXTS = 500_000
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -45,128 +50,161 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(simhash._hashes(b" ".join(words), ends, WORDS))
 
 
-def prefix(found: np.ndarray, frequent: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
-    """The shingles by which a set meets others: the first ones of it, those that are frequent last."""
-    n = len(found)
-    if not n:
-        return found
-    last = np.isin(found, frequent, assume_unique=True)
-    return np.concatenate((found[~last], found[last]))[: n - -(-least[0] * n // least[1]) + 1]
-
-
-def sketch(found: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
-    """A bit for each hash modulo bits, set if an odd number of shingles falls there."""
-    odd = np.bincount((found >> np.uint64(16)).astype(np.int64) % bits, minlength=bits) & 1
-    return np.packbits(odd.astype(bool)).tobytes()
-
-
-def fine_sketch(found: np.ndarray) -> bytes:
-    """A sketch of at least as many bits as shingles, a power of two: a longer one folds to a shorter one by XOR."""
-    return sketch(found, max(SKETCH_BITS, 1 << len(found).bit_length()))
-
-
-def _common_shingles(docs: DataFrame) -> np.ndarray:
-    """The shingles in at least three of a sample of the texts, at most COMMON_SHINGLES: they order, nothing more."""
-
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"s": np.concatenate([np.zeros(0, np.uint64), *map(shingles, pdf["text"])]).view(np.int64)})
-
-    n = docs.count()
-    some = docs.select("text") if n <= SAMPLE_TEXTS else docs.select("text").sample(SAMPLE_TEXTS / n, seed=42)
-    counts = some.mapInPandas(task, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    return np.sort(np.array([r["s"] for r in counts.orderBy(F.desc("n"), "s").limit(COMMON_SHINGLES).collect()], np.int64).view(np.uint64))
-
+def prints_for(least: tuple[int, int]) -> int:
+    """Fingerprints that find a pair at the least similarity with a probability of RECALL."""
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - (least[0] / least[1]) ** SAMPLED))
+
+
+def prints(found: np.ndarray, count: int, sampled: int = SAMPLED) -> np.ndarray:
+    """The SimHash of the shingles with the least hashes, for each of ``count`` seeds."""
+    out = np.zeros(count, np.uint64)
+    for i in range(count):
+        order = simhash._mixed(found, i + 1)
+        some = found[np.argpartition(order, sampled - 1)[:sampled]] if len(found) > sampled else found
+        out[i] = simhash._majority(simhash._mixed(some, 99))
+    return out
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """Bit h modulo the bits is set if an odd number of shingles falls there; a longer sketch folds to a shorter one by XOR."""
+    bits = min(max(SKETCH_BITS[0], 1 << (4 * len(found)).bit_length()), SKETCH_BITS[1])
+    at, n = np.unique((found >> np.uint64(16)).astype(np.int64) % bits, return_counts=True)
+    odd = np.zeros(bits, bool)
+    odd[at[n % 2 == 1]] = True
+    return np.packbits(odd).tobytes()
+
+
+class Bucket:
+    """Texts that share a key: which of them may be near."""
+
+    def __init__(self, pdf: pd.DataFrame, least: tuple[int, int], distance: int):
+        self.p, self.q = least
+        self.distance = distance
+        self.node, self.comp, self.print = (pdf[c].to_numpy() for c in ("node", "comp", "print"))
+        self.print = self.print.view(np.uint64)
+        self.size = pdf["size"].to_numpy().astype(np.int64)
+        self.block = pdf["block"].to_numpy()
+        self.two_blocks = self.block.min() != self.block.max()
+        self.turned = bool(pdf["start"].iloc[0])
+        raw = pdf["sketch"].tolist()
+        self.kind = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.at = np.zeros(len(raw), np.int64)
+        self.bits: dict[int, np.ndarray] = {}
+        for k in np.unique(self.kind).tolist():
+            rows = np.flatnonzero(self.kind == k)
+            self.at[rows] = np.arange(len(rows))
+            self.bits[k] = np.frombuffer(b"".join([raw[i] for i in rows]), np.uint64).reshape(len(rows), k // 8)
+
+    def near(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(those of others that may be near row i, the share of shingles in which the sketches tell them to differ)."""
+        p, q = self.p, self.q
+        total = self.size[others] + self.size[i]
+        ok = (q * np.minimum(self.size[others], self.size[i]) >= p * np.maximum(self.size[others], self.size[i])) & (self.node[others] != self.node[i])
+        bits = np.bitwise_count(self.print[others] ^ self.print[i])
+        ok &= (bits <= self.distance) & (bits > 0) if self.turned else bits <= self.distance  # equal prints meet at the first start
+        if self.two_blocks:
+            ok &= self.block[others] != self.block[i]
+        others, total = others[ok], total[ok]
+        differ = np.full(len(others), -1, np.int64)
+        own = int(self.kind[i])
+        mine = self.bits[own][self.at[i]]
+        for k in (own // 2, own, own * 2):
+            some = np.flatnonzero(self.kind[others] == k)
+            if not len(some):
+                continue
+            rows = self.bits[k][self.at[others[some]]]
+            x = mine
+            if k > own:
+                rows = rows[:, : own // 8] ^ rows[:, own // 8 :]
+            elif k < own:
+                x = mine[: k // 8] ^ mine[k // 8 :]
+            differ[some] = np.bitwise_count(rows ^ x).sum(1, dtype=np.int64)
+        ok = (differ >= 0) & (differ * (p + q) <= (q - p) * total)
+        return others[ok], differ[ok] / np.maximum(total[ok], 1)
+
+    def leaders(self) -> Iterator[tuple[int, int]]:
+        """Pairs that give each row which has a near one a pair: with a leader, or a leader's own nearest."""
+        left = np.ones(len(self.node), bool)
+        everyone = np.arange(len(self.node))
+        while len(open_ := np.flatnonzero(left)):
+            tried = open_[:: max(1, len(open_) // 4)][:4] if len(open_) > 32 else open_[:1]
+            found = [(i, *self.near(i, everyone)) for i in tried.tolist()]
+            i, others, differ = max(found, key=lambda x: left[x[1]].sum())
+            new = left[others]
+            for j in others[new].tolist():
+                yield i, j
+            left[others[new]] = False
+            if not new.all():  # near one that another leader has
+                yield i, int(others[~new][differ[~new].argmin()])
+            left[i] = False
+            alone = [x[0] for x in found if not len(x[1])]
+            left[alone] = False
+
+    def between(self, best_only: bool) -> Iterator[tuple[int, int]]:
+        """Pairs of different groups: for a row the best one with each other group, or all."""
+        if (self.comp == self.comp[0]).all():
+            return
+        _, group, n = np.unique(self.comp, return_inverse=True, return_counts=True)
+        order = np.lexsort((group, -n[group]))  # the largest group first, whose rows look for none
+        edge = np.concatenate(([True], group[order][1:] != group[order][:-1]))
+        begin = np.maximum.accumulate(np.where(edge, np.arange(len(order)), 0))
+        for at in np.flatnonzero(begin > 0).tolist():
+            i = int(order[at])
+            others, differ = self.near(i, order[: begin[at]])
+            if best_only and len(others):
+                rank = np.lexsort((differ, self.comp[others]))
+                others = others[rank]
+                others = others[np.concatenate(([True], self.comp[others][1:] != self.comp[others][:-1]))]
+            for j in others.tolist():
+                yield i, j
+
+
+def _pairs(rows: DataFrame, least: tuple[int, int], turn: int) -> DataFrame:
+    """(a, b), a < b, for rows (key, start, block, node, comp, print, size, sketch): what turn 1, 2 or 3 proposes."""
 
-def _signed(docs: DataFrame, frequent: np.ndarray, least: tuple[int, int]) -> DataFrame:
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sets = [shingles(t) for t in pdf["text"]]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "of_text": pdf["of_text"], "node": [np.int64(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes())).view(np.int64)) for x in sets],
-                "size": [len(x) for x in sets], "sketch": [sketch(x) for x in sets], "fine": [fine_sketch(x) for x in sets], "keys": [prefix(x, frequent, least).view(np.int64) for x in sets],
-            })
+        held: list[tuple[int, int]] = []
+
+        def flush() -> pd.DataFrame:
+            both = np.unique(np.sort(np.array(held, np.int64), 1), axis=0)
+            held.clear()
+            return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+
+        for pdf in common.groups(batches, "key"):
+            bucket = Bucket(pdf, least, DISTANCE)
+            for i, j in bucket.leaders() if turn == 1 else bucket.between(turn == 2):
+                held.append((bucket.node[i], bucket.node[j]))
+                if len(held) >= PAIRS_AT_ONCE:
+                    yield flush()
+        if held:
+            yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("of_text"), "text").mapInPandas(task, "doc_id long, of_text long, node long, size int, sketch binary, fine binary, keys array<long>")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInPandas(task, "a long, b long").distinct()
 
 
-def _pairs(rows: DataFrame, least: tuple[int, int], everyone: bool) -> DataFrame:
-    """(a, b) for the rows (key, node, comp, size, sketch) that share a key, differ in comp and may be near.
+def _met(nodes: DataFrame, count: int, bucket_rows: int) -> DataFrame:
+    """(key, start, block, node, print) of the texts that share a key with another: pigeonring keys of each print.
 
-    Without everyone: only pairs of a row with the first one of its bucket and with the one before.
+    Texts whose print is the same meet at the first start of its ring; the other starts are for those that differ. A
+    large bucket becomes one for each two of its blocks.
     """
+    keys = [k for i in range(count) for k in simhash.ring_keys(F.col("prints")[i], i, DISTANCE, SEGMENTS)]
+    rows = nodes.select("node", F.explode(F.array(*keys)).alias("k")).select("node", "k.start", "k.key", "k.print").repartition("key")
+    of = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("low"), F.max("print").alias("high"), F.min("start").alias("s"))
+    of = of.where("n > 1 and (s = 0 or low <> high)").select("key", F.ceil(F.col("n") / bucket_rows).cast("int").alias("blocks"))
+    found = rows.join(of, "key")
+    mine = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    found = found.select("node", "start", "print", "key", "blocks", mine.alias("block"), F.explode(others).alias("other"))
+    pair = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+    return found.select(pair.alias("key"), "start", "block", "node", "print")
+
+
+def _judged(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """The pairs whose sets are at the similarity."""
     p, q = least
 
-    def near(at: np.ndarray, other: np.ndarray, comp: np.ndarray, size: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        ok = (comp[at] != comp[other]) & (q * np.minimum(size[at], size[other]) >= p * np.maximum(size[at], size[other]))
-        some = np.flatnonzero(ok)
-        differ = np.bitwise_count(bits[at[some]] ^ bits[other[some]]).sum(1, dtype=np.int64)
-        ok[some] = differ * (p + q) <= (q - p) * (size[at[some]] + size[other[some]])
-        return ok
-
-    def pairs(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        key, node, comp, size = (pdf[c].to_numpy() for c in ("key", "node", "comp", "size"))
-        size = size.astype(np.int64)
-        bits = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), SKETCH_BITS // 64)
-        held, n = [], 0
-
-        def out() -> pd.DataFrame:
-            a, b = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-        if everyone:
-            d, at = 1, np.arange(len(key))
-            while len(at := at[at + d < len(key)]) and len(at := at[key[at] == key[at + d]]):
-                ok = near(at, at + d, comp, size, bits)
-                held.append((node[at[ok]], node[at[ok] + d]))
-                n += int(ok.sum())
-                if n > PAIRS_AT_ONCE:
-                    yield out()
-                    held, n = [], 0
-                d += 1
-        else:
-            at = np.arange(len(key))
-            for other in (np.searchsorted(key, key), np.maximum(at - 1, 0)):
-                ok = near(at, other, comp, size, bits) & (key == key[other])
-                held.append((node[at[ok]], node[other[ok]]))
-        if held:
-            yield out()
-
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for pdf in batches:
-            if held is not None:
-                pdf = pd.concat([held, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            cut = int(np.searchsorted(pdf["key"].to_numpy(), pdf["key"].iloc[-1]))  # the last bucket may go on
-            held = pdf.iloc[cut:]
-            if cut:
-                yield from pairs(pdf.iloc[:cut])
-        if held is not None:
-            yield from pairs(held)
-
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInPandas(task, "a long, b long").distinct()
-
-
-def _decided(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """The pairs whose sets are at the similarity: what fine sketches leave is decided by all shingles."""
-    p, q = least
-
-    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ok = []
-            for x, y, n in zip(pdf["x"], pdf["y"], pdf["n"]):
-                x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
-                differ = np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum(dtype=np.int64)
-                ok.append(differ * (p + q) <= (q - p) * n)
-            yield pdf.loc[np.array(ok, bool), ["a", "b"]]
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"node": pdf["node"], "shingles": [shingles(t).tobytes() for t in pdf["text"]]})
-
-    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ok = []
             for x, y in zip(pdf["x"], pdf["y"]):
@@ -174,43 +212,53 @@ def _decided(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: tuple[i
                 ok.append(q * both >= p * ((len(x) + len(y)) // 8 - both))
             yield pdf.loc[np.array(ok, bool), ["a", "b"]]
 
-    a = nodes.select(F.col("node").alias("a"), F.col("fine").alias("x"), F.col("size").alias("n_a"))
-    b = nodes.select(F.col("node").alias("b"), F.col("fine").alias("y"), F.col("size").alias("n_b"))
-    pairs = common.keep(pairs.join(a, "a").join(b, "b").withColumn("n", F.col("n_a") + F.col("n_b")).mapInPandas(likely, "a long, b long"))
-    wanted = common.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "of_text"))
-    if wanted.count() <= BROADCAST_TEXTS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.xxhash64("text").alias("of_text"), "text").join(wanted, "of_text").groupBy("node").agg(F.first("text").alias("text"))
-    found = common.keep(texts.mapInPandas(sets, "node long, shingles binary"))
-    a = found.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    b = found.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(a, "a").join(b, "b").mapInPandas(judged, "a long, b long")
+    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(a, "a").join(b, "b").mapInPandas(task, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
-    """(doc_id, of_text, component_id) for each row of (doc_id, text); of_text is the xxhash64 of the text.
+def near_duplicates(docs: DataFrame, least: tuple[int, int] = LEAST, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(doc_id, of_text, component) for each row of (doc_id, text); of_text is the xxhash64 of the text.
 
-    component_id is the smallest doc_id of the texts that pairs at the similarity connect, equal sets included; null if
-    none of them has a doc_id.
+    Rows have the same component if pairs at the similarity connect their texts; texts with equal sets of shingles are
+    near, those without words (null, empty, white space) among them. Any column may be null, rows may be repeated, and
+    an empty table gives an empty one. Other columns of docs are not read.
     """
     common.small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    whole = common.keep(_signed(docs, _common_shingles(docs), least))
-    nodes = whole.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min_by(F.struct("of_text", "size", "sketch", "fine", "keys"), "of_text").alias("x")).select("node", "least_id", "x.*")
-    nodes = common.keep(nodes)
-    signed = common.keep(whole.select("doc_id", "of_text", "node"))
-    del whole
-    rows = nodes.select("node", F.explode("keys").alias("key")).withColumn("n", F.count(F.lit(1)).over(W.Window.partitionBy("key"))).where("n > 1").drop("n")
-    rows = common.keep(rows)
+    count = prints_for(least)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("of_text"), "text")
+
+    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for text in pdf["text"]:
+                found = shingles(text)
+                rows.append((xxhash.xxh3_64_intdigest(found.tobytes()), len(found), prints(found, count).view(np.int64), sketch(found)))
+            node, size, of, bits = zip(*rows) if rows else ((), (), (), ())
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "of_text": pdf["of_text"], "node": np.array(node, np.uint64).view(np.int64), "size": size, "prints": of, "sketch": bits})
+
+    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"node": pdf["node"], "shingles": [shingles(t).tobytes() for t in pdf["text"]]})
+
+    whole = common.keep(texts.mapInPandas(signed, "doc_id long, of_text long, node long, size int, prints array<long>, sketch binary"))
+    nodes = common.keep(whole.groupBy("node").agg(F.min_by(F.struct("of_text", "size", "prints", "sketch"), "of_text").alias("x")).select("node", "x.*"))
+    signed_rows = whole.select("doc_id", "of_text", "node")
     facts = nodes.select("node", "size", "sketch")
-    first = common.keep(_pairs(rows.join(facts, "node").withColumn("comp", F.col("node")), least, False))
-    linked = common.keep(_decided(first, nodes, docs, least))
+    met = common.keep(_met(nodes, count, bucket_rows).join(facts, "node"))
+    tested = common.keep(_pairs(met.withColumn("comp", F.col("node")), least, 1))
+    wanted = tested.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = nodes.join(wanted, "node").select("node", "of_text")
+    sets = texts.join(named, "of_text").groupBy("node").agg(F.first("text").alias("text")).mapInPandas(sets_of, "node long, shingles binary")
+    sets = common.keep(sets)
+    met = common.keep(met.join(sets.select("node"), "node", "left_semi"))
+    linked = common.keep(_judged(tested, sets, least))
     groups = common.keep(graph.connected_components(linked))
-    grouped = rows.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    open_ = grouped.groupBy("key").agg(F.min("comp").alias("m"), F.max("comp").alias("x")).where("m <> x").select("key")
-    more = _pairs(grouped.join(open_, "key", "left_semi").join(facts, "node"), least, True)
-    more = common.keep(more.join(first, ["a", "b"], "left_anti"))
-    members = graph.connected_components(linked.union(_decided(more, nodes, docs, least)))
-    placed = nodes.select("node", "least_id").join(members, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
-    ids = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    return signed.join(placed.drop("least_id").join(ids, "component").drop("component"), "node").select("doc_id", "of_text", "component_id")
+    for turn in (2, 3):
+        grouped = met.join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        open_ = grouped.groupBy("key").agg(F.min("comp").alias("m"), F.max("comp").alias("x")).where("m <> x").select("key")
+        more = common.keep(_pairs(grouped.join(open_, "key", "left_semi"), least, turn).join(tested, ["a", "b"], "left_anti"))
+        tested = tested.union(more)
+        linked = common.keep(linked.union(_judged(more, sets, least)))
+        groups = common.keep(graph.connected_components(linked))
+    return signed_rows.join(groups, "node", "left").select("doc_id", "of_text", F.coalesce("component", "node").alias("component"))

@@ -32,31 +32,11 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 @dataclass(frozen=True)
 class Settings:
-    """What is fingerprinted and what counts as near.
-
-    ``shingle``: words of a feature; 0 takes each word of at least ``word_bytes`` bytes once, which keeps what a
-    text has of its own and leaves out the short words of its language. ``prints``: independent fingerprints; a link
-    needs one within ``distance``. ``confirm_bits`` > 0: a link also needs fingerprints of that many bits over
-    ``confirm_shingle``-word shingles within ``confirm_distance``.
-    """
+    """``shingle``: words of a feature; fingerprints link within ``distance`` bits; the ring has ``segments``."""
 
     shingle: int = 3
     distance: int = 2
     segments: int = 16
-    prints: int = 1
-    word_bytes: int = 6
-    confirm_bits: int = 0
-    confirm_shingle: int = 5
-    confirm_distance: int = 0
-
-    @property
-    def words(self) -> int:
-        return self.prints + self.confirm_bits // 64
-
-
-#: For near duplicates at a Jaccard similarity of 0.8 over five-word shingles: such sets have a cosine of 0.89, at
-#: which 15.2 % of the bits differ on average: 19.4 of 128.
-FIVE_WORDS = Settings(shingle=0, distance=3, segments=8, prints=3, confirm_bits=128, confirm_distance=21)
 
 
 def _hashes(joined: bytes, ends: np.ndarray, k: int) -> np.ndarray:
@@ -86,47 +66,48 @@ def _majority(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(h), bitorder="little").tobytes(), "little")
 
 
-def signature(text: str | None, how: Settings) -> bytes:
-    """The fingerprints one after the other, 8 bytes each, big end first. No words: all zero."""
+def fingerprint(text: str | None, how: Settings = Settings()) -> int:
+    """The fingerprint of a whole text, repeated shingles included. No words: zero."""
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return bytes(8 * how.words)
-    joined = b" ".join(words)
+        return 0
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    if how.shingle:
-        h = _hashes(joined, ends, how.shingle)
-    else:
-        own = {w for w in words if len(w) >= how.word_bytes} or set(words)
-        h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in own), np.uint64, len(own))
-    found = [_majority(_mixed(h, i)) for i in range(how.prints)]
-    if how.confirm_bits:
-        h = _hashes(joined, ends, how.confirm_shingle)
-        found += [_majority(_mixed(h, i)) for i in range(how.confirm_bits // 64)]
-    return b"".join(x.to_bytes(8, "big") for x in found)
+    return _majority(_hashes(b" ".join(words), ends, how.shingle))
 
 
-def signatures(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
-    """(doc_id, signature) for each row of (doc_id, text), over whole texts; a null text has no words."""
+def prints(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
+    """(doc_id, print) for each row of (doc_id, text), over whole texts; a null text has no words."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "signature": [signature(t, how) for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "print": np.array([fingerprint(t, how) for t in pdf["text"]], np.uint64).view(np.int64)})
 
     common.small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(task, "doc_id long, signature binary")
-
-
-def _print_of(i: int):
-    """Fingerprint i of a signature as a long."""
-    return F.expr(f"cast(conv(hex(substring(signature, {8 * i + 1}, 8)), 16, -10) as bigint)")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(task, "doc_id long, print long")
 
 
 def _rotated(fp, by: int):
     return fp if by == 0 else F.shiftrightunsigned(fp, by).bitwiseOR(F.shiftleft(fp, 64 - by))
 
 
+def _equal_segments(distance: int, segments: int) -> int:
+    """Segments that are equal at the start of a chain, as their budget is below one bit."""
+    return max(l for l in range(1, segments + 1) if l * distance < segments)
+
+
+def ring_keys(fp, which: int, distance: int, segments: int) -> list:
+    """For each start of the ring of a fingerprint: (start, key, rest, print), rest the bits that are not in the key."""
+    step, equal = 64 // segments, _equal_segments(distance, segments)
+    out = []
+    for s in range(segments):
+        turned = _rotated(fp, s * step)
+        key = turned.bitwiseAND(F.lit((1 << equal * step) - 1))
+        out.append(F.struct(F.lit(s).alias("start"), F.xxhash64(F.lit(which), F.lit(s), key).alias("key"), F.shiftrightunsigned(turned, equal * step).alias("rest"), fp.alias("print")))
+    return out
+
+
 def _stars(rows: DataFrame, how: Settings) -> DataFrame:
-    """(a, b) for the rows (key, which, start, node, signature) of each bucket: a star for each linked group."""
+    """(a, b) for the rows (key, start, node, print) of each bucket: a star for each linked group."""
     step = 64 // how.segments
     quotas = [(l * step, l * how.distance // how.segments) for l in range(1, how.segments)]
     quotas = [q for i, q in enumerate(quotas) if i == len(quotas) - 1 or quotas[i + 1][1] > q[1]]  # the longest chain of a quota covers the shorter ones
@@ -140,33 +121,24 @@ def _stars(rows: DataFrame, how: Settings) -> DataFrame:
         return ok & (np.bitwise_count(x) <= how.distance)
 
     def stars(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, node = pdf["key"].to_numpy(), pdf["node"].to_numpy()
-        start, which = pdf["start"].to_numpy(), pdf["which"].to_numpy()
-        prints = np.frombuffer(b"".join(pdf["signature"]), ">u8").reshape(len(pdf), how.words).astype(np.uint64)
-        own = prints[np.arange(len(pdf)), which]
-        left, right = [], []
-        d, at = 1, np.arange(len(key))
+        key, node, start, own = (pdf[c].to_numpy() for c in ("key", "node", "start", "print"))
+        own = own.view(np.uint64)
+        label = np.arange(len(key))
+        d, at = 1, label
         while len(at := at[at + d < len(key)]) and len(at := at[key[at] == key[at + d]]):
             other = at + d
-            ok = near(own[at] ^ own[other], start[at])
-            if how.confirm_bits and ok.any():
-                ok[ok] = np.bitwise_count(prints[at[ok], how.prints :] ^ prints[other[ok], how.prints :]).sum(1, dtype=np.int64) <= how.confirm_distance
-            left.append(at[ok])
-            right.append(other[ok])
+            ok = (label[at] != label[other]) & near(own[at] ^ own[other], start[at])
+            a, b = at[ok], other[ok]
+            while len(a):  # rows of a shift are joined at once; only their labels are kept
+                low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+                root = np.arange(len(key))
+                np.minimum.at(root, high, low)
+                while (root != (up := root[root])).any():
+                    root = up
+                label = root[label]
+                still = label[a] != label[b]
+                a, b = a[still], b[still]
             d += 1
-        if not left:
-            return pd.DataFrame({"a": node[:0], "b": node[:0]})
-        a, b = np.concatenate(left), np.concatenate(right)
-        label = np.arange(len(key))
-        while True:
-            least = np.minimum(label[a], label[b])
-            new = label.copy()
-            np.minimum.at(new, a, least)
-            np.minimum.at(new, b, least)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
         moved = np.flatnonzero(label != np.arange(len(key)))
         return pd.DataFrame({"a": node[moved], "b": node[label[moved]]}).drop_duplicates()
 
@@ -187,24 +159,16 @@ def _stars(rows: DataFrame, how: Settings) -> DataFrame:
 
 
 def links(nodes: DataFrame, how: Settings = Settings(), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Links (a, b) that connect all of (node, signature) that are near; signatures differ, nodes are their ids."""
-    step = 64 // how.segments
-    equal = max(l for l in range(1, how.segments + 1) if l * how.distance < how.segments)
-    bits = 64 - equal * step
-    keys = []
-    for i in range(how.prints):
-        fp = _print_of(i)
-        for s in range(how.segments):
-            turned = _rotated(fp, s * step)
-            key = turned.bitwiseAND(F.lit((1 << equal * step) - 1))
-            keys.append(F.struct(F.lit(i).alias("which"), F.lit(s).alias("start"), F.xxhash64(F.lit(i), F.lit(s), key).alias("key"), F.shiftrightunsigned(turned, equal * step).alias("rest")))
-    rows = nodes.select("node", "signature", F.explode(F.array(*keys)).alias("k")).select("node", "signature", "k.*")
+    """Links (a, b) that connect all of (node, print) that are near; prints differ, nodes are their ids."""
+    bits = 64 - _equal_segments(how.distance, how.segments) * (64 // how.segments)
+    keys = ring_keys(F.col("print"), 0, how.distance, how.segments)
+    rows = nodes.select("node", F.explode(F.array(*keys)).alias("k")).select("node", "k.*")
     found = None
     parts = how.distance + 1
     while True:
         width = bits // parts
         hot = None
-        if width:
+        if width:  # prints differ, so a bucket without further bits has one row
             hot = common.keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows).select("key"))
             hot = None if hot.isEmpty() else hot
         some = _stars(rows if hot is None else rows.join(hot, "key", "left_anti"), how)
@@ -216,25 +180,30 @@ def links(nodes: DataFrame, how: Settings = Settings(), bucket_rows: int = BUCKE
             part = F.shiftrightunsigned("rest", j * width).bitwiseAND(F.lit((1 << width) - 1))
             low = F.col("rest").bitwiseAND(F.lit((1 << j * width) - 1))
             rest = F.shiftleft(F.shiftrightunsigned("rest", (j + 1) * width), j * width).bitwiseOR(low)
-            deeper.append(F.struct("which", F.lit(-1).alias("start"), F.xxhash64("key", F.lit(j), part).alias("key"), rest.alias("rest")))
-        rows = rows.join(hot, "key", "left_semi").select("node", "signature", F.explode(F.array(*deeper)).alias("k")).select("node", "signature", "k.*")
+            deeper.append(F.struct(F.lit(-1).alias("start"), F.xxhash64("key", F.lit(j), part).alias("key"), rest.alias("rest"), "print"))
+        rows = rows.join(hot, "key", "left_semi").select("node", F.explode(F.array(*deeper)).alias("k")).select("node", "k.*")
         bits -= width
 
 
 def near_duplicates(docs: DataFrame, how: Settings = Settings(), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(doc_id, signature, component_id) for each row of (doc_id, text).
+    """(doc_id, print, component_id) for each row of (doc_id, text).
 
-    component_id is the smallest doc_id that links reach. Rows of equal signature are linked; they are brought
-    together before the search, so copies cost nothing there. A row without a doc_id keeps the component of its
-    signature, or null if no row of it has one.
+    component_id is the smallest doc_id that links reach. Rows of equal print are linked; they are brought together
+    before the search, so copies cost nothing there. A row without a doc_id keeps the component of its print, or null
+    if no row of it has one. Repeated rows each get their own; an empty table gives an empty one; other columns of
+    docs are not read.
     """
-    signed = common.keep(signatures(docs, how))
-    nodes = common.keep(signed.groupBy("signature").agg(F.min("doc_id").alias("node")).where("node is not null"))
-    members = graph.connected_components(links(nodes, how, bucket_rows))
-    ids = nodes.join(members, "node", "left").select("signature", F.coalesce("component", "node").alias("component_id"))
-    return signed.join(ids, "signature", "left").select("doc_id", "signature", "component_id")
+    signed = common.keep(prints(docs, how))
+    nodes = common.keep(signed.groupBy("print").agg(F.min("doc_id").alias("node")).where("node is not null"))
+    # Prints of a repeated doc_id can share it as their least one: they search under ids of their own.
+    by_print = nodes.select(F.col("print").alias("node"), "print")
+    members = graph.connected_components(links(by_print, how, bucket_rows))
+    ids = nodes.join(members.withColumnRenamed("node", "print"), "print", "left").select("print", "node", F.coalesce("component", "print").alias("component"))
+    least = ids.groupBy("component").agg(F.min("node").alias("component_id"))
+    ids = ids.join(least, "component").select("print", "component_id")
+    return signed.join(ids, "print", "left").select("doc_id", "print", "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.hex("signature")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
