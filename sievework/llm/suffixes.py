@@ -3,15 +3,17 @@
 A byte goes if a string of ``width`` bytes that covers it also starts in a document with a smaller doc_id. Equal
 strings share their minimizer (the least hash of their ``gram``-byte strings), so strings are looked for by it:
 
-1. Each batch of documents gives its minimizers; those that more than one document has survive, be it within the
-   batch or between batches (the latter is found in partitions by minimizer, one entry for each batch and minimizer).
-2. Stretches of text whose windows have a surviving minimizer are dealt out by it, and each task sorts the suffixes at
-   these windows. Prefix polynomial hashes and a binary search give the common extension of two suffixes, so that a
-   comparison takes a logarithm of the width; a bottom-up mergesort makes all comparisons of a level at once. Equal
-   neighbours are compared byte by byte; after a collision the task's suffixes are sorted by their bytes.
+1. Documents are dealt into batches by a hash of the id and text, one exchange that all later steps use. A batch sends
+   each partition of the minimizers those that it has, once each, without saying which documents have them: four bytes
+   for a minimizer. The partition sends back what more than one batch has.
+2. Stretches of text whose windows have a minimizer that another batch, or another document of the batch, has too are
+   dealt out by it, and each task sorts the suffixes at these windows. Prefix polynomial hashes and a binary search give
+   the common extension of two suffixes, so that a comparison takes a logarithm of the width; a bottom-up mergesort makes
+   all comparisons of a level at once. Windows whose hash no other document of the chunk has need no place in the order.
+   Equal neighbours are compared byte by byte; after a collision the task's suffixes are sorted by their bytes.
 3. The spans found go back to the documents.
 
-A document whose whole text is that of one with a smaller doc_id goes as a whole and is not looked up further.
+A document whose whole text is that of one with a smaller doc_id (by SHA-256) goes as a whole and is not looked up further.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +31,15 @@ from . import common
 
 WIDTH = 50
 GRAM = 20
-#: Text that a mapper looks at together, and text for each partition of the minimizers.
-BATCH_BYTES = 1 << 20
-PART_BYTES = 96 << 20
-#: Stretches that a task sorts at a time; a group of more is gone through in several goes.
-CHUNK = 16_000
+#: Text of a batch, of what numpy looks at together, of an exchange's partition, and for each partition of the minimizers.
+BATCH_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+TASK_BYTES = 24 << 20
+PART_BYTES = 48 << 20
+#: Partitions of the minimizers share tasks beyond this many.
+MOST_TASKS = 20_000
+#: Windows that a task sorts at a time; a group of more is gone through in several goes.
+CHUNK_WINDOWS = 120_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -170,33 +177,46 @@ def equal_runs(p: Prefixes, starts: np.ndarray, lengths: np.ndarray, group: np.n
     return order, np.concatenate(([0], np.cumsum(~same))) if len(order) else order
 
 
-def earlier(segments: list[bytes], key: np.ndarray, doc: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, Prefixes, np.ndarray]:
+def _classes(p: Prefixes, starts: np.ndarray, lengths: np.ndarray, group: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(representative, least doc) of each suffix: those of a group with the same bytes have the same representative.
+
+    Suffixes whose hash is met once, or in one doc only, are their own representatives and are not sorted.
+    """
+    n = len(starts)
+    lead, least = np.arange(n), doc.copy()
+    if not n:
+        return lead, least
+    _, of = np.unique(p.hash(starts, lengths), return_inverse=True)
+    low, high = np.full(of.max() + 1, np.iinfo(np.int64).max), np.full(of.max() + 1, np.iinfo(np.int64).min)
+    np.minimum.at(low, of, doc)
+    np.maximum.at(high, of, doc)
+    some = np.flatnonzero((low < high)[of])
+    if len(some):
+        order, number = equal_runs(p, starts[some], lengths[some], group[some])
+        order = some[order]
+        edge = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+        lead[order] = order[edge][number]
+        least[order] = np.minimum.reduceat(doc[order], edge)[number]
+    return lead, least
+
+
+def earlier(segments: list[bytes], key: np.ndarray, doc: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, Prefixes, np.ndarray]:
     """For the windows of all stretches in turn: (stretch, least doc with the same window, prefixes, window starts)."""
     sizes = np.fromiter(map(len, segments), np.int64, len(segments))
     offset = np.cumsum(sizes) - sizes
     p = Prefixes(np.frombuffer(b"".join(segments), np.uint8))
-    order, classes = equal_runs(p, offset, sizes, key)  # equal stretches are one from here on
-    first = np.flatnonzero(np.concatenate(([True], classes[1:] != classes[:-1])))
-    lead, least = order[first], np.minimum.reduceat(doc[order], first)
-    of = np.empty(len(segments), np.int64)
-    of[order] = classes
-    n = sizes[lead] - width + 1
-    base = np.cumsum(n) - n
-    which = np.repeat(np.arange(len(lead)), n)
-    start = offset[lead][which] + np.arange(n.sum()) - base[which]
-    grams = p.grams(gram)
-    owner = np.repeat(np.arange(len(segments)), sizes)[: len(grams)]
-    anchors = np.flatnonzero(grams.view(np.int64) == key[owner])
-    offset_in = anchors[np.searchsorted(anchors, start)] - start  # where its minimizer stands in a window
-    group = np.unique(key[lead][which], return_inverse=True)[1] * width + offset_in
-    by, kind = equal_runs(p, start, np.full(len(start), width), group)
-    edge = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
-    found = np.empty(len(start), np.int64)
-    found[by] = np.minimum.reduceat(least[which][by], edge)[kind]
-    each = n[of]
-    member = np.repeat(np.arange(len(segments)), each)
-    inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-    return member, found[base[of][member] + inside], p, offset[member] + inside
+    group = np.unique(key, return_inverse=True)[1]
+    lead, least = _classes(p, offset, sizes, group, doc)  # equal stretches are one from here on
+    own = np.flatnonzero(lead == np.arange(len(lead)))
+    n = sizes - width + 1
+    base = np.zeros(len(segments), np.int64)
+    base[own] = np.cumsum(n[own]) - n[own]
+    which = np.repeat(own, n[own])
+    start = offset[which] + np.arange(len(which)) - base[which]
+    found = _classes(p, start, np.full(len(start), width), group[which], least[which])[1]
+    member = np.repeat(np.arange(len(segments)), n)
+    inside = np.arange(len(member)) - np.repeat(np.cumsum(n) - n, n)
+    return member, found[base[lead[member]] + inside], p, offset[member] + inside
 
 
 def _spans(mark: np.ndarray, member: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,165 +229,212 @@ def _spans(mark: np.ndarray, member: np.ndarray, at: np.ndarray, width: int) ->
     return member[i[new]], at[i[new]], at[i[last]] + width
 
 
-def repeated_spans(base: DataFrame, doc_id: str, text: str, width: int = WIDTH, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, rid, spans): start and end of the bytes to remove, as little-endian longs, for rows of base.
-
-    base has the named columns and rid, which tells rows of equal doc_id apart. It is joined as a whole, so that a
-    later join of base with the spans can use the same exchange.
-    """
-    docs = base.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), "rid", F.coalesce(F.col(text), F.lit("")).alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(total / PART_BYTES))
-    hashed = docs.select("doc_id", "rid", F.xxhash64("text").alias("h1"), F.crc32(F.encode("text", "UTF-8")).alias("h2"), F.octet_length("text").alias("n"))
-    whole = hashed.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    copies = hashed.join(whole, ["h1", "h2", "n"]).where("doc_id > least").select("doc_id", "rid").distinct()
-
-    def slots(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        part = least % np.uint64(parts)
-        return part.astype(np.int64), (part << np.uint64(32) | (least // np.uint64(parts)) & np.uint64(0xFFFFFFFF)).view(np.int64)
-
-    def in_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            size = np.fromiter(map(len, pdf["text"]), np.int64, len(pdf))
-            go = (np.cumsum(size) - size) // batch_bytes
-            for k in np.unique(go):
-                yield pdf[go == k]
-
-    def minimizers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in in_batches(batches):
-            who = pdf[["doc_id", "rid"]].to_numpy(np.int64)
-            doc, _, _, least = stretches([t.encode() for t in pdf["text"]], width, gram)
-            if not len(doc):
-                continue
-            part, slot = slots(least)
-            order = np.lexsort((doc, slot))
-            slot, doc = slot[order], doc[order]
-            own = np.concatenate(([True], (slot[1:] != slot[:-1]) | (doc[1:] != doc[:-1])))
-            slot, doc = slot[own], doc[own]
-            first = np.concatenate(([True], slot[1:] != slot[:-1]))
-            group = np.cumsum(first) - 1
-            shared = np.bincount(group)[group] > 1
-            rows = []
-            by_doc = np.flatnonzero(shared)
-            by_doc = by_doc[np.argsort(doc[by_doc], kind="stable")]
-            edges = np.searchsorted(doc[by_doc], np.arange(len(pdf) + 1))
-            for d in np.flatnonzero(np.diff(edges)):  # known to be shared within the batch
-                rows.append((int(who[d, 1] % parts), who[d : d + 1].tobytes(), b"", slot[by_doc[edges[d] : edges[d + 1]]].tobytes()))
-            lead_slot, lead_doc = slot[first], doc[first]
-            edges = np.searchsorted(lead_slot, np.arange(parts + 1, dtype=np.int64) << 32)
-            table, short = who.tobytes(), "<u2" if len(who) <= 1 << 16 else "<u4"
-            for k in range(parts):
-                a, b = edges[k], edges[k + 1]
-                if a < b:
-                    rows.append((k, table, lead_doc[a:b].astype(short).tobytes(), lead_slot[a:b].astype("<u4").tobytes()))
-            yield pd.DataFrame(rows, columns=["part", "who", "doc", "slot"])
-
-    def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        low, index, tables, number, known = [], [], [], None, 0
-        for pdf in batches:
-            out = []
-            for part, table, doc, slot in zip(pdf["part"], pdf["who"], pdf["doc"], pdf["slot"]):
-                ids = np.frombuffer(table, np.int64).reshape(-1, 2)
-                if not doc:
-                    out.append((ids[0, 0], ids[0, 1], bytes(slot)))
-                    continue
-                number = part
-                low.append(np.frombuffer(slot, "<u4"))
-                index.append(np.frombuffer(doc, "<u2" if len(ids) <= 1 << 16 else "<u4").astype(np.uint32) + np.uint32(known))
-                tables.append(ids)
-                known += len(ids)
-            if out:
-                yield pd.DataFrame(out, columns=["doc_id", "rid", "slots"])
-        if not low:
-            return
-        low, index, tables = np.concatenate(low), np.concatenate(index), np.concatenate(tables)
-        order = np.argsort(low, kind="stable")
-        low, index = low[order], index[order]
-        del order
-        same = low[1:] == low[:-1]
-        shared = np.append(same, False) | np.append(False, same)
-        low, index = low[shared], index[shared]
-        order = np.argsort(index, kind="stable")
-        low, index = low[order].astype(np.int64) | (int(number or 0) << 32), index[order]
-        edge = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1]))) if len(index) else []
-        for at in range(0, len(edge), 5_000):
-            some = edge[at : at + 5_000]
-            ends = [*edge[at + 1 : at + 5_001], len(low)][: len(some)]
-            rows = [(*tables[index[a]], low[a:b].tobytes()) for a, b in zip(some, ends)]
-            yield pd.DataFrame(rows, columns=["doc_id", "rid", "slots"])
-
-    def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        live_only = (pdf.loc[pdf["slots"].notna(), [doc_id, "rid", text, "slots"]].set_axis(["doc_id", "rid", "text", "slots"], axis=1) for pdf in batches)
-        for pdf in in_batches(x.assign(text=x["text"].fillna("")) for x in live_only if len(x)):
-            texts = [t.encode() for t in pdf["text"]]
-            doc, start, number, least = stretches(texts, width, gram)
-            live = [np.unique(np.frombuffer(b"".join(s), np.int64)) for s in pdf["slots"]]
-            slot = slots(least)[1]
-            edges = np.searchsorted(doc, np.arange(len(texts) + 1))
-            keep = np.zeros(len(doc), bool)
-            for d, some in enumerate(live):
-                keep[edges[d] : edges[d + 1]] = np.isin(slot[edges[d] : edges[d + 1]], some)
-            i = np.flatnonzero(keep)
-            ids, rids = pdf["doc_id"].to_numpy(np.int64), pdf["rid"].to_numpy()
-            cut = [texts[d][s : s + k] for d, s, k in zip(doc[i].tolist(), start[i].tolist(), (number[i] + width - 1).tolist())]
-            yield pd.DataFrame({"key": least[i].view(np.int64), "doc_id": ids[doc[i]], "rid": rids[doc[i]], "at": start[i], "segment": cut})
-
-    def sort_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = None  # of a group that goes on: its key, and hashes and least doc of its windows so far
+class Seen:
+    """The windows so far of a group that goes on over several chunks, byte for byte, with the least doc of each."""
+
+    def __init__(self, key: int, names: np.ndarray, least: np.ndarray):
+        self.key = key
+        self.names, self.least = self._reduced(names, least)
+
+    @staticmethod
+    def _reduced(names: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        names, of = np.unique(names, return_inverse=True)
+        out = np.full(len(names), np.iinfo(np.int64).max)
+        np.minimum.at(out, of, least)
+        return names, out
+
+    def add(self, names: np.ndarray, least: np.ndarray) -> None:
+        self.names, self.least = self._reduced(np.concatenate([self.names, names]), np.concatenate([self.least, least]))
+
+    def lower(self, names: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """least, where an earlier chunk has the window for a smaller doc that one."""
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return np.where(self.names[at] == names, np.minimum(least, self.least[at]), least)
+
+
+def _windows_as_text(p: Prefixes, start: np.ndarray, width: int) -> np.ndarray:
+    """The windows as byte strings that compare as such; a last byte of 1 keeps zeros at their end."""
+    out = np.ones((len(start), width + 1), np.uint8)
+    out[:, :width] = p.text[start[:, None] + np.arange(width)]
+    return out.reshape(-1).view(f"S{width + 1}")
+
+
+def _in_slices(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """stretches() of the texts, looked at about SLICE_BYTES at a time, a long text in pieces that overlap."""
+    found, pieces, held, size = [], [], [], 0
+
+    def flush() -> None:
+        nonlocal size
+        doc, at, number, least = stretches(pieces, width, gram)
+        who, begin = np.array(held, np.int64).reshape(-1, 2).T
+        found.append((who[doc], at + begin[doc], number, least))
+        pieces.clear()
+        held.clear()
+        size = 0
+
+    for d, text in enumerate(texts):
+        for a in range(0, max(1, len(text) - width + 1), SLICE_BYTES):
+            pieces.append(text[a : a + SLICE_BYTES + width - 1])
+            held.append((d, a))
+            size += len(pieces[-1])
+            if size >= SLICE_BYTES:
+                flush()
+    if pieces:
+        flush()
+    empty = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (empty, empty, empty, np.zeros(0, np.uint64))
+
+
+def _bytes_of(column: pa.ChunkedArray) -> list[bytes]:
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def _longs(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy().astype(np.int64)
+
+
+def minimizer_entries(texts: list[bytes], parts: int, width: int, gram: int) -> Iterator[tuple[int, bytes]]:
+    """(partition, minimizers as unsigned 32-bit numbers) of a batch: each minimizer once."""
+    slot = np.unique(_slots(_in_slices(texts, width, gram)[3], parts))
+    part = (slot >> np.uint64(32)).astype(np.int64)
+    edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(part)]):
+        yield int(part[a]), (slot[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+
+
+def _slots(least: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of a minimizer in the upper 32 bits, what it is called there in the lower ones."""
+    return least % np.uint64(parts) << np.uint64(32) | (least // np.uint64(parts)) & np.uint64(0xFFFFFFFF)
+
+
+def repeated_spans(base: DataFrame, doc_id: str, text: str, batches: int, total: int, width: int, gram: int, part_bytes: int, windows: int) -> DataFrame:
+    """(batch, doc_id, rid, begin, end) of the bytes to remove, for rows of base: dealt out by batch, rid tells texts of
+    a doc_id apart."""
+    parts = max(1, base.sparkSession.sparkContext.defaultParallelism, math.ceil(total / part_bytes))
+    tasks = min(parts, MOST_TASKS)
+    hashed = base.where(F.octet_length(text) >= width).where(F.col(doc_id).isNotNull()).select("batch", F.col(doc_id).cast("long").alias("doc_id"), "rid", F.sha2(F.encode(text, "UTF-8"), 256).alias("h"))
+    whole = hashed.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    copies = common.keep(hashed.join(whole, "h").where("doc_id > least").select("batch", "doc_id", "rid").distinct())
+    text_at = base.columns.index(text)
+
+    def entries(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, batch = [], None
+
+        def out() -> pa.RecordBatch:
+            rows = list(minimizer_entries(held, parts, width, gram))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([batch] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["part", "batch", "slots"])
+
+        for frame in frames:
+            number = frame.column(frame.schema.get_field_index("batch")).to_numpy()
+            data = frame.column(text_at).cast(pa.binary())
+            for b, t in zip(number.tolist(), data.to_pylist()):
+                if b != batch:
+                    if held:
+                        yield out()
+                    held, batch = [], b
+                if t and len(t) >= width:
+                    held.append(t)
+        if held:
+            yield out()
+
+    def between(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in common.groups(frames, "part"):
+            slot = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["slots"]])
+            row = np.repeat(np.arange(len(pdf), dtype=np.uint32), [len(x) // 4 for x in pdf["slots"]])
+            order = np.argsort(slot, kind="stable")
+            slot, row = slot[order], row[order]
+            del order
+            same = slot[1:] == slot[:-1]
+            shared = np.append(same, False) | np.append(False, same)
+            slot, row = slot[shared], row[shared]
+            order = np.argsort(row, kind="stable")
+            slot, row = slot[order].astype(np.int64) | (int(pdf["part"].iloc[0]) << 32), row[order]
+            edge = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else row
+            rows = [(pdf["batch"].iloc[int(row[a])], slot[a:b].tobytes()) for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(row)])]
+            if rows:
+                yield pd.DataFrame(rows, columns=["batch", "slots"])
+
+    def cut_out(left: pa.Table, right: pa.Table) -> pa.Table:
+        live, gone = [], set()
+        for slots, d, r in zip(right["slots"].to_pylist(), right["doc_id"].to_pylist(), right["rid"].to_pylist()):
+            live.append(np.frombuffer(slots, np.uint64)) if slots is not None else gone.add((d, r))
+        rows, seen = [], gone
+        for i, who in enumerate(zip(left[doc_id].cast(pa.int64()).to_pylist(), left["rid"].to_pylist())):
+            if who[0] is not None and who not in seen:
+                rows.append(i)
+                seen.add(who)  # rows of equal id and text are looked at once
+        some = left.take(pa.array(rows, pa.int64()))
+        texts = _bytes_of(some[text])
+        doc, start, number, least = _in_slices(texts, width, gram)
+        slot = _slots(least, parts)
+        order = np.lexsort((doc, slot))
+        first = np.concatenate(([True], slot[order][1:] != slot[order][:-1])) if len(order) else np.zeros(0, bool)
+        edge = np.flatnonzero(first)
+        several = doc[order][edge] != doc[order][np.append(edge[1:], len(order)) - 1] if len(edge) else np.zeros(0, bool)
+        keep = np.zeros(len(doc), bool)
+        keep[order] = several[np.cumsum(first) - 1] if len(edge) else False
+        if live:
+            keep |= np.isin(slot, np.concatenate(live))
+        i = np.flatnonzero(keep)
+        ids, rids = _longs(some[doc_id].cast(pa.int64())), _longs(some["rid"])
+        cut = [texts[d][s : s + k] for d, s, k in zip(doc[i].tolist(), start[i].tolist(), (number[i] + width - 1).tolist())]
+        return pa.table({"key": least[i].view(np.int64), "doc_id": ids[doc[i]], "rid": rids[doc[i]], "at": start[i], "segment": pa.array(cut, pa.binary())})
+
+    def sort_groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Seen | None = None
 
         def done(pdf: pd.DataFrame, goes_on: bool) -> pd.DataFrame:
             nonlocal seen
             key, ids = pdf["key"].to_numpy(), pdf["doc_id"].to_numpy()
-            member, least, p, start = earlier(list(pdf["segment"]), key, ids, width, gram)
-            if seen is not None or goes_on:
-                hot = np.flatnonzero(key[member] == (key[0] if seen is not None else key[-1]))
-                names = np.stack([p.hash(start[hot], width), Prefixes(p.text[::-1]).hash(len(p.text) - start[hot] - width, width)], 1).view([("a", np.uint64), ("b", np.uint64)])[:, 0]
-                if seen is not None and seen[0] == key[0] and len(seen[1]):
-                    found = np.minimum(np.searchsorted(seen[1], names), len(seen[1]) - 1)
-                    known = seen[1][found] == names
-                    least[hot[known]] = np.minimum(least[hot[known]], seen[2][found[known]])
-                if goes_on:
-                    mine = key[member[hot]] == key[-1]
-                    old = seen is not None and seen[0] == key[-1]
-                    names, docs_of = names[mine], least[hot][mine]
-                    if old:
-                        names, docs_of = np.concatenate([seen[1], names]), np.concatenate([seen[2], docs_of])
-                    order = np.lexsort((docs_of, names["b"], names["a"]))
-                    names, docs_of = names[order], docs_of[order]
-                    lead = np.concatenate(([True], names[1:] != names[:-1]))
-                    seen = (key[-1], names[lead], docs_of[lead])
+            member, least, p, start = earlier(list(pdf["segment"]), key, ids, width)
+            if seen is not None and seen.key != key[0]:
+                seen = None
+            if seen is not None:
+                hot = np.flatnonzero(key[member] == seen.key)
+                least[hot] = seen.lower(_windows_as_text(p, start[hot], width), least[hot])
+            if goes_on:
+                hot = np.flatnonzero(key[member] == key[-1])
+                names = _windows_as_text(p, start[hot], width)
+                if seen is not None and seen.key == key[-1]:
+                    seen.add(names, least[hot])
                 else:
-                    seen = None
-            inside = start - np.concatenate(([0], np.cumsum(pdf["segment"].map(len).to_numpy())))[member] + pdf["at"].to_numpy()[member]
-            who, begin, end = _spans(least < ids[member], member, inside, width)
-            rid = pdf["rid"].to_numpy()
-            spans = np.stack([begin, end], 1).astype("<i8")
-            return pd.DataFrame({"doc_id": ids[who], "rid": rid[who], "spans": [x.tobytes() for x in spans]})
+                    seen = Seen(key[-1], names, least[hot])
+            else:
+                seen = None
+            offset = np.concatenate(([0], np.cumsum(pdf["segment"].map(len).to_numpy())))
+            who, begin, end = _spans(least < ids[member], member, start - offset[member] + pdf["at"].to_numpy()[member], width)
+            return pd.DataFrame({"doc_id": ids[who], "rid": pdf["rid"].to_numpy()[who], "begin": begin, "end": end})
 
         held = None
-        for pdf in batches:
+        for pdf in frames:
             held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            while len(held) > chunk:
+            while len(held) and (number := (held["segment"].map(len) - width + 1).cumsum().to_numpy())[-1] > windows:
                 key = held["key"].to_numpy()
-                cut = int(np.searchsorted(key, key[chunk]))
-                goes_on = cut == 0
-                cut = cut or chunk
+                cut = max(1, int(np.searchsorted(number, windows, "right")))
+                own = int(np.searchsorted(key, key[min(cut, len(key) - 1)]))
+                goes_on = own == 0
+                cut = cut if goes_on else own
                 yield done(held.iloc[:cut].reset_index(drop=True), goes_on)
                 held = held.iloc[cut:].reset_index(drop=True)
         if held is not None and len(held):
             yield done(held, False)
 
-    entries = docs.mapInPandas(minimizers, "part int, who binary, doc binary, slot binary").repartitionById(parts, "part")
-    live = entries.mapInPandas(between, "doc_id long, rid long, slots binary").groupBy("doc_id", "rid").agg(F.collect_list("slots").alias("slots"))
-    live = common.keep(live.join(copies, ["doc_id", "rid"], "left_anti"))
-    slots_of = live.select(F.col("doc_id").alias("of_doc"), F.col("rid").alias("of_rid"), "slots").hint("shuffle_hash")
-    with_slots = base.join(slots_of, (base[doc_id] == F.col("of_doc")) & (base["rid"] == F.col("of_rid")), "left").drop("of_doc", "of_rid")
-    segments = with_slots.mapInPandas(cut_out, "key long, doc_id long, rid long, at long, segment binary")
+    sent = base.sortWithinPartitions("batch").mapInArrow(entries, "part int, batch long, slots binary")
+    sent = sent.repartitionById(tasks, F.pmod("part", F.lit(tasks)))
+    if parts > tasks:
+        sent = sent.sortWithinPartitions("part")
+    live = sent.mapInPandas(between, "batch long, slots binary")
+    none = F.lit(None).cast("long")
+    notes = live.select("batch", "slots", none.alias("doc_id"), none.alias("rid")).union(copies.select("batch", F.lit(None).cast("binary"), "doc_id", "rid"))
+    segments = base.groupBy("batch").cogroup(notes.groupBy("batch")).applyInArrow(cut_out, "key long, doc_id long, rid long, at long, segment binary")
     sorted_ = segments.repartition("key").sortWithinPartitions("key", "doc_id", "rid", "at")
-    found = sorted_.mapInPandas(sort_groups, "doc_id long, rid long, spans binary")
-    everything = F.lit(np.array([0, 1 << 62], "<i8").tobytes())
-    found = found.union(copies.select("doc_id", "rid", everything.alias("spans")))
-    return found.groupBy("doc_id", "rid").agg(F.collect_list("spans").alias("spans"))
+    found = sorted_.mapInPandas(sort_groups, "doc_id long, rid long, begin long, end long")
+    found = found.select(_batch(F.col("doc_id"), batches).alias("batch"), "doc_id", "rid", "begin", "end")
+    return found.union(copies.select("batch", "doc_id", "rid", F.lit(0).cast("long"), F.lit(1 << 62)))
+
+
+def _batch(doc_id, batches: int):
+    return F.pmod(F.xxhash64(doc_id.cast("long"), F.col("rid")), F.lit(batches)).cast("long")
 
 
 def _kept(data: bytes, spans: np.ndarray, width: int) -> tuple[bytes, int, int]:
@@ -387,34 +454,44 @@ def _kept(data: bytes, spans: np.ndarray, width: int) -> tuple[bytes, int, int]:
     return b"".join(out), int((end - start).sum()), len(start)
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, **how) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, part_bytes: int = PART_BYTES, windows: int = CHUNK_WINDOWS) -> DataFrame:
     """(c0, c1, ..., n_bytes, n_removed, n_spans, kept, kept_text) for each row: c0 and so on are the columns of docs.
 
     ``kept`` has the bytes that remain; ``kept_text`` is these as text, without characters that lost a part. A null
     text is an empty one. A row without a doc_id keeps all bytes and takes none from others. Rows of equal doc_id
-    take none from one another.
+    take none from one another. Extra columns come through as they are, whatever their names; an empty table gives an
+    empty one.
     """
     common.small_batches(docs.sparkSession)
     own = common.numbered(docs)
     doc_id, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    total = own.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    batches = max(1, math.ceil(total / batch_bytes))
+    partitions = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(total / TASK_BYTES))
     base = own.withColumn("rid", F.xxhash64(doc_id, text))
-    spans = repeated_spans(base, doc_id, text, width, **how)
-    spans_of = spans.select(F.col("doc_id").alias("of_doc"), F.col("rid").alias("of_rid"), "spans").hint("shuffle_hash")
-    joined = base.join(spans_of, (base[doc_id] == F.col("of_doc")) & (base["rid"] == F.col("of_rid")), "left").select(*own.columns, "spans")
-    at = docs.columns.index("text")
-
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for text, spans in zip(pdf[f"c{at}"], pdf["spans"]):
-                data = (text or "").encode()
-                found = np.frombuffer(b"".join(spans), "<i8").reshape(-1, 2).copy() if spans is not None else np.empty((0, 2), np.int64)
-                kept, removed, number = _kept(data, found, width)
-                rows.append((len(data), removed, number, kept, kept.decode("utf-8", "ignore")))
-            facts = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "kept_text"], index=pdf.index)
-            yield pd.concat([pdf.drop(columns="spans"), facts], axis=1)
-
-    return joined.mapInPandas(task, common.ddl(own) + ", n_bytes long, n_removed long, n_spans long, kept binary, kept_text string")
+    base = base.withColumn("batch", _batch(F.col(doc_id), batches)).repartition(partitions, "batch")
+    spans = repeated_spans(base, doc_id, text, batches, total, width, gram, part_bytes, windows)
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        where: dict[tuple[int, int], list[int]] = {}
+        for i, who in enumerate(zip(right["doc_id"].to_pylist(), right["rid"].to_pylist())):
+            where.setdefault(who, []).append(i)
+        found = np.stack([_longs(right["begin"]), _longs(right["end"])], 1)
+        nothing = np.zeros((0, 2), np.int64)
+        facts = []
+        for who in zip(left[doc_id].cast(pa.int64()).to_pylist(), left["rid"].to_pylist(), _bytes_of(left[text])):
+            data = who[2]
+            at = where.get(who[:2])
+            kept, removed, number = _kept(data, found[at] if at else nothing, width)
+            facts.append((len(data), removed, number, kept, kept.decode("utf-8", "ignore")))
+        out = left.drop_columns(["rid", "batch"])
+        kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary(), "kept_text": pa.string()}
+        for i, (name, kind) in enumerate(kinds.items()):
+            out = out.append_column(name, pa.array([f[i] for f in facts], kind))
+        return out
+
+    schema = common.ddl(own) + ", n_bytes long, n_removed long, n_spans long, kept binary, kept_text string"
+    return base.groupBy("batch").cogroup(spans.groupBy("batch")).applyInArrow(task, schema)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,7 +209,7 @@ def test_fingerprints(docs, none, texts, spark):
     assert np.abs(off).mean() < 0.05
 
 
-@pytest.mark.parametrize("how", [{}, {"chunk": 4, "batch_bytes": 300}])
+@pytest.mark.parametrize("how", [{}, {"windows": 40, "batch_bytes": 300, "part_bytes": 500}])
 def test_suffix_dedup(docs, none, texts, how):
     first, want = {}, {}
     for d, t in texts:
