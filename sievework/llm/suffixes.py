@@ -307,12 +307,12 @@ def _slots(least: np.ndarray, parts: int) -> np.ndarray:
     return least % np.uint64(parts) << np.uint64(32) | (least // np.uint64(parts)) & np.uint64(0xFFFFFFFF)
 
 
-def repeated_spans(base: DataFrame, doc_id: str, text: str, batches: int, total: int, width: int, gram: int, part_bytes: int, windows: int) -> DataFrame:
-    """(batch, doc_id, rid, begin, end) of the bytes to remove, for rows of base: dealt out by batch, rid tells texts of
-    a doc_id apart."""
+def repeated_spans(rows: DataFrame, base: DataFrame, doc_id: str, text: str, batches: int, total: int, width: int, gram: int, part_bytes: int, windows: int) -> DataFrame:
+    """(batch, doc_id, rid, begin, end) of the bytes to remove, for rows with a batch and a rid, which
+    tells texts of a doc_id apart; base is rows dealt out by batch."""
     parts = max(1, base.sparkSession.sparkContext.defaultParallelism, math.ceil(total / part_bytes))
     tasks = min(parts, MOST_TASKS)
-    hashed = base.where(F.octet_length(text) >= width).where(F.col(doc_id).isNotNull()).select("batch", F.col(doc_id).cast("long").alias("doc_id"), "rid", F.sha2(F.encode(text, "UTF-8"), 256).alias("h"))
+    hashed = rows.where(F.octet_length(text) >= width).where(F.col(doc_id).isNotNull()).select("batch", F.col(doc_id).cast("long").alias("doc_id"), "rid", F.sha2(F.encode(text, "UTF-8"), 256).alias("h"))
     whole = hashed.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     copies = common.keep(hashed.join(whole, "h").where("doc_id > least").select("batch", "doc_id", "rid").distinct())
     text_at = base.columns.index(text)
@@ -469,8 +469,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batch_
     batches = max(1, math.ceil(total / batch_bytes))
     partitions = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(total / TASK_BYTES))
     base = own.withColumn("rid", F.xxhash64(doc_id, text))
-    base = base.withColumn("batch", _batch(F.col(doc_id), batches)).repartition(partitions, "batch")
-    spans = repeated_spans(base, doc_id, text, batches, total, width, gram, part_bytes, windows)
+    base = base.withColumn("batch", _batch(F.col(doc_id), batches))
+    rows, base = base, base.repartition(partitions, "batch")
+    spans = repeated_spans(rows, base, doc_id, text, batches, total, width, gram, part_bytes, windows)
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
         where: dict[tuple[int, int], list[int]] = {}
