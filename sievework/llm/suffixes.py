@@ -200,7 +200,7 @@ def _classes(p: Prefixes, starts: np.ndarray, lengths: np.ndarray, group: np.nda
     return lead, least
 
 
-def earlier(segments: list[bytes], key: np.ndarray, doc: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, Prefixes, np.ndarray]:
+def earlier(segments: list[bytes], key: np.ndarray, doc: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, Prefixes, np.ndarray]:
     """For the windows of all stretches in turn: (stretch, least doc with the same window, prefixes, window starts)."""
     sizes = np.fromiter(map(len, segments), np.int64, len(segments))
     offset = np.cumsum(sizes) - sizes
@@ -213,7 +213,11 @@ def earlier(segments: list[bytes], key: np.ndarray, doc: np.ndarray, width: int
     base[own] = np.cumsum(n[own]) - n[own]
     which = np.repeat(own, n[own])
     start = offset[which] + np.arange(len(which)) - base[which]
-    found = _classes(p, start, np.full(len(start), width), group[which], least[which])[1]
+    grams = p.grams(gram)
+    owner = np.repeat(np.arange(len(segments)), sizes)[: len(grams)]
+    anchors = np.flatnonzero(grams.view(np.int64) == key[owner])
+    offset_in = anchors[np.searchsorted(anchors, start)] - start  # equal windows have their minimizer in the same place
+    found = _classes(p, start, np.full(len(start), width), group[which] * width + offset_in, least[which])[1]
     member = np.repeat(np.arange(len(segments)), n)
     inside = np.arange(len(member)) - np.repeat(np.cumsum(n) - n, n)
     return member, found[base[lead[member]] + inside], p, offset[member] + inside
@@ -252,11 +256,25 @@ class Seen:
         return np.where(self.names[at] == names, np.minimum(least, self.least[at]), least)
 
 
-def _windows_as_text(p: Prefixes, start: np.ndarray, width: int) -> np.ndarray:
-    """The windows as byte strings that compare as such; a last byte of 1 keeps zeros at their end."""
-    out = np.ones((len(start), width + 1), np.uint8)
-    out[:, :width] = p.text[start[:, None] + np.arange(width)]
-    return out.reshape(-1).view(f"S{width + 1}")
+def _distinct(p: Prefixes, start: np.ndarray, least: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows as byte strings, least doc of each, which of them each window is).
+
+    Windows of one hash are one if their bytes are; should they ever differ, all windows are given as they are. A last
+    byte of 1 keeps zeros at a window's end.
+    """
+
+    def text(at: np.ndarray) -> np.ndarray:
+        out = np.ones((len(at), width + 1), np.uint8)
+        out[:, :width] = p.text[at[:, None] + np.arange(width)]
+        return out
+
+    _, first, of = np.unique(p.hash(start, width), return_index=True, return_inverse=True)
+    own = text(start[first])
+    if not all((text(start[i : i + 50_000]) == own[of[i : i + 50_000]]).all() for i in range(0, len(start), 50_000)):
+        own, of, first = text(start), np.arange(len(start)), np.arange(len(start))
+    low = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(low, of, least)
+    return own.reshape(-1).view(f"S{width + 1}"), low, of
 
 
 def _in_slices(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -386,19 +404,20 @@ def repeated_spans(rows: DataFrame, base: DataFrame, doc_id: str, text: str, bat
         def done(pdf: pd.DataFrame, goes_on: bool) -> pd.DataFrame:
             nonlocal seen
             key, ids = pdf["key"].to_numpy(), pdf["doc_id"].to_numpy()
-            member, least, p, start = earlier(list(pdf["segment"]), key, ids, width)
+            member, least, p, start = earlier(list(pdf["segment"]), key, ids, width, gram)
             if seen is not None and seen.key != key[0]:
                 seen = None
             if seen is not None:
                 hot = np.flatnonzero(key[member] == seen.key)
-                least[hot] = seen.lower(_windows_as_text(p, start[hot], width), least[hot])
+                names, low, of = _distinct(p, start[hot], least[hot], width)
+                least[hot] = np.minimum(least[hot], seen.lower(names, low)[of])
             if goes_on:
                 hot = np.flatnonzero(key[member] == key[-1])
-                names = _windows_as_text(p, start[hot], width)
+                names, low, _ = _distinct(p, start[hot], least[hot], width)
                 if seen is not None and seen.key == key[-1]:
-                    seen.add(names, least[hot])
+                    seen.add(names, low)
                 else:
-                    seen = Seen(key[-1], names, least[hot])
+                    seen = Seen(key[-1], names, low)
             else:
                 seen = None
             offset = np.concatenate(([0], np.cumsum(pdf["segment"].map(len).to_numpy())))
