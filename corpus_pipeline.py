@@ -48,8 +48,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     own = common.numbered(docs)
     doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
     here = doc_id.cast("long").eqNullSafe(F.col("of_doc")) & (F.xxhash64(text) == F.col("of_text"))
-    kept = own.join(judged, here, "left_anti")
-    repeated = own.join(judged.where("stays"), here).groupBy("of_doc", "of_text").agg(F.min_by(F.struct(*own.columns), text).alias("row"))
+    kept = own.join(common.sent_out(judged), here, "left_anti")
+    repeated = own.join(common.sent_out(judged.where("stays")), here).groupBy("of_doc", "of_text").agg(F.min_by(F.struct(*own.columns), text).alias("row"))
     return _named(kept.unionByName(repeated.select("row.*")), docs)
 
 

@@ -32,6 +32,15 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A table of a few numbers a row is broadcast up to so many rows (tens of MB), and shuffled beyond.
+BROADCAST_ROWS = 1_000_000
+
+
+def sent_out(df: DataFrame) -> DataFrame:
+    """df, which is kept already, marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def written(df: DataFrame, kind: str) -> DataFrame:
     """Write df as Parquet to a new place in the shared folder and read it back."""
     path = new_place(df.sparkSession, kind)

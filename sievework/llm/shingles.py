@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = LEAST, bucket_rows
     met = common.keep(_met(nodes, count, bucket_rows).join(facts, "node"))
     tested = common.keep(_pairs(met.withColumn("comp", F.col("node")), least, 1))
     wanted = tested.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    named = nodes.join(wanted, "node").select("node", "of_text")
+    named = common.sent_out(common.keep(nodes.join(wanted, "node").select("node", "of_text")))
     sets = texts.join(named, "of_text").groupBy("node").agg(F.first("text").alias("text")).mapInPandas(sets_of, "node long, shingles binary")
     sets = common.keep(sets)
     met = common.keep(met.join(sets.select("node"), "node", "left_semi"))
