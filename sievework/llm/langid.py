@@ -10,12 +10,12 @@ two neighbouring bytes share one row of a table of 65,536. That is the same netw
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +32,7 @@ SAMPLE_BYTES = 1024
 EPOCHS = 12
 SEED = 7
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _windows(data: bytes) -> np.ndarray:
@@ -129,17 +129,19 @@ def held_out():
 def sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, size: int = SAMPLE_BYTES) -> tuple[list[bytes], list[str]]:
     """At most ``texts`` texts of each language that is given, by the hash of the id, with ``size`` bytes of each.
 
-    Only rows with text and lang that are not held out. Languages with fewer rows give all of them.
+    Only rows with text and lang that are not held out. Languages with fewer rows give all of them. Rows that are
+    repeated count once, however many they are.
     """
     rows = docs.where("text is not null and lang is not null").where(~F.coalesce(held_out(), F.lit(False)))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return [], []
-    place = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
+    place = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.5 * texts / n + 20 / n))])
     start = F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("doc_id")), F.greatest(F.length("text") - size, F.lit(1))) + 1
     part = F.substring("text", start.cast("int"), F.lit(size))
-    got = rows.select("doc_id", "lang", place.alias("place"), part.alias("part")).where(F.col("place") < share[F.col("lang")]).collect()
+    some = rows.select("doc_id", "lang", place.alias("place"), part.alias("part")).where(F.col("place") < share[F.col("lang")])
+    got = some.groupBy("lang", "place").agg(F.min("doc_id").alias("doc_id"), F.min("part").alias("part")).collect()
     out, used = [], dict.fromkeys(counts, 0)
     for r in sorted(got, key=lambda r: (r["place"], str(r["doc_id"]), r["part"])):
         data = r["part"].encode()[:size]

@@ -37,7 +37,7 @@ END_ID = 0
 SMALL_PART = 16
 GROUPS = 512
 #: Words whose ids a worker keeps at most.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 
 #: A space between two characters that are no white space: tokens never cross it, they start with it.
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
@@ -55,7 +55,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.engine = Tokenizer.from_file(path)
-        self.engine.encode_special_tokens = True
+        self.added = [t.content for t in self.engine.get_added_tokens_decoder().values()]
         self.batch = getattr(self.engine, "encode_batch_fast", self.engine.encode_batch)
         self.cached, self.words = cached, {}
         vocabulary = self.engine.get_vocab()
@@ -64,7 +64,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [self._split(t) for t in texts]
+        split = [[t] if any(a in t for a in self.added) else self._split(t) for t in texts]  # added tokens may cross words
         firsts = self._whole([s[0] for s in split])
         get = self.words.get
         found = [[*map(get, s)] for s in split]  # of the first word, which has no space before it, nothing is used
@@ -291,7 +291,12 @@ def default_tokenizer() -> str:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE) -> DataFrame:
-    """Pieces of (doc_id, text) with their sequence and the place in it. Repeated rows are packed each by itself."""
+    """Pieces of (doc_id, text) with their sequence and the place in it.
+
+    Repeated rows are packed each by itself; pieces of equal length, and of equal doc_id among these, may take each
+    other's place. A null doc_id is one like any other, an empty table gives an empty one, and other columns of docs are
+    not read.
+    """
     return pack(common.keep(pieces(docs, tokenizer or default_tokenizer(), size)), size)
 
 

@@ -1,16 +1,14 @@
 """Sharding by a two-pass external shuffle, in DataFrame operations only.
 
-Pass one scatters the records uniformly into buckets of about ``bucket_bytes`` by a seeded hash; a bucket is a
-partition of its own. Pass two gathers a bucket in memory, puts it in a random order by a Fisher-Yates shuffle
-(``F.shuffle``, whose generator is seeded by the seed and the number of the partition, so that a task run again
-gives the same order) and emits it. Buckets stand one after the other, and the whole order is cut into shards
-whose row counts differ by one at most.
+Pass one scatters the records uniformly into buckets of about ``bucket_bytes`` by a seeded hash. Pass two gathers a
+bucket in memory, puts it in a random order by a Fisher-Yates shuffle (``F.shuffle``) and writes it to the shared
+folder. Buckets stand one after the other, and the whole order is cut into shards whose row counts differ by one at
+most: places follow from what was written, so a task that is run again can't disagree with the counts.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +19,8 @@ from . import common
 
 #: A table of bucket offsets of more rows than this is not broadcast.
 BROADCAST_BUCKETS = 500_000
+#: Buckets share tasks beyond this many.
+MOST_TASKS = 20_000
 
 
 def record_bytes(df: DataFrame):
@@ -29,48 +29,46 @@ def record_bytes(df: DataFrame):
     return sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in wide), F.lit(16 * len(df.columns))).cast("long")
 
 
-def shuffle_into_shards(df: DataFrame, shards: int, keys: Sequence[str], seed: int = 42, bucket_bytes: int = 16 << 20) -> DataFrame:
+def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 42, bucket_bytes: int = 16 << 20) -> DataFrame:
     """Rows ``(row, bucket, shard, slot)``: ``row`` is a struct of all columns of df, so no name can clash.
 
-    ``keys`` name what the scattering hash takes; rows equal in all of them meet in one bucket, so give columns
-    that tell rows apart. ``shard`` is 0 to shards-1, ``slot`` the gapless place within it. Nulls in keys hash like
-    a value. An empty table gives no rows; fewer rows than shards leave some shards empty. Equal rows are kept,
-    each in a slot of its own. df is read more than once and has to give the same rows each time. A text longer than ``bucket_bytes`` makes its bucket that much larger.
+    ``shard`` is 0 to shards-1, ``slot`` the gapless place within it. The scattering hash takes the seed and the place of
+    a row in its partition, so rows that are repeated, however often, are spread like any others; the same partitions and
+    seed give the same order. An empty table gives no rows; fewer rows than shards leave some shards empty. Nulls are
+    values like others. A text longer than ``bucket_bytes`` makes its bucket that much larger.
     """
     if shards < 1 or bucket_bytes < 1:
         raise ValueError("shards and bucket_bytes must be positive")
     total = df.agg(F.sum(record_bytes(df))).first()[0] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
-    spread = F.xxhash64(F.lit(seed), *[F.col(f"`{k}`") for k in keys])
-    bucket = F.pmod(spread, F.lit(buckets)).cast("int")
+    spread = F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
+    scattered = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.pmod(spread, F.lit(buckets)).cast("int").alias("bucket"))
+    scattered = scattered.repartitionById(buckets, "bucket") if buckets <= MOST_TASKS else scattered.repartition(MOST_TASKS, "bucket")
+    gathered = scattered.groupBy("bucket").agg(F.collect_list("row").alias("rows"))
+    mixed = common.written(gathered.select("bucket", F.posexplode(F.shuffle("rows", seed)).alias("at", "row")), "buckets")
 
-    counts = df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    counts = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     before = W.Window.orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1)  # one row a bucket
     whole = W.Window.orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)
     offsets = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(whole).alias("rows_in_all"))
     if buckets <= BROADCAST_BUCKETS:
         offsets = F.broadcast(offsets)
-
-    scattered = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), spread.alias("spread"), bucket.alias("bucket"))
-    scattered = scattered.repartitionById(buckets, "bucket").sortWithinPartitions("spread", *[f"row.`{k}`" for k in keys])
-    gathered = scattered.groupBy("bucket").agg(F.collect_list("row").alias("rows"))
-    mixed = gathered.select("bucket", F.shuffle("rows", seed).alias("rows")).join(offsets, "bucket")
-    placed = mixed.select("bucket", "start", "rows_in_all", F.posexplode("rows").alias("at", "row"))
     index = F.col("start") + F.col("at")
     shard = F.expr(f"((start + at) * {shards}L) div rows_in_all")
     first = F.expr(f"(shard * rows_in_all + {shards - 1}L) div {shards}L")
-    placed = placed.select("row", "bucket", "rows_in_all", index.alias("index"), shard.alias("shard"))
+    placed = mixed.join(offsets, "bucket").select("row", "bucket", "rows_in_all", index.alias("index"), shard.alias("shard"))
     return placed.select("row", "bucket", F.col("shard").cast("int").alias("shard"), (F.col("index") - first).alias("slot"))
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:
-    """Write what shuffle_into_shards returned, a folder for each shard; within a file the order is that of the slots."""
-    shuffled.select("row.*", F.col("shard").alias("shard_number")).write.partitionBy("shard_number").parquet(path)
+    """Write what shuffle_into_shards returned as (row, slot), a folder for each shard; a file has its slots in order."""
+    rows = shuffled.select("row", "shard", "slot").sortWithinPartitions("shard", "slot")
+    rows.write.partitionBy("shard").parquet(path)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    done = shuffle_into_shards(docs, shards=8, keys=["doc_id", "text"])
+    done = shuffle_into_shards(docs, shards=8)
     text = F.col("row.text")
     return done.select(
         F.col("row.doc_id").alias("doc_id"),

@@ -33,13 +33,13 @@ WIDTH = 50
 GRAM = 20
 #: Text of a batch, of what numpy looks at together, of an exchange's partition, and for each partition of the minimizers.
 BATCH_BYTES = 4 << 20
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 TASK_BYTES = 24 << 20
-PART_BYTES = 48 << 20
+PART_BYTES = 24 << 20
 #: Partitions of the minimizers share tasks beyond this many.
 MOST_TASKS = 20_000
 #: Windows that a task sorts at a time; a group of more is gone through in several goes.
-CHUNK_WINDOWS = 120_000
+CHUNK_WINDOWS = 60_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1

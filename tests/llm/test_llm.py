@@ -35,18 +35,30 @@ def none(docs):
     return docs.limit(0)
 
 
-def test_sharding(docs, none, texts):
-    done = sharding.shuffle_into_shards(docs.union(docs.where("doc_id = 9")), 8, ["doc_id", "text"], bucket_bytes=2000)
+def test_sharding(spark, docs, none, texts, tmp_path):
+    df = docs.union(docs.where("doc_id = 9")).withColumnRenamed("kept", "slot")
+    done = sharding.shuffle_into_shards(df, 8, bucket_bytes=2000)
     rows = done.select("row.doc_id", "row.text", "shard", "slot").collect()
-    assert len(rows) == len(texts) + 1
+    assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in df.collect())
     by = collections.defaultdict(list)
     for r in rows:
         by[r["shard"]].append(r["slot"])
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
-    again = sharding.shuffle_into_shards(docs.union(docs.where("doc_id = 9")).repartition(5), 8, ["doc_id", "text"], bucket_bytes=2000).select("row.doc_id", "row.text", "shard", "slot").collect()
-    assert sorted(map(str, rows)) == sorted(map(str, again))
-    assert sharding.shuffle_into_shards(none, 8, ["doc_id"]).count() == 0
+    assert sharding.shuffle_into_shards(none, 8).count() == 0
+    path = f"file://{tmp_path}/shards"
+    sharding.write_shards(done, path)
+    back = spark.read.parquet(path)
+    assert sorted(map(str, rows)) == sorted(map(str, back.select("row.doc_id", "row.text", "shard", "slot").collect()))
+    for f in {r[0] for r in back.select(F.input_file_name()).distinct().collect()}:
+        slots = [r["slot"] for r in spark.read.parquet(f).collect()]
+        assert slots == sorted(slots)
+
+
+def test_sharding_spreads_repeated_rows(spark):
+    df = spark.range(4).select(F.explode(F.sequence(F.lit(1), F.lit(500))).alias("n")).select(F.lit(1).alias("doc_id"), F.lit("the same text").alias("text"))
+    sizes = [r["count"] for r in sharding.shuffle_into_shards(df, 4, bucket_bytes=10_000).groupBy("bucket").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 2 * min(sizes) + 100
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -143,7 +155,7 @@ def test_language_id(spark, none):
     rng = random.Random(1)
     part = {"aa": ["the", "and", "shon", "ting"], "bb": ["eux", "ère", "çon", "que"], "cc": ["ung", "sch", "ß", "keit"]}
     rows = [(i, " ".join("".join(rng.choice(part[k]) for _ in range(2)) for _ in range(60)), k) for i, k in enumerate(list(part) * 60)]
-    rows += [(1000, None, "aa"), (1001, "123 --", "bb"), (1002, "", None)]
+    rows += [(1000, None, "aa"), (1001, "123 --", "bb"), (1002, "", None), (1003, "½ ² Ⅷ ①", None)] + [(1004, None, None)] * 3
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = langid.predict(df, langid.fit(df)).selectExpr("c0 as doc_id", "c2 as lang", "lang_pred", "score").collect()
     held = [r for r in got if r["doc_id"] < 1000 and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
@@ -275,7 +287,9 @@ def test_packing_has_the_ids_of_whole_texts(docs, none, texts):
     assert packing.pack_documents(none).count() == 0
     odd = [" a", "a  b", "a \nb", "", "  ", "a\tb", "it's o'clock  ' s", "<|endoftext|> x", "a b "]
     coder = packing.WordEncoder(packing.default_tokenizer())
-    assert coder.encode(odd) == coder._whole(odd)
+    odd += ["a <|endoftext|> x", "x<|endoftext|>", " <|endoftext|>"]
+    plain = [np.array(engine.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
+    assert coder.encode(odd) == plain
 
 
 def test_preferences(spark):
