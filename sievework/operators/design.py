@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 from dataclasses import dataclass
 
 import pandas as pd
@@ -29,14 +31,48 @@ class Mode:
 MODES = {"cas9": Mode(), "cpf1": Mode(guide=20, pam="TTTN", pam_first=True), "nickase": Mode(), "talen": Mode(guide=18, pam="")}
 
 
+#: Bases of a piece in which windows are taken.
+PIECE = 4096
+
+
+def pieces(contigs: DataFrame, size: int, flank: int = 0, step: int = PIECE) -> DataFrame:
+    """(contig, offset, before, text, own): a contig in pieces of ``step`` bases, each with what its last windows need of the next.
+
+    A window of ``size`` bases starts in one of the first ``own`` bases of ``text``. The work is in proportion to the
+    contig: no row carries all of it, and no base is looked for from the contig's start.
+    """
+    step = max(step, size + flank)
+    cut = contigs.select("contig", F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("parts"))
+    # The neighbours are picked while the array is at hand; only they are exploded.
+    numbered = F.transform(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.struct(
+        i.alias("at"), F.get(F.col("parts"), i).alias("own"), F.get(F.col("parts"), i + 1).alias("next"), F.get(F.col("parts"), i - 1).alias("last")))
+    rows = cut.where(F.size("parts") > 0).select("contig", F.explode(numbered).alias("p"))
+    tail = F.coalesce(F.substring("p.next", 1, size - 1 + flank), F.lit(""))
+    before = F.when(F.col("p.at") > 0, F.substring("p.last", -flank, flank)).otherwise("") if flank else F.lit("")
+    return rows.select("contig", (F.col("p.at") * step).alias("offset"), before.alias("before"), F.concat("p.own", tail).alias("text"), F.length("p.own").alias("own"))
+
+
+def windows(contigs: DataFrame, size: int, flank: int = 0) -> DataFrame:
+    """(contig, start (1-based), window) of each place, and with a flank the bases before and after it."""
+    p = pieces(contigs, size, flank)
+    last = F.least("own", F.length("text") - size + 1)
+    at = F.explode(F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")))
+    rows = p.select("contig", "offset", "before", "text", at.alias("at"))
+    out = [F.col("contig"), (F.col("offset") + F.col("at")).alias("start"), F.substring("text", F.col("at"), F.lit(size)).alias("window")]
+    if flank:
+        whole, ahead = F.concat("before", "text"), F.length("before") + F.col("at") - 1
+        out.append(F.substring(whole, F.greatest(ahead - flank, F.lit(0)) + 1, F.least(ahead, F.lit(flank))).alias("before"))
+        out.append(F.substring("text", F.col("at") + size, F.lit(flank)).alias("after"))
+    return rows.select(*out)
+
+
 def enumerate_guides(contigs: DataFrame, mode: Mode = MODES["cas9"], flank: int = 0) -> DataFrame:
     """contig, start (1-based), strand, target of each place that has the PAM; the plus strand is tried first.
 
     A sequence shorter than a target gives none. ``flank`` > 0 adds so many bases on either side.
     """
     size = mode.guide + len(mode.pam)
-    starts = F.when(F.length("seq") >= size, F.sequence(F.lit(1), F.length("seq") - size + 1)).otherwise(F.array().cast("array<int>"))
-    rows = contigs.select("contig", "seq", F.explode(starts).alias("start")).withColumn("window", F.substring("seq", F.col("start"), F.lit(size)))
+    rows = windows(contigs, size, flank)
     n = len(mode.pam)
     if not n:
         fits = lambda s: F.lit(True)
@@ -47,20 +83,16 @@ def enumerate_guides(contigs: DataFrame, mode: Mode = MODES["cas9"], flank: int
     rc = q.reverse_complement(F.col("window"))
     strand = F.when(fits(F.col("window")), "+").when(fits(rc), "-")
     out = rows.withColumn("strand", strand).where("strand is not null").withColumn("target", F.when(F.col("strand") == "+", F.col("window")).otherwise(rc))
-    protospacer = F.substring("target", n + 1, mode.guide) if mode.pam_first else F.substring("target", 1, mode.guide)
-    out = out.where(q.gc_fraction(protospacer).between(mode.gc_low, mode.gc_high))
-    keep = ["contig", "start", "strand", "target"]
-    if flank:
-        out = out.withColumns({"before": F.substring("seq", F.greatest(F.col("start") - flank, F.lit(1)), F.least(F.lit(flank), F.col("start") - 1)), "after": F.substring("seq", F.col("start") + size, F.lit(flank))})
-        keep += ["before", "after"]
-    return out.select(*keep)
+    if (mode.gc_low, mode.gc_high) != (0.0, 1.0):
+        protospacer = F.substring("target", n + 1, mode.guide) if mode.pam_first else F.substring("target", 1, mode.guide)
+        out = out.where(q.gc_fraction(protospacer).between(mode.gc_low, mode.gc_high))
+    return out.select("contig", "start", "strand", "target", *(["before", "after"] if flank else []))
 
 
 def half_sites(contigs: DataFrame, size: int = 18) -> DataFrame:
     """Windows that start with T (left) or end with A (right)."""
-    starts = F.when(F.length("seq") >= size, F.sequence(F.lit(1), F.length("seq") - size + 1)).otherwise(F.array().cast("array<int>"))
-    rows = contigs.select("contig", F.explode(starts).alias("start"), "seq").withColumn("window", F.substring("seq", F.col("start"), F.lit(size)))
-    return rows.where(F.col("window").startswith("T") | F.col("window").endswith("A")).select("contig", "start", "window", F.col("window").startswith("T").alias("left"), F.col("window").endswith("A").alias("right"))
+    w = F.col("window")
+    return windows(contigs, size).where(w.startswith("T") | w.endswith("A")).select("contig", "start", "window", w.startswith("T").alias("left"), w.endswith("A").alias("right"))
 
 
 # --- regions of a gene model: rows (gene, tx, strand, exon_start, exon_end, cds_start, cds_end) -----------------------
@@ -137,29 +169,53 @@ def consensus(spans: DataFrame, everywhere: bool = True, least: int = 0, pad: in
 # --- off-targets ----------------------------------------------------------------------------------------------------
 
 
-def near_sites(guides: DataFrame, sites: DataFrame, k: int = 3, size: int = 20) -> DataFrame:
+def near_sites(guides: DataFrame, sites: DataFrame, k: int = 3, size: int = 20, seed: tuple[int, int] | None = None) -> DataFrame:
     """(guide, site, mismatches) for guides (guide, seq) and sites (site, seq) of ACGT with at most k mismatches.
 
-    Of k + 1 parts of a sequence one has no mismatch: an equi-join on (part, its bases), and a count of differing bases
-    in the encoded sequences. Sequences meet once each; only then come the ids.
+    Of k + 3 parts of a sequence three have no mismatch: an equi-join on three parts and their bases (ten bases for k = 3
+    and twenty in all), and a count of differing bases in the encoded sequences. Sequences meet once each; only then come
+    the ids. ``seed`` = (bases, most) asks for at most so many mismatches in the last bases, those next to the PAM.
     """
-    bounds = [round(i * size / (k + 1)) for i in range(k + 2)]
+    n = k + 3
+    bounds = [round(i * size / n) for i in range(n + 1)]
+    triples = list(itertools.combinations(range(n), 3))
+    whole = F.col("seq").rlike(f"^[ACGT]{{{size}}}$")
 
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        one = df.where(F.col("seq").rlike(f"^[ACGT]{{{size}}}$")).select("seq").distinct().withColumn("code", q.encoded(F.col("seq")))
-        keys = F.array(*[F.struct(F.lit(i).alias("part"), F.substring("seq", bounds[i] + 1, bounds[i + 1] - bounds[i]).alias("bases")) for i in range(k + 1)])
-        return one.select(F.col("code").alias(name), F.explode(keys).alias("p")).select(name, "p.*")
+    def mask(i: int) -> int:
+        return ((1 << 2 * (bounds[i + 1] - bounds[i])) - 1) << 2 * (size - bounds[i + 1])
 
-    hits = parts(guides, "a").join(parts(sites, "b"), ["part", "bases"])
+    def keys(df: DataFrame, name: str) -> DataFrame:
+        one = df.where(whole).select(q.encoded(F.col("seq")).alias("code")).distinct()
+        of = F.array(*[F.struct(F.lit(i).alias("triple"), F.col("code").bitwiseAND(F.lit(sum(map(mask, t)))).alias("bases")) for i, t in enumerate(triples)])
+        return one.select(F.col("code").alias(name), F.explode(of).alias("p")).select(name, "p.*")
+
+    hits = keys(guides, "a").join(keys(sites, "b"), ["triple", "bases"])
     hits = hits.withColumn("mismatches", q.encoded_mismatches(F.col("a"), F.col("b"))).where(F.col("mismatches") <= k)
-    # A pair that agrees in several parts is kept at the first of them.
+    # A pair meets in each three parts that agree; it is kept at the first three.
     x = F.col("a").bitwiseXOR(F.col("b"))
-    earlier = [F.shiftright(x, 2 * (size - bounds[i + 1])).bitwiseAND(F.lit((1 << 2 * (bounds[i + 1] - bounds[i])) - 1)) == 0 for i in range(k + 1)]
-    first = F.coalesce(*[F.when(c, F.lit(i)) for i, c in enumerate(earlier)])
-    hits = hits.where(F.col("part") == first).select("a", "b", "mismatches")
-    left = guides.where(F.col("seq").rlike(f"^[ACGT]{{{size}}}$")).select("guide", q.encoded(F.col("seq")).alias("a"))
-    right = sites.where(F.col("seq").rlike(f"^[ACGT]{{{size}}}$")).select("site", q.encoded(F.col("seq")).alias("b"))
-    return left.join(hits, "a").join(right, "b").select("guide", "site", "mismatches")
+    agree = [x.bitwiseAND(F.lit(mask(i))) == 0 for i in range(n)]
+    first = F.lit(False)
+    for i, t in enumerate(triples):
+        others = [~agree[j] for j in range(t[2]) if j not in t]
+        first = F.when(F.col("triple") == i, functools.reduce(Column.__and__, others, F.lit(True))).otherwise(first)
+    hits = hits.where(first)
+    if seed is not None:
+        low = F.lit((1 << 2 * seed[0]) - 1)
+        hits = hits.where(q.encoded_mismatches(F.col("a").bitwiseAND(low), F.col("b").bitwiseAND(low)) <= seed[1])
+    left = guides.where(whole).select("guide", q.encoded(F.col("seq")).alias("a"))
+    right = sites.where(whole).select("site", q.encoded(F.col("seq")).alias("b"))
+    return left.join(hits.select("a", "b", "mismatches"), "a").join(right, "b").select("guide", "site", "mismatches")
+
+
+def off_targets(hits: DataFrame, sites: DataFrame, cap: int = 300) -> DataFrame:
+    """(guide, contig, start, strand, site, mismatches): hits of near_sites with their places.
+
+    A guide's own place goes, each (guide, strand, contig, start) counts once, at its fewest mismatches, and the nearest
+    ``cap`` stay (the cap is the feature). Sites have the PAM, so a hit that differs there is none.
+    """
+    placed = hits.where("guide <> site").join(sites.select("site", "contig", "start", "strand"), "site")
+    one = placed.groupBy("guide", "strand", "contig", "start").agg(F.min("mismatches").alias("mismatches"), F.min("site").alias("site"))
+    return capped_hits(one, cap)
 
 
 def hit_counts(hits: DataFrame, cap: int = 300) -> DataFrame:
@@ -276,26 +332,31 @@ def control_guides(spark, n: int, sites: DataFrame, size: int = 20, k: int = 3,
     return good.join(hit, "guide", "left_anti").orderBy("guide").limit(n)
 
 
-#: What a pair of off-targets costs on the same and on different strands, by kind of pair.
+#: What a pair of off-targets costs on the same and on different strands, by kind of pair, and a pair
+#: whose PAMs lie inside, the left guide being on the plus strand.
 PAIR_PENALTY = {"talen": (10_000, 5_000), "nickase": (0, 5_000)}
+PAM_IN_PENALTY = 1_000
 
 
 def scored_pairs(pairs: DataFrame, hits: DataFrame, low: int, high: int, kind: str = "nickase") -> DataFrame:
-    """pair, off_same, off_other and score for pairs (pair, left, right) and hits (guide, contig, pos, strand).
+    """pair, off_same, off_other and score for pairs (pair, left, right, strand) and hits (guide, contig, start, strand).
 
-    Off-target pairs: hits of the two members on one contig at a distance of low to high, by binned equi-joins.
+    Off-target pairs: hits of the two members on one contig at a distance of low to high, by a binned equi-join on the
+    hits, after they meet their pairs. ``strand`` is the left guide's, and counts for nickases only.
     """
     width = max(1, high)
-    side = lambda x: hits.select(F.col("guide").alias(x), F.col("contig").alias(f"contig_{x}"), F.col("pos").alias(f"pos_{x}"), F.col("strand").alias(f"strand_{x}"))
-    a = pairs.join(side("left"), "left").withColumn("_bin", F.explode(F.array(*[F.floor(F.col("pos_left") / width) + i for i in (-1, 0, 1)])))
+    side = lambda x: hits.select(F.col("guide").alias(x), F.col("contig").alias(f"contig_{x}"), F.col("start").alias(f"pos_{x}"), F.col("strand").alias(f"strand_{x}"))
+    a = pairs.select("pair", "left").join(side("left"), "left").withColumn("_bin", F.explode(F.array(*[F.floor(F.col("pos_left") / width) + i for i in (-1, 0, 1)])))
     b = pairs.select("pair", "right").join(side("right"), "right").withColumn("_bin", F.floor(F.col("pos_right") / width)).drop("right")
+    a, b = a.withColumnRenamed("contig_left", "_contig"), b.withColumnRenamed("contig_right", "_contig")
     gap = F.abs(F.col("pos_left") - F.col("pos_right"))
-    met = a.join(b, ["pair", "_bin"]).where((F.col("contig_left") == F.col("contig_right")) & (gap >= low) & (gap <= high))
+    met = a.join(b, ["pair", "_contig", "_bin"]).where((gap >= low) & (gap <= high))
     same = F.col("strand_left") == F.col("strand_right")
     n = met.groupBy("pair").agg(F.count_if(same).alias("off_same"), F.count_if(~same).alias("off_other"))
     cost = PAIR_PENALTY[kind]
     out = pairs.join(n, "pair", "left").na.fill(0, ["off_same", "off_other"])
-    return out.withColumn("score", F.col("off_same") * cost[0] + F.col("off_other") * cost[1])
+    inside = F.when(F.col("strand") == "+", PAM_IN_PENALTY).otherwise(0) if kind == "nickase" else F.lit(0)
+    return out.withColumn("score", F.col("off_same") * cost[0] + F.col("off_other") * cost[1] + inside)
 
 
 def amplicons(guides: DataFrame, primers: DataFrame, barcodes: list[str], distance: int) -> DataFrame:

@@ -129,13 +129,16 @@ def mixed_outcomes(scored: DataFrame, insertion_share: Column) -> DataFrame:
 
 def microhomologies(sites: DataFrame, most: int = 59) -> DataFrame:
     """(guide, length, start, mh_len, gc) of the runs of equal bases for each deletion length at a cut: rows (guide, seq, cut)."""
-    rows = sites.select("guide", "seq", "cut", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.length("seq") - F.col("cut"), F.col("cut")))).alias("length"))
-    at = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("i"))
-    left, right = F.substring("seq", F.col("cut") - F.col("length") + F.col("i") + 1, F.lit(1)), F.substring("seq", F.col("cut") + F.col("i") + 1, F.lit(1))
-    same = at.where(left == right).withColumn("base", left)
-    by = W.Window.partitionBy("guide", "length").orderBy("i")
-    runs = same.withColumn("g", F.col("i") - F.row_number().over(by))
-    return runs.groupBy("guide", "length", "g").agg(F.min("i").alias("start"), F.count(F.lit(1)).alias("mh_len"), F.avg(F.col("base").isin("G", "C").cast("int")).alias("gc")).drop("g")
+    lengths = F.sequence(F.lit(1), F.least(F.lit(most), F.length("seq") - F.col("cut"), F.col("cut")))
+    rows = sites.where((F.col("cut") > 0) & (F.length("seq") > F.col("cut"))).select("guide", "seq", "cut", F.explode(lengths).alias("length"))
+    base = lambda at: F.substring("seq", at, F.lit(1))
+    shared = F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda i: F.when(base(F.col("cut") - F.col("length") + i + 1) == base(F.col("cut") + i + 1), base(F.col("cut") + i + 1)).otherwise("-"))
+    marked = rows.select("guide", "length", F.array_join(shared, "").alias("mask"))
+    # A run starts where a base that both sides share follows one that they don't: no row for each base, no shuffle.
+    starts = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: (F.substring("mask", i + 1, F.lit(1)) != "-") & ((i == 0) | (F.substring("mask", i, F.lit(1)) == "-")))
+    runs = marked.select("guide", "length", "mask", F.explode(starts).alias("start")).withColumn("run", F.substring_index(F.expr("substring(mask, start + 1)"), "-", 1))
+    gc = F.length(F.regexp_replace("run", "[^GC]", "")) / F.length("run")
+    return runs.select("guide", "length", "start", F.length("run").cast("long").alias("mh_len"), gc.alias("gc"))
 
 
 # --- sequence features ------------------------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from sievework.functions import sequences as q
@@ -12,9 +14,23 @@ from sievework.plans.registry import query
 N = "with " + t.DNA
 RC = "reverse(translate({}, 'ACGT', 'TGCA'))"
 WINDOWS = N + ", w as (select contig, i as start, substring(seq, i, 23) as win from dna, unnest(range(1, greatest(length(seq) - 21, 1))) u(i) where length(seq) >= 23)"
+CONTEXT = 60
 TARGETS = WINDOWS + f", g as (select contig, start, case when regexp_matches(win, 'GG$') then '+' else '-' end as strand, case when regexp_matches(win, 'GG$') then win else {RC.format('win')} end as target from w where regexp_matches(win, 'GG$') or regexp_matches(win, '^CC'))"
 
 
+SITES = TARGETS + f""", z as (select g.contig || ':' || start as guide, case when strand = '+' then substring(seq, start - {CONTEXT}, {2 * CONTEXT + 23}) else {RC.format(f"substring(seq, start - {CONTEXT}, {2 * CONTEXT + 23})")} end as seq
+ from g join dna using (contig) where start > {CONTEXT} and start + 22 + {CONTEXT} <= length(seq))"""
+
+
+def sites(s, d):
+    """guide, seq and cut of each guide with CONTEXT bases on either side of its target, in its own direction."""
+    g = D.enumerate_guides(t.dna(s, d), flank=CONTEXT).where((F.length("before") == CONTEXT) & (F.length("after") == CONTEXT))
+    plus = F.concat("before", "target", "after")
+    minus = F.concat(q.reverse_complement(F.col("after")), F.col("target"), q.reverse_complement(F.col("before")))
+    name = F.concat_ws(":", F.col("contig").cast("string"), F.col("start").cast("string"))
+    return g.select(name.alias("guide"), F.when(F.col("strand") == "+", plus).otherwise(minus).alias("seq"), F.lit(CONTEXT + 17).alias("cut"))
+
+
 def _dna(s, d):
     return t.dna(s, d)
 
@@ -211,10 +227,9 @@ def _(s, d):
     return D.merged(_spans(s, d), ("gene",)).withColumnRenamed("end", "stop")
 
 
-@query("d09_consensus", "with " + t.EXONS + ", p as (select distinct gene, tx, unnest(range(exon_start, exon_end)) as pos from exons where gene in ('C1', 'C2', 'C4', 'C5', 'C7', 'C8')), c as (select gene, pos from p group by 1, 2 having count(*) = (select count(distinct tx) from p q where q.gene = p.gene)) select gene, count(*)::bigint as positions from c group by 1")
+@query("d09_consensus", "with " + t.EXONS + ", p as (select distinct gene, tx, unnest(range(exon_start, exon_end)) as pos from exons), n as (select gene, count(distinct tx) as n from exons group by gene), c as (select gene, pos from p join n using (gene) group by 1, 2 having count(*) = any_value(n)) select gene, count(*)::bigint as positions from c group by 1")
 def _(s, d):
-    c = D.consensus(_spans(s, d).where("gene in ('C1', 'C2', 'C4', 'C5', 'C7', 'C8')"))
-    return c.groupBy("gene").agg(F.sum(F.col("end") - F.col("start")).alias("positions"))
+    return D.consensus(_spans(s, d)).groupBy("gene").agg(F.sum(F.col("end") - F.col("start")).alias("positions"))
 
 
 @query("u04_union_positions", "with " + t.EXONS + ", a as (select gene, exon_start as start, exon_end as stop from exons), " + MERGE.format(k="gene", t="a") + " select gene, sum(stop - start)::bigint as positions from u group by 1")
@@ -222,14 +237,21 @@ def _(s, d):
     return D.consensus(_spans(s, d), everywhere=False).groupBy("gene").agg(F.sum(F.col("end") - F.col("start")).alias("positions"))
 
 
-HITS = TARGETS + """, a as (select contig || ':' || start as guide, left(target, 20) as seq from g where contig % 10 = 0), b as (select contig || ':' || start as site, left(target, 20) as seq from g),
-h as (select guide, site, length(a.seq) - list_sum(list_transform(range(1, 21), lambda i: (a.seq[i] = b.seq[i])::int)) as mismatches from a, b where length(a.seq) = 20 and hamming(a.seq, b.seq) <= 3)"""
-HITS = HITS.replace("length(a.seq) - list_sum(list_transform(range(1, 21), lambda i: (a.seq[i] = b.seq[i])::int))", "hamming(a.seq, b.seq)")
+#: The SQL finds near sequences by one of four equal parts of five bases, distinct sequences first.
+HITS = TARGETS + """, b as (select contig, start, strand, contig || ':' || start as site, left(target, 20) as seq from g), u as (select distinct seq from b), k as (select seq, i, substring(seq, i * 5 + 1, 5) as part from u, range(0, 4) r(i)),
+n as (select distinct x.seq as a, y.seq as b, hamming(x.seq, y.seq) as mismatches from k x join k y on x.i = y.i and x.part = y.part where hamming(x.seq, y.seq) <= 3),
+h as (select x.site as guide, y.site as site, y.contig, y.start, y.strand, n.mismatches from n join b x on x.seq = n.a join b y on y.seq = n.b)"""
+CAP = D.MODES["cas9"].cap
+
+
+def _genome(s, d):
+    name = F.concat_ws(":", F.col("contig").cast("string"), F.col("start").cast("string"))
+    return D.enumerate_guides(_dna(s, d)).select("contig", "start", "strand", name.alias("site"), F.substring("target", 1, 20).alias("seq"))
 
 
 def _hits(s, d):
-    g = D.enumerate_guides(_dna(s, d)).select("contig", F.concat_ws(":", F.col("contig").cast("string"), F.col("start").cast("string")).alias("id"), F.substring("target", 1, 20).alias("seq"))
-    return D.near_sites(g.where("contig % 10 = 0").select(F.col("id").alias("guide"), "seq"), g.select(F.col("id").alias("site"), "seq"))
+    g = _genome(s, d)
+    return D.near_sites(g.select(F.col("site").alias("guide"), "seq"), g.select("site", "seq"))
 
 
 @query("j18_near_sites", HITS + " select guide, site, mismatches::integer as mismatches from h")
@@ -237,29 +259,35 @@ def _(s, d):
     return _hits(s, d)
 
 
-COUNTED = HITS + ", n as (select guide, count(*) filter (mismatches = 0)::bigint as mm0, count(*) filter (mismatches = 1)::bigint as mm1, count(*) filter (mismatches = 2)::bigint as mm2, count(*) filter (mismatches = 3)::bigint as mm3, count(*) > 3 as capped from h where guide <> site group by guide)"
+COUNTED = HITS + f", m as (select guide, count(*) filter (mismatches = 0)::bigint as mm0, count(*) filter (mismatches = 1)::bigint as mm1, count(*) filter (mismatches = 2)::bigint as mm2, count(*) filter (mismatches = 3)::bigint as mm3, count(*) > {CAP} as capped from h where guide <> site group by guide)"
 
 
 def _counts(s, d):
-    return D.hit_counts(_hits(s, d).where("guide <> site"), 3)
+    return D.hit_counts(_hits(s, d).where("guide <> site"), CAP)
 
 
-@query("a18_hit_counts", COUNTED + " select * from n")
+@query("a18_hit_counts", COUNTED + " select * from m")
 def _(s, d):
     return _counts(s, d)
 
 
-@query("d10_off_targets", HITS + " select guide, site, mismatches::integer as mismatches from (select *, row_number() over (partition by guide order by mismatches, site) as k from h where guide <> site) where k <= 3")
+@query("j18_seed_rule", HITS + ", v as (select h.*, hamming(right(x.seq, 11), right(y.seq, 11)) as near from h join b x on x.site = h.guide join b y on y.site = h.site) select guide, site, mismatches::integer as mismatches from v where near = 0")
+def _(s, d):
+    g = _genome(s, d)
+    return D.near_sites(g.select(F.col("site").alias("guide"), "seq"), g.select("site", "seq"), seed=(11, 0))
+
+
+@query("d10_off_targets", HITS + f" select guide, contig, start, strand, site, mismatches::integer as mismatches from (select *, row_number() over (partition by guide order by mismatches, site) as k from h where guide <> site) where k <= {CAP}")
 def _(s, d):
-    return D.capped_hits(_hits(s, d).where("guide <> site"), 3)
+    return D.off_targets(_hits(s, d), _genome(s, d), CAP)
 
 
-@query("d11_penalty", COUNTED + " select guide, round(mm0 * 1000 + mm1 * 800 + mm2 * 600 + mm3 * 400 + case when capped then 20000 else 0 end - 100 * 0.5, 6) as score from n")
+@query("d11_penalty", COUNTED + " select guide, round(mm0 * 1000 + mm1 * 800 + mm2 * 600 + mm3 * 400 + case when capped then 20000 else 0 end - 100 * 0.5, 6) as score from m")
 def _(s, d):
     return _counts(s, d).select("guide", F.round(D.penalty(F.lit(0), F.lit(0.5), F.lit(0.5)), 6).alias("score"))
 
 
-@query("d15_own_hit", COUNTED + " select guide, greatest(mm0 - 1, 0)::bigint as mm0 from n")
+@query("d15_own_hit", COUNTED + " select guide, greatest(mm0 - 1, 0)::bigint as mm0 from m")
 def _(s, d):
     return D.without_own_hit(_counts(s, d)).select("guide", "mm0")
 
@@ -270,19 +298,26 @@ def _(s, d):
     return _hits(s, d).groupBy("guide").agg(F.count_if(own).alias("own"), F.count_if(~own).alias("other"))
 
 
-@query("d17_batch_design", TARGETS + " select contig, count(*)::bigint as guides from g group by contig")
+@query("d17_batch_design", TARGETS + ", l as (select distinct doc_id as contig from labels where quality = 1), r as (select contig, start, row_number() over (partition by contig order by abs(length(regexp_replace(left(target, 20), '[^GC]', '', 'g')) / 20.0 - 0.5), start) as rank from g semi join l using (contig)) select contig, start, rank::integer as rank from r where rank <= 5")
 def _(s, d):
-    return D.enumerate_guides(_dna(s, d)).groupBy("contig").agg(F.count(F.lit(1)).alias("guides"))
+    """The five guides of each listed gene whose GC share is nearest to a half, all genes in one job."""
+    listed = t.read(s, d, "labels").where("quality = 1").select(F.col("doc_id").alias("contig")).distinct()
+    g = D.enumerate_guides(_dna(s, d).join(listed, "contig", "left_semi"))
+    off = F.abs(F.length(F.regexp_replace(F.substring("target", 1, 20), "[^GC]", "")) / 20 - 0.5)
+    return D.ranked(g.withColumn("off", off), "contig", "off", "start", 5).select("contig", "start", "rank")
 
 
-@query("d33_modes", TARGETS + " select 'cas9' as mode, count(*)::bigint as n from g union all select 'wide', count(*)::bigint from g where length(regexp_replace(left(target, 20), '[^GC]', '', 'g')) / 20 between 0.3 and 0.9")
+@query("d33_modes", TARGETS + """, c as (select seq, length(seq) as n from dna), f as (select i, substring(seq, i, 24) as win from c, unnest(range(1, greatest(n - 22, 1))) u(i) where n >= 24), h as (select substring(seq, i, 18) as win from c, unnest(range(1, greatest(n - 16, 1))) u(i) where n >= 18)
+select 'cas9' as mode, count(*)::bigint as n from g union all select 'nickase', count(*)::bigint from g union all select 'cpf1', count(*)::bigint from f where win like 'TTT%' or win like '%AAA' union all select 'talen', count(*)::bigint from h
+union all select 'own', count(*)::bigint from g where length(regexp_replace(left(target, 20), '[^GC]', '', 'g')) / 20 between 0.3 and 0.9""")
 def _(s, d):
-    modes = {"cas9": D.MODES["cas9"], "wide": D.Mode(gc_low=0.3, gc_high=0.9)}
+    """Guides of each preset, and of one with the user's own GC range."""
+    modes = D.MODES | {"own": D.Mode(gc_low=0.3, gc_high=0.9)}
     out = [D.enumerate_guides(_dna(s, d), m).agg(F.lit(k).alias("mode"), F.count(F.lit(1)).alias("n")) for k, m in modes.items()]
-    return out[0].unionByName(out[1])
+    return functools.reduce(lambda a, b: a.unionByName(b), out)
 
 
-PAIRS = TARGETS + ", p as (select a.contig, a.start as start_a, b.start as start_b from g a join g b on a.contig = b.contig and b.start - a.start > 10 and b.start - a.start <= 60 and a.strand <> b.strand)"
+PAIRS = TARGETS + ", p as (select a.contig, a.start as start_a, b.start as start_b from (select *, unnest(range(11, 61)) as gap from g) a join g b on a.contig = b.contig and b.start = a.start + a.gap where a.strand <> b.strand)"
 
 
 def _pairs(s, d):
@@ -295,13 +330,15 @@ def _(s, d):
     return _pairs(s, d)
 
 
-@query("j16_talen_pairs", N + ", w as (select contig, i as start, substring(seq, i, 18) as w from dna, unnest(range(1, greatest(length(seq) - 16, 1))) u(i) where length(seq) >= 18 and contig % 20 = 0) select a.contig, a.start as start_a, b.start as start_b from w a join w b on a.contig = b.contig and b.start - a.start > 32 and b.start - a.start <= 40 and a.w like 'T%' and b.w like '%A'")
+TALEN_PAIRS = N + ", w as (select contig, i as start, substring(seq, i, 18) as w from dna, unnest(range(1, greatest(length(seq) - 16, 1))) u(i) where length(seq) >= 18), p as (select a.contig, a.start as start_a, b.start as start_b from (select contig, start, unnest(range(33, 41)) as gap from w where w like 'T%') a join w b on a.contig = b.contig and b.start = a.start + a.gap where b.w like '%A')"
+
+
+@query("j16_talen_pairs", TALEN_PAIRS + " select * from p")
 def _(s, d):
-    h = D.half_sites(_dna(s, d).where("contig % 20 = 0"))
-    return D.pairs_within(h, "contig", "start", 32, 40, F.col("left_a") & F.col("right_b")).selectExpr("contig_a as contig", "start_a", "start_b")
+    return D.pairs_within(D.half_sites(_dna(s, d)), "contig", "start", 32, 40, F.col("left_a") & F.col("right_b")).selectExpr("contig_a as contig", "start_a", "start_b")
 
 
-@query("j17_off_target_pairs", TARGETS + " select a.contig, a.start as start_a, b.start as start_b from g a join g b on a.contig = b.contig and b.start - a.start > 20 and b.start - a.start <= 40")
+@query("j17_off_target_pairs", TARGETS + " select a.contig, a.start as start_a, b.start as start_b from (select *, unnest(range(21, 41)) as gap from g) a join g b on a.contig = b.contig and b.start = a.start + a.gap")
 def _(s, d):
     g = D.enumerate_guides(_dna(s, d)).select("contig", "start")
     return D.pairs_within(g, "contig", "start", 20, 40).selectExpr("contig_a as contig", "start_a", "start_b")

@@ -8,11 +8,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from sievework.functions import sequences as q
 from sievework.operators import design as D
 from sievework.operators import screen as S
 from sievework.plans import tables as t
-from sievework.plans.design import PAIRS, TARGETS
+from sievework.plans.design import HITS, PAIRS, SITES, TALEN_PAIRS, TARGETS, _genome, _hits, sites
 from sievework.plans.registry import query
+from sievework.plans.relational import SPACER
 from sievework.sources import files as R
 
 
@@ -22,29 +24,43 @@ def _scratch(spark) -> str:
     return os.path.join(top, f"files-{uuid.uuid4().hex}")
 
 
-def _pairs(s, d):
-    g = D.enumerate_guides(t.dna(s, d)).select("contig", "start", "strand")
-    p = D.pairs_within(g, "contig", "start", 10, 60, F.col("strand_a") != F.col("strand_b"))
-    key = lambda x: F.concat_ws(":", F.col("contig_a").cast("string"), F.col(f"start_{x}").cast("string"))
-    return p.select(F.concat_ws("|", key("a"), key("b")).alias("pair"), key("a").alias("left"), key("b").alias("right"))
+def _name(contig: str, start: str):
+    return F.concat_ws(":", F.col(contig).cast("string"), F.col(start).cast("string"))
 
 
-def _own_hits(s, d):
-    g = D.enumerate_guides(t.dna(s, d))
-    return g.select(F.concat_ws(":", F.col("contig").cast("string"), F.col("start").cast("string")).alias("guide"), "contig", F.col("start").alias("pos"), "strand")
+def _named_pairs(pairs):
+    return pairs.select(F.concat_ws("|", _name("contig_a", "start_a"), _name("contig_a", "start_b")).alias("pair"), _name("contig_a", "start_a").alias("left"), _name("contig_a", "start_b").alias("right"), F.col("strand_a").alias("strand"))
 
 
-SCORED = PAIRS + ", s as (select contig || ':' || start_a || '|' || contig || ':' || start_b as pair, start_b - start_a <= 40 and start_b - start_a >= 20 as off from p) select pair, 0::bigint as off_same, off::bigint as off_other, (off::bigint * 5000) as score from s"
+#: Pairs of off-targets 20 to 40 bases apart; ``o`` has the hits and ``p`` the pairs.
+SCORED = """, x as (select contig || ':' || start_a as a, contig || ':' || start_b as b, {strand} as strand from p), o as (select guide, contig, start, strand from h where guide <> site),
+f as (select x.a, x.b, count(*) filter (l.strand = r.strand) as same, count(*) filter (l.strand <> r.strand) as other from x join o l on l.guide = x.a join o r on r.guide = x.b and r.contig = l.contig and abs(r.start - l.start) between 20 and 40 group by 1, 2)
+select x.a || '|' || x.b as pair, coalesce(same, 0)::bigint as off_same, coalesce(other, 0)::bigint as off_other, coalesce(same, 0)::bigint * {c[0]} + coalesce(other, 0)::bigint * {c[1]} + case when strand = '+' then {inside} else 0 end as score from x left join f using (a, b)"""
 
 
-@query("d13_nickase_scores", SCORED)
+@query("d13_nickase_scores", HITS + PAIRS[len(TARGETS) :].replace("b.start as start_b", "b.start as start_b, a.strand as strand_a") + SCORED.format(strand="strand_a", c=D.PAIR_PENALTY["nickase"], inside=D.PAM_IN_PENALTY))
 def _(s, d):
-    return D.scored_pairs(_pairs(s, d), _own_hits(s, d), 20, 40).select("pair", "off_same", "off_other", "score")
+    g = _genome(s, d)
+    p = D.pairs_within(g.select("contig", "start", "strand"), "contig", "start", 10, 60, F.col("strand_a") != F.col("strand_b"))
+    return D.scored_pairs(_named_pairs(p), D.off_targets(_hits(s, d), g), 20, 40).select("pair", "off_same", "off_other", "score")
 
 
-@query("d12_talen_scores", SCORED)
+#: Half-sites meet those of both strands with at most one mismatch, in SQL by one of two halves.
+TALEN_HITS = TALEN_PAIRS + """, e as (select contig, start, contig || ':' || start as guide, w as seq from w where w like 'T%' or w like '%A'),
+b as (select contig, start, '+' as strand, guide || '+' as site, seq from e union all select contig, start, '-', guide || '-', reverse(translate(seq, 'ACGT', 'TGCA')) from e),
+u as (select distinct seq from e), v as (select distinct seq from b), n as (select u.seq as a, v.seq as b, 0 from u join v on left(u.seq, 9) = left(v.seq, 9) where hamming(u.seq, v.seq) <= 1 union select u.seq, v.seq, 0 from u join v on right(u.seq, 9) = right(v.seq, 9) where hamming(u.seq, v.seq) <= 1),
+h as (select e.guide, y.site, y.contig, y.start, y.strand from n join e on e.seq = n.a join b y on y.seq = n.b where e.guide || '+' <> y.site)"""
+
+
+@query("d12_talen_scores", TALEN_HITS + SCORED.format(strand="''", c=D.PAIR_PENALTY["talen"], inside=0))
 def _(s, d):
-    return D.scored_pairs(_pairs(s, d), _own_hits(s, d), 20, 40, "talen").select("pair", "off_same", "off_other", "score")
+    e = D.half_sites(t.dna(s, d)).withColumn("guide", _name("contig", "start"))
+    p = D.pairs_within(e.select("contig", "start", "left", "right"), "contig", "start", 32, 40, F.col("left_a") & F.col("right_b")).withColumn("strand_a", F.lit(None).cast("string"))
+    both = F.array(F.struct(F.lit("+").alias("strand"), F.col("window").alias("seq")), F.struct(F.lit("-").alias("strand"), q.reverse_complement(F.col("window")).alias("seq")))
+    b = e.select("contig", "start", "guide", F.explode(both).alias("x")).select("contig", "start", "x.strand", "x.seq", F.concat("guide", "x.strand").alias("site"))
+    hits = D.near_sites(e.select(F.concat("guide", F.lit("+")).alias("guide"), F.col("window").alias("seq")), b.select("site", "seq"), 1, 18)
+    hits = hits.where("guide <> site").join(b.select("site", "contig", "start", "strand"), "site").withColumn("guide", F.expr("left(guide, length(guide) - 1)"))
+    return D.scored_pairs(_named_pairs(p), hits, 20, 40, "talen").select("pair", "off_same", "off_other", "score")
 
 
 @query("d18_amplicons")
@@ -67,9 +83,9 @@ def _(s, d):
     return D.enumerate_guides(t.dna(s, d)).select("contig", "start", F.round(S.melting_temperature(F.col("target")), 4).alias("tm"))
 
 
-@query("d24_feature_matrix", "with " + t.DNA + ", x as (select contig as guide, (length(left(seq, 20)) - length(replace(left(seq, 20), 'A', '')))::double as v from dna where length(seq) >= 60) select guide, round((v - (select avg(v) from x)) / (select stddev_samp(v) from x), 6) as a_z from x")
+@query("d24_feature_matrix", SITES + f", x as (select guide, (length({SPACER}) - length(replace({SPACER}, 'A', '')))::double as v from z) select guide, round((v - (select avg(v) from x)) / (select stddev_samp(v) from x), 6) as a_z from x")
 def _(s, d):
-    seqs = t.dna(s, d).where(F.length("seq") >= 60).select(F.col("contig").alias("guide"), F.substring("seq", 1, 20).alias("seq"))
+    seqs = sites(s, d).select("guide", F.expr(SPACER).alias("seq"))
     return S.feature_matrix(S.nucleotide_features(seqs, 1), ["A"]).select("guide", F.round("A_z", 6).alias("a_z"))
 
 

@@ -11,9 +11,11 @@ from sievework.operators import metrics as M
 from sievework.operators import models as m
 from sievework.operators import screen as S
 from sievework.plans import tables as t
+from sievework.plans.design import CONTEXT, SITES, sites
 from sievework.plans.registry import query
 
 G = "with " + t.GUIDES
+CUT = CONTEXT + 17
 r6 = M.r6
 
 
@@ -364,51 +366,57 @@ def _(s, d):
     return x.select("guide", "category", "len", r6("freq").alias("mixed"), r6("score").alias("score"))
 
 
-def _sites(s, d):
-    return t.dna(s, d).where(F.length("seq") >= 60).select(F.col("contig").alias("guide"), F.substring("seq", 1, 60).alias("seq"), F.lit(30).alias("cut"))
+@query("d27_microhomology", SITES + f""", l as (select guide, seq, unnest(range(1, 60)) as length from z), i as (select guide, seq, length, unnest(range(0, length)) as i from l),
+e as (select *, i - row_number() over (partition by guide, length order by i) as g from i where seq[{CUT} - length + i + 1] = seq[{CUT} + i + 1])
+select guide, length::integer as length, min(i)::integer as start, count(*)::bigint as mh_len, round(avg((seq[{CUT} + i + 1] in ('G', 'C'))::int), 6) as gc from e group by guide, length, g""")
+def _(s, d):
+    return S.microhomologies(sites(s, d)).withColumn("gc", r6("gc"))
 
 
-@query("d27_microhomology", "with " + t.DNA + """, x as (select contig as guide, left(seq, 60) as seq from dna where length(seq) >= 60), l as (select guide, seq, unnest(range(1, 31)) as length from x), i as (select guide, seq, length, unnest(range(0, length)) as i from l),
-e as (select *, i - row_number() over (partition by guide, length order by i) as g from i where seq[30 - length + i + 1] = seq[30 + i + 1])
-select guide, length::integer as length, min(i)::integer as start, count(*)::bigint as mh_len, round(avg((seq[30 + i + 1] in ('G', 'C'))::int), 6) as gc from e group by guide, length, g""")
+@query("d31_deletion_genotypes", SITES + f" select guide, k::integer as length, left(seq, {CUT} - k) || substring(seq, {CUT} + 1) as genotype from z, range(1, 60) r(k)")
 def _(s, d):
-    return S.microhomologies(_sites(s, d)).withColumn("gc", r6("gc"))
+    rows = sites(s, d).select("guide", "seq", "cut", F.explode(F.sequence(F.lit(1), F.lit(59))).alias("length"))
+    return rows.select("guide", "length", F.concat(F.expr("left(seq, cut - length)"), F.expr("substring(seq, cut + 1)")).alias("genotype"))
 
 
-@query("d31_deletion_genotypes", "with " + t.DNA + " select contig as guide, k::integer as length, left(seq, 30 - k) || substring(seq, 31, 30) as genotype from dna, range(1, 4) r(k) where length(seq) >= 60")
-def _(s, d):
-    return _sites(s, d).select("guide", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("length"), "seq").select("guide", "length", F.concat(F.expr("left(seq, 30 - length)"), F.expr("substring(seq, 31, 30)")).alias("genotype"))
+#: The protospacer, and the 30 bases around it: four before, 20, the PAM and three after.
+SPACER, THIRTY = (f"substring(seq, {CONTEXT + 1}, 20)", f"substring(seq, {CONTEXT - 3}, 30)")
+
+
+def _part(s, d, part):
+    return sites(s, d).select("guide", F.expr(part).alias("seq"))
 
 
-@query("d20_nucleotide_features", "with " + t.DNA + ", x as (select contig as guide, left(seq, 20) as seq from dna where length(seq) >= 60), a as (select guide, seq, unnest(range(1, 21)) as i from x), w as (select guide, i, seq[i] as word from a union all select guide, i, substring(seq, i, 2) from a where i < 20), f as (select guide, word || '_' || (i - 1)::varchar as feature from w union all select guide, word from w) select guide, feature, count(*)::bigint as value from f group by 1, 2")
+@query("d20_nucleotide_features", SITES + f", x as (select guide, {SPACER} as seq from z), a as (select guide, seq, unnest(range(1, 21)) as i from x), m as (select guide, i, seq[i] as word from a union all select guide, i, substring(seq, i, 2) from a where i < 20), f as (select guide, word || '_' || (i - 1)::varchar as feature from m union all select guide, word from m) select guide, feature, count(*)::bigint as value from f group by 1, 2")
 def _(s, d):
-    return S.nucleotide_features(_sites(s, d).select("guide", F.substring("seq", 1, 20).alias("seq")))
+    return S.nucleotide_features(_part(s, d, SPACER))
 
 
-@query("d21_gc_flags", "with " + t.DNA + ", x as (select contig as guide, length(regexp_replace(substring(seq, 5, 20), '[^GC]', '', 'g')) as gc from dna where length(seq) >= 60) select guide, gc::integer as gc, gc > 10 as high, gc < 10 as low from x")
+@query("d21_gc_flags", SITES + f", x as (select guide, length(regexp_replace(substring({THIRTY}, 5, 20), '[^GC]', '', 'g')) as gc from z) select guide, gc::integer as gc, gc > 10 as high, gc < 10 as low from x")
 def _(s, d):
     n = F.length(F.regexp_replace(F.substring("seq", 5, 20), "[^GC]", ""))
-    return _sites(s, d).select("guide", n.alias("gc"), (n > 10).alias("high"), (n < 10).alias("low"))
+    return _part(s, d, THIRTY).select("guide", n.alias("gc"), (n > 10).alias("high"), (n < 10).alias("low"))
 
 
-@query("d22_nggx", "with " + t.DNA + " select contig as guide, seq[25] || seq[28] as nx, seq[26:27] = 'GG' as gg from dna where length(seq) >= 60")
+@query("d22_nggx", SITES + f", x as (select guide, {THIRTY} as seq from z) select guide, seq[25] || seq[28] as nx, seq[26:27] = 'GG' as gg from x")
 def _(s, d):
-    x = _sites(s, d)
+    x = _part(s, d, THIRTY)
     return x.select("guide", F.concat(F.substring("seq", 25, 1), F.substring("seq", 28, 1)).alias("nx"), (F.substring("seq", 26, 2) == "GG").alias("gg"))
 
 
-@query("d25_one_hot", "with " + t.DNA + ", b as (select contig as guide, unnest(range(1, 61)) as i, left(seq, 60) as seq from dna where length(seq) >= 60) select guide, sum((seq[i] = 'A')::int)::bigint as a, sum((seq[i] = 'C')::int)::bigint as c from b group by guide")
+@query("d25_one_hot", SITES + ", b as (select guide, unnest(range(1, length(seq) + 1)) as i, seq from z) select guide, sum((seq[i] = 'A')::int)::bigint as a, sum((seq[i] = 'C')::int)::bigint as c from b group by guide")
 def _(s, d):
-    x = _sites(s, d).select("guide", F.explode(S.one_hot(F.col("seq"))).alias("h"))
+    x = sites(s, d).select("guide", F.explode(S.one_hot(F.col("seq"))).alias("h"))
     return x.groupBy("guide").agg(F.sum(F.col("h")[0]).alias("a"), F.sum(F.col("h")[1]).alias("c"))
 
 
-@query("d26_percentile", G + ", r as (select tool_price as score from guides where strand = '+'), x as (select guide_id, tool_price as score from guides where strand = '-' and position % 50 = 0) select guide_id, round((select count(*) from r where r.score <= x.score) / (select count(*) from r), 6) as percentile from x")
+@query("d26_percentile", G + ", v as (select tool_price as score, count(*) filter (strand = '+') as n from guides group by 1), r as (select score, sum(n) over (order by score) as upto, sum(n) over () as total from v) select guide_id, round(upto / total, 6) as percentile from guides join r on tool_price = r.score where strand = '-'")
 def _(s, d):
+    """The guides of one strand against the scores of the other."""
     g = t.guides(s, d).withColumnRenamed("tool_price", "score")
-    return S.percentile_against(g.where("strand = '-' and position % 50 = 0").select("guide_id", "score"), g.where("strand = '+'")).select("guide_id", r6("percentile").alias("percentile"))
+    return S.percentile_against(g.where("strand = '-'").select("guide_id", "score"), g.where("strand = '+'")).select("guide_id", r6("percentile").alias("percentile"))
 
 
-@query("d32_molecular_weight", "with " + t.DNA + ", x as (select contig as guide, left(seq, 30) as s from dna where length(seq) >= 60) select guide, round(length(regexp_replace(s, '[^A]', '', 'g')) * 313.21 + length(regexp_replace(s, '[^C]', '', 'g')) * 289.18 + length(regexp_replace(s, '[^G]', '', 'g')) * 329.21 + length(regexp_replace(s, '[^T]', '', 'g')) * 304.2 - 61.96, 4)::double as weight from x")
+@query("d32_molecular_weight", SITES + f", x as (select guide, {THIRTY} as s from z) select guide, round(length(regexp_replace(s, '[^A]', '', 'g')) * 313.21 + length(regexp_replace(s, '[^C]', '', 'g')) * 289.18 + length(regexp_replace(s, '[^G]', '', 'g')) * 329.21 + length(regexp_replace(s, '[^T]', '', 'g')) * 304.2 - 61.96, 4)::double as weight from x")
 def _(s, d):
-    return _sites(s, d).select("guide", F.round(S.molecular_weight(F.substring("seq", 1, 30)), 4).alias("weight"))
+    return _part(s, d, THIRTY).select("guide", F.round(S.molecular_weight(F.col("seq")), 4).alias("weight"))
