@@ -120,6 +120,18 @@ def spearman_within(long: DataFrame, least: int = 3) -> DataFrame:
     return ranked.groupBy("tool", "gene").agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("spearman"))
 
 
+def agreement_within(long: DataFrame, least: int = 3) -> DataFrame:
+    """Per tool over the genes of spearman_within: mean Spearman, mean Kendall tau-b, share of genes with the same best and
+    the same worst guide by score and by efficacy."""
+    rho = spearman_within(long, least)
+    rows = long.join(rho.select("tool", "gene"), ["tool", "gene"], "left_semi")
+    tau = M.kendall_within(rows, ("tool", "gene"))
+    ends = top_and_bottom(rows)
+    same = lambda x: F.avg((F.col(f"{x}_score") == F.col(f"{x}_efficacy")).cast("int"))
+    both = rho.drop("n").join(tau, ["tool", "gene"]).join(ends.drop("n"), ["tool", "gene"])
+    return both.groupBy("tool").agg(F.count(F.lit(1)).alias("genes"), F.avg("spearman").alias("mean_spearman"), F.avg("tau_b").alias("mean_kendall"), same("top").alias("best_agreement"), same("bottom").alias("worst_agreement"))
+
+
 def within_gene_ranking(long: DataFrame, least: float = 0.5) -> DataFrame:
     """Per tool over genes of several guides: shares with the same top, the same bottom and a Spearman above ``least``."""
     ends = top_and_bottom(long).where("n > 1")

@@ -5,6 +5,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -98,6 +102,13 @@ def best_threshold(long: DataFrame, kind: Column, totals: DataFrame, n_steps: in
     return r.withColumn("k", F.row_number().over(W.Window.partitionBy("tool").orderBy(F.least("tpr", "specificity").desc(), "i"))).where("k = 1").drop("k", "i")
 
 
+def both_comparisons(best: DataFrame, totals: DataFrame) -> DataFrame:
+    """Rows of best_threshold, for Good against the rest and, at the same threshold, for Good and Moderate against Poor."""
+    counts = best.select("tool", "threshold", "Good", "Moderate", "Poor")
+    one = rates(counts, totals).withColumn("comparison", F.lit("good_vs_rest"))
+    return one.unionByName(rates(counts, totals, ("Good", "Moderate")).withColumn("comparison", F.lit("not_poor_vs_poor")))
+
+
 def at_thresholds(long: DataFrame, thresholds: DataFrame, kind: Column, totals: DataFrame, good: tuple[str, ...] = ("Good",)) -> DataFrame:
     """The same rates at given (tool, threshold)."""
     rows = long.withColumn("kind", kind).join(F.broadcast(thresholds), "tool").where(F.col("score") >= F.col("threshold"))
@@ -143,6 +154,10 @@ def spearman(long: DataFrame, against: str = "efficacy") -> DataFrame:
     return ranked.groupBy("tool").agg(F.corr("_x", "_y").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
+#: Levels of Kendall's count whose blocks are cut into buckets: the first has two halves, the last 2**TOP_LEVELS.
+TOP_LEVELS = 6
+
+
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     """Kendall's tau-b of one pair of columns.
 
@@ -155,16 +170,17 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     xs = running_sums(cells.groupBy("x").agg(F.lit(1).alias("one"), F.lit(0).alias("k")), ("k",), "x", ["one"], descending=False).select("x", (F.col("cum_one") - 1).cast("long").alias("rank"))
     cells = cells.join(xs, "x")
     bits = max(1, (xs.agg(F.max("rank")).first()[0] or 0).bit_length())
-    levels = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
-    block = F.expr("shiftright(rank, level + 1)")
     half = F.expr("shiftright(rank, level) & 1")
-    left = F.when(half == 0, F.col("n")).otherwise(0)
-    upto = W.Window.partitionBy("level", "block").orderBy("y").rangeBetween(W.Window.unboundedPreceding, 0)
-    same = W.Window.partitionBy("level", "block", "y")
-    levels = levels.withColumns({"block": block, "half": half, "left": left})
-    levels = levels.withColumns({"lower": F.sum("left").over(upto) - F.sum("left").over(same), "equal": F.sum("left").over(same), "whole": F.sum("left").over(W.Window.partitionBy("level", "block"))})
-    right = F.when(F.col("half") == 1, F.col("n").cast("double")).otherwise(0.0)
-    found = levels.agg(F.sum(right * F.col("lower")).alias("c"), F.sum(right * (F.col("whole") - F.col("lower") - F.col("equal"))).alias("d"))
+    levels = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))).select("level", F.expr("shiftright(rank, level + 1)").alias("block"), "y", F.when(half == 0, F.col("n")).otherwise(0).alias("left"), F.when(half == 1, F.col("n")).otherwise(0).alias("right"))
+    keys = ("level", "block")
+    levels = levels.groupBy(*keys, "y").agg(F.sum("left").alias("left"), F.sum("right").alias("right"))
+    # At the top levels a block has much of the table: running sums in buckets. Below, a block is a window.
+    top = bits - TOP_LEVELS
+    low = levels.where(F.col("level") < top).withColumn("cum_left", F.sum("left").over(W.Window.partitionBy(*keys).orderBy("y").rowsBetween(W.Window.unboundedPreceding, 0)))
+    high = running_sums(levels.where(F.col("level") >= top), keys, "y", ["left"], descending=False).select(*low.columns)
+    both = low.unionByName(high).join(levels.groupBy(*keys).agg(F.sum("left").alias("whole")), [*keys])
+    right = F.col("right").cast("double")
+    found = both.agg(F.sum(right * (F.col("cum_left") - F.col("left"))).alias("c"), F.sum(right * (F.col("whole") - F.col("cum_left"))).alias("d"))
     pairs = lambda c: F.sum(F.col(c).cast("double") * (F.col(c) - 1) / 2)
     tx = rows.groupBy("x").agg(F.count(F.lit(1)).alias("n")).agg(pairs("n").alias("tx"), F.sum("n").cast("double").alias("total"))
     ty = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).agg(pairs("n").alias("ty"))
@@ -173,10 +189,75 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def tool_correlations(wide: DataFrame, tools: tuple[str, ...]) -> DataFrame:
-    """(tool_a, tool_b, pearson) for each pair of tool columns, over the rows that have both: one pass."""
+    """(tool_a, tool_b, n, pearson, spearman) for each two tool columns in either order, over the rows that have both."""
     pairs = [(a, b) for i, a in enumerate(tools) for b in tools[i + 1 :]]
-    one = wide.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("tool_a"), F.lit(b).alias("tool_b"), F.col(f"{a}|{b}").alias("pearson")) for a, b in pairs])).alias("x")).select("x.*")
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("tool_a"), F.lit(b).alias("tool_b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs]))
+    rows = wide.select(each.alias("p")).select("p.*").where("x is not null and y is not null")
+    keys = ("tool_a", "tool_b")
+    ranked = with_average_ranks(with_average_ranks(rows, keys, "x", "_x"), keys, "y", "_y")
+    one = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("pearson"), F.corr("_x", "_y").alias("spearman"))
+    return one.unionByName(one.select(F.col("tool_b").alias("tool_a"), F.col("tool_a").alias("tool_b"), "n", "pearson", "spearman"))
+
+
+def kendall_within(rows: DataFrame, keys: tuple[str, ...], x: str = "score", y: str = "efficacy") -> DataFrame:
+    """keys and tau_b among the rows of each group: the counts of ``kendall``, level by level, in windows of the groups."""
+    rows = rows.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    cells = rows.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    by = W.Window.partitionBy(*keys)
+    cells = cells.withColumn("rank", F.dense_rank().over(by.orderBy("x")) - 1)
+    bits = F.greatest(F.ceil(F.log2(F.max("rank").over(by) + 1)), F.lit(1)).cast("int")
+    levels = cells.withColumn("bits", bits).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)))
+    levels = levels.withColumns({"block": F.expr("shiftright(rank, level + 1)"), "half": F.expr("shiftright(rank, level) & 1")})
+    levels = levels.withColumn("left", F.when(F.col("half") == 0, F.col("n")).otherwise(0))
+    block = W.Window.partitionBy(*keys, "level", "block")
+    lower = F.coalesce(F.sum("left").over(block.orderBy("y").rangeBetween(W.Window.unboundedPreceding, 0)), F.lit(0))
+    levels = levels.withColumns({"upto": lower, "equal": F.sum("left").over(W.Window.partitionBy(*keys, "level", "block", "y")), "whole": F.sum("left").over(block)})
+    right = F.when(F.col("half") == 1, F.col("n").cast("double")).otherwise(0.0)
+    s = levels.groupBy(*keys).agg(F.sum(right * (F.col("upto") - F.col("equal"))).alias("c"), F.sum(right * (F.col("whole") - F.col("upto"))).alias("d"))
+    pairs = lambda c: F.sum(F.col(c).cast("double") * (F.col(c) - 1) / 2)
+    ties = lambda c, name: rows.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(pairs("n").alias(name), F.sum("n").cast("double").alias(f"n_{name}"))
+    one = s.join(ties("x", "tx"), [*keys]).join(ties("y", "ty"), [*keys]).withColumn("all", F.col("n_tx") * (F.col("n_tx") - 1) / 2)
+    return one.select(*keys, ((F.col("c") - F.col("d")) / F.nullif(F.sqrt((F.col("all") - F.col("tx")) * (F.col("all") - F.col("ty"))), F.lit(0.0))).alias("tau_b"))
+
+
+def t_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Two-sided tail of Student's t: the regularised incomplete beta function I_x(df / 2, 1 / 2) at x = df / (df + t^2).
+
+    By the continued fraction of Lentz, for whole arrays at once.
+    """
+    t, df = np.asarray(t, float), np.asarray(df, float)
+    x = df / (df + t * t)
+    a, b = df / 2, np.full_like(df, 0.5)
+    turned = x >= (a + 1) / (a + b + 2)  # there the fraction of the other side converges fast
+    a, b, x = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, 1 - x, x)
+    ln_gamma = np.vectorize(math.lgamma, otypes=[float])
+    with np.errstate(divide="ignore"):
+        front = np.exp(ln_gamma(a + b) - ln_gamma(a) - ln_gamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    h = d.copy()
+    for m in range(1, 400):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + step * d
+            c = 1 + step / c
+            d, c = 1 / np.where(np.abs(d) < tiny, tiny, d), np.where(np.abs(c) < tiny, tiny, c)
+            h = h * d * c
+    return np.where(turned, 1 - front * h, front * h)
+
+
+def spearman_p(correlations: DataFrame, rho: str = "spearman") -> DataFrame:
+    """Adds the two-sided p of (rho, n) by Student's t with n - 2 degrees of freedom; null for n < 3, 0 for rho of 1 or -1."""
+
+    @F.pandas_udf("double")
+    def tail(t: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series(t_tail(t.to_numpy(), df.to_numpy()))
+
+    df = (F.col("n") - 2).cast("double")
+    t = F.col(rho) * F.sqrt(df / F.nullif(1 - F.col(rho) * F.col(rho), F.lit(0.0)))
+    safe = F.when((F.col("n") > 2) & t.isNotNull(), t).otherwise(0.0)
+    p = F.when(F.col("n") > 2, F.when(t.isNull() & F.col(rho).isNotNull(), 0.0).when(F.col(rho).isNotNull(), tail(safe, F.greatest(df, F.lit(1.0)))))
+    return correlations.withColumn("p", p)
 
 
 def poor_detection(long: DataFrame, poor: Column) -> DataFrame:

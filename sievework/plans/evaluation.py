@@ -74,13 +74,18 @@ q as (select *, tp / (tp + fn) as tpr, tn / (tn + fp) as specificity from r)"""
 RATES = ", ".join(f"{c}::bigint as {c}" for c in ("tp", "fn", "fp", "tn")) + ", round(tpr, 6) as tpr, round(specificity, 6) as specificity, round(tpr + specificity - 1, 6) as youden, round(case when fp = 0 then 'inf'::double else tpr / (1 - specificity) end, 6) as lr_plus"
 
 
-def _rates(df):
-    return df.select("tool", M.r6("threshold").alias("threshold"), *[F.col(c).cast("long").alias(c) for c in ("tp", "fn", "fp", "tn")], *[M.r6(c).alias(c) for c in ("tpr", "specificity", "youden", "lr_plus")])
+def _rates(df, *more):
+    return df.select("tool", *more, M.r6("threshold").alias("threshold"), *[F.col(c).cast("long").alias(c) for c in ("tp", "fn", "fp", "tn")], *[M.r6(c).alias(c) for c in ("tpr", "specificity", "youden", "lr_plus")])
 
 
-@query("e05_best_threshold", _sweep(500) + f", b as (select *, row_number() over (partition by tool order by least(tpr, specificity) desc, i) as k from q) select tool, round(threshold, 6) as threshold, {RATES} from b where k = 1")
+@query("e05_best_threshold", _sweep(500) + f""", b as (select *, row_number() over (partition by tool order by least(tpr, specificity) desc, i) as k from q),
+v as (select tool, threshold, 'good_vs_rest' as comparison, cg as tp, totals.g - cg as fn, cm + cp as fp, totals.m + totals.p - cm - cp as tn from b join c using (tool, i, threshold), totals where k = 1
+ union all select tool, threshold, 'not_poor_vs_poor', cg + cm, totals.g + totals.m - cg - cm, cp, totals.p - cp from b join c using (tool, i, threshold), totals where k = 1),
+o as (select *, tp / (tp + fn) as tpr, tn / (tn + fp) as specificity from v) select tool, comparison, round(threshold, 6) as threshold, {RATES} from o""")
 def _(s, d):
-    return _rates(M.best_threshold(t.long_guides(s, d), kind(), M.class_totals(t.guides(s, d), kind())))
+    totals = M.class_totals(t.guides(s, d), kind())
+    both = M.both_comparisons(M.best_threshold(t.long_guides(s, d), kind(), totals), totals)
+    return _rates(both, "comparison")
 
 
 PRESET = (("tool_price", 40000.0), ("tool_disc", 0.05), ("tool_tax", 0.04))
@@ -145,14 +150,8 @@ def _(s, d):
 
 @query("e11_spearman_p")
 def _(s, d):
-    """Spearman with a two-sided p value by the normal tail of Fisher's transform."""
-
-    @F.pandas_udf("double")
-    def tail(z: pd.Series) -> pd.Series:
-        return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)))
-
-    r = M.spearman(t.long_guides(s, d))
-    return r.select("tool", "n", M.r6("spearman").alias("spearman"), tail(F.atanh("spearman") * F.sqrt((F.col("n") - 3) / 1.06)).alias("p"))
+    """Spearman with its two-sided p value by Student's t."""
+    return M.spearman_p(M.spearman(t.long_guides(s, d))).select("tool", "n", M.r6("spearman").alias("spearman"), M.r6("p").alias("p"))
 
 
 @query("e12_kendall", "with " + t.BINARY + """, p as (select sign(a.score - b.score) * sign(a.label - b.label) as s, a.score = b.score as tx, a.label = b.label as ty from binary_labels a join binary_labels b on a.doc_id < b.doc_id)
@@ -161,15 +160,19 @@ def _(s, d):
     return M.kendall(t.binary_labels(s, d), "score", "label").select(M.r6("tau_b").alias("tau_b"), "n")
 
 
-@query("e13_tool_correlations", "with " + t.GUIDES + " select 'tool_price' as tool_a, 'tool_disc' as tool_b, round(corr(tool_price, tool_disc), 6) as pearson from guides union all select 'tool_price', 'tool_tax', round(corr(tool_price, tool_tax), 6) from guides union all select 'tool_disc', 'tool_tax', round(corr(tool_disc, tool_tax), 6) from guides")
+@query("e13_tool_correlations", "with " + t.GUIDES + ", w as (" + " union all ".join(f"select '{a}' as tool_a, '{b}' as tool_b, {a} as x, {b} as y from guides where {a} is not null and {b} is not null" for a in t.TOOLS for b in t.TOOLS if a != b) + """),
+k as (select tool_a, tool_b, x, y, rank() over (partition by tool_a, tool_b order by x) + (count(*) over (partition by tool_a, tool_b, x) - 1) / 2.0 as rx, rank() over (partition by tool_a, tool_b order by y) + (count(*) over (partition by tool_a, tool_b, y) - 1) / 2.0 as ry from w)
+select tool_a, tool_b, count(*)::bigint as n, round(corr(x, y), 6) as pearson, round(corr(rx, ry), 6) as spearman from k group by 1, 2""")
 def _(s, d):
-    return M.tool_correlations(t.guides(s, d), t.TOOLS).withColumn("pearson", M.r6("pearson"))
+    return M.tool_correlations(t.guides(s, d), t.TOOLS).withColumns({"pearson": M.r6("pearson"), "spearman": M.r6("spearman")})
 
 
-@query("e14_best_f1", _sweep(100) + """, f as (select *, tp / (tp + fp) as precision, tpr as recall, coalesce(2 * tp / (2 * tp + fp + fn), 0) as f1 from q),
-b as (select *, row_number() over (partition by tool order by round(f1, 12) desc, i) as k from f) select tool, round(threshold, 6) as threshold, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1 from b where k = 1""")
+@query("e14_best_f1", _sweep(100) + RANKS.replace("r as (", "ranks as (") + """, sp as (select tool, round(corr(x, y), 6) as spearman from ranks group by tool), """ + _auc_sql("efficacy >= 90").replace("r as (", "ra as (").replace("from r ", "from ra ") + """, f as (select *, tp / (tp + fp) as precision, tpr as recall, coalesce(2 * tp / (2 * tp + fp + fn), 0) as f1 from q),
+best as (select *, row_number() over (partition by tool order by round(f1, 12) desc, i) as k from f) select tool, round(threshold, 6) as threshold, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, round((s - p * (p + 1) / 2.0) / (p * n), 6) as auc, spearman from best join a using (tool) join sp using (tool) where k = 1""")
 def _(s, d):
-    return M.best_f1(t.long_guides(s, d), kind(), M.class_totals(t.guides(s, d), kind())).select("tool", *[M.r6(c).alias(c) for c in ("threshold", "precision", "recall", "f1")])
+    l = t.long_guides(s, d)
+    best = M.best_f1(l, kind(), M.class_totals(t.guides(s, d), kind())).join(M.auc(l, good()).select("tool", "auc"), "tool").join(M.spearman(l).drop("n"), "tool")
+    return best.select("tool", *[M.r6(c).alias(c) for c in ("threshold", "precision", "recall", "f1", "auc", "spearman")])
 
 
 @query("e15_poor_detection", L + """, x as (select tool, score, efficacy < 60 as poor from long where score is not null),
@@ -181,13 +184,40 @@ def _(s, d):
     return M.poor_detection(t.long_guides(s, d), F.col("efficacy") < 60).select("tool", *[M.r6(c).alias(c) for c in ("threshold", "precision", "recall", "f1", "accuracy")])
 
 
-@query("e18_dashboard", L + RANKS + """, sp as (select tool, round(corr(x, y), 6) as spearman from r group by tool),
-pe as (select tool, round(corr(score, efficacy), 6) as pearson from long where score is not null group by tool), """ + _auc_sql("efficacy >= 90").replace("r as (", "ra as (").replace("from r ", "from ra ")
-       + " select tool, spearman, pearson, round((s - p * (p + 1) / 2.0) / (p * n), 6) as auc from a join sp using (tool) join pe using (tool)")
+THREE = "case when {v} <= 60 then 'Poor' when {v} <= 90 then 'Moderate' else 'Good' end"
+
+
+#: Kendall's pairs are counted in SQL over the distinct scores and the few distinct efficacies.
+@query("e18_dashboard", L + RANKS + """, sp as (select tool, corr(x, y) as spearman, count(*) as n from r group by tool),
+cl as (select tool, score, efficacy as e, count(*) as n from long where score is not null group by 1, 2, 3), ef as (select distinct e from cl),
+gr as (select x.tool, x.score, ef.e, coalesce(cl.n, 0) as n from (select distinct tool, score from cl) x cross join ef left join cl on cl.tool = x.tool and cl.score = x.score and cl.e = ef.e),
+cu as (select *, sum(n) over (partition by tool, e order by score) - n as below, sum(n) over (partition by tool, e) as level from gr),
+lo as (select *, sum(below) over (partition by tool, score order by e) - below as lower, sum(level - below - n) over (partition by tool, score order by e) - (level - below - n) as upper from cu),
+ke as (select tool, sum(n * lower)::double as c, sum(n * upper)::double as d from lo group by 1),
+tx as (select tool, sum(m::double * (m - 1) / 2) as tx from (select tool, score, sum(n) as m from cl group by 1, 2) group by 1), ty as (select tool, sum(m::double * (m - 1) / 2) as ty from (select tool, e, sum(n) as m from cl group by 1, 2) group by 1),
+ra as (select tool, min(score) as low, max(score) as high from long group by 1),
+ca as (select tool, avg((""" + THREE.format(v="efficacy") + " = " + THREE.format(v="(score - low) / (high - low) * 100") + """)::int) as agreement from long join ra using (tool) where score is not null group by 1),
+px as (select tool, score, efficacy < 60 as poor from long where score is not null),
+po as (select tool, score, row_number() over (partition by tool order by score) - 1 as i, avg(poor::int) over (partition by tool) * (count(*) over (partition by tool) - 1) as place from px),
+th as (select tool, max(score) filter (i = floor(place)) + (max(score) filter (i = ceil(place)) - max(score) filter (i = floor(place))) * (max(place) - floor(max(place))) as threshold from po group by tool),
+pf as (select tool, 2 * count(*) filter (poor and score <= threshold + 1e-12)::double / (count(*) filter (poor) + count(*) filter (score <= threshold + 1e-12)) as poor_f1 from px join th using (tool) group by 1),
+ev as (select tool, gene, first(guide_id order by score desc, guide_id) as a, first(guide_id order by efficacy desc, guide_id) as b, count(*) as n from long where score is not null and efficacy is not null group by 1, 2),
+ta as (select tool, avg((a = b)::int) as top_accuracy from ev where n > 1 group by 1)
+select tool, round(spearman, 6) as spearman, round((c - d) / sqrt((sp.n::double * (sp.n - 1) / 2 - tx) * (sp.n::double * (sp.n - 1) / 2 - ty)), 6) as kendall, round(agreement, 6) as category_agreement, round(poor_f1, 6) as poor_f1, round(top_accuracy, 6) as top_accuracy
+from sp join ke using (tool) join tx using (tool) join ty using (tool) join ca using (tool) join pf using (tool) join ta using (tool)""")
 def _(s, d):
+    from sievework.operators import genes as g
+
     l = t.long_guides(s, d)
-    a = M.auc(l, good()).select("tool", M.r6("auc").alias("auc"))
-    return a.join(M.spearman(l).select("tool", M.r6("spearman").alias("spearman")), "tool").join(M.pearson(l).select("tool", M.r6("pearson").alias("pearson")), "tool")
+    low_high = l.groupBy("tool").agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    scaled = l.where("score is not null").join(F.broadcast(low_high), "tool").withColumn("v", (F.col("score") - F.col("low")) / (F.col("high") - F.col("low")) * 100)
+    agree = scaled.groupBy("tool").agg(F.avg((C.three_bins(F.col("efficacy")) == C.three_bins(F.col("v"))).cast("int")).alias("category_agreement"))
+    taus = [M.kendall(l.where(F.col("tool") == tool), "score", "efficacy").select(F.lit(tool).alias("tool"), F.col("tau_b").alias("kendall")) for tool in t.TOOLS]
+    tau = taus[0].unionByName(taus[1]).unionByName(taus[2])
+    poor = M.poor_detection(l, F.col("efficacy") < 60).select("tool", F.col("f1").alias("poor_f1"))
+    top = g.within_gene_ranking(l).select("tool", F.col("top_agreement").alias("top_accuracy"))
+    both = M.spearman(l).drop("n").join(tau, "tool").join(agree, "tool").join(poor, "tool").join(top, "tool")
+    return both.select("tool", *[M.r6(c).alias(c) for c in ("spearman", "kendall", "category_agreement", "poor_f1", "top_accuracy")])
 
 
 @query("e24_class_shares", "with " + t.GUIDES + f" select class, n, round(n * 100.0 / sum(n) over (), 6) as percent from (select {KIND_SQL} as class, count(*)::bigint as n from guides group by 1)")

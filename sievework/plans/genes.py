@@ -134,11 +134,15 @@ def _(s, d):
     return r.select("tool", "genes", *[M.r6(c).alias(c) for c in ("top_agreement", "bottom_agreement", "high_spearman_share")])
 
 
-@query("e17_within_gene_spearman", L + """, y as (select tool, gene from long group by 1, 2 having count(*) >= 3 and count(score) = count(*) and count(distinct score) > 1 and count(distinct efficacy) > 1),
+@query("e17_within_gene_agreement", L + ENDS + """, y as (select tool, gene from long group by 1, 2 having count(*) >= 3 and count(score) = count(*) and count(distinct score) > 1 and count(distinct efficacy) > 1),
 r as (select tool, gene, rank() over (partition by tool, gene order by score) + (count(*) over (partition by tool, gene, score) - 1) / 2 as x, rank() over (partition by tool, gene order by efficacy) + (count(*) over (partition by tool, gene, efficacy) - 1) / 2 as y2 from long semi join y using (tool, gene)),
-c as (select tool, gene, corr(x, y2) as s from r group by 1, 2) select tool, count(*)::bigint as genes, round(avg(s), 6) as mean_spearman from c group by tool""")
+c as (select tool, gene, corr(x, y2) as s from r group by 1, 2),
+q as (select tool, gene, sign(a.score - b.score) * sign(a.efficacy - b.efficacy) as s, a.score <> b.score as dx, a.efficacy <> b.efficacy as dy from long a join long b using (tool, gene) semi join y using (tool, gene) where a.guide_id < b.guide_id),
+k as (select tool, gene, sum(s) / sqrt(count(*) filter (dx)::double * count(*) filter (dy)) as tau from q group by 1, 2)
+select tool, count(*)::bigint as genes, round(avg(s), 6) as mean_spearman, round(avg(tau), 6) as mean_kendall, round(avg((top_score = top_efficacy)::int), 6) as best_agreement, round(avg((bottom_score = bottom_efficacy)::int), 6) as worst_agreement from c join k using (tool, gene) join e using (tool, gene) group by tool""")
 def _(s, d):
-    return g.spearman_within(t.long_guides(s, d)).groupBy("tool").agg(F.count(F.lit(1)).alias("genes"), M.r6(F.avg("spearman")).alias("mean_spearman"))
+    r = g.agreement_within(t.long_guides(s, d))
+    return r.select("tool", "genes", *[M.r6(c).alias(c) for c in ("mean_spearman", "mean_kendall", "best_agreement", "worst_agreement")])
 
 
 AUROC = L + """, a as (select tool, gene, count(*) filter (efficacy >= 60) as p, count(*) filter (not efficacy >= 60) as n from long where score is not null group by 1, 2),
