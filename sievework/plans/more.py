@@ -19,8 +19,12 @@ from sievework.sources import files as R
 
 
 def _scratch(spark) -> str:
-    """A new folder that driver and executors share; only where the session names none, a temporary one."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    """A new folder that driver and executors share; a temporary one only where a session on one machine names none."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = "file://" + tempfile.gettempdir()
     return os.path.join(top, f"files-{uuid.uuid4().hex}")
 
 
