@@ -173,3 +173,93 @@ def _(s, d):
 @query("s19_thresholds", "with " + t.LONG + " select guide_id, tool, 0.05::double as threshold from long where tool = 'tool_disc'")
 def _(s, d):
     return R.with_thresholds(t.long_guides(s, d, ("guide_id",)), s.createDataFrame([("tool_disc", 0.05)], "tool string, threshold double")).select("guide_id", "tool", "threshold")
+
+
+@query("s09_hits", "with " + t.GUIDES + " select guide_id as name, chromosome as contig, position as pos, 'NM:i:' || (position % 4)::varchar as nm from guides")
+def _(s, d):
+    """Alignments of 14 tab-separated columns, written and read back."""
+    path, none = _scratch(s), F.lit("*")
+    g = t.guides(s, d).select("guide_id", F.lit(0), "chromosome", "position", F.lit(255), F.lit("23M"), none, F.lit(0), F.lit(0), none, none, none, none, F.concat(F.lit("NM:i:"), (F.col("position") % 4).cast("string")))
+    g.toDF(*[f"c{i}" for i in range(14)]).write.option("sep", "\t").csv(path)
+    return R.read_hits(s, path).select("name", "contig", "pos", "nm")
+
+
+@query("s12_amplicon_bed", "with " + t.GUIDES + " select concat_ws(chr(9), chromosome, position::varchar, (position + 170)::varchar, guide_id, '0', '+', position::varchar, (position + 170)::varchar, '0', '3', '20,20,20', '0,75,150') as value from guides")
+def _(s, d):
+    path = _scratch(s)
+    at = lambda a: F.col("position") + a
+    rows = t.guides(s, d).select(F.col("chromosome").alias("chrom"), F.col("guide_id").alias("name"), *[at(a).alias(c) for c, a in (("fwd_start", 0), ("fwd_end", 20), ("guide_start", 75), ("guide_end", 95), ("rev_start", 150), ("rev_end", 170))])
+    R.amplicon_bed(rows).write.text(path)
+    return s.read.text(path)
+
+
+@query("s16_metrics", "with " + t.LONG + " select tool, count(score)::bigint as n from long group by tool union all select tool, count(score)::bigint from long group by tool")
+def _(s, d):
+    """Metrics written as CSV and as JSON records, both read back."""
+    path = _scratch(s)
+    R.write_metrics(t.long_guides(s, d).groupBy("tool").agg(F.count("score").alias("n")), path)
+    schema = "tool string, n bigint"
+    return R.read_csv(s, f"{path}/csv", schema).unionByName(s.read.schema(schema).json(f"{path}/json"))
+
+
+@query("s18_contributions", "with " + t.GUIDES + ", m as (select avg(tool_price) as a, stddev_samp(tool_price) as b from guides) select guide_id, round(0.7 * (tool_price - a) / b, 6) as c_tool_price from guides, m")
+def _(s, d):
+    """Contributions of a feature under a model that was saved and loaded (S17), keyed, as a CSV sink."""
+    from sievework.operators import models as m
+
+    g, path = t.guides(s, d), _scratch(s)
+    one = g.agg(F.avg("tool_price").alias("a"), F.stddev_samp("tool_price").alias("b")).first()
+    m.save_model(s, {"weights": {"tool_price": 0.7}, "means": {"tool_price": one["a"]}, "stds": {"tool_price": one["b"]}}, f"{path}/model")
+    R.write_csv(m.contributions(g, m.load_model(s, f"{path}/model"), ["guide_id"]), f"{path}/table")
+    return R.read_csv(s, f"{path}/table", "guide_id string, c_tool_price double").select("guide_id", F.round("c_tool_price", 6).alias("c_tool_price"))
+
+
+@query("s20_hit_sink", HITS + " select guide, site, contig || ':' || start as locus, mismatches::integer as mismatches from h where guide <> site and mismatches = 0")
+def _(s, d):
+    """Off-targets in a folder for each contig of a guide, with label, locus and mismatches, read back."""
+    path = _scratch(s)
+    g = _genome(s, d)
+    h = D.near_sites(g.select(F.col("site").alias("guide"), "seq"), g.select("site", "seq"), 0).where("guide <> site").join(g.select("site", _name("contig", "start").alias("locus")), "site")
+    h.select("guide", "site", "locus", "mismatches").write.option("sep", "\t").csv(path)
+    return s.read.option("sep", "\t").schema("guide string, site string, locus string, mismatches int").csv(path)
+
+
+@query("s22_report_lines", TARGETS + ", r as (select contig, start, target, row_number() over (partition by contig order by target, start) as rank from g) select concat_ws(chr(9), rank::varchar, target, '0', '1', '2', case when contig % 2 = 0 then '>=3' else '3' end) as value from r where contig % 2 = 1 union all select concat_ws(chr(9), rank::varchar, target, '>=0', '>=1', '>=2', '>=3') from r where contig % 2 = 0")
+def _(s, d):
+    path = _scratch(s)
+    g = D.ranked(D.enumerate_guides(t.dna(s, d)), "contig", "target", "start").withColumn("capped", F.col("contig") % 2 == 0)
+    R.report_lines(g.withColumns({f"mm{i}": F.lit(i) for i in range(4)})).write.text(path)
+    return s.read.text(path)
+
+
+@query("s24_region_fasta", "with " + t.DNA + " select contig::varchar || ':1-' || length(seq)::varchar as id, seq, true as valid from dna where length(seq) > 0")
+def _(s, d):
+    """Target regions as FASTA, named by contig and place."""
+    path = _scratch(s)
+    r = t.dna(s, d).where(F.length("seq") > 0)
+    R.write_fasta(r, path, F.concat(F.col("contig").cast("string"), F.lit(":1-"), F.length("seq").cast("string")))
+    return R.read_fasta(s, path)
+
+
+@query("c05_summary", "with " + t.GUIDES + " select case when efficacy >= 90 then 'Severe' when efficacy >= 70 then 'Strong' when efficacy >= 40 then 'Moderate' when efficacy >= 20 then 'Weak' else 'Minimal' end as category, least(floor(efficacy / 10), 9)::integer as decile, count(*)::bigint as n, round(avg(efficacy), 6) as mean from guides group by 1, 2")
+def _(s, d):
+    """Efficacy categories by deciles with their mean."""
+    from sievework.operators import columns as C
+
+    e = F.col("efficacy")
+    c = t.guides(s, d).groupBy(C.efficacy_band(e).alias("category"), C.decile(e).cast("int").alias("decile"))
+    return c.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("efficacy"), 6).alias("mean"))
+
+
+@query("s21_report_scan", TARGETS + " select row_number() over (order by contig, start)::integer as rank, target, contig::varchar || ':' || start::varchar as locus, strand, 999::bigint as mm3 from g")
+def _(s, d):
+    """Ranked guides of 11 columns under a header, among short lines, the last count unreadable, scanned."""
+    from sievework.operators.prefix import running_sums
+
+    path = _scratch(s)
+    g = D.enumerate_guides(t.dna(s, d)).withColumns({"one": F.lit(1), "k": F.lit(0), "place": F.col("contig") * 1_000_000_000 + F.col("start")})
+    g = running_sums(g, ("k",), "place", ["one"], descending=False)
+    line = F.concat_ws("\t", F.col("cum_one").cast("string"), "target", _name("contig", "start"), "strand", F.lit("50"), *[F.lit(x) for x in ("0", "0", "1", "2", ">=3", "0.5")])
+    extra = s.createDataFrame([("Rank\ta\tb\tc\td\te\tf\tg\th\ti\tj",), ("too short",)], "value string")
+    g.select(line.alias("value")).unionByName(extra).write.text(path)
+    return R.read_report(s, path).select("rank", "target", "locus", "strand", "mm3")
