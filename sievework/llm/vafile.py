@@ -94,16 +94,21 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_R
     """(query_id, rank, vec_id, score) for (vec_id, v) rows against (vec_id, v) queries; ties to the smaller vec_id.
 
     A row never meets a query of its own vec_id. Of repeated query ids one vector is asked for. No rows or no
-    queries give no result; with fewer than k candidates all are returned.
+    queries give no result; with fewer than k candidates all are returned. Equal rows are counted first, and k of them
+    stand for all, as no more can be among the best; a block is dealt by id and vector, so no id fills one.
     """
-    n, dims = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    rows = rows.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n"))
+    n, dims = rows.agg(F.sum(F.least("n", F.lit(k))), F.max(F.size("v"))).first()
+    n = n or 0
     asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     n_queries, query_dims = asked.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     blocks, groups = max(1, math.ceil(n / block_rows)), max(1, math.ceil(n_queries / group_queries))
     dims = max(dims or 0, query_dims or 0)
     numbers = lambda size: F.sequence(F.lit(0), F.lit(size - 1))
     # Each block is sent once for each group of queries and each group once for each block.
-    left = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(numbers(groups)).alias("group"), "vec_id", "v")
+    own = F.xxhash64("vec_id", "v", "copy")
+    copies = rows.select("vec_id", "v", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)))).alias("copy"))
+    left = copies.select(F.pmod(own, F.lit(blocks)).cast("int").alias("block"), F.explode(numbers(groups)).alias("group"), "vec_id", "v")
     right = asked.select(F.explode(numbers(blocks)).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("group"), "vec_id", "v")
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
