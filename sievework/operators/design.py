@@ -89,6 +89,26 @@ def enumerate_guides(contigs: DataFrame, mode: Mode = MODES["cas9"], flank: int
     return out.select("contig", "start", "strand", "target", *(["before", "after"] if flank else []))
 
 
+def reanchored(guides: DataFrame, contigs: DataFrame, reach: int = 1000) -> DataFrame:
+    """(guide, contig, place, flipped) for guides (guide, contig, at, strand, seq) that lie within ``reach`` bases of ``at``.
+
+    The declared strand is tried first, then the other (``flipped``); of several places the first counts. Guides that are
+    not found, or noted beyond the contig's end, are left out. A guide meets the one piece of its contig that holds ``at``, by an equi-join.
+    """
+    step = max(PIECE, 1 + reach)
+    p = pieces(contigs, 1, reach, step).withColumnRenamed("contig", "_contig")
+    asked = guides.withColumn("_offset", F.floor((F.col("at") - 1) / step) * step)
+    met = asked.join(p, (F.col("contig") == F.col("_contig")) & (F.col("_offset") == F.col("offset")) & (F.col("at") - F.col("offset") <= F.col("own")))
+    middle = F.length("before") + F.col("at") - F.col("offset")
+    low = F.greatest(middle - reach, F.lit(1))
+    rc = q.reverse_complement(F.col("seq"))
+    plus = F.col("strand") == "+"
+    cut = met.select("guide", "contig", (F.col("at") - middle + low).alias("from"), F.substring(F.concat("before", "text"), low.cast("int"), (middle + reach - low + 1).cast("int")).alias("bases"),
+                     F.when(plus, F.col("seq")).otherwise(rc).alias("declared"), F.when(plus, rc).otherwise(F.col("seq")).alias("other"))
+    found = cut.withColumns({"_d": F.expr("nullif(instr(bases, declared), 0)"), "_o": F.expr("nullif(instr(bases, other), 0)")})
+    return found.select("guide", "contig", (F.col("from") + F.coalesce("_d", "_o") - 1).alias("place"), F.col("_d").isNull().alias("flipped")).where("place is not null")
+
+
 def half_sites(contigs: DataFrame, size: int = 18) -> DataFrame:
     """Windows that start with T (left) or end with A (right)."""
     w = F.col("window")
@@ -143,6 +163,34 @@ def merged(spans: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return marked.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
+def transcript_coordinates(targets: DataFrame, exons: DataFrame, width: int = 1024) -> DataFrame:
+    """(target, tx, tx_start, tx_end) for targets (target, gene, start, end; 1-based, the end left out) in exons of their gene.
+
+    The exon has to hold all of the target; a target in two exons of a transcript counts in the first. Coordinates are
+    0-based along the transcript in its own direction. A binned interval join: an exon meets the bins it covers.
+    """
+    upto = W.Window.partitionBy("gene", "tx").orderBy("exon_start", "exon_end").rowsBetween(W.Window.unboundedPreceding, -1)
+    beyond = W.Window.partitionBy("gene", "tx").orderBy("exon_start", "exon_end").rowsBetween(1, W.Window.unboundedFollowing)
+    size = F.col("exon_end") - F.col("exon_start")
+    e = exons.select("gene", "tx", "strand", "exon_start", "exon_end").withColumns({"before": F.coalesce(F.sum(size).over(upto), F.lit(0)), "after": F.coalesce(F.sum(size).over(beyond), F.lit(0))})
+    e = e.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("exon_start") / width), F.floor(F.col("exon_end") / width))))
+    asked = targets.withColumn("_bin", F.floor((F.col("start") - 1) / width))
+    met = asked.join(e, ["gene", "_bin"]).where((F.col("exon_start") <= F.col("start") - 1) & (F.col("exon_end") >= F.col("end") - 1))
+    at = F.when(F.col("strand") == "+", F.col("before") + F.col("start") - 1 - F.col("exon_start")).otherwise(F.col("after") + F.col("exon_end") - (F.col("end") - 1))
+    first = met.withColumn("_at", at).groupBy("target", "tx").agg(F.min_by(F.struct("_at", (F.col("end") - F.col("start")).alias("n")), F.struct("exon_start", "exon_end")).alias("x"))
+    return first.select("target", "tx", F.col("x._at").alias("tx_start"), (F.col("x._at") + F.col("x.n")).alias("tx_end"))
+
+
+def isoform_structure(targets: DataFrame, placed: DataFrame, pairing: DataFrame) -> DataFrame:
+    """(target, p): the mean of pairing (tx, place, p) over a target's places (tx_start, tx_end), the greatest of its isoforms.
+
+    A target in no isoform gets 100; an isoform without pairing values counts as 0.
+    """
+    places = placed.where("tx_end > tx_start").select("target", "tx", F.explode(F.sequence(F.col("tx_start"), F.col("tx_end") - 1)).alias("place"))
+    mean = places.join(pairing, ["tx", "place"], "left").groupBy("target", "tx").agg(F.coalesce(F.avg("p"), F.lit(0.0)).alias("p"))
+    return targets.select("target").distinct().join(mean.groupBy("target").agg(F.max("p").alias("p")), "target", "left").na.fill(100.0, ["p"])
+
+
 def consensus(spans: DataFrame, everywhere: bool = True, least: int = 0, pad: int = 0, most: int = 40_000) -> DataFrame:
     """(gene, start, end): where all transcripts of a gene have a target (or any, if not ``everywhere``), padded.
 
@@ -249,6 +297,23 @@ def without_own_hit(counts: DataFrame) -> DataFrame:
     return counts.withColumn("mm0", F.when(F.col("mm0") > 0, F.col("mm0") - 1).otherwise(F.col("mm0")))
 
 
+def isoform_hits(hits: DataFrame, isoforms: DataFrame, structure: Column) -> DataFrame:
+    """(guide, own, mm0..mm3, constitutive, score) in a transcriptome: hits (guide, tx, hit_tx, mismatches and what ``structure``
+    names) and isoforms (gene, tx).
+
+    Hits in isoforms of the guide's own gene don't count against it; ``constitutive`` tells whether all others of them have
+    the guide without a mismatch. Hits elsewhere cost what they cost in a genome; ``structure`` (0 to 100) is added.
+    """
+    of = isoforms.select("gene", "tx").distinct()
+    others = of.groupBy("gene").agg((F.count(F.lit(1)) - 1).alias("others"))
+    met = hits.withColumn("_structure", structure).join(of.join(others, "gene"), "tx").join(of.select(F.col("gene").alias("hit_gene"), F.col("tx").alias("hit_tx")), "hit_tx")
+    own = F.col("gene") == F.col("hit_gene")
+    same = F.when(own & (F.col("hit_tx") != F.col("tx")) & (F.col("mismatches") == 0), F.col("hit_tx"))
+    n = [F.count_if(~own & (F.col("mismatches") == m)).alias(f"mm{m}") for m in range(4)]
+    g = met.groupBy("guide").agg(F.count_if(own).alias("own"), *n, (F.count_distinct(same) == F.max("others")).alias("constitutive"), F.max("_structure").alias("_structure"))
+    return g.withColumn("score", sum((F.col(f"mm{m}") * p for m, p in enumerate(HIT_PENALTY)), F.col("_structure"))).drop("_structure")
+
+
 # --- pairs and clusters ----------------------------------------------------------------------------------------------
 
 

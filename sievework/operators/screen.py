@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from sievework.operators.prefix import running_sums
+
 
 def efficacy_from_lfc(lfc: Column) -> Column:
     """Piecewise linear: 0 for no depletion, up to 100; null stays null."""
@@ -33,7 +35,7 @@ def size_factors(long: DataFrame, experiment: str = "experiment") -> DataFrame:
     """Per experiment and sample the median of count / geometric mean over guides with counts in all samples."""
     logs = long.where("count > 0").groupBy(experiment, "guide_id").agg(F.avg(F.ln("count")).alias("g"), F.count(F.lit(1)).alias("k"))
     need = long.groupBy(experiment).agg(F.count_distinct("sample").alias("need"))
-    whole = logs.join(F.broadcast(need), experiment).where("k = need").select(experiment, "guide_id", "g")
+    whole = logs.join(need, experiment).where("k = need").select(experiment, "guide_id", "g")
     return long.join(whole, [experiment, "guide_id"]).groupBy(experiment, "sample").agg(F.percentile(F.col("count") / F.exp("g"), 0.5).alias("factor"))
 
 
@@ -44,12 +46,12 @@ def depletion(long: DataFrame, control: Sequence[str], treated: Sequence[str], e
     fitted over guides whose control variance exceeds the mean; one-sided normal tail; Benjamini-Hochberg within the
     experiment, by p-value ranks over buckets of p and a running minimum from above.
     """
-    scaled = long.join(F.broadcast(size_factors(long, experiment)), [experiment, "sample"]).withColumn("x", F.col("count") / F.greatest("factor", F.lit(1e-9)))
+    scaled = long.join(size_factors(long, experiment), [experiment, "sample"]).withColumn("x", F.col("count") / F.greatest("factor", F.lit(1e-9)))
     c, r = F.when(F.col("sample").isin(*control), F.col("x")), F.when(F.col("sample").isin(*treated), F.col("x"))
     g = scaled.groupBy(experiment, "guide_id").agg(F.avg(c).alias("mc"), F.avg(r).alias("mt"), F.var_samp(F.col("x") if len(control) < 2 else c).alias("v"))
     over = F.when((F.col("v") > F.col("mc")) & (F.col("mc") > 0), F.ln(F.col("v") - F.col("mc")))
     fit = g.withColumns({"ly": over, "lx": F.when(over.isNotNull(), F.ln("mc"))}).groupBy(experiment).agg(F.regr_slope("ly", "lx").alias("b"), F.regr_intercept("ly", "lx").alias("a"))
-    m = g.join(F.broadcast(fit), experiment)
+    m = g.join(fit, experiment)
     var = F.greatest(F.col("mc") + F.coalesce(F.exp("a") * F.pow(F.greatest("mc", F.lit(1e-9)), F.col("b")), F.lit(0.0)), F.lit(1e-9))
     m = m.select(experiment, "guide_id", F.log2((F.col("mt") + 1) / (F.col("mc") + 1)).alias("lfc"), ((F.col("mt") - F.col("mc")) / F.sqrt(var)).alias("z"))
 
@@ -62,16 +64,14 @@ def depletion(long: DataFrame, control: Sequence[str], treated: Sequence[str], e
 
 def with_fdr(df: DataFrame, p: str, key: str, buckets: int = 64) -> DataFrame:
     """Benjamini-Hochberg within a key, over distinct p values: ranks by running sums, minimum from above by buckets."""
-    from sievework.operators.prefix import running_sums
-
     values = df.where(F.col(p).isNotNull()).groupBy(key, p).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_sums(values, (key,), p, ["n"], descending=False)
+    ranked = running_sums(values, (key,), p, ["n"], descending=False, few=False)
     total = values.groupBy(key).agg(F.sum("n").alias("m"))
-    raw = ranked.join(F.broadcast(total), key).withColumn("q", F.least(F.col(p) * F.col("m") / F.col("cum_n"), F.lit(1.0)))
+    raw = ranked.join(total, key).withColumn("q", F.least(F.col(p) * F.col("m") / F.col("cum_n"), F.lit(1.0)))
     raw = raw.withColumn("_b", F.floor(F.col("cum_n") * buckets / (F.col("m") + 1)))
     least = raw.groupBy(key, "_b").agg(F.min("q").alias("_q")).withColumn("_later", F.min("_q").over(W.Window.partitionBy(key).orderBy(F.col("_b").desc()).rowsBetween(W.Window.unboundedPreceding, -1)))
     own = F.min("q").over(W.Window.partitionBy(key, "_b").orderBy(F.col(p).desc()).rowsBetween(W.Window.unboundedPreceding, 0))
-    done = raw.withColumn("_own", own).join(F.broadcast(least.drop("_q")), [key, "_b"]).select(key, p, F.least("_own", "_later").alias("fdr"))
+    done = raw.withColumn("_own", own).join(least.drop("_q"), [key, "_b"]).select(key, p, F.least("_own", "_later").alias("fdr"))
     return df.join(done, [key, p], "left")
 
 
@@ -162,8 +162,6 @@ def one_hot(s: Column) -> Column:
 
 def percentile_against(df: DataFrame, reference: DataFrame, column: str = "score") -> DataFrame:
     """Share of the reference's scores at or below each score: ranks over the union, no pairs."""
-    from sievework.operators.prefix import running_sums
-
     both = df.select(F.col(column).alias("s"), F.lit(0).alias("r")).unionByName(reference.select(F.col(column).alias("s"), F.lit(1).alias("r"))).where("s is not null")
     cells = running_sums(both.groupBy("s").agg(F.sum("r").cast("long").alias("r")).withColumn("k", F.lit(1)), ("k",), "s", ["r"], descending=False)
     total = reference.agg(F.count(column).alias("total"))

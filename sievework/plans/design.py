@@ -282,9 +282,18 @@ def _(s, d):
     return D.off_targets(_hits(s, d), _genome(s, d), CAP)
 
 
-@query("d11_penalty", COUNTED + " select guide, round(mm0 * 1000 + mm1 * 800 + mm2 * 600 + mm3 * 400 + case when capped then 20000 else 0 end - 100 * 0.5, 6) as score from m")
+_G20 = "length(regexp_replace(seq, '[^GC]', '', 'g'))"
+_EFFICIENCY = "1 / (1 + exp(-(0.1" + "".join(f" + case when substring(seq, {i + 1}, {len(x)}) = '{x}' then {w}::double else 0 end" for (x, i), w in FEATURES.items()) + f" + case when {_G20} < 10 then (10 - {_G20}) * -0.2::double else ({_G20} - 10) * -0.1::double end)))"
+
+
+@query("d11_penalty", COUNTED + f""", q as (select distinct seq, reverse(translate(seq, 'ACGT', 'TGCA')) as rc from b), f as (select seq, sum(case when length(regexp_replace(substring(seq, i + 1, 4), '[^GC]', '', 'g')) >= 2 and contains(left(rc, 16 - i), substring(seq, i + 1, 4)) then 1 else 0 end) as stems from q, range(0, 16) r(i) group by seq)
+select guide, round(mm0 * 1000 + mm1 * 800 + mm2 * 600 + mm3 * 400 + case when capped then 20000 else 0 end + stems + case when {_G20} / 20 between 0.4 and 0.8 then 0 else 300 end - 100 * {_EFFICIENCY}, 6) as score from m join b on b.site = m.guide join f using (seq)""")
 def _(s, d):
-    return _counts(s, d).select("guide", F.round(D.penalty(F.lit(0), F.lit(0.5), F.lit(0.5)), 6).alias("score"))
+    """The counts of hits with the guide's own folding, GC share and efficiency."""
+    g = _genome(s, d).select(F.col("site").alias("guide"), "seq")
+    own = {"folding": q.self_complementarity(F.col("seq")), "gc": q.gc_fraction(F.col("seq")), "efficiency": q.coefficient_score(F.col("seq"), 0.1, FEATURES, -0.2, -0.1)}
+    score = D.penalty(F.col("folding"), F.col("gc"), F.col("efficiency"), use_gc=True)
+    return _counts(s, d).join(g.withColumns(own), "guide").select("guide", F.round(score, 6).alias("score"))
 
 
 @query("d15_own_hit", COUNTED + " select guide, greatest(mm0 - 1, 0)::bigint as mm0 from m")
@@ -292,10 +301,20 @@ def _(s, d):
     return D.without_own_hit(_counts(s, d)).select("guide", "mm0")
 
 
-@query("d16_own_gene_hits", HITS + " select guide, count(*) filter (split_part(guide, ':', 1) = split_part(site, ':', 1))::bigint as own, count(*) filter (split_part(guide, ':', 1) <> split_part(site, ':', 1))::bigint as other from h group by guide")
+#: A contig is an isoform here, four in a row make a gene.
+ISOFORMS = 4
+
+
+@query("d16_own_gene_hits", HITS + f""", i as (select contig // {ISOFORMS} as gene, count(distinct contig) - 1 as others from dna group by 1), x as (select h.*, y.contig as own_contig, y.seq from h join b y on y.site = h.guide),
+c as (select guide, any_value(own_contig) as own_contig, any_value(seq) as seq, count(*) filter (own_contig // {ISOFORMS} = contig // {ISOFORMS})::bigint as own, {", ".join(f"count(*) filter (own_contig // {ISOFORMS} <> contig // {ISOFORMS} and mismatches = {m})::bigint as mm{m}" for m in range(4))},
+ count(distinct case when own_contig // {ISOFORMS} = contig // {ISOFORMS} and own_contig <> contig and mismatches = 0 then contig end) as same from x group by guide)
+select guide, own, mm0, mm1, mm2, mm3, same = others as constitutive, round(mm0 * 1000 + mm1 * 800 + mm2 * 600 + mm3 * 400 + {_G20} / 20 * 100, 6) as score from c join i on i.gene = own_contig // {ISOFORMS}""")
 def _(s, d):
-    own = F.split("guide", ":")[0] == F.split("site", ":")[0]
-    return _hits(s, d).groupBy("guide").agg(F.count_if(own).alias("own"), F.count_if(~own).alias("other"))
+    g = _genome(s, d)
+    own = g.select(F.col("site").alias("guide"), F.col("contig").alias("tx"), (q.gc_fraction(F.col("seq")) * 100).alias("paired"))
+    hits = _hits(s, d).join(own, "guide").join(g.select("site", F.col("contig").alias("hit_tx")), "site")
+    isoforms = _dna(s, d).select(F.floor(F.col("contig") / ISOFORMS).alias("gene"), F.col("contig").alias("tx"))
+    return D.isoform_hits(hits, isoforms, F.col("paired")).withColumn("score", F.round("score", 6))
 
 
 @query("d17_batch_design", TARGETS + ", l as (select distinct doc_id as contig from labels where quality = 1), r as (select contig, start, row_number() over (partition by contig order by abs(length(regexp_replace(left(target, 20), '[^GC]', '', 'g')) / 20.0 - 0.5), start) as rank from g semi join l using (contig)) select contig, start, rank::integer as rank from r where rank <= 5")
@@ -317,6 +336,47 @@ def _(s, d):
     return functools.reduce(lambda a, b: a.unionByName(b), out)
 
 
+DRIFT = "(start * 7 % 1500 - 750)"
+
+
+@query("j20_reanchored", TARGETS + f""", a as (select contig, start, greatest(start + {DRIFT}, 1) as spot, case when start % 3 = 0 then case strand when '+' then '-' else '+' end else strand end as strand, left(target, 20) as seq from g),
+v as (select a.*, greatest(spot - 1000, 1) as low, substring(dna.seq, greatest(spot - 1000, 1), spot + 1000 - greatest(spot - 1000, 1) + 1) as bases, {RC.format("a.seq")} as rc from a join dna using (contig) where spot <= length(dna.seq)),
+f as (select *, nullif(instr(bases, case when strand = '+' then seq else rc end), 0) as d, nullif(instr(bases, case when strand = '+' then rc else seq end), 0) as o from v)
+select contig, start, (low + coalesce(d, o) - 1)::bigint as place, d is null as flipped from f where coalesce(d, o) is not null""")
+def _(s, d):
+    """Guides of all contigs whose noted place is off by up to 750 bases, a third of them with the wrong strand."""
+    g = D.enumerate_guides(_dna(s, d))
+    strand = F.when(F.col("start") % 3 == 0, F.when(F.col("strand") == "+", "-").otherwise("+")).otherwise(F.col("strand"))
+    noted = g.select(F.col("start").alias("guide"), "contig", F.greatest(F.col("start") + F.expr(DRIFT), F.lit(1)).alias("at"), strand.alias("strand"), F.substring("target", 1, 20).alias("seq"))
+    return D.reanchored(noted, _dna(s, d)).select("contig", F.col("guide").alias("start"), F.col("place").cast("long").alias("place"), "flipped")
+
+
+#: Targets of 23 bases that start three bases into each exon; pairing values follow from a transcript and a place on it.
+PLACED = "with " + t.EXONS + """, t as (select distinct gene, exon_start + 3 as start, exon_start + 26 as stop, gene || ':' || (exon_start + 3)::varchar as target from exons),
+e as (select *, coalesce(sum(exon_end - exon_start) over (partition by gene, tx order by exon_start, exon_end rows between unbounded preceding and 1 preceding), 0) as before, coalesce(sum(exon_end - exon_start) over (partition by gene, tx order by exon_start, exon_end rows between 1 following and unbounded following), 0) as after from exons),
+x as (select target, tx, case when strand = '+' then before + start - 1 - exon_start else after + exon_end - (stop - 1) end as spot, stop - start as n, row_number() over (partition by target, tx order by exon_start, exon_end) as k from t join e using (gene) where exon_start <= start - 1 and exon_end >= stop - 1),
+c as (select target, tx, spot::bigint as tx_start, (spot + n)::bigint as tx_end from x where k = 1)"""
+
+
+def _targets(s, d):
+    return t.exons(s, d).select("gene", (F.col("exon_start") + 3).alias("start"), (F.col("exon_start") + 26).alias("end")).distinct().withColumn("target", F.concat_ws(":", "gene", F.col("start").cast("string")))
+
+
+@query("j21_transcript_coordinates", PLACED + " select * from c")
+def _(s, d):
+    return D.transcript_coordinates(_targets(s, d), t.exons(s, d)).select("target", "tx", F.col("tx_start").cast("long").alias("tx_start"), F.col("tx_end").cast("long").alias("tx_end"))
+
+
+@query("a19_isoform_structure", PLACED + """, m as (select target, tx, avg((tx::bigint + place) % 11 * 10.0::double) as p from c, unnest(range(tx_start, tx_end)) u(place) group by 1, 2), y as (select target, max(p) as p from m group by 1)
+select target, round(coalesce(p, 100), 6) as p from (select distinct target from t) left join y using (target)""")
+def _(s, d):
+    targets, e = _targets(s, d), t.exons(s, d)
+    placed = D.transcript_coordinates(targets, e)
+    length = e.groupBy("tx").agg(F.sum(F.col("exon_end") - F.col("exon_start")).alias("n")).where("n > 0")
+    pairing = length.select("tx", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("place")).withColumn("p", (F.col("tx").cast("long") + F.col("place")) % 11 * 10.0)
+    return D.isoform_structure(targets, placed, pairing).select("target", F.round("p", 6).alias("p"))
+
+
 PAIRS = TARGETS + ", p as (select a.contig, a.start as start_a, b.start as start_b from (select *, unnest(range(11, 61)) as gap from g) a join g b on a.contig = b.contig and b.start = a.start + a.gap where a.strand <> b.strand)"
 
 

@@ -91,22 +91,6 @@ def _(s, d):
     return asked.join(chunks, ["contig", "chunk"]).select("contig", F.expr(f"substring(bases, cast(at - chunk * {CHUNK} + 1 as int), 40)").alias("part"))
 
 
-@query("j20_reanchored", "with " + t.DNA + ", x as (select contig, seq, substring(seq, 51, 19) as g from dna where length(seq) >= 80) select contig, instr(seq, g)::bigint as place from x")
-def _(s, d):
-    from sievework.functions import sequences as q
-
-    x = t.dna(s, d).where(F.length("seq") >= 80).withColumn("g", F.substring("seq", 51, 19))
-    place = lambda g: F.nullif(F.expr(f"instr(seq, {g})"), F.lit(0))
-    return x.withColumn("rc", q.reverse_complement(F.col("g"))).select("contig", F.coalesce(place("g"), place("rc")).cast("long").alias("place"))
-
-
-@query("j21_transcript_coordinates", "with " + t.EXONS + ", e as (select *, coalesce(sum(exon_end - exon_start) over (partition by tx order by exon_start, exon_end rows between unbounded preceding and 1 preceding), 0) as ahead from exons) select tx, exon_start + 1 as position, (ahead + 1)::bigint as coordinate from e where exon_end > exon_start + 1")
-def _(s, d):
-    by = W.Window.partitionBy("tx").orderBy("exon_start", "exon_end").rowsBetween(W.Window.unboundedPreceding, -1)
-    e = t.exons(s, d).withColumn("ahead", F.coalesce(F.sum(F.col("exon_end") - F.col("exon_start")).over(by), F.lit(0)))
-    return e.where("exon_end > exon_start + 1").select("tx", (F.col("exon_start") + 1).alias("position"), (F.col("ahead") + 1).alias("coordinate"))
-
-
 @query("j22_aliases", "select c_custkey, n_name from customer left join nation on c_nationkey = n_nationkey")
 def _(s, d):
     c, n = t.read(s, d, "customer"), t.read(s, d, "nation")
@@ -115,7 +99,11 @@ def _(s, d):
 
 @query("a06_efficacy_summary", G + " select round(min(efficacy), 6) as low, round(max(efficacy), 6) as high, round(avg(efficacy), 6) as mean, round(median(efficacy), 6) as middle from guides")
 def _(s, d):
-    return t.guides(s, d).agg(r6(F.min("efficacy")).alias("low"), r6(F.max("efficacy")).alias("high"), r6(F.avg("efficacy")).alias("mean"), r6(F.median("efficacy")).alias("middle"))
+    from sievework.operators.prefix import medians
+
+    g = t.guides(s, d).withColumn("k", F.lit(1))
+    one = g.groupBy("k").agg(r6(F.min("efficacy")).alias("low"), r6(F.max("efficacy")).alias("high"), r6(F.avg("efficacy")).alias("mean"))
+    return one.join(medians(g, ("k",), "efficacy", few=True), "k").select("low", "high", "mean", r6("median").alias("middle"))
 
 
 @query("a07_moments", "with " + t.LONG + " select tool, round(avg(score), 6) as mean, round(stddev_samp(score), 6) as std from long group by tool")
@@ -148,12 +136,6 @@ def _(s, d):
     return t.exons(s, d).groupBy("gene").agg(F.array_join(F.array_sort(F.collect_set("tx")), ",").alias("isoforms"))
 
 
-@query("a19_isoform_structure", "with " + t.EXONS + ", x as (select gene, tx, avg((exon_end - exon_start) / 100) as p from exons group by 1, 2) select gene, round(max(p), 6) as p from x group by 1")
-def _(s, d):
-    x = t.exons(s, d).groupBy("gene", "tx").agg(F.avg((F.col("exon_end") - F.col("exon_start")) / 100).alias("p"))
-    return x.groupBy("gene").agg(r6(F.coalesce(F.max("p"), F.lit(100.0))).alias("p"))
-
-
 @query("a20_null_counts", G + " select 'tool_tax' as column, count(*) filter (tool_tax is null)::bigint as nulls from guides union all select 'tool_disc', count(*) filter (tool_disc is null)::bigint from guides")
 def _(s, d):
     return S.null_counts(t.guides(s, d), ["tool_tax", "tool_disc"])

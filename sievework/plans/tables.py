@@ -13,18 +13,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _KEY = "md5(concat_ws('|', cast(l_orderkey as {s}), cast(l_partkey as {s}), cast(l_suppkey as {s}), cast(l_linenumber as {s}), cast(cast(l_quantity as bigint) as {s}), cast(cast(round(l_extendedprice * 100) as bigint) as {s})))"
-_GUIDES = """{key} as guide_id, concat('G', cast(l_orderkey as {s})) as gene, cast(l_quantity * 2 as double) as efficacy,
- cast(l_extendedprice as double) as tool_price, cast(l_discount as double) as tool_disc, case when l_linenumber = 7 then null else cast(l_tax as double) end as tool_tax,
- concat('chr', cast(l_suppkey % 24 as {s})) as chromosome, cast(l_partkey as bigint) as position, case when l_returnflag = 'R' then '-' else '+' end as strand"""
+_GUIDES = (
+    "{key} as guide_id", "concat('G', cast(l_orderkey as {s})) as gene", "cast(l_quantity * 2 as double) as efficacy",
+    "cast(l_extendedprice as double) as tool_price", "cast(l_discount as double) as tool_disc", "case when l_linenumber = 7 then null else cast(l_tax as double) end as tool_tax",
+    "concat('chr', cast(l_suppkey % 24 as {s})) as chromosome", "cast(l_partkey as bigint) as position", "case when l_returnflag = 'R' then '-' else '+' end as strand",
+)
 
 
 def guides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """guide_id, gene, efficacy (2..100), three tool scores (few ties, many ties, nulls), chromosome, position, strand."""
-    read(spark, sf_dir, "lineitem").createOrReplaceTempView("_lineitem")
-    return spark.sql("select " + _GUIDES.format(key=_KEY.format(s="string"), s="string") + " from _lineitem")
+    return read(spark, sf_dir, "lineitem").selectExpr(*(x.format(key=_KEY.format(s="string"), s="string") for x in _GUIDES))
 
 
-GUIDES = "guides as (select " + _GUIDES.format(key=_KEY.format(s="varchar"), s="varchar") + " from lineitem)"
+GUIDES = "guides as (select " + ", ".join(_GUIDES).format(key=_KEY.format(s="varchar"), s="varchar") + " from lineitem)"
 
 
 def long_guides(spark: SparkSession, sf_dir: str, ids: tuple[str, ...] = ("guide_id", "gene", "efficacy")) -> DataFrame:
@@ -75,13 +76,14 @@ OUTCOMES = "outcomes as (select cast(user_id as bigint) as guide, case when even
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read(spark, sf_dir, "lineitem").createOrReplaceTempView("_lineitem")
-    return spark.sql("select " + _COUNTS.format(key=_KEY.format(s="string"), s="string") + " from _lineitem")
+    return read(spark, sf_dir, "lineitem").selectExpr(*(x.format(key=_KEY.format(s="string"), s="string") for x in _COUNTS))
 
 
-_COUNTS = """{key} as guide_id, concat('E', cast(l_suppkey % 5 as {s})) as experiment, cast(l_quantity as bigint) as t0_r1, cast(l_linenumber + 10 as bigint) as t0_r2, cast(floor(l_quantity * (1 - l_discount * 8)) as bigint) as t12_r1,
- concat('{{', cast(cast(l_quantity as bigint) as {s}), ',', cast(l_linenumber + 10 as {s}), '}}') as packed"""
-COUNTS = "counts as (select " + _COUNTS.format(key=_KEY.format(s="varchar"), s="varchar") + " from lineitem)"
+_COUNTS = (
+    "{key} as guide_id", "concat('E', cast(l_suppkey % 5 as {s})) as experiment", "cast(l_quantity as bigint) as t0_r1", "cast(l_linenumber + 10 as bigint) as t0_r2",
+    "cast(floor(l_quantity * (1 - l_discount * 8)) as bigint) as t12_r1", "concat('{{', cast(cast(l_quantity as bigint) as {s}), ',', cast(l_linenumber + 10 as {s}), '}}') as packed",
+)
+COUNTS = "counts as (select " + ", ".join(_COUNTS).format(key=_KEY.format(s="varchar"), s="varchar") + " from lineitem)"
 
 
 def binary_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators and queries that SQL can't express, or whose SQL shares their idea, against plain versions."""
 
 import random
+import statistics
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators import design as D
 from sievework.operators import metrics as M
+from sievework.operators import prefix
 from sievework.plans import catalog
 
 D_SMALL = "/root/testdata/sf0.001"
@@ -116,3 +118,53 @@ def test_kendall_within_groups(spark):
         pairs = [(np.sign(a[0] - b[0]), np.sign(a[1] - b[1])) for i, a in enumerate(some) for b in some[:i]]
         s, tx, ty = sum(p * q for p, q in pairs), sum(p != 0 for p, _ in pairs), sum(q != 0 for _, q in pairs)
         assert got[k] == pytest.approx(s / (tx * ty) ** 0.5) if tx * ty else got[k] is None
+
+
+@pytest.mark.parametrize("piece", [64, 4096])
+def test_reanchored_guides_are_the_nearest_of_whole_contigs(spark, monkeypatch, piece):
+    monkeypatch.setattr(D, "PIECE", piece)
+    rng, reach = random.Random(9), 40
+    contigs = {i: "".join(rng.choice("ACGT") for _ in range(n)) for i, n in enumerate((500, 64, 30, 0))}
+    guides, want = [], set()
+    for k in range(120):
+        c = rng.randrange(3)
+        at = rng.randrange(max(1, len(contigs[c]) - 8))
+        seq = contigs[c][at : at + 8]
+        noted, strand = max(1, at + 1 + rng.randrange(-60, 60)), rng.choice("+-")
+        seq = rc(seq) if rng.random() < 0.5 else seq
+        guides.append((k, c, noted, strand, seq))
+        low = max(0, noted - 1 - reach)
+        bases = contigs[c][low : noted + reach] if noted <= len(contigs[c]) else ""
+        first, other = (seq, rc(seq)) if strand == "+" else (rc(seq), seq)
+        place, flipped = (bases.find(first), False) if first in bases else (bases.find(other), True)
+        if bases and place >= 0:
+            want.add((k, c, low + place + 1, flipped))
+    got = D.reanchored(spark.createDataFrame(guides, "guide int, contig int, at int, strand string, seq string"), spark.createDataFrame(list(contigs.items()), "contig int, seq string"), reach)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 20
+
+
+def test_transcript_coordinates(spark):
+    exons = spark.createDataFrame([("g", "a", "+", 100, 150), ("g", "a", "+", 200, 260), ("g", "b", "-", 100, 150), ("g", "b", "-", 200, 300), ("h", "c", "+", 200, 300)], "gene string, tx string, strand string, exon_start int, exon_end int")
+    targets = spark.createDataFrame([("t", "g", 211, 221), ("u", "g", 141, 161), ("v", "g", 101, 151)], "target string, gene string, start int, end int")
+    for width in (7, 1024):
+        got = {tuple(r) for r in D.transcript_coordinates(targets, exons, width).collect()}
+        assert got == {("t", "a", 60, 70), ("t", "b", 80, 90), ("v", "a", 0, 50), ("v", "b", 100, 150)}
+    pairing = spark.createDataFrame([("a", p, float(p)) for p in range(110)], "tx string, place long, p double")
+    found = D.isoform_structure(targets, D.transcript_coordinates(targets, exons), pairing).collect()
+    assert {tuple(r) for r in found} == {("t", 64.5), ("u", 100.0), ("v", 24.5)}
+
+
+def test_isoform_hits(spark):
+    isoforms = spark.createDataFrame([("g", 1), ("g", 2), ("h", 3), ("k", 4)], "gene string, tx int")
+    hits = spark.createDataFrame([("x", 1, 1, 0, 50.0), ("x", 1, 2, 0, 50.0), ("x", 1, 3, 2, 50.0), ("y", 2, 2, 0, 0.0), ("y", 2, 1, 1, 0.0), ("z", 4, 4, 0, 1.0), ("z", 4, 3, 0, 1.0)], "guide string, tx int, hit_tx int, mismatches int, p double")
+    got = {tuple(r) for r in D.isoform_hits(hits, isoforms, F.col("p")).collect()}
+    assert got == {("x", 2, 0, 0, 1, 0, True, 650.0), ("y", 2, 0, 0, 0, 0, False, 0.0), ("z", 1, 1, 0, 0, 0, True, 1001.0)}
+
+
+def test_medians(spark):
+    rng = random.Random(4)
+    rows = [(k, float(rng.randrange(9 + 60 * k))) for k, n in enumerate((1, 2, 7, 500, 501)) for _ in range(n)]
+    want = {(k, statistics.median(v for q, v in rows if q == k)) for k in range(5)}
+    df = spark.createDataFrame([*rows, (0, None), (9, None)], "k int, v double")
+    for few in (False, True):
+        assert {tuple(r) for r in prefix.medians(df, ("k",), "v", few).collect()} == want
