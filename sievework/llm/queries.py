@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, langid, packing, sentencepiece, sharding, simhash, suffixes, vafile, warc
+from . import chat, fingerprints, firstfit, langid, packing, periodic, sentencepiece, sharding, simhash, suffixes, vafile, warc, whitening
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_packing": packing.op9_packing,
     "op10_chat_formatting": chat.op10_chat_formatting,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_packing": firstfit.op13_packing,
 }
 
 ORACLE_SQL = {
