@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,6 +96,12 @@ def with_sites(df: DataFrame, sequence: str, enzymes: DataFrame, least: int = 0)
     return rows.withColumn("sites", n).where("sites > 0")
 
 
+def site_list(s: Column, enzymes: Sequence[tuple[str, str]]) -> Column:
+    """``name:count`` of each enzyme (name, motif as a regular expression) of a short list that cuts, parted by ``;``."""
+    count = lambda motif: F.size(F.regexp_extract_all(s, F.lit(motif), F.lit(0)))
+    return F.concat_ws(";", *[F.when(count(m) > 0, F.concat(F.lit(f"{name}:"), count(m).cast("string"))) for name, m in sorted(enzymes)])
+
+
 def residues(s: Column) -> Column:
     table = F.create_map(*[x for k, v in RESIDUES.items() for x in (F.lit(k), F.lit(v))])
     return F.array_join(F.transform(F.split(s, ""), lambda b: table[b]), " ")
@@ -134,6 +142,10 @@ def encoded(s: Column) -> Column:
     return F.conv(F.translate(s, "ACGT", "0123"), 4, 10).cast("long")
 
 
+def decoded(code: Column, size: int) -> Column:
+    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), size, "0"), "0123", "ACGT")
+
+
 def encoded_mismatches(a: Column, b: Column) -> Column:
     x = a.bitwiseXOR(b)
     return F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import itertools
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from sievework.functions import sequences as q
+from sievework.operators.prefix import running_sums
 
 
 @dataclass(frozen=True)
@@ -52,9 +55,9 @@ def pieces(contigs: DataFrame, size: int, flank: int = 0, step: int = PIECE) ->
     return rows.select("contig", (F.col("p.at") * step).alias("offset"), before.alias("before"), F.concat("p.own", tail).alias("text"), F.length("p.own").alias("own"))
 
 
-def windows(contigs: DataFrame, size: int, flank: int = 0) -> DataFrame:
+def windows(contigs: DataFrame, size: int, flank: int = 0, step: int = PIECE) -> DataFrame:
     """(contig, start (1-based), window) of each place, and with a flank the bases before and after it."""
-    p = pieces(contigs, size, flank)
+    p = pieces(contigs, size, flank, step)
     last = F.least("own", F.length("text") - size + 1)
     at = F.explode(F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")))
     rows = p.select("contig", "offset", "before", "text", at.alias("at"))
@@ -66,27 +69,72 @@ def windows(contigs: DataFrame, size: int, flank: int = 0) -> DataFrame:
     return rows.select(*out)
 
 
+#: Bases of a piece in which places of a PAM are looked for: letters of a string are reached from its start.
+SITE_PIECE = 512
+
+
+def _has(text: Column, at: Column, sets: list[str]) -> Column:
+    """Whether letters of each set follow one another from a place (1-based) on; letters that rule out most come first."""
+    fixed, open_ = [], []
+    i = 0
+    while i < len(sets):
+        if len(sets[i]) == 1:
+            word = "".join(itertools.takewhile(lambda x: len(x) == 1, sets[i:]))
+            fixed.append(F.substring(text, at + i, F.lit(len(word))) == word)
+            i += len(word)
+        else:
+            (open_ if len(sets[i]) == 4 else fixed).append(F.substring(text, at + i, F.lit(1)).isin(*sets[i]))
+            i += 1
+    return functools.reduce(Column.__and__, fixed + open_, F.lit(True))
+
+
+def _targets(contigs: DataFrame, mode: Mode, flank: int, both: bool) -> DataFrame:
+    """contig, start, strand, target, first (and flanks) of the places with the PAM: the places are filtered as an array in
+    their piece, and only those that are left are exploded."""
+    size, n = mode.guide + len(mode.pam), len(mode.pam)
+    pam = [q.IUPAC[c] for c in mode.pam]
+    other = [x.translate(str.maketrans("ACGT", "TGCA")) for x in reversed(pam)]
+    plus = lambda i: _has(F.col("text"), i + (0 if mode.pam_first else mode.guide), pam)
+    minus = lambda i: _has(F.col("text"), i + (mode.guide if mode.pam_first else 0), other)
+    p = pieces(contigs, size, flank, SITE_PIECE)
+    last = F.least("own", F.length("text") - size + 1)
+    places = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    on = lambda found, strand, first: F.transform(found, lambda i: F.struct(i.alias("at"), strand(i).alias("strand"), first(i).alias("first")))
+    if both:
+        found = F.concat(on(F.filter(places, plus), lambda i: F.lit("+"), lambda i: F.lit(True)), on(F.filter(places, minus), lambda i: F.lit("-"), lambda i: ~plus(i)))
+    else:
+        found = on(F.filter(places, lambda i: plus(i) | minus(i)), lambda i: F.when(plus(i), "+").otherwise("-"), lambda i: F.lit(True))
+    rows = p.select("contig", "offset", "before", "text", F.explode(found).alias("x"))
+    at = F.col("x.at")
+    window = F.substring("text", at, F.lit(size))
+    out = [F.col("contig"), (F.col("offset") + at).alias("start"), F.col("x.strand").alias("strand"), F.when(F.col("x.strand") == "+", window).otherwise(q.reverse_complement(window)).alias("target"), F.col("x.first").alias("first")]
+    if flank:
+        whole, ahead = F.concat("before", "text"), F.length("before") + at - 1
+        out.append(F.substring(whole, F.greatest(ahead - flank, F.lit(0)) + 1, F.least(ahead, F.lit(flank))).alias("before"))
+        out.append(F.substring("text", at + size, F.lit(flank)).alias("after"))
+    done = rows.select(*out)
+    if (mode.gc_low, mode.gc_high) != (0.0, 1.0):
+        protospacer = F.substring("target", n + 1, mode.guide) if mode.pam_first else F.substring("target", 1, mode.guide)
+        done = done.where(q.gc_fraction(protospacer).between(mode.gc_low, mode.gc_high))
+    return done
+
+
 def enumerate_guides(contigs: DataFrame, mode: Mode = MODES["cas9"], flank: int = 0) -> DataFrame:
     """contig, start (1-based), strand, target of each place that has the PAM; the plus strand is tried first.
 
     A sequence shorter than a target gives none. ``flank`` > 0 adds so many bases on either side.
     """
-    size = mode.guide + len(mode.pam)
-    rows = windows(contigs, size, flank)
-    n = len(mode.pam)
-    if not n:
-        fits = lambda s: F.lit(True)
-    elif mode.pam_first:
-        fits = lambda s: q.matches(F.substring(s, 1, n), mode.pam)
-    else:
-        fits = lambda s: q.matches(F.substring(s, size - n + 1, n), mode.pam)
-    rc = q.reverse_complement(F.col("window"))
-    strand = F.when(fits(F.col("window")), "+").when(fits(rc), "-")
-    out = rows.withColumn("strand", strand).where("strand is not null").withColumn("target", F.when(F.col("strand") == "+", F.col("window")).otherwise(rc))
-    if (mode.gc_low, mode.gc_high) != (0.0, 1.0):
-        protospacer = F.substring("target", n + 1, mode.guide) if mode.pam_first else F.substring("target", 1, mode.guide)
-        out = out.where(q.gc_fraction(protospacer).between(mode.gc_low, mode.gc_high))
-    return out.select("contig", "start", "strand", "target", *(["before", "after"] if flank else []))
+    return _targets(contigs, mode, flank, both=False).drop("first")
+
+
+def site_table(contigs: DataFrame, mode: Mode = MODES["cas9"]) -> DataFrame:
+    """contig, start, strand, seq, first: each site of a genome, on both strands, that has the PAM; seq is the protospacer.
+
+    ``first`` marks those that enumerate_guides gives: of a place with a PAM on both strands the plus strand.
+    """
+    rows = _targets(contigs, mode, 0, both=True)
+    seq = F.substring("target", len(mode.pam) + 1, mode.guide) if mode.pam_first else F.substring("target", 1, mode.guide)
+    return rows.select("contig", "start", "strand", seq.alias("seq"), "first")
 
 
 def reanchored(guides: DataFrame, contigs: DataFrame, reach: int = 1000) -> DataFrame:
@@ -109,10 +157,11 @@ def reanchored(guides: DataFrame, contigs: DataFrame, reach: int = 1000) -> Data
     return found.select("guide", "contig", (F.col("from") + F.coalesce("_d", "_o") - 1).alias("place"), F.col("_d").isNull().alias("flipped")).where("place is not null")
 
 
-def half_sites(contigs: DataFrame, size: int = 18) -> DataFrame:
-    """Windows that start with T (left) or end with A (right)."""
+def half_sites(contigs: DataFrame, size: int = 18, flank: int = 0) -> DataFrame:
+    """Windows that start with T (left) or end with A (right), and with a flank the bases after them."""
     w = F.col("window")
-    return windows(contigs, size).where(w.startswith("T") | w.endswith("A")).select("contig", "start", "window", w.startswith("T").alias("left"), w.endswith("A").alias("right"))
+    rows = windows(contigs, size, flank, SITE_PIECE).where(w.startswith("T") | w.endswith("A"))
+    return rows.select("contig", "start", "window", w.startswith("T").alias("left"), w.endswith("A").alias("right"), *(["after"] if flank else []))
 
 
 # --- regions of a gene model: rows (gene, tx, strand, exon_start, exon_end, cds_start, cds_end) -----------------------
@@ -217,65 +266,86 @@ def consensus(spans: DataFrame, everywhere: bool = True, least: int = 0, pad: in
 # --- off-targets ----------------------------------------------------------------------------------------------------
 
 
-def near_sites(guides: DataFrame, sites: DataFrame, k: int = 3, size: int = 20, seed: tuple[int, int] | None = None) -> DataFrame:
-    """(guide, site, mismatches) for guides (guide, seq) and sites (site, seq) of ACGT with at most k mismatches.
+#: Pairs of sequences that a key may ask for before it is split by further parts.
+HOT_PAIRS = 1_000_000
+
+
+def near_sequences(guides: DataFrame, sites: DataFrame, k: int = 3, size: int = 20, seed: tuple[int, int] | None = None, hot: int = HOT_PAIRS) -> DataFrame:
+    """(a, b, mismatches, n): the encoded sequences of guides (seq) and sites (seq) of ACGT with at most k mismatches.
 
-    Of k + 3 parts of a sequence three have no mismatch: an equi-join on three parts and their bases (ten bases for k = 3
-    and twenty in all), and a count of differing bases in the encoded sequences. Sequences meet once each; only then come
-    the ids. ``seed`` = (bases, most) asks for at most so many mismatches in the last bases, those next to the PAM.
+    ``n`` is how many sites have the sequence b: copies are counted, never paired. Of k + 3 parts of a sequence three
+    have no mismatch: an equi-join on three parts and their bases (ten bases for k = 3 and twenty in all), and a count of
+    differing bases. A key that asks for more than ``hot`` pairs is joined on one of k + 1 parts of its other bases as
+    well, of which one has no mismatch. ``seed`` = (bases, most) asks for at most so many mismatches in the last bases,
+    those next to the PAM.
     """
     n = k + 3
     bounds = [round(i * size / n) for i in range(n + 1)]
     triples = list(itertools.combinations(range(n), 3))
     whole = F.col("seq").rlike(f"^[ACGT]{{{size}}}$")
-
-    def mask(i: int) -> int:
-        return ((1 << 2 * (bounds[i + 1] - bounds[i])) - 1) << 2 * (size - bounds[i + 1])
+    bases = lambda places: sum(3 << 2 * (size - 1 - i) for i in places)
+    part = [bases(range(bounds[i], bounds[i + 1])) for i in range(n)]
+    rest = [[i for j in range(n) if j not in t for i in range(bounds[j], bounds[j + 1])] for t in triples]
+    finer = [[bases(r[round(j * len(r) / (k + 1)) : round((j + 1) * len(r) / (k + 1))]) for j in range(k + 1)] for r in rest]
+    of = lambda table: F.array(*[F.lit(v) for v in table])
+    three = of([sum(part[i] for i in t) for t in triples])
 
     def keys(df: DataFrame, name: str) -> DataFrame:
-        one = df.where(whole).select(q.encoded(F.col("seq")).alias("code")).distinct()
-        of = F.array(*[F.struct(F.lit(i).alias("triple"), F.col("code").bitwiseAND(F.lit(sum(map(mask, t)))).alias("bases")) for i, t in enumerate(triples)])
-        return one.select(F.col("code").alias(name), F.explode(of).alias("p")).select(name, "p.*")
-
-    hits = keys(guides, "a").join(keys(sites, "b"), ["triple", "bases"])
-    hits = hits.withColumn("mismatches", q.encoded_mismatches(F.col("a"), F.col("b"))).where(F.col("mismatches") <= k)
-    # A pair meets in each three parts that agree; it is kept at the first three.
+        codes = df.where(whole).groupBy(q.encoded(F.col("seq")).alias(name)).agg(F.count(F.lit(1)).alias("n"))
+        return codes.select(name, "n", F.posexplode(F.transform(three, lambda m: F.col(name).bitwiseAND(m))).alias("triple", "bases"))
+
+    a, b = keys(guides, "a").drop("n"), keys(sites, "b")
+    size_of = lambda df, c: df.groupBy("triple", "bases").agg(F.count(F.lit(1)).alias(c))
+    large = size_of(a, "na").join(size_of(b, "nb"), ["triple", "bases"]).where(F.col("na") * F.col("nb") > hot).select("triple", "bases", F.lit(True).alias("large"))
+    cut = lambda df, c: df.join(large, ["triple", "bases"], "left").withColumn("fine", F.when(F.col("large"), F.transform(F.element_at(of_finer, F.col("triple") + 1), lambda m: F.col(c).bitwiseAND(m))).otherwise(F.array(F.lit(0).cast("long"))))
+    of_finer = F.array(*[of(m) for m in finer])
+    sides = [cut(df, c).select("*", F.posexplode("fine").alias("piece", "more")).drop("fine", "large") for df, c in ((a, "a"), (b, "b"))]
+    met = sides[0].join(sides[1], ["triple", "bases", "piece", "more"])
+    hits = met.withColumn("mismatches", q.encoded_mismatches(F.col("a"), F.col("b"))).where(F.col("mismatches") <= k)
+    # A pair meets in each three parts that agree, and in each further part; it is kept at the first of them.
     x = F.col("a").bitwiseXOR(F.col("b"))
-    agree = [x.bitwiseAND(F.lit(mask(i))) == 0 for i in range(n)]
+    agree = [x.bitwiseAND(F.lit(m)) == 0 for m in part]
     first = F.lit(False)
     for i, t in enumerate(triples):
         others = [~agree[j] for j in range(t[2]) if j not in t]
         first = F.when(F.col("triple") == i, functools.reduce(Column.__and__, others, F.lit(True))).otherwise(first)
-    hits = hits.where(first)
+    earlier = F.exists(F.filter(F.element_at(of_finer, F.col("triple") + 1), lambda m, j: j < F.col("piece")), lambda m: x.bitwiseAND(m) == 0)
+    hits = hits.where(first & ((F.col("piece") == 0) | ~earlier))
     if seed is not None:
         low = F.lit((1 << 2 * seed[0]) - 1)
         hits = hits.where(q.encoded_mismatches(F.col("a").bitwiseAND(low), F.col("b").bitwiseAND(low)) <= seed[1])
-    left = guides.where(whole).select("guide", q.encoded(F.col("seq")).alias("a"))
-    right = sites.where(whole).select("site", q.encoded(F.col("seq")).alias("b"))
-    return left.join(hits.select("a", "b", "mismatches"), "a").join(right, "b").select("guide", "site", "mismatches")
+    return hits.select("a", "b", "mismatches", "n")
 
 
-def off_targets(hits: DataFrame, sites: DataFrame, cap: int = 300) -> DataFrame:
-    """(guide, contig, start, strand, site, mismatches): hits of near_sites with their places.
+def hit_counts(guides: DataFrame, pairs: DataFrame, cap: int = 300) -> DataFrame:
+    """(guide, mm0..mm3, capped) for each guide (guide, seq), from the pairs of near_sequences: hits by mismatches, and
+    whether there are more than the cap. Sums over sequences: no hit is listed.
 
-    A guide's own place goes, each (guide, strand, contig, start) counts once, at its fewest mismatches, and the nearest
-    ``cap`` stay (the cap is the feature). Sites have the PAM, so a hit that differs there is none.
+    A guide's own place is no hit, so guides are taken to be among the sites. A guide without a hit has zeros.
     """
-    placed = hits.where("guide <> site").join(sites.select("site", "contig", "start", "strand"), "site")
-    one = placed.groupBy("guide", "strand", "contig", "start").agg(F.min("mismatches").alias("mismatches"), F.min("site").alias("site"))
-    return capped_hits(one, cap)
-
+    n = [F.coalesce(F.sum(F.when(F.col("mismatches") == m, F.col("n"))), F.lit(0)).alias(f"_{m}") for m in range(4)]
+    by_code = pairs.groupBy("a").agg(*n)
+    found = guides.select("guide", q.encoded(F.col("seq")).alias("a")).join(by_code, "a", "left")
+    count = [F.greatest(F.coalesce(F.col(f"_{m}"), F.lit(0)) - int(m == 0), F.lit(0)).cast("long").alias(f"mm{m}") for m in range(4)]
+    return found.select("guide", *count).withColumn("capped", sum((F.col(f"mm{m}") for m in range(1, 4)), F.col("mm0")) > cap)
 
-def hit_counts(hits: DataFrame, cap: int = 300) -> DataFrame:
-    """Per guide the hits with 0, 1, 2 and 3 mismatches and whether there are more than the cap."""
-    n = [F.count_if(F.col("mismatches") == m).alias(f"mm{m}") for m in range(4)]
-    return hits.groupBy("guide").agg(*n, (F.count(F.lit(1)) > cap).alias("capped"))
 
+def off_targets(guides: DataFrame, sites: DataFrame, pairs: DataFrame, cap: int = 300) -> DataFrame:
+    """(guide, hit_contig, hit_start, hit_strand, mismatches, hit): the nearest ``cap`` hits of each guide (the cap is the feature).
 
-def capped_hits(hits: DataFrame, cap: int) -> DataFrame:
-    """The nearest ``cap`` hits of each guide (the cap is the feature), ties to the smaller site."""
-    k = F.row_number().over(W.Window.partitionBy("guide").orderBy("mismatches", "site"))
-    return hits.withColumn("_k", k).where(F.col("_k") <= cap).drop("_k")
+    guides (guide, contig, start, strand, seq), sites (contig, start, strand, seq), pairs of near_sequences. Hits are in
+    order of mismatches, sequence and place; a guide's own place is none. Running counts over the sequences near a
+    guide's decide which of them, and how many of their first sites, are expanded: at most cap + 1 rows a guide.
+    """
+    before = F.sum("n").over(W.Window.partitionBy("a").orderBy("mismatches", "b").rowsBetween(W.Window.unboundedPreceding, -1))
+    wanted = pairs.withColumn("room", F.lit(cap + 1) - F.coalesce(before, F.lit(0))).where("room > 0").drop("n")
+    at = F.row_number().over(W.Window.partitionBy("b").orderBy("contig", "start", "strand"))
+    listed = sites.select(q.encoded(F.col("seq")).alias("b"), "contig", "start", "strand", F.col("seq").alias("hit")).withColumn("at", at).where(F.col("at") <= cap + 1)
+    own = guides.select("guide", q.encoded(F.col("seq")).alias("a"), F.col("contig").alias("_contig"), F.col("start").alias("_start"), F.col("strand").alias("_strand"))
+    met = own.join(wanted.join(listed, "b").where("at <= room"), "a").where("not (contig = _contig and start = _start and strand = _strand)")
+    k = F.row_number().over(W.Window.partitionBy("guide").orderBy("mismatches", "b", "contig", "start", "strand"))
+    found = met.withColumn("_k", k).where(F.col("_k") <= cap)
+    return found.select("guide", F.col("contig").alias("hit_contig"), F.col("start").alias("hit_start"), F.col("strand").alias("hit_strand"), "mismatches", "hit")
 
 
 #: What a hit with 0, 1, 2 or 3 mismatches costs, being over the cap, and bad GC.
@@ -297,21 +367,26 @@ def without_own_hit(counts: DataFrame) -> DataFrame:
     return counts.withColumn("mm0", F.when(F.col("mm0") > 0, F.col("mm0") - 1).otherwise(F.col("mm0")))
 
 
-def isoform_hits(hits: DataFrame, isoforms: DataFrame, structure: Column) -> DataFrame:
-    """(guide, own, mm0..mm3, constitutive, score) in a transcriptome: hits (guide, tx, hit_tx, mismatches and what ``structure``
-    names) and isoforms (gene, tx).
+def isoform_hits(guides: DataFrame, sites: DataFrame, pairs: DataFrame, isoforms: DataFrame, structure: Column) -> DataFrame:
+    """(guide, own, mm0..mm3, constitutive, score) in a transcriptome: guides (guide, tx, seq and what ``structure`` names),
+    sites (tx, seq), pairs of near_sequences and isoforms (gene, tx).
 
     Hits in isoforms of the guide's own gene don't count against it; ``constitutive`` tells whether all others of them have
     the guide without a mismatch. Hits elsewhere cost what they cost in a genome; ``structure`` (0 to 100) is added.
+    Sites are counted by sequence and gene first, so copies of a sequence never meet one by one.
     """
     of = isoforms.select("gene", "tx").distinct()
     others = of.groupBy("gene").agg((F.count(F.lit(1)) - 1).alias("others"))
-    met = hits.withColumn("_structure", structure).join(of.join(others, "gene"), "tx").join(of.select(F.col("gene").alias("hit_gene"), F.col("tx").alias("hit_tx")), "hit_tx")
-    own = F.col("gene") == F.col("hit_gene")
-    same = F.when(own & (F.col("hit_tx") != F.col("tx")) & (F.col("mismatches") == 0), F.col("hit_tx"))
-    n = [F.count_if(~own & (F.col("mismatches") == m)).alias(f"mm{m}") for m in range(4)]
-    g = met.groupBy("guide").agg(F.count_if(own).alias("own"), *n, (F.count_distinct(same) == F.max("others")).alias("constitutive"), F.max("_structure").alias("_structure"))
-    return g.withColumn("score", sum((F.col(f"mm{m}") * p for m, p in enumerate(HIT_PENALTY)), F.col("_structure"))).drop("_structure")
+    placed = sites.join(of, "tx").groupBy(q.encoded(F.col("seq")).alias("b"), "gene").agg(F.count(F.lit(1)).alias("m"), F.count_distinct("tx").alias("txs"))
+    n = lambda c: [F.coalesce(F.sum(F.when(F.col("mismatches") == m, F.col(c))), F.lit(0)).alias(f"_{c}{m}") for m in range(4)]
+    everywhere = pairs.groupBy("a").agg(*n("n"))
+    g = guides.join(of.join(others, "gene"), "tx").select("guide", "gene", "others", q.encoded(F.col("seq")).alias("a"), structure.alias("_structure"))
+    asked = g.select("a", "gene").distinct()
+    inside = asked.join(pairs.drop("n"), "a").join(placed, ["b", "gene"]).groupBy("a", "gene").agg(*n("m"), F.max(F.when(F.col("mismatches") == 0, F.col("txs"))).alias("txs"))
+    met = g.join(everywhere, "a").join(inside, ["a", "gene"])  # a guide's own sequence is always there
+    out = [F.expr(f"_n{m} - _m{m}").alias(f"mm{m}") for m in range(4)]
+    done = met.select("guide", F.expr("_m0 + _m1 + _m2 + _m3").alias("own"), *out, (F.col("txs") - 1 == F.col("others")).alias("constitutive"), "_structure")
+    return done.withColumn("score", sum((F.col(f"mm{m}") * p for m, p in enumerate(HIT_PENALTY)), F.col("_structure"))).drop("_structure")
 
 
 # --- pairs and clusters ----------------------------------------------------------------------------------------------
@@ -330,13 +405,50 @@ def pairs_within(rows: DataFrame, group: str, position: str, low: int, high: int
     return met if condition is None else met.where(condition)
 
 
-def clusters(pairs: DataFrame, group: str, start: str, end: str) -> DataFrame:
-    """Runs of overlapping pairs in order of start, cut into clusters of two members at most: adds ``cluster``."""
-    by = W.Window.partitionBy(group).orderBy(start, end)
-    new = F.when(F.col(start) <= F.lag(end).over(by), 0).otherwise(1)
-    runs = pairs.withColumn("_new", new).withColumn("_run", F.sum("_new").over(by))
-    at = F.row_number().over(W.Window.partitionBy(group, "_run").orderBy(start, end)) - 1
-    return runs.withColumn("_at", at).withColumn("cluster", F.concat_ws(".", F.col("_run").cast("string"), F.floor(F.col("_at") / 2).cast("string"))).drop("_new", "_run", "_at")
+#: Bases of a stretch of a contig that is scanned in one window; scans are carried from stretch to stretch.
+STRETCH = 65_536
+
+
+def clusters(pairs: DataFrame, group: str, start: str, end: str, stretch: int = STRETCH) -> DataFrame:
+    """Runs of overlapping pairs in order of start, cut into clusters of two members at most: adds ``cluster``.
+
+    Stretches of a group are scanned by themselves. What is carried between them, the last end, the number of
+    runs and the length of a run that goes on, comes from a table with a row for each stretch.
+    """
+    rows = pairs.withColumn("_s", F.floor(F.col(start) / stretch))
+    by = W.Window.partitionBy(group, "_s").orderBy(start, end)
+    rows = rows.withColumns({"_at": F.row_number().over(by), "_end": F.lag(end).over(by)})
+    last = rows.groupBy(group, "_s").agg(F.max(F.struct(start, end)).getField(end).alias("_last"))
+    order = W.Window.partitionBy(group).orderBy("_s")
+    edges = last.select(group, "_s", F.lag("_last").over(order).alias("_edge"))
+    rows = rows.join(edges, [group, "_s"])
+    new = F.when(F.col(start) <= F.when(F.col("_at") == 1, F.col("_edge")).otherwise(F.col("_end")), 0).otherwise(1)
+    rows = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(by))
+    sizes = rows.groupBy(group, "_s").agg(F.count(F.lit(1)).alias("_n"), F.max("_run").alias("_runs"), F.max(F.when(F.col("_new") == 1, F.col("_at"))).alias("_from"))
+    upto = order.rowsBetween(W.Window.unboundedPreceding, 0)
+    sizes = sizes.withColumns({"_before": F.sum("_runs").over(upto) - F.col("_runs"), "_part": F.count("_from").over(upto)})
+    tail = F.when(F.col("_from").isNotNull(), F.col("_n") - F.col("_from") + 1).otherwise(F.col("_n"))
+    sizes = sizes.withColumn("_open", F.sum(tail).over(W.Window.partitionBy(group, "_part").orderBy("_s").rowsBetween(W.Window.unboundedPreceding, 0)))
+    carried = sizes.select(group, "_s", "_before", F.coalesce(F.lag("_open").over(order), F.lit(0)).alias("_open"))
+    inside = F.row_number().over(W.Window.partitionBy(group, "_s", "_run").orderBy(start, end)) - 1
+    rows = rows.join(carried, [group, "_s"]).withColumn("_place", inside + F.when(F.col("_run") == 0, F.col("_open")).otherwise(0))
+    name = F.concat_ws(".", (F.col("_run") + F.col("_before")).cast("string"), F.floor(F.col("_place") / 2).cast("string"))
+    return rows.withColumn("cluster", name).select(*pairs.columns, "cluster")
+
+
+def islands(rows: DataFrame, group: str, position: str, gap: int, stretch: int = STRETCH) -> DataFrame:
+    """Adds ``_island``: rows of a group in order of position, cut wherever the next one is ``gap`` or more away.
+
+    Stretches are scanned by themselves, and only the last place and the number of cuts go from one to the next.
+    """
+    rows = rows.withColumn("_s", F.floor(F.col(position) / stretch))
+    by = W.Window.partitionBy(group, "_s").orderBy(position)
+    order = W.Window.partitionBy(group).orderBy("_s")
+    edges = rows.groupBy(group, "_s").agg(F.max(position).alias("_last")).select(group, "_s", F.lag("_last").over(order).alias("_edge"))
+    rows = rows.join(edges, [group, "_s"]).withColumn("_cut", F.when(F.col(position) - F.coalesce(F.lag(position).over(by), F.col("_edge")) < gap, 0).otherwise(1))
+    cuts = rows.groupBy(group, "_s").agg(F.sum("_cut").alias("_cuts"))
+    cuts = cuts.select(group, "_s", (F.sum("_cuts").over(order.rowsBetween(W.Window.unboundedPreceding, 0)) - F.col("_cuts")).alias("_before"))
+    return rows.join(cuts, [group, "_s"]).withColumn("_island", F.sum("_cut").over(by) + F.col("_before")).drop("_s", "_edge", "_cut", "_before")
 
 
 def best_of_clusters(rows: DataFrame, group: str, score: str, key: str) -> DataFrame:
@@ -345,36 +457,53 @@ def best_of_clusters(rows: DataFrame, group: str, score: str, key: str) -> DataF
     k = F.row_number().over(by.orderBy(score, key))
     others = F.array_sort(F.collect_list(key).over(by.orderBy(score, key).rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)))
     best = rows.withColumns({"_k": k, "others": others}).where("_k = 1").drop("_k").withColumn("others", F.array_except("others", F.array(key)))
-    return best.withColumn("rank", F.row_number().over(W.Window.partitionBy(group).orderBy(score, key)))
+    return ranked(best, group, score, key)
 
 
 def ranked(rows: DataFrame, group: str, score: str, key: str, most: int | None = None) -> DataFrame:
-    out = rows.withColumn("rank", F.row_number().over(W.Window.partitionBy(group).orderBy(score, key)))
-    return out if most is None else out.where(F.col("rank") <= most)
+    """Adds ``rank`` by score, then key, within the group; with ``most`` only the first so many are kept, and few are shuffled.
+
+    Without ``most`` the score has to be a number: ranks come from running counts over scores, and no task sorts a group.
+    """
+    if most is not None:
+        return rows.withColumn("rank", F.row_number().over(W.Window.partitionBy(group).orderBy(score, key))).where(F.col("rank") <= most)
+    counted = running_sums(rows.groupBy(group, score).agg(F.count(F.lit(1)).alias("_n")), (group,), score, ["_n"], descending=False, few=False)
+    within = F.row_number().over(W.Window.partitionBy(group, score).orderBy(key))
+    placed = rows.withColumn("_k", within).join(counted.select(group, score, (F.col("cum__n") - F.col("_n")).alias("_ahead")), [group, score])
+    return placed.withColumn("rank", (F.col("_ahead") + F.col("_k")).cast("int")).select(*rows.columns, "rank")
+
+
+def _by_island(rows: DataFrame, group: str, choose) -> DataFrame:
+    kept = rows.drop("_island")
+    return rows.groupBy(group, "_island").applyInPandas(lambda pdf: choose(pdf.drop(columns="_island")), kept.schema)
 
 
 def spaced(rows: DataFrame, group: str, position: str, score: str, distance: int) -> DataFrame:
     """Greedy choice by score: a row stays if it is farther than ``distance`` from all chosen ones of its group.
 
-    Each choice depends on those before it, so a group (a contig) is one task and has to fit in memory.
+    Each choice depends on those before it within ``distance`` only, so a group falls into islands whose neighbours
+    are farther apart; an island is a task's unit. Ties go to the smaller position.
     """
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        import bisect
-
+        pdf = pdf.sort_values([score, position], kind="stable")
         taken, keep = [], []
-        for i, p in enumerate(pdf.sort_values([score, position], kind="stable")[position]):
+        for i, p in enumerate(pdf[position]):
             at = bisect.bisect_left(taken, p)
             if (at == len(taken) or taken[at] - p > distance) and (at == 0 or p - taken[at - 1] > distance):
                 taken.insert(at, p)
                 keep.append(i)
-        return pdf.sort_values([score, position], kind="stable").iloc[keep]
+        return pdf.iloc[keep]
 
-    return rows.groupBy(group).applyInPandas(choose, rows.schema)
+    return _by_island(islands(rows, group, position, distance + 1), group, choose)
 
 
 def without_overlap(rows: DataFrame, group: str, start: str, size: int) -> DataFrame:
-    """Along a region the first row, then the next that starts after it ends, and so on; a group is one task."""
+    """Along a region the first row, then the next that starts after it ends, and so on.
+
+    A row that starts ``size`` or more after the one before it is free whatever was chosen, so a region falls into
+    islands there.
+    """
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(start, kind="stable")
@@ -385,16 +514,24 @@ def without_overlap(rows: DataFrame, group: str, start: str, size: int) -> DataF
                 free = p + size
         return pdf.iloc[keep]
 
-    return rows.groupBy(group).applyInPandas(walk, rows.schema)
+    return _by_island(islands(rows, group, start, size), group, walk)
 
 
-def control_guides(spark, n: int, sites: DataFrame, size: int = 20, k: int = 3, seed: int = 42, tries: int = 20) -> DataFrame:
-    """n distinct hash-seeded random guides with 40 to 70 % GC, no folding and no site within k mismatches (n is the feature)."""
+def control_guides(spark, n: int, sites: DataFrame, size: int = 20, k: int = 3, seed: int = 42, motifs: Sequence[str] = (), rounds: int = 6) -> DataFrame:
+    """n distinct hash-seeded random guides with 40 to 70 % GC, no folding, no restriction site and no site within k mismatches
+    (n is the feature). Draws ten times as many, and twice as many again, until n are found; an error after ``rounds`` draws."""
     base = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.substring(F.lit("ACGT"), (F.pmod(F.xxhash64(F.lit(seed), "id", i), F.lit(4)) + 1).cast("int"), F.lit(1)))
-    made = spark.range(n * tries).select("id", F.array_join(base, "").alias("seq")).dropDuplicates(["seq"])
-    good = made.where(q.gc_fraction(F.col("seq")).between(0.4, 0.7) & (q.self_complementarity(F.col("seq")) == 0)).select(F.col("id").alias("guide"), "seq")
-    hit = near_sites(good, sites, k, size).select("guide").distinct()
-    return good.join(hit, "guide", "left_anti").orderBy("guide").limit(n)
+    for r in range(rounds):
+        made = spark.range(n * 10 << r).select("id", F.array_join(base, "").alias("seq")).groupBy("seq").agg(F.min("id").alias("guide"))
+        good = made.where(q.gc_fraction(F.col("seq")).between(0.4, 0.7) & (q.self_complementarity(F.col("seq")) == 0))
+        for m in motifs:
+            good = good.where(~F.col("seq").rlike(m) & ~q.reverse_complement(F.col("seq")).rlike(m))
+        hit = near_sequences(good, sites, k, size).select("a").distinct()
+        found = good.withColumn("a", q.encoded(F.col("seq"))).join(hit, "a", "left_anti").select("guide", "seq").orderBy("guide").limit(n)
+        rows = found.collect()  # n rows, the caller's number
+        if len(rows) == n:
+            return spark.createDataFrame(rows, found.schema)
+    raise ValueError(f"{len(rows)} control guides instead of {n} after {rounds} draws")
 
 
 #: What a pair of off-targets costs on the same and on different strands, by kind of pair, and a pair
@@ -404,13 +541,13 @@ PAM_IN_PENALTY = 1_000
 
 
 def scored_pairs(pairs: DataFrame, hits: DataFrame, low: int, high: int, kind: str = "nickase") -> DataFrame:
-    """pair, off_same, off_other and score for pairs (pair, left, right, strand) and hits (guide, contig, start, strand).
+    """pair, off_same, off_other and score for pairs (pair, left, right, strand) and hits of off_targets.
 
     Off-target pairs: hits of the two members on one contig at a distance of low to high, by a binned equi-join on the
     hits, after they meet their pairs. ``strand`` is the left guide's, and counts for nickases only.
     """
     width = max(1, high)
-    side = lambda x: hits.select(F.col("guide").alias(x), F.col("contig").alias(f"contig_{x}"), F.col("start").alias(f"pos_{x}"), F.col("strand").alias(f"strand_{x}"))
+    side = lambda x: hits.select(F.col("guide").alias(x), F.col("hit_contig").alias(f"contig_{x}"), F.col("hit_start").alias(f"pos_{x}"), F.col("hit_strand").alias(f"strand_{x}"))
     a = pairs.select("pair", "left").join(side("left"), "left").withColumn("_bin", F.explode(F.array(*[F.floor(F.col("pos_left") / width) + i for i in (-1, 0, 1)])))
     b = pairs.select("pair", "right").join(side("right"), "right").withColumn("_bin", F.floor(F.col("pos_right") / width)).drop("right")
     a, b = a.withColumnRenamed("contig_left", "_contig"), b.withColumnRenamed("contig_right", "_contig")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,6 +86,71 @@ def fit_logistic(df: DataFrame, features: Sequence[str], target: str, cut: float
     return model | {"betas": dict(zip(features, map(float, fitted.coefficients))), "intercept": float(fitted.intercept)}
 
 
+def _newton_sums(rows: DataFrame, betas: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients and curvatures of k + 1 models in one pass over (fold, y, w, x): model f leaves fold f out, the last none."""
+    models, p = betas.shape
+
+    def task(batches):
+        g, h = np.zeros((models, p)), np.zeros((models, p, p))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.column_stack([np.ones(len(pdf)), np.array(pdf["x"].tolist())])
+            y, w, fold = pdf["y"].to_numpy(float), pdf["w"].to_numpy(float), pdf["fold"].to_numpy()
+            prob = 1 / (1 + np.exp(-np.clip(x @ betas.T, -500, 500)))
+            for m in range(models):
+                own = w * (fold != m)
+                g[m] += x.T @ (own * (prob[:, m] - y))
+                h[m] += (x * (own * prob[:, m] * (1 - prob[:, m]))[:, None]).T @ x
+        yield pd.DataFrame({"at": np.arange(models * p * (p + 1)), "v": np.concatenate([g.ravel(), h.ravel()])})
+
+    out = np.zeros(models * p * (p + 1))
+    for r in rows.mapInPandas(task, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():  # (k + 1) * p * (p + 1) rows
+        out[r["at"]] = r["v"]
+    return out[: models * p].reshape(models, p), out[models * p :].reshape(models, p, p)
+
+
+def cross_validated(df: DataFrame, features: Sequence[str], target: str, cut: float, k: int = 5, penalty: float = 0.01, iterations: int = 100, tolerance: float = 1e-6, gene: str = "gene", seed: int = 42) -> tuple[dict, DataFrame, DataFrame]:
+    """(model, held_out, thresholds): the logistic consensus with a threshold from cross-validation over whole genes.
+
+    ``held_out`` has the rows without nulls with ``fold`` and ``probability``, by the model that never saw the row's genes;
+    ``thresholds`` Youden's of each fold. The model is fitted on all rows, and its ``threshold`` is the mean of the folds' ones.
+    All k + 1 fits go step by step together (Newton's method), so a step is one pass over the rows. Z-scores and the
+    weight of negatives, positives over negatives, are those of all rows, as fit_logistic has them. A fold whose held-out
+    rows have one class only has no threshold; without any the threshold is null.
+    """
+    rows = df.dropna(subset=[*features, target, gene])
+    label = (F.col(target) >= cut).cast("double")
+    n = rows.agg(F.sum(label).alias("p"), F.sum(1 - label).alias("n"), *[f(c).alias(f"{s}_{c}") for c in features for s, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    if not n["p"] or not n["n"]:
+        raise ValueError("both classes are needed")
+    stats = {"means": {c: n[f"m_{c}"] for c in features}, "stds": {c: max(n[f"s_{c}"] or 0.0, 1e-9) for c in features}}
+    negative = n["p"] / n["n"]
+    given = folds(rows, gene, k, seed)
+    narrow = given.select("fold", label.alias("y"), F.when(label == 1, 1.0).otherwise(negative).alias("w"), F.array(*[z_of(stats, c) for c in features]).alias("x")).persist()
+    try:
+        weight = {r["fold"]: r["w"] for r in narrow.groupBy("fold").agg(F.sum("w").alias("w")).collect()}
+        total = sum(weight.values())
+        share = np.array([*(max(total - weight.get(f, 0.0), 1e-12) for f in range(k)), total])
+        ridge = np.diag([0.0, *[penalty] * len(features)])
+        betas = np.zeros((k + 1, len(features) + 1))
+        for _ in range(iterations):
+            g, h = _newton_sums(narrow, betas, k)
+            step = np.array([np.linalg.lstsq(h[m] / share[m] + ridge, g[m] / share[m] + ridge @ betas[m], rcond=None)[0] for m in range(k + 1)])
+            betas = betas - step
+            if np.abs(step).max() < tolerance:
+                break
+    finally:
+        narrow.unpersist()
+    own = lambda j: F.get(F.array(*[F.lit(float(b)) for b in betas[:k, j]]), F.col("fold"))
+    score = sum((z_of(stats, c) * own(j + 1) for j, c in enumerate(features)), own(0))
+    held_out = given.withColumn("probability", 1 / (1 + F.exp(-score)))
+    thresholds = youden_threshold(held_out, "probability", F.col(target) >= cut)
+    mean = thresholds.agg(F.avg("threshold")).first()[0]
+    model = stats | {"betas": dict(zip(features, map(float, betas[k, 1:]))), "intercept": float(betas[k, 0]), "threshold": mean}
+    return model, held_out, thresholds
+
+
 def apply_logistic(df: DataFrame, model: Mapping, name: str = "consensus", legacy: bool = False) -> DataFrame:
     """Sigmoid of the weighted z-scores; ``legacy`` leaves the intercept out. Null where a feature is."""
     total = sum((z_of(model, c) * float(b) for c, b in model["betas"].items()), F.lit(0.0 if legacy else float(model["intercept"])))

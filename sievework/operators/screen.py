@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +41,25 @@ def size_factors(long: DataFrame, experiment: str = "experiment") -> DataFrame:
     return long.join(whole, [experiment, "guide_id"]).groupBy(experiment, "sample").agg(F.percentile(F.col("count") / F.exp("g"), 0.5).alias("factor"))
 
 
+def normal_tail(z: np.ndarray) -> np.ndarray:
+    """Probability of a standard normal value of z at most: a series near 0, a continued fraction beyond; NaN stays."""
+    x = np.abs(z)
+    near = np.minimum(x, 3.0)
+    term = near.copy()
+    total = near.copy()
+    for k in range(1, 60):
+        term = term * near * near / (2 * k + 1)
+        total = total + term
+    far = np.maximum(x, 3.0)
+    tail = far.copy()
+    for k in range(60, 0, -1):
+        tail = far + k / tail
+    with np.errstate(under="ignore"):
+        density = np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+        upper = np.where(x <= 3, 0.5 - total * density, density / tail)
+    return np.where(z < 0, upper, 1 - upper)
+
+
 def depletion(long: DataFrame, control: Sequence[str], treated: Sequence[str], experiment: str = "experiment") -> DataFrame:
     """experiment, guide_id, lfc, p, fdr for rows (experiment, guide_id, sample, count), all experiments in one job.
 
@@ -57,7 +78,7 @@ def depletion(long: DataFrame, control: Sequence[str], treated: Sequence[str], e
 
     @F.pandas_udf("double")
     def lower_tail(z: pd.Series) -> pd.Series:
-        return z.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)) if v == v and v is not None else None)
+        return pd.Series(normal_tail(z.to_numpy(float)))
 
     return with_fdr(m.withColumn("p", lower_tail("z")).drop("z"), "p", experiment)
 
@@ -127,20 +148,114 @@ def mixed_outcomes(scored: DataFrame, insertion_share: Column) -> DataFrame:
     return scored.withColumn("freq", share * F.when(F.col("category") == "ins", insertion_share).otherwise(1 - insertion_share))
 
 
-def microhomologies(sites: DataFrame, most: int = 59) -> DataFrame:
-    """(guide, length, start, mh_len, gc) of the runs of equal bases for each deletion length at a cut: rows (guide, seq, cut)."""
+def homology_masks(sites: DataFrame, most: int = 59) -> DataFrame:
+    """(guide, seq, cut, length, mask) for each deletion length at a cut: rows (guide, seq, cut). The mask has the bases that
+    both sides of the deletion share, place by place, and ``-`` where they differ."""
     lengths = F.sequence(F.lit(1), F.least(F.lit(most), F.length("seq") - F.col("cut"), F.col("cut")))
     rows = sites.where((F.col("cut") > 0) & (F.length("seq") > F.col("cut"))).select("guide", "seq", "cut", F.explode(lengths).alias("length"))
     base = lambda at: F.substring("seq", at, F.lit(1))
     shared = F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda i: F.when(base(F.col("cut") - F.col("length") + i + 1) == base(F.col("cut") + i + 1), base(F.col("cut") + i + 1)).otherwise("-"))
-    marked = rows.select("guide", "length", F.array_join(shared, "").alias("mask"))
-    # A run starts where a base that both sides share follows one that they don't: no row for each base, no shuffle.
-    starts = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: (F.substring("mask", i + 1, F.lit(1)) != "-") & ((i == 0) | (F.substring("mask", i, F.lit(1)) == "-")))
-    runs = marked.select("guide", "length", "mask", F.explode(starts).alias("start")).withColumn("run", F.substring_index(F.expr("substring(mask, start + 1)"), "-", 1))
+    return rows.withColumn("mask", F.array_join(shared, ""))
+
+
+def _runs(mask: str) -> Column:
+    """Where the runs of shared bases of a mask start: no row for each base, no shuffle."""
+    places = F.sequence(F.lit(0), F.length(mask) - 1)
+    return F.filter(places, lambda i: (F.substring(mask, i + 1, F.lit(1)) != "-") & ((i == 0) | (F.substring(mask, i, F.lit(1)) == "-")))
+
+
+def microhomologies(sites: DataFrame, most: int = 59) -> DataFrame:
+    """(guide, length, start, mh_len, gc) of the runs of equal bases for each deletion length at a cut: rows (guide, seq, cut)."""
+    marked = homology_masks(sites, most)
+    runs = marked.select("guide", "length", "mask", F.explode(_runs("mask")).alias("start")).withColumn("run", F.substring_index(F.expr("substring(mask, start + 1)"), "-", 1))
     gc = F.length(F.regexp_replace("run", "[^GC]", "")) / F.length("run")
     return runs.select("guide", "length", "start", F.length("run").cast("long").alias("mh_len"), gc.alias("gc"))
 
 
+#: Layers of a network: (matrix of inputs by outputs, offsets); all but the last are followed by the logistic function.
+Layers = Sequence[tuple[Sequence[Sequence[float]], Sequence[float]]]
+
+
+def forward(layers: Layers, x: np.ndarray) -> np.ndarray:
+    """The network's only output for each row of x."""
+    for k, (w, b) in enumerate(layers):
+        x = x @ np.asarray(w, float) + np.asarray(b, float)
+        if k < len(layers) - 1:
+            x = 1 / (1 + np.exp(-x))
+    return x[:, 0]
+
+
+def deletion_outcomes(sites: DataFrame, run_layers: Layers, length_layers: Layers, most: int = 59) -> DataFrame:
+    """(guide, seq, cut, mask, length, position, mh_len, freq, total): deletions at each cut with their frequencies, which add up to 1.
+
+    A run of shared bases weighs exp(score - length / 4), the score being a network's of the run's length and GC share; a
+    run over the whole deletion weighs what a deletion without one of this length does on top, and a length without
+    such a run has that as a row of its own, of no position. ``total`` is the sum of a guide's weights. Networks come from the caller; they are asked
+    once for each length and GC count that there is, ``most`` * (most + 3) / 2 rows at most.
+    """
+    spark = sites.sparkSession
+    inputs = [(n, g) for n in range(1, most + 1) for g in range(n + 1)]
+    scores = forward(run_layers, np.array([(n, g / n) for n, g in inputs], float))
+    runs = spark.createDataFrame([(n, g, float(v)) for (n, g), v in zip(inputs, scores)] + [(0, 0, None)], "mh_len int, _gc int, _run double")
+    alone = spark.createDataFrame([(n, float(v)) for n, v in zip(range(1, most + 1), forward(length_layers, np.arange(1.0, most + 1)[:, None]))], "length int, _alone double")
+    run = lambda at: F.substring_index(F.substring("mask", at + 1, F.length("mask")), "-", 1)
+    found = F.transform(_runs("mask"), lambda at: F.struct((at + F.length(run(at))).alias("position"), F.length(run(at)).alias("mh_len"), F.length(F.regexp_replace(run(at), "[^GC]", "")).alias("_gc")))
+    none = F.array(F.struct(F.lit(None).cast("int").alias("position"), F.lit(0).alias("mh_len"), F.lit(0).alias("_gc")))
+    rows = homology_masks(sites, most).withColumn("x", F.explode(F.when(F.contains("mask", F.lit("-")), F.concat(found, none)).otherwise(found))).select("guide", "seq", "cut", "mask", "length", "x.*")
+    rows = rows.join(F.broadcast(runs), ["mh_len", "_gc"]).join(F.broadcast(alone), "length")
+    part = lambda score: F.exp(F.col(score) - 0.25 * F.col("length"))
+    weight = F.when(F.col("mh_len") == 0, part("_alone")).when(F.col("mh_len") == F.col("length"), part("_run") + part("_alone")).otherwise(part("_run"))
+    rows = rows.withColumn("weight", weight).withColumn("total", F.sum("weight").over(W.Window.partitionBy("guide")))
+    return rows.select("guide", "seq", "cut", "mask", "length", "position", "mh_len", (F.col("weight") / F.col("total")).alias("freq"), "total")
+
+
+def with_insertions(deletions: DataFrame, rate: Mapping[str, float], bases: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """(guide, seq, cut, mask, category, length, position, mh_len, inserted, freq): deletion_outcomes with insertions of one base.
+
+    The share of insertions among all is logistic in what ``rate`` weighs: ``intercept``, ``precision`` (of the deletions of 1 to 28
+    bases, 1 less their entropy over its greatest), ``log_total``, and ``5A`` to ``3T``, the bases on either side of the cut; of its
+    odds, ``bases`` gives each inserted base its part by the base before the cut. All of a guide's frequencies add up to 1.
+    """
+    short = F.when(F.col("length") <= 28, F.col("freq"))
+    lengths = deletions.groupBy("guide", "seq", "cut", "total", "length").agg(F.sum(short).alias("f"))
+    entropy = F.ln(F.sum("f")) - F.sum(F.col("f") * F.ln("f")) / F.sum("f")  # of the shares f / sum(f)
+    g = lengths.groupBy("guide", "seq", "cut", "total").agg((1 - entropy / math.log(28)).alias("precision"))
+    five, three = F.expr("substring(seq, cut, 1)"), F.expr("substring(seq, cut + 1, 1)")
+    side = lambda col, n: sum((F.when(col == b, float(rate.get(f"{n}{b}", 0.0))).otherwise(0.0) for b in "ACGT"), F.lit(0.0))
+    odds = F.exp(float(rate.get("intercept", 0.0)) + float(rate.get("precision", 0.0)) * F.col("precision") + float(rate.get("log_total", 0.0)) * F.ln("total") + side(five, 5) + side(three, 3))
+    share = F.create_map(*[x for b, v in bases.items() for x in (F.lit(b), F.array(*[F.struct(F.lit(i).alias("inserted"), F.lit(float(p)).alias("part")) for i, p in v.items()]))])
+    made = g.withColumn("odds", odds).select("guide", "seq", "cut", "odds", F.explode(share[five]).alias("x"))
+    insertions = made.select("guide", "seq", "cut", F.lit(None).cast("string").alias("mask"), F.lit("ins").alias("category"), F.lit(1).alias("length"), F.lit(None).cast("int").alias("position"), F.lit(0).alias("mh_len"), "x.inserted", (F.col("odds") * F.col("x.part")).alias("freq"))
+    cut = deletions.select("guide", "seq", "cut", "mask", F.lit("del").alias("category"), "length", "position", "mh_len", F.lit(None).cast("string").alias("inserted"), "freq")
+    both = cut.unionByName(insertions)
+    return both.withColumn("freq", F.col("freq") / F.sum("freq").over(W.Window.partitionBy("guide")))
+
+
+def outcome_genotypes(outcomes: DataFrame) -> DataFrame:
+    """(guide, category, length, position, mh_len, name, genotype, freq): outcomes of with_insertions, each with what is left.
+
+    A deletion without a position is split over the positions where neither side shares a base: in equal parts over
+    the first place, the last one, and all those between together, as far as there are such. Where there is none it
+    stays as it is, without a genotype. A guide's frequencies still add up to 1.
+    """
+    differs = lambda i: F.substring("mask", i, F.lit(1)) == "-"
+    head, tail = F.when(differs(F.lit(1)), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.when(differs(F.col("length")), F.array(F.col("length"))).otherwise(F.array().cast("array<int>"))
+    middle = F.when(F.col("length") > 1, F.filter(F.sequence(F.lit(1), F.col("length") - 1), lambda i: differs(i) & differs(i + 1))).otherwise(F.array().cast("array<int>"))
+    open_ = (F.col("category") == "del") & F.col("position").isNull()
+    rows = outcomes.withColumns({"_head": F.when(open_, head), "_tail": F.when(open_, tail), "_middle": F.when(open_, middle)})
+    kinds = F.size("_head") + F.size("_tail") + F.least(F.size("_middle"), F.lit(1))
+    each = lambda places, n: F.transform(places, lambda p: F.struct(p.alias("position"), (F.col("freq") / kinds / n).alias("freq")))
+    whole = F.array(F.struct("position", "freq"))
+    parts = F.when(~open_ | (kinds == 0), whole).otherwise(F.concat(each(F.col("_head"), F.lit(1)), each(F.col("_tail"), F.lit(1)), each(F.col("_middle"), F.size("_middle"))))
+    rows = rows.withColumn("x", F.explode(parts)).select("guide", "seq", "cut", "category", "length", "mh_len", "inserted", "x.*")
+    at = F.col("cut") - F.col("length") + F.col("position")
+    text = lambda a, n: F.substring("seq", a, n)
+    cut_out = text(at + 1, F.col("length"))
+    name = F.when(F.col("category") == "ins", F.concat(F.lit("ins"), "inserted")).when(F.col("position").isNull(), F.concat(F.lit("del"), F.col("length").cast("string"))).otherwise(F.concat(F.lit("del"), cut_out))
+    left = F.when(F.col("category") == "ins", F.concat(F.expr("left(seq, cut)"), "inserted", F.expr("substring(seq, cut + 1)"))).when(F.col("position").isNotNull(), F.concat(text(F.lit(1), at), text(F.col("cut") + F.col("position") + 1, F.length("seq"))))
+    return rows.select("guide", "category", "length", "position", "mh_len", name.alias("name"), left.alias("genotype"), "freq")
+
+
 # --- sequence features ------------------------------------------------------------------------------------------------
 
 
@@ -201,10 +316,67 @@ def melting_temperature(s: Column, concentration_nm: float = 50.0, sodium_mm: fl
     return F.when((F.length(s) >= 2) & s.rlike("^[ACGT]+$"), t)
 
 
-def feature_matrix(features: DataFrame, names: Sequence[str]) -> DataFrame:
-    """guide and one z-scored column for each name; a feature that a guide lacks is 0."""
-    from sievework.operators import columns as C
+#: Letters of all k-mers of one and two bases.
+_MERS = {k: ["".join(x) for x in itertools.product("ACGT", repeat=k)] for k in (1, 2)}
+#: Stretches of the protospacer (0-based, end left out) whose melting temperature is a feature of its own.
+_PARTS = {"tm": (0, 30), "tm_near": (19, 24), "tm_middle": (11, 19), "tm_far": (6, 11)}
+
+
+def feature_names() -> list[str]:
+    """The dictionary of the features of a target with its context, 30 bases: place and name."""
+    placed = [f"{m}_{i}" for k in (1, 2) for i in range(21 - k) for m in _MERS[k]]
+    return [*placed, *_MERS[1], *_MERS[2], "gc", "gc_high", "gc_low", *(f"nggx_{m}" for m in _MERS[2]), *_PARTS, "weight"]
 
-    wide = features.where(F.col("feature").isin(*names)).groupBy("guide").pivot("feature", list(names)).agg(F.first("value"))
-    whole = features.select("guide").distinct().join(wide, "guide", "left").na.fill(0, list(names))
-    return C.z_scores(whole, list(names)).drop(*names)
+
+def feature_vectors(targets: DataFrame) -> DataFrame:
+    """(guide, places, values): a sparse vector over feature_names() for each target (guide, seq of 30 bases), no shuffle.
+
+    Bases and pairs of bases by their place in the protospacer and their counts, GC count and flags, the bases beside the
+    PAM's GG, melting temperatures of the whole and of three parts, and the molecular weight.
+    """
+    names = feature_names()
+    place = {n: i for i, n in enumerate(names)}
+    spacer = F.substring("seq", 5, 20)
+    entries = []
+    for k in (1, 2):
+        first = place[f"{_MERS[k][0]}_0"]
+        word = lambda i, k=k: F.substring("_spacer", i + 1, F.lit(k))
+        number = lambda i, k=k: F.expr("0") + sum(((F.position(F.substring("_spacer", i + 1 + j, F.lit(1)), F.lit("ACGT")) - 1) * 4 ** (k - 1 - j) for j in range(1, k)), (F.position(F.substring("_spacer", i + 1, F.lit(1)), F.lit("ACGT")) - 1) * 4 ** (k - 1))
+        entries.append(F.transform(F.sequence(F.lit(0), F.lit(20 - k)), lambda i, k=k, first=first, number=number: F.struct((F.lit(first) + i * 4**k + number(i)).cast("int").alias("place"), F.lit(1.0).alias("value"))))
+        counts = [(m, F.size(F.filter(F.sequence(F.lit(0), F.lit(20 - k)), lambda i, m=m, word=word: word(i) == m)).cast("double")) for m in _MERS[k]]
+        entries.append(F.array(*[F.struct(F.lit(place[m]).alias("place"), c.alias("value")) for m, c in counts]))
+    gc = F.length(F.regexp_replace("_spacer", "[^GC]", ""))
+    beside = F.concat(F.substring("seq", 25, 1), F.substring("seq", 28, 1))
+    more = {"gc": gc.cast("double"), "gc_high": (gc > 10).cast("double"), "gc_low": (gc < 10).cast("double")}
+    more |= {n: melting_temperature(F.substring("seq", a + 1, b - a)) for n, (a, b) in _PARTS.items()}
+    more |= {"weight": molecular_weight(F.col("seq"))} | {f"nggx_{m}": (beside == m).cast("double") for m in _MERS[2]}
+    entries.append(F.array(*[F.struct(F.lit(place[n]).alias("place"), v.cast("double").alias("value")) for n, v in more.items()]))
+    rows = targets.withColumn("_spacer", spacer).select("guide", F.filter(F.concat(*entries), lambda x: x["value"].isNull() | (x["value"] != 0)).alias("x"))
+    return rows.select("guide", F.transform("x", lambda x: x["place"]).alias("places"), F.transform("x", lambda x: x["value"]).alias("values"))
+
+
+def feature_statistics(vectors: DataFrame) -> tuple[list[float], list[float]]:
+    """Mean and standard deviation (n - 1) of each feature, in one pass over what is not zero; an error if a value is null."""
+    size = len(feature_names())
+    n = vectors.count()
+    cells = vectors.select(F.explode(F.arrays_zip("places", "values")).alias("x")).select("x.*")
+    by = cells.groupBy("places").agg(F.count("values").alias("m"), F.avg("values").alias("mean"), F.var_pop("values").alias("v"), F.count_if(F.col("values").isNull()).alias("nulls"))
+    mean, std = [0.0] * size, [0.0] * size
+    for r in by.collect():  # a row a feature at most
+        if r["nulls"]:
+            raise ValueError(f"{r['nulls']} null values of {feature_names()[r['places']]}")
+        m, a = r["m"], r["mean"]
+        mean[r["places"]] = a * m / n
+        std[r["places"]] = math.sqrt(max(0.0, (r["v"] * m + a * a * m * (n - m) / n) / (n - 1))) if n > 1 else 0.0
+    return mean, std
+
+
+def z_scored(vectors: DataFrame, mean: Sequence[float], std: Sequence[float]) -> DataFrame:
+    """(guide, z): the dense vector of z-scores; a feature that never varies is 0."""
+    still = [s <= 1e-9 for s in std]
+    base = F.array(*[F.lit(0.0 if f else -m / s) for m, s, f in zip(mean, std, still)])
+    slope = F.array(*[F.lit(0.0 if f else 1 / s) for s, f in zip(std, still)])
+    one = vectors.sparkSession.range(1).select(base.alias("_base"), slope.alias("_slope"))  # one row of two arrays
+    given = F.map_from_arrays("places", "values")
+    z = F.transform("_base", lambda v, i: v + F.coalesce(F.try_element_at(given, i), F.lit(0.0)) * F.get("_slope", i))
+    return vectors.crossJoin(F.broadcast(one)).select("guide", z.alias("z"))

@@ -15,20 +15,27 @@ N = "with " + t.DNA
 RC = "reverse(translate({}, 'ACGT', 'TGCA'))"
 WINDOWS = N + ", w as (select contig, i as start, substring(seq, i, 23) as win from dna, unnest(range(1, greatest(length(seq) - 21, 1))) u(i) where length(seq) >= 23)"
 CONTEXT = 60
-TARGETS = WINDOWS + f", g as (select contig, start, case when regexp_matches(win, 'GG$') then '+' else '-' end as strand, case when regexp_matches(win, 'GG$') then win else {RC.format('win')} end as target from w where regexp_matches(win, 'GG$') or regexp_matches(win, '^CC'))"
+TARGETS = WINDOWS + f", g as materialized (select contig, start, case when regexp_matches(win, 'GG$') then '+' else '-' end as strand, case when regexp_matches(win, 'GG$') then win else {RC.format('win')} end as target from w where regexp_matches(win, 'GG$') or regexp_matches(win, '^CC'))"
 
 
-SITES = TARGETS + f""", z as (select g.contig || ':' || start as guide, case when strand = '+' then substring(seq, start - {CONTEXT}, {2 * CONTEXT + 23}) else {RC.format(f"substring(seq, start - {CONTEXT}, {2 * CONTEXT + 23})")} end as seq
- from g join dna using (contig) where start > {CONTEXT} and start + 22 + {CONTEXT} <= length(seq))"""
+def sites_sql(ahead: int, behind: int) -> str:
+    n = 23 + ahead + behind
+    return TARGETS + f""", z as (select g.contig || ':' || start as guide, case when strand = '+' then substring(seq, start - {ahead}, {n}) else {RC.format(f"substring(seq, start - {behind}, {n})")} end as seq
+ from g join dna using (contig) where case when strand = '+' then start > {ahead} and start + 22 + {behind} <= length(seq) else start > {behind} and start + 22 + {ahead} <= length(seq) end)"""
 
 
-def sites(s, d):
-    """guide, seq and cut of each guide with CONTEXT bases on either side of its target, in its own direction."""
-    g = D.enumerate_guides(t.dna(s, d), flank=CONTEXT).where((F.length("before") == CONTEXT) & (F.length("after") == CONTEXT))
-    plus = F.concat("before", "target", "after")
-    minus = F.concat(q.reverse_complement(F.col("after")), F.col("target"), q.reverse_complement(F.col("before")))
+SITES = sites_sql(CONTEXT, CONTEXT)
+
+
+def sites(s, d, ahead=CONTEXT, behind=CONTEXT):
+    """guide, seq and cut of each guide that has so many bases before and after its target, all in its own direction."""
+    g = D.enumerate_guides(t.dna(s, d), flank=max(1, ahead, behind))
+    plus = F.col("strand") == "+"
+    before = F.when(plus, F.col("before")).otherwise(q.reverse_complement(F.col("after")))
+    after = F.when(plus, F.col("after")).otherwise(q.reverse_complement(F.col("before")))
+    g = g.select("contig", "start", "target", before.alias("ahead"), after.alias("behind")).where((F.length("ahead") >= ahead) & (F.length("behind") >= behind))
     name = F.concat_ws(":", F.col("contig").cast("string"), F.col("start").cast("string"))
-    return g.select(name.alias("guide"), F.when(F.col("strand") == "+", plus).otherwise(minus).alias("seq"), F.lit(CONTEXT + 17).alias("cut"))
+    return g.select(name.alias("guide"), F.concat(F.right("ahead", F.lit(ahead)), "target", F.left("behind", F.lit(behind))).alias("seq"), F.lit(ahead + 17).alias("cut"))
 
 
 def _dna(s, d):
@@ -237,84 +244,100 @@ def _(s, d):
     return D.consensus(_spans(s, d), everywhere=False).groupBy("gene").agg(F.sum(F.col("end") - F.col("start")).alias("positions"))
 
 
-#: The SQL finds near sequences by one of four equal parts of five bases, distinct sequences first.
-HITS = TARGETS + """, b as (select contig, start, strand, contig || ':' || start as site, left(target, 20) as seq from g), u as (select distinct seq from b), k as (select seq, i, substring(seq, i * 5 + 1, 5) as part from u, range(0, 4) r(i)),
-n as (select distinct x.seq as a, y.seq as b, hamming(x.seq, y.seq) as mismatches from k x join k y on x.i = y.i and x.part = y.part where hamming(x.seq, y.seq) <= 3),
-h as (select x.site as guide, y.site as site, y.contig, y.start, y.strand, n.mismatches from n join b x on x.seq = n.a join b y on y.seq = n.b)"""
+#: Sites are on both strands, guides one a place. The SQL finds near sequences by one of four equal parts of five bases,
+#: distinct sequences first, and only then lists every hit.
+HITS = TARGETS + f""", b as materialized (select contig, start, '+' as strand, left(win, 20) as seq from w where win like '%GG' union all select contig, start, '-', left({RC.format('win')}, 20) from w where win like 'CC%'),
+e as (select contig || ':' || start as guide, contig, start, strand, left(target, 20) as seq from g), u as (select distinct seq from b), k as (select seq, i, substring(seq, i * 5 + 1, 5) as part from u, range(0, 4) r(i)),
+n as materialized (select distinct x.seq as a, y.seq as b, hamming(x.seq, y.seq) as mismatches from k x join k y on x.i = y.i and x.part = y.part where hamming(x.seq, y.seq) <= 3),
+h as (select x.guide, y.contig as hit_contig, y.start as hit_start, y.strand as hit_strand, y.seq as hit, n.mismatches from n join e x on x.seq = n.a join b y on y.seq = n.b where not (x.contig = y.contig and x.start = y.start and x.strand = y.strand))"""
 CAP = D.MODES["cas9"].cap
 
 
 def _genome(s, d):
+    """The sites of both strands, made once for all that reads them."""
+    return t.written(D.site_table(_dna(s, d)))
+
+
+def _guides(genome):
     name = F.concat_ws(":", F.col("contig").cast("string"), F.col("start").cast("string"))
-    return D.enumerate_guides(_dna(s, d)).select("contig", "start", "strand", name.alias("site"), F.substring("target", 1, 20).alias("seq"))
+    return genome.where("first").select(name.alias("guide"), "contig", "start", "strand", "seq")
 
 
-def _hits(s, d):
-    g = _genome(s, d)
-    return D.near_sites(g.select(F.col("site").alias("guide"), "seq"), g.select("site", "seq"))
+def _near(genome, **more):
+    return D.near_sequences(_guides(genome), genome, **more)
 
 
-@query("j18_near_sites", HITS + " select guide, site, mismatches::integer as mismatches from h")
+PAIRED = HITS + ", o as (select seq, count(*) as sites from b group by 1)"
+
+
+@query("j18_near_sites", PAIRED + " select a as guide, b as site, mismatches::integer as mismatches, sites from n join o on o.seq = n.b where a in (select seq from e)")
 def _(s, d):
-    return _hits(s, d)
+    """Sequences of guides, those of sites near them, and how many sites have these."""
+    return _near(_genome(s, d)).select(q.decoded(F.col("a"), 20).alias("guide"), q.decoded(F.col("b"), 20).alias("site"), "mismatches", F.col("n").alias("sites"))
 
 
-COUNTED = HITS + f", m as (select guide, count(*) filter (mismatches = 0)::bigint as mm0, count(*) filter (mismatches = 1)::bigint as mm1, count(*) filter (mismatches = 2)::bigint as mm2, count(*) filter (mismatches = 3)::bigint as mm3, count(*) > {CAP} as capped from h where guide <> site group by guide)"
+COUNTED = HITS + f", c as (select guide, count(*) filter (mismatches = 0)::bigint as mm0, count(*) filter (mismatches = 1)::bigint as mm1, count(*) filter (mismatches = 2)::bigint as mm2, count(*) filter (mismatches = 3)::bigint as mm3, count(*) > {CAP} as capped from h group by guide), m as (select guide, coalesce(mm0, 0) as mm0, coalesce(mm1, 0) as mm1, coalesce(mm2, 0) as mm2, coalesce(mm3, 0) as mm3, coalesce(capped, false) as capped from e left join c using (guide))"
 
 
-def _counts(s, d):
-    return D.hit_counts(_hits(s, d).where("guide <> site"), CAP)
+def _counts(genome):
+    return D.hit_counts(_guides(genome), _near(genome), CAP)
 
 
 @query("a18_hit_counts", COUNTED + " select * from m")
 def _(s, d):
-    return _counts(s, d)
+    return _counts(_genome(s, d))
 
 
-@query("j18_seed_rule", HITS + ", v as (select h.*, hamming(right(x.seq, 11), right(y.seq, 11)) as near from h join b x on x.site = h.guide join b y on y.site = h.site) select guide, site, mismatches::integer as mismatches from v where near = 0")
+@query("j18_seed_rule", PAIRED + " select a as guide, b as site, mismatches::integer as mismatches, sites from n join o on o.seq = n.b where a in (select seq from e) and hamming(right(a, 11), right(b, 11)) = 0")
 def _(s, d):
-    g = _genome(s, d)
-    return D.near_sites(g.select(F.col("site").alias("guide"), "seq"), g.select("site", "seq"), seed=(11, 0))
+    return _near(_genome(s, d), seed=(11, 0)).select(q.decoded(F.col("a"), 20).alias("guide"), q.decoded(F.col("b"), 20).alias("site"), "mismatches", F.col("n").alias("sites"))
+
 
+CAPPED = HITS + f", o as (select * from (select *, row_number() over (partition by guide order by mismatches, hit, hit_contig, hit_start, hit_strand) as k from h) where k <= {CAP})"
 
-@query("d10_off_targets", HITS + f" select guide, contig, start, strand, site, mismatches::integer as mismatches from (select *, row_number() over (partition by guide order by mismatches, site) as k from h where guide <> site) where k <= {CAP}")
+
+def _off_targets(genome):
+    return D.off_targets(_guides(genome), genome, _near(genome), CAP)
+
+
+@query("d10_off_targets", CAPPED + " select guide, hit_contig, hit_start, hit_strand, hit, mismatches::integer as mismatches from o")
 def _(s, d):
-    return D.off_targets(_hits(s, d), _genome(s, d), CAP)
+    return _off_targets(_genome(s, d))
 
 
 _G20 = "length(regexp_replace(seq, '[^GC]', '', 'g'))"
 _EFFICIENCY = "1 / (1 + exp(-(0.1" + "".join(f" + case when substring(seq, {i + 1}, {len(x)}) = '{x}' then {w}::double else 0 end" for (x, i), w in FEATURES.items()) + f" + case when {_G20} < 10 then (10 - {_G20}) * -0.2::double else ({_G20} - 10) * -0.1::double end)))"
 
 
-@query("d11_penalty", COUNTED + f""", q as (select distinct seq, reverse(translate(seq, 'ACGT', 'TGCA')) as rc from b), f as (select seq, sum(case when length(regexp_replace(substring(seq, i + 1, 4), '[^GC]', '', 'g')) >= 2 and contains(left(rc, 16 - i), substring(seq, i + 1, 4)) then 1 else 0 end) as stems from q, range(0, 16) r(i) group by seq)
-select guide, round(mm0 * 1000 + mm1 * 800 + mm2 * 600 + mm3 * 400 + case when capped then 20000 else 0 end + stems + case when {_G20} / 20 between 0.4 and 0.8 then 0 else 300 end - 100 * {_EFFICIENCY}, 6) as score from m join b on b.site = m.guide join f using (seq)""")
+@query("d11_penalty", COUNTED + f""", q as (select distinct seq, reverse(translate(seq, 'ACGT', 'TGCA')) as rc from e), f as (select seq, sum(case when length(regexp_replace(substring(seq, i + 1, 4), '[^GC]', '', 'g')) >= 2 and contains(left(rc, 16 - i), substring(seq, i + 1, 4)) then 1 else 0 end) as stems from q, range(0, 16) r(i) group by seq)
+select guide, round(mm0 * 1000 + mm1 * 800 + mm2 * 600 + mm3 * 400 + case when capped then 20000 else 0 end + stems + case when {_G20} / 20 between 0.4 and 0.8 then 0 else 300 end - 100 * {_EFFICIENCY}, 6) as score from m join e using (guide) join f using (seq)""")
 def _(s, d):
-    """The counts of hits with the guide's own folding, GC share and efficiency."""
-    g = _genome(s, d).select(F.col("site").alias("guide"), "seq")
+    """The counts of hits, zeros included, with the guide's own folding, GC share and efficiency."""
+    genome = _genome(s, d)
     own = {"folding": q.self_complementarity(F.col("seq")), "gc": q.gc_fraction(F.col("seq")), "efficiency": q.coefficient_score(F.col("seq"), 0.1, FEATURES, -0.2, -0.1)}
     score = D.penalty(F.col("folding"), F.col("gc"), F.col("efficiency"), use_gc=True)
-    return _counts(s, d).join(g.withColumns(own), "guide").select("guide", F.round(score, 6).alias("score"))
+    return _counts(genome).join(_guides(genome).select("guide", "seq").withColumns(own), "guide").select("guide", F.round(score, 6).alias("score"))
 
 
 @query("d15_own_hit", COUNTED + " select guide, greatest(mm0 - 1, 0)::bigint as mm0 from m")
 def _(s, d):
-    return D.without_own_hit(_counts(s, d)).select("guide", "mm0")
+    return D.without_own_hit(_counts(_genome(s, d))).select("guide", "mm0")
 
 
 #: A contig is an isoform here, four in a row make a gene.
 ISOFORMS = 4
 
 
-@query("d16_own_gene_hits", HITS + f""", i as (select contig // {ISOFORMS} as gene, count(distinct contig) - 1 as others from dna group by 1), x as (select h.*, y.contig as own_contig, y.seq from h join b y on y.site = h.guide),
+@query("d16_own_gene_hits", HITS + f""", i as (select contig // {ISOFORMS} as gene, count(distinct contig) - 1 as others from dna group by 1), y as (select x.guide, x.contig as own_contig, x.seq, z.contig, n.mismatches from n join e x on x.seq = n.a join b z on z.seq = n.b),
 c as (select guide, any_value(own_contig) as own_contig, any_value(seq) as seq, count(*) filter (own_contig // {ISOFORMS} = contig // {ISOFORMS})::bigint as own, {", ".join(f"count(*) filter (own_contig // {ISOFORMS} <> contig // {ISOFORMS} and mismatches = {m})::bigint as mm{m}" for m in range(4))},
- count(distinct case when own_contig // {ISOFORMS} = contig // {ISOFORMS} and own_contig <> contig and mismatches = 0 then contig end) as same from x group by guide)
+ count(distinct case when own_contig // {ISOFORMS} = contig // {ISOFORMS} and own_contig <> contig and mismatches = 0 then contig end) as same from y group by guide)
 select guide, own, mm0, mm1, mm2, mm3, same = others as constitutive, round(mm0 * 1000 + mm1 * 800 + mm2 * 600 + mm3 * 400 + {_G20} / 20 * 100, 6) as score from c join i on i.gene = own_contig // {ISOFORMS}""")
 def _(s, d):
-    g = _genome(s, d)
-    own = g.select(F.col("site").alias("guide"), F.col("contig").alias("tx"), (q.gc_fraction(F.col("seq")) * 100).alias("paired"))
-    hits = _hits(s, d).join(own, "guide").join(g.select("site", F.col("contig").alias("hit_tx")), "site")
+    genome = _genome(s, d)
+    guides = _guides(genome).select("guide", F.col("contig").alias("tx"), "seq")
     isoforms = _dna(s, d).select(F.floor(F.col("contig") / ISOFORMS).alias("gene"), F.col("contig").alias("tx"))
-    return D.isoform_hits(hits, isoforms, F.col("paired")).withColumn("score", F.round("score", 6))
+    found = D.isoform_hits(guides, genome.select(F.col("contig").alias("tx"), "seq"), _near(genome), isoforms, q.gc_fraction(F.col("seq")) * 100)
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query("d17_batch_design", TARGETS + ", l as (select distinct doc_id as contig from labels where quality = 1), r as (select contig, start, row_number() over (partition by contig order by abs(length(regexp_replace(left(target, 20), '[^GC]', '', 'g')) / 20.0 - 0.5), start) as rank from g semi join l using (contig)) select contig, start, rank::integer as rank from r where rank <= 5")
@@ -377,20 +400,32 @@ def _(s, d):
     return D.isoform_structure(targets, placed, pairing).select("target", F.round("p", 6).alias("p"))
 
 
-PAIRS = TARGETS + ", p as (select a.contig, a.start as start_a, b.start as start_b from (select *, unnest(range(11, 61)) as gap from g) a join g b on a.contig = b.contig and b.start = a.start + a.gap where a.strand <> b.strand)"
+#: Exons of the contigs: 300 bases out of every 400. Members of a pair lie in the same one.
+EXON, EVERY = 300, 400
+IN_EXON = f", s as materialized (select *, (start - 1) // {EVERY} as exon from g where (start - 1) % {EVERY} + 23 <= {EXON})"
+JOINED = ", p as materialized (select a.contig, a.start as start_a, b.start as start_b, a.strand as strand_a from (select *, unnest(range(11, 61)) as gap from s) a join s b on a.contig = b.contig and b.start = a.start + a.gap and a.exon = b.exon where a.strand <> b.strand)"
+PAIRS = TARGETS + IN_EXON + JOINED
 
 
 def _pairs(s, d):
-    g = D.enumerate_guides(_dna(s, d)).select("contig", "start", "strand")
-    return D.pairs_within(g, "contig", "start", 10, 60, F.col("strand_a") != F.col("strand_b")).selectExpr("contig_a as contig", "start_a", "start_b")
+    """Guides of opposite strands in one exon, 11 to 60 bases apart, with the stretch between their targets."""
+    g = D.enumerate_guides(_dna(s, d), flank=60).where((F.col("start") - 1) % EVERY + 23 <= EXON)
+    g = g.select("contig", "start", "strand", "after", F.concat_ws(":", F.col("contig").cast("string"), F.floor((F.col("start") - 1) / EVERY).cast("string")).alias("exon"))
+    p = D.pairs_within(g, "exon", "start", 10, 60, F.col("strand_a") != F.col("strand_b"))
+    between = F.left("after_a", F.greatest(F.col("start_b") - F.col("start_a") - 23, F.lit(0)).cast("int"))
+    return p.select(F.col("contig_a").alias("contig"), "start_a", "start_b", "strand_a", between.alias("between"))
+
 
+def _places(s, d):
+    return _pairs(s, d).select("contig", "start_a", "start_b")
 
-@query("j15_nickase_pairs", PAIRS + " select * from p")
+
+@query("j15_nickase_pairs", PAIRS + " select contig, start_a, start_b from p")
 def _(s, d):
-    return _pairs(s, d)
+    return _places(s, d)
 
 
-TALEN_PAIRS = N + ", w as (select contig, i as start, substring(seq, i, 18) as w from dna, unnest(range(1, greatest(length(seq) - 16, 1))) u(i) where length(seq) >= 18), p as (select a.contig, a.start as start_a, b.start as start_b from (select contig, start, unnest(range(33, 41)) as gap from w where w like 'T%') a join w b on a.contig = b.contig and b.start = a.start + a.gap where b.w like '%A')"
+TALEN_PAIRS = N + ", w as materialized (select contig, i as start, substring(seq, i, 18) as w from dna, unnest(range(1, greatest(length(seq) - 16, 1))) u(i) where length(seq) >= 18), p as (select a.contig, a.start as start_a, b.start as start_b from (select contig, start, unnest(range(33, 41)) as gap from w where w like 'T%') a join w b on a.contig = b.contig and b.start = a.start + a.gap where b.w like '%A')"
 
 
 @query("j16_talen_pairs", TALEN_PAIRS + " select * from p")
@@ -404,30 +439,31 @@ def _(s, d):
     return D.pairs_within(g, "contig", "start", 20, 40).selectExpr("contig_a as contig", "start_a", "start_b")
 
 
-CLUSTER = PAIRS + """, l as (select *, case when start_a <= lag(start_b) over w then 0 else 1 end as new from p window w as (partition by contig order by start_a, start_b)), r as (select *, sum(new) over (partition by contig order by start_a, start_b rows unbounded preceding) as run from l),
+CLUSTER = PAIRS + """, l as (select contig, start_a, start_b, case when start_a <= lag(start_b) over w then 0 else 1 end as new from p window w as (partition by contig order by start_a, start_b)), r as (select *, sum(new) over (partition by contig order by start_a, start_b rows unbounded preceding) as run from l),
 k as (select *, row_number() over (partition by contig, run order by start_a, start_b) - 1 as place from r), c as (select contig, start_a, start_b, run::bigint::varchar || '.' || (place // 2)::bigint::varchar as cluster from k)"""
 
 
 @query("w10_clusters", CLUSTER + " select * from c")
 def _(s, d):
-    return D.clusters(_pairs(s, d), "contig", "start_a", "start_b")
+    return D.clusters(_places(s, d), "contig", "start_a", "start_b")
 
 
 @query("d14_best_of_clusters", CLUSTER + ", b as (select *, row_number() over (partition by contig, cluster order by start_b - start_a, start_a, start_b) as j from c) select contig, cluster, start_a, start_b from b where j = 1")
 def _(s, d):
-    c = D.clusters(_pairs(s, d), "contig", "start_a", "start_b").withColumns({"score": F.col("start_b") - F.col("start_a"), "key": F.struct("start_a", "start_b")})
+    c = D.clusters(_places(s, d), "contig", "start_a", "start_b").withColumns({"score": F.col("start_b") - F.col("start_a"), "key": F.struct("start_a", "start_b")})
     return D.best_of_clusters(c, "contig", "score", "key").select("contig", "cluster", "start_a", "start_b")
 
 
 @query("t06_reranked", CLUSTER + ", b as (select *, row_number() over (partition by contig, cluster order by start_b - start_a, start_a, start_b) as j from c) select contig, cluster, row_number() over (partition by contig order by start_b - start_a, start_a, start_b)::integer as rank from b where j = 1")
 def _(s, d):
-    c = D.clusters(_pairs(s, d), "contig", "start_a", "start_b").withColumns({"score": F.col("start_b") - F.col("start_a"), "key": F.struct("start_a", "start_b")})
+    c = D.clusters(_places(s, d), "contig", "start_a", "start_b").withColumns({"score": F.col("start_b") - F.col("start_a"), "key": F.struct("start_a", "start_b")})
     return D.best_of_clusters(c, "contig", "score", "key").select("contig", "cluster", "rank")
 
 
 @query("w12_ranked", TARGETS + " select contig, start, row_number() over (partition by contig order by target, start)::integer as rank from g")
 def _(s, d):
-    return D.ranked(D.enumerate_guides(_dna(s, d)), "contig", "target", "start").select("contig", "start", "rank")
+    g = D.enumerate_guides(_dna(s, d)).withColumn("code", q.encoded(F.col("target")))  # in the order of the letters
+    return D.ranked(g, "contig", "code", "start").select("contig", "start", "rank")
 
 
 @query("t04_ranked_limit", TARGETS + ", r as (select contig, start, row_number() over (partition by contig order by target, start) as rank from g) select contig, start from r where rank <= 3")
@@ -446,12 +482,17 @@ def _(s, d):
     return D.without_overlap(D.enumerate_guides(_dna(s, d)), "contig", "start", 23).select("contig", "start")
 
 
+#: A caller's enzymes, by their motifs.
+ENZYMES = [("AluI", "AGCT"), ("EcoRI", "GAATTC"), ("HaeIII", "GGCC"), ("TaqI", "TCGA")]
+
+
 @query("d19_control_guides")
 def _(s, d):
-    g = D.enumerate_guides(_dna(s, d)).select(F.col("start").cast("long").alias("site"), F.substring("target", 1, 20).alias("seq"))
-    return D.control_guides(s, 100, g)
+    return D.control_guides(s, 100, _genome(s, d), motifs=[m for _, m in ENZYMES])
 
 
-@query("t05_sorted_hits", HITS + " select guide, string_agg(site, ',' order by site) as sites from h group by guide")
+@query("t05_sorted_hits", CAPPED + " select guide, string_agg(hit_contig::varchar || ':' || hit_start::varchar || hit_strand, ',' order by hit_contig, hit_start, hit_strand) as hits from o group by guide")
 def _(s, d):
-    return _hits(s, d).groupBy("guide").agg(F.array_join(F.array_sort(F.collect_list("site")), ",").alias("sites"))
+    """Hits in order of contig and place; there are no more than the cap of a guide."""
+    o = _off_targets(_genome(s, d)).groupBy("guide").agg(F.array_sort(F.collect_list(F.struct("hit_contig", "hit_start", "hit_strand"))).alias("x"))
+    return o.select("guide", F.array_join(F.transform("x", lambda x: F.concat(x["hit_contig"].cast("string"), F.lit(":"), x["hit_start"].cast("string"), x["hit_strand"])), ",").alias("hits"))

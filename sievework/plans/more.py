@@ -2,69 +2,58 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from sievework.functions import sequences as q
 from sievework.operators import design as D
 from sievework.operators import screen as S
 from sievework.plans import tables as t
-from sievework.plans.design import HITS, PAIRS, SITES, TALEN_PAIRS, TARGETS, _genome, _hits, sites
+from sievework.plans.design import CAP, CAPPED, COUNTED, ENZYMES, IN_EXON, JOINED, RC, TALEN_PAIRS, TARGETS, _counts, _genome, _guides, _off_targets, _pairs
 from sievework.plans.registry import query
-from sievework.plans.relational import SPACER
 from sievework.sources import files as R
 
 
-def _scratch(spark) -> str:
-    """A new folder that driver and executors share; a temporary one only where a session on one machine names none."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if top is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        top = "file://" + tempfile.gettempdir()
-    return os.path.join(top, f"files-{uuid.uuid4().hex}")
-
-
 def _name(contig: str, start: str):
     return F.concat_ws(":", F.col(contig).cast("string"), F.col(start).cast("string"))
 
 
-def _named_pairs(pairs):
-    return pairs.select(F.concat_ws("|", _name("contig_a", "start_a"), _name("contig_a", "start_b")).alias("pair"), _name("contig_a", "start_a").alias("left"), _name("contig_a", "start_b").alias("right"), F.col("strand_a").alias("strand"))
+def _named_pairs(pairs, between):
+    name = lambda x: _name("contig", f"start_{x}")
+    return pairs.select(F.concat_ws("|", name("a"), name("b")).alias("pair"), name("a").alias("left"), name("b").alias("right"), F.col("strand_a").alias("strand"), q.site_list(between, ENZYMES).alias("enzymes"))
 
 
-#: Pairs of off-targets 20 to 40 bases apart; ``o`` has the hits and ``p`` the pairs.
-SCORED = """, x as (select contig || ':' || start_a as a, contig || ':' || start_b as b, {strand} as strand from p), o as (select guide, contig, start, strand from h where guide <> site),
-f as (select x.a, x.b, count(*) filter (l.strand = r.strand) as same, count(*) filter (l.strand <> r.strand) as other from x join o l on l.guide = x.a join o r on r.guide = x.b and r.contig = l.contig and abs(r.start - l.start) between 20 and 40 group by 1, 2)
-select x.a || '|' || x.b as pair, coalesce(same, 0)::bigint as off_same, coalesce(other, 0)::bigint as off_other, coalesce(same, 0)::bigint * {c[0]} + coalesce(other, 0)::bigint * {c[1]} + case when strand = '+' then {inside} else 0 end as score from x left join f using (a, b)"""
+#: Pairs of off-targets 20 to 40 bases apart; ``o`` has the hits and ``p`` the pairs, whose stretch between is searched for
+#: the enzymes' motifs.
+CUTS = "concat_ws(';', " + ", ".join(f"case when len(regexp_extract_all(between, '{m}')) > 0 then '{n}:' || len(regexp_extract_all(between, '{m}')) end" for n, m in sorted(ENZYMES)) + ")"
+SCORED = """, x as (select contig || ':' || start_a as a, contig || ':' || start_b as b, {strand} as strand, substring(seq, start_a + {size}, greatest(start_b - start_a - {size}, 0)) as between from p join dna using (contig)),
+f as (select x.a, x.b, count(*) filter (l.hit_strand = r.hit_strand) as same, count(*) filter (l.hit_strand <> r.hit_strand) as other from x join o l on l.guide = x.a join o r on r.guide = x.b and r.hit_contig = l.hit_contig and abs(r.hit_start - l.hit_start) between 20 and 40 group by 1, 2)
+select x.a || '|' || x.b as pair, coalesce(same, 0)::bigint as off_same, coalesce(other, 0)::bigint as off_other, coalesce(same, 0)::bigint * {c[0]} + coalesce(other, 0)::bigint * {c[1]} + case when strand = '+' then {inside} else 0 end as score, {cuts} as enzymes from x left join f using (a, b)"""
 
 
-@query("d13_nickase_scores", HITS + PAIRS[len(TARGETS) :].replace("b.start as start_b", "b.start as start_b, a.strand as strand_a") + SCORED.format(strand="strand_a", c=D.PAIR_PENALTY["nickase"], inside=D.PAM_IN_PENALTY))
+@query("d13_nickase_scores", CAPPED + IN_EXON + JOINED + SCORED.format(strand="strand_a", size=23, c=D.PAIR_PENALTY["nickase"], inside=D.PAM_IN_PENALTY, cuts=CUTS))
 def _(s, d):
-    g = _genome(s, d)
-    p = D.pairs_within(g.select("contig", "start", "strand"), "contig", "start", 10, 60, F.col("strand_a") != F.col("strand_b"))
-    return D.scored_pairs(_named_pairs(p), D.off_targets(_hits(s, d), g), 20, 40).select("pair", "off_same", "off_other", "score")
+    p = _named_pairs(_pairs(s, d), F.col("between"))
+    return D.scored_pairs(p, _off_targets(_genome(s, d)), 20, 40).select("pair", "off_same", "off_other", "score", "enzymes")
 
 
 #: Half-sites meet those of both strands with at most one mismatch, in SQL by one of two halves.
-TALEN_HITS = TALEN_PAIRS + """, e as (select contig, start, contig || ':' || start as guide, w as seq from w where w like 'T%' or w like '%A'),
-b as (select contig, start, '+' as strand, guide || '+' as site, seq from e union all select contig, start, '-', guide || '-', reverse(translate(seq, 'ACGT', 'TGCA')) from e),
-u as (select distinct seq from e), v as (select distinct seq from b), n as (select u.seq as a, v.seq as b, 0 from u join v on left(u.seq, 9) = left(v.seq, 9) where hamming(u.seq, v.seq) <= 1 union select u.seq, v.seq, 0 from u join v on right(u.seq, 9) = right(v.seq, 9) where hamming(u.seq, v.seq) <= 1),
-h as (select e.guide, y.site, y.contig, y.start, y.strand from n join e on e.seq = n.a join b y on y.seq = n.b where e.guide || '+' <> y.site)"""
+TALEN_HITS = TALEN_PAIRS + f""", e as (select contig, start, contig || ':' || start as guide, w as seq from w where w like 'T%' or w like '%A'),
+b as (select contig, start, '+' as strand, seq from e union all select contig, start, '-', reverse(translate(seq, 'ACGT', 'TGCA')) from e),
+u as (select distinct seq from e), v as (select distinct seq from b), n as (select u.seq as a, v.seq as b, hamming(u.seq, v.seq) as mismatches from u join v on left(u.seq, 9) = left(v.seq, 9) where hamming(u.seq, v.seq) <= 1 union select u.seq, v.seq, hamming(u.seq, v.seq) from u join v on right(u.seq, 9) = right(v.seq, 9) where hamming(u.seq, v.seq) <= 1),
+o as (select e.guide, y.contig as hit_contig, y.start as hit_start, y.strand as hit_strand from n join e on e.seq = n.a join b y on y.seq = n.b where not (e.contig = y.contig and e.start = y.start and y.strand = '+')
+ qualify row_number() over (partition by e.guide order by n.mismatches, y.seq, y.contig, y.start, y.strand) <= {CAP})"""
 
 
-@query("d12_talen_scores", TALEN_HITS + SCORED.format(strand="''", c=D.PAIR_PENALTY["talen"], inside=0))
+@query("d12_talen_scores", TALEN_HITS + SCORED.format(strand="''", size=18, c=D.PAIR_PENALTY["talen"], inside=0, cuts=CUTS))
 def _(s, d):
-    e = D.half_sites(t.dna(s, d)).withColumn("guide", _name("contig", "start"))
-    p = D.pairs_within(e.select("contig", "start", "left", "right"), "contig", "start", 32, 40, F.col("left_a") & F.col("right_b")).withColumn("strand_a", F.lit(None).cast("string"))
+    e = t.written(D.half_sites(t.dna(s, d), flank=24))
+    p = D.pairs_within(e, "contig", "start", 32, 40, F.col("left_a") & F.col("right_b")).withColumns({"contig": F.col("contig_a"), "strand_a": F.lit(None).cast("string")})
     both = F.array(F.struct(F.lit("+").alias("strand"), F.col("window").alias("seq")), F.struct(F.lit("-").alias("strand"), q.reverse_complement(F.col("window")).alias("seq")))
-    b = e.select("contig", "start", "guide", F.explode(both).alias("x")).select("contig", "start", "x.strand", "x.seq", F.concat("guide", "x.strand").alias("site"))
-    hits = D.near_sites(e.select(F.concat("guide", F.lit("+")).alias("guide"), F.col("window").alias("seq")), b.select("site", "seq"), 1, 18)
-    hits = hits.where("guide <> site").join(b.select("site", "contig", "start", "strand"), "site").withColumn("guide", F.expr("left(guide, length(guide) - 1)"))
-    return D.scored_pairs(_named_pairs(p), hits, 20, 40, "talen").select("pair", "off_same", "off_other", "score")
+    b = e.select("contig", "start", F.explode(both).alias("x")).select("contig", "start", "x.strand", "x.seq")
+    guides = e.select(_name("contig", "start").alias("guide"), "contig", "start", F.lit("+").alias("strand"), F.col("window").alias("seq"))
+    hits = D.off_targets(guides, b, D.near_sequences(guides, b, 1, 18), CAP)
+    between = F.left("after_a", (F.col("start_b") - F.col("start_a") - 18).cast("int"))
+    return D.scored_pairs(_named_pairs(p, between), hits, 20, 40, "talen").select("pair", "off_same", "off_other", "score", "enzymes")
 
 
 @query("d18_amplicons")
@@ -87,25 +76,19 @@ def _(s, d):
     return D.enumerate_guides(t.dna(s, d)).select("contig", "start", F.round(S.melting_temperature(F.col("target")), 4).alias("tm"))
 
 
-@query("d24_feature_matrix", SITES + f", x as (select guide, (length({SPACER}) - length(replace({SPACER}, 'A', '')))::double as v from z) select guide, round((v - (select avg(v) from x)) / (select stddev_samp(v) from x), 6) as a_z from x")
-def _(s, d):
-    seqs = sites(s, d).select("guide", F.expr(SPACER).alias("seq"))
-    return S.feature_matrix(S.nucleotide_features(seqs, 1), ["A"]).select("guide", F.round("A_z", 6).alias("a_z"))
-
-
 # --- files: a table is written, read back and compared with itself ---------------------------------------------------
 
 
 @query("s01_csv", "select c_custkey, c_name from customer")
 def _(s, d):
-    path = _scratch(s)
+    path = t.scratch(s)
     R.write_csv(t.read(s, d, "customer").select("c_custkey", "c_name"), path)
     return R.read_csv(s, path, "c_custkey bigint, c_name string")
 
 
 @query("s02_txt", "select c_custkey, c_name from customer")
 def _(s, d):
-    path = _scratch(s)
+    path = t.scratch(s)
     t.read(s, d, "customer").select("c_custkey", "c_name").write.option("header", True).option("sep", "\t").csv(path)
     return R.read_txt(s, path, "c_custkey bigint, c_name string")
 
@@ -117,21 +100,21 @@ def _(s, d):
 
 @query("s04_annotation", "select p_name as code, p_partkey::bigint as startpos from part")
 def _(s, d):
-    path = _scratch(s)
+    path = t.scratch(s)
     t.read(s, d, "part").select(F.col("p_name").alias("CODE"), F.col("p_partkey").alias("STARTpos")).write.option("header", True).option("sep", "\t").option("quote", "").csv(path)
     return R.read_annotation(s, path).selectExpr("CODE as code", "STARTpos as startpos")
 
 
 @query("s05_counts", "select c_custkey::varchar as id, trunc(c_acctbal)::bigint as t0 from customer")
 def _(s, d):
-    path = _scratch(s)
+    path = t.scratch(s)
     R.write_csv(t.read(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("double").alias("T0_R1")), path)
     return R.read_counts(s, path).select("id", F.col("T0_R1").alias("t0"))
 
 
 @query("s06_load_table", "select c_custkey::varchar as id, c_acctbal::double as efficacy from customer")
 def _(s, d):
-    path = _scratch(s)
+    path = t.scratch(s)
     R.write_csv(t.read(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("double").alias("efficacy")), path)
     return R.load_table(s, path)
 
@@ -141,14 +124,14 @@ FASTA = "with " + t.DNA + " select contig::varchar as id, seq, true as valid fro
 
 @query("s07_fasta", FASTA)
 def _(s, d):
-    path = _scratch(s)
+    path = t.scratch(s)
     R.write_fasta(t.dna(s, d).where(F.length("seq") > 0), path, F.col("contig"))
     return R.read_fasta(s, path)
 
 
 @query("s10_bed", "with " + t.GUIDES + " select chromosome as chrom, position as start, position + 1 as stop, guide_id as name, strand from guides")
 def _(s, d):
-    path = _scratch(s)
+    path = t.scratch(s)
     R.write_bed(t.guides(s, d).selectExpr("chromosome as chrom", "position as start", "position + 1 as end", "guide_id as name", "efficacy as score", "strand"), path)
     return R.read_bed(s, path).selectExpr("chrom", "start", "end as stop", "name", "strand")
 
@@ -159,15 +142,39 @@ def _(s, d):
     return R.ranked_bed(rows, [(40, "green"), (80, "amber")], "red").select("name", "colour")
 
 
-@query("s13_named_genes", "with " + t.EXONS + " select gene, tx from exons where gene in ('C1', 'C2')")
+#: The gene model as a file has it: a line for each transcript, its exons as comma-ended lists.
+def _gene_model(s, d):
+    path = t.scratch(s)
+    tx = t.exons(s, d).groupBy("gene", "tx", "strand").agg(F.array_sort(F.collect_list(F.struct("exon_start", "exon_end"))).alias("x"))
+    ends = lambda c: F.concat(F.array_join(F.transform("x", lambda x: x[c].cast("string")), ","), F.lit(","))
+    first, last = F.col("x")[0]["exon_start"], F.array_max(F.transform("x", lambda x: x["exon_end"]))
+    lines = tx.select(F.col("tx").alias("name"), F.lit("chr1").alias("chrom"), "strand", first.alias("txStart"), last.alias("txEnd"), (first + 7).alias("cdsStart"), (last - 5).alias("cdsEnd"), ends("exon_start").alias("exonStarts"), ends("exon_end").alias("exonEnds"), F.col("gene").alias("name2"))
+    lines.write.option("header", True).option("sep", "\t").csv(path)
+    return R.read_gene_model(s, path)
+
+
+MODEL = "with " + t.EXONS + ", m as (select gene, tx, strand, exon_start, exon_end, min(exon_start) over (partition by gene, tx) + 7 as cds_start, max(exon_end) over (partition by gene, tx) - 5 as cds_end from exons)"
+
+
+@query("s13_gene_model", MODEL + " select gene as name2, tx as name, strand, exon_start, exon_end, cds_start, cds_end from m")
 def _(s, d):
-    return R.named_genes(t.exons(s, d).withColumns({"name": F.col("tx"), "name2": F.col("gene")}), ["c1", "C2"]).select("gene", "tx")
+    """A gene model written as its file has it and scanned: one row an exon."""
+    return _gene_model(s, d).select("name2", "name", "strand", "exon_start", "exon_end", "cds_start", "cds_end")
 
 
-@query("s14_first_catalog", "select c_custkey as k, case when c_custkey % 2 = 0 then 'a' else 'b' end as catalog from customer")
+@query("s13_named_genes", MODEL + " select gene, tx, greatest(exon_start, cds_start) as start, least(exon_end, cds_end) as stop from m where (gene in ('C1', 'C2') or tx = '7') and greatest(exon_start, cds_start) < least(exon_end, cds_end)")
 def _(s, d):
-    c = t.read(s, d, "customer").selectExpr("c_custkey as k")
-    return R.first_catalog([c.where("k % 2 = 0").withColumn("catalog", F.lit("a")), c.withColumn("catalog", F.lit("b"))], "k")
+    """From the file through the genes that are asked for, by either name, to their coding regions."""
+    model = R.named_genes(_gene_model(s, d), ["c1", "C2", "7"]).withColumnsRenamed({"name": "tx", "name2": "gene"})
+    return D.coding(model).withColumnRenamed("end", "stop")
+
+
+@query("s14_first_catalog", "select c_custkey as k, case when c_custkey % 2 = 0 then 'a' when c_custkey % 3 = 0 then 'b' else 'c' end as catalog from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0 or c_nationkey < 12")
+def _(s, d):
+    """Three catalogs that overlap, none of which holds another."""
+    c = t.read(s, d, "customer")
+    parts = {"a": "c_custkey % 2 = 0", "b": "c_custkey % 3 = 0", "c": "c_nationkey < 12"}
+    return R.first_catalog([c.where(w).select(F.col("c_custkey").alias("k"), F.lit(n).alias("catalog")) for n, w in parts.items()], "k")
 
 
 @query("s19_thresholds", "with " + t.LONG + " select guide_id, tool, 0.05::double as threshold from long where tool = 'tool_disc'")
@@ -178,7 +185,7 @@ def _(s, d):
 @query("s09_hits", "with " + t.GUIDES + " select guide_id as name, chromosome as contig, position as pos, 'NM:i:' || (position % 4)::varchar as nm from guides")
 def _(s, d):
     """Alignments of 14 tab-separated columns, written and read back."""
-    path, none = _scratch(s), F.lit("*")
+    path, none = t.scratch(s), F.lit("*")
     g = t.guides(s, d).select("guide_id", F.lit(0), "chromosome", "position", F.lit(255), F.lit("23M"), none, F.lit(0), F.lit(0), none, none, none, none, F.concat(F.lit("NM:i:"), (F.col("position") % 4).cast("string")))
     g.toDF(*[f"c{i}" for i in range(14)]).write.option("sep", "\t").csv(path)
     return R.read_hits(s, path).select("name", "contig", "pos", "nm")
@@ -186,7 +193,7 @@ def _(s, d):
 
 @query("s12_amplicon_bed", "with " + t.GUIDES + " select concat_ws(chr(9), chromosome, position::varchar, (position + 170)::varchar, guide_id, '0', '+', position::varchar, (position + 170)::varchar, '0', '3', '20,20,20', '0,75,150') as value from guides")
 def _(s, d):
-    path = _scratch(s)
+    path = t.scratch(s)
     at = lambda a: F.col("position") + a
     rows = t.guides(s, d).select(F.col("chromosome").alias("chrom"), F.col("guide_id").alias("name"), *[at(a).alias(c) for c, a in (("fwd_start", 0), ("fwd_end", 20), ("guide_start", 75), ("guide_end", 95), ("rev_start", 150), ("rev_end", 170))])
     R.amplicon_bed(rows).write.text(path)
@@ -196,7 +203,7 @@ def _(s, d):
 @query("s16_metrics", "with " + t.LONG + " select tool, count(score)::bigint as n from long group by tool union all select tool, count(score)::bigint from long group by tool")
 def _(s, d):
     """Metrics written as CSV and as JSON records, both read back."""
-    path = _scratch(s)
+    path = t.scratch(s)
     R.write_metrics(t.long_guides(s, d).groupBy("tool").agg(F.count("score").alias("n")), path)
     schema = "tool string, n bigint"
     return R.read_csv(s, f"{path}/csv", schema).unionByName(s.read.schema(schema).json(f"{path}/json"))
@@ -207,35 +214,52 @@ def _(s, d):
     """Contributions of a feature under a model that was saved and loaded (S17), keyed, as a CSV sink."""
     from sievework.operators import models as m
 
-    g, path = t.guides(s, d), _scratch(s)
+    g, path = t.guides(s, d), t.scratch(s)
     one = g.agg(F.avg("tool_price").alias("a"), F.stddev_samp("tool_price").alias("b")).first()
     m.save_model(s, {"weights": {"tool_price": 0.7}, "means": {"tool_price": one["a"]}, "stds": {"tool_price": one["b"]}}, f"{path}/model")
     R.write_csv(m.contributions(g, m.load_model(s, f"{path}/model"), ["guide_id"]), f"{path}/table")
     return R.read_csv(s, f"{path}/table", "guide_id string, c_tool_price double").select("guide_id", F.round("c_tool_price", 6).alias("c_tool_price"))
 
 
-@query("s20_hit_sink", HITS + " select guide, site, contig || ':' || start as locus, mismatches::integer as mismatches from h where guide <> site and mismatches = 0")
+@query("s20_hit_sink", CAPPED + " select guide, hit, hit_contig || ':' || hit_start || hit_strand as locus, mismatches::integer as mismatches from o")
+def _(s, d):
+    """The off-target table with label, locus and mismatches as one tab-separated sink, read back."""
+    path = t.scratch(s)
+    locus = F.concat(_name("hit_contig", "hit_start"), F.col("hit_strand"))
+    _off_targets(_genome(s, d)).select("guide", "hit", locus.alias("locus"), "mismatches").write.option("sep", "\t").csv(path)
+    return s.read.option("sep", "\t").schema("guide string, hit string, locus string, mismatches int").csv(path)
+
+
+#: Targets are contigs here; of each the three guides that come first are printed.
+PRINTED = 3
+
+
+def _per_target(s, d, path):
+    genome = _genome(s, d)
+    first = D.ranked(_guides(genome).withColumn("code", q.encoded(F.col("seq"))), "contig", "code", "start", PRINTED)
+    hits = _off_targets(genome).join(first.select("guide", F.col("contig").alias("target"), "rank"), "guide")
+    R.write_hits(hits.select("target", "rank", "guide", "hit", _name("hit_contig", "hit_start").alias("locus"), "hit_strand", "mismatches"), path)
+    return R.read_target_hits(s, path)
+
+
+@query("s23_hits_per_target", CAPPED + f", r as (select guide, contig as target, row_number() over (partition by contig order by seq, start) as rank from e) select target, rank::integer as rank, guide, hit, hit_contig || ':' || hit_start as locus, hit_strand, mismatches::integer as mismatches from o join r using (guide) where rank <= {PRINTED}")
 def _(s, d):
-    """Off-targets in a folder for each contig of a guide, with label, locus and mismatches, read back."""
-    path = _scratch(s)
-    g = _genome(s, d)
-    h = D.near_sites(g.select(F.col("site").alias("guide"), "seq"), g.select("site", "seq"), 0).where("guide <> site").join(g.select("site", _name("contig", "start").alias("locus")), "site")
-    h.select("guide", "site", "locus", "mismatches").write.option("sep", "\t").csv(path)
-    return s.read.option("sep", "\t").schema("guide string, site string, locus string, mismatches int").csv(path)
+    """Off-targets of the printed guides, an output for each target, read back; a target's own is read alone (see tests)."""
+    return _per_target(s, d, t.scratch(s))
 
 
-@query("s22_report_lines", TARGETS + ", r as (select contig, start, target, row_number() over (partition by contig order by target, start) as rank from g) select concat_ws(chr(9), rank::varchar, target, '0', '1', '2', case when contig % 2 = 0 then '>=3' else '3' end) as value from r where contig % 2 = 1 union all select concat_ws(chr(9), rank::varchar, target, '>=0', '>=1', '>=2', '>=3') from r where contig % 2 = 0")
+@query("s22_report_lines", COUNTED + ", r as (select guide, target, row_number() over (partition by contig order by target, start) as rank from (select *, contig || ':' || start as guide from g)) select concat_ws(chr(9), rank::varchar, target, " + ", ".join(f"case when capped then '>=' else '' end || mm{i}::varchar" for i in range(4)) + ") as value from r join m using (guide)")
 def _(s, d):
-    path = _scratch(s)
-    g = D.ranked(D.enumerate_guides(t.dna(s, d)), "contig", "target", "start").withColumn("capped", F.col("contig") % 2 == 0)
-    R.report_lines(g.withColumns({f"mm{i}": F.lit(i) for i in range(4)})).write.text(path)
+    path, genome = t.scratch(s), _genome(s, d)
+    g = D.enumerate_guides(t.dna(s, d)).withColumns({"code": q.encoded(F.col("target")), "guide": _name("contig", "start")})
+    R.report_lines(D.ranked(g, "contig", "code", "start").join(_counts(genome), "guide")).write.text(path)
     return s.read.text(path)
 
 
 @query("s24_region_fasta", "with " + t.DNA + " select contig::varchar || ':1-' || length(seq)::varchar as id, seq, true as valid from dna where length(seq) > 0")
 def _(s, d):
     """Target regions as FASTA, named by contig and place."""
-    path = _scratch(s)
+    path = t.scratch(s)
     r = t.dna(s, d).where(F.length("seq") > 0)
     R.write_fasta(r, path, F.concat(F.col("contig").cast("string"), F.lit(":1-"), F.length("seq").cast("string")))
     return R.read_fasta(s, path)
@@ -256,7 +280,7 @@ def _(s, d):
     """Ranked guides of 11 columns under a header, among short lines, the last count unreadable, scanned."""
     from sievework.operators.prefix import running_sums
 
-    path = _scratch(s)
+    path = t.scratch(s)
     g = D.enumerate_guides(t.dna(s, d)).withColumns({"one": F.lit(1), "k": F.lit(0), "place": F.col("contig") * 1_000_000_000 + F.col("start")})
     g = running_sums(g, ("k",), "place", ["one"], descending=False)
     line = F.concat_ws("\t", F.col("cum_one").cast("string"), "target", _name("contig", "start"), "strand", F.lit("50"), *[F.lit(x) for x in ("0", "0", "1", "2", ">=3", "0.5")])

@@ -11,7 +11,7 @@ from sievework.operators import metrics as M
 from sievework.operators import models as m
 from sievework.operators import screen as S
 from sievework.plans import tables as t
-from sievework.plans.design import CONTEXT, SITES, sites
+from sievework.plans.design import CONTEXT, SITES, sites, sites_sql
 from sievework.plans.registry import query
 
 G = "with " + t.GUIDES
@@ -298,8 +298,15 @@ def _(s, d):
 
 @query("m06_youden_thresholds")
 def _(s, d):
-    x = m.folds(t.guides(s, d)).withColumn("p", F.least(F.col("tool_price") / 110_000, F.lit(1.0)))
-    return m.youden_threshold(x, "p", F.col("efficacy") >= 90)
+    """The threshold of each fold, from the probabilities of models that never saw its genes."""
+    return m.cross_validated(t.guides(s, d), P2, "efficacy", 90)[2]
+
+
+@query("m04_cross_validated")
+def _(s, d):
+    """From guides to the consensus: its weights, and the threshold averaged over the folds."""
+    model = m.cross_validated(t.guides(s, d), P2, "efficacy", 90)[0]
+    return s.createDataFrame([*model["betas"].items(), ("intercept", model["intercept"]), ("threshold", model["threshold"])], "name string, value double")
 
 
 @query("m04_logistic")
@@ -361,34 +368,107 @@ def _(s, d):
     return rows.select("guide", "length", F.concat(F.expr("left(seq, cut - length)"), F.expr("substring(seq, cut + 1)")).alias("genotype"))
 
 
-#: The protospacer, and the 30 bases around it: four before, 20, the PAM and three after.
-SPACER, THIRTY = (f"substring(seq, {CONTEXT + 1}, 20)", f"substring(seq, {CONTEXT - 3}, 30)")
+#: A network of run length and GC share and one of length, as a caller would give them, what insertions depend on, and
+#: what is inserted after each base.
+RUN_LAYERS = [([[0.3, -0.2], [1.5, 0.8]], [-0.4, 0.1]), ([[2.0], [-1.0]], [0.5])]
+LENGTH_LAYERS = [([[-0.1, 0.05]], [0.3, -0.6]), ([[1.2], [0.7]], [0.2])]
+RATE = {"intercept": -1.5, "precision": 0.8, "log_total": -0.1, "5A": 0.4, "5T": 0.6, "3G": -0.3}
+INSERTED = {"A": {"A": 0.7, "C": 0.1, "G": 0.1, "T": 0.1}, "C": {"C": 0.8, "G": 0.2}, "G": {"A": 0.25, "C": 0.25, "G": 0.25, "T": 0.25}, "T": {"T": 1.0}}
+
+
+def _forward(layers, *inputs):
+    (w, b), (v, c) = layers
+    hidden = [f"1 / (1 + exp(-({b[j]}::double" + "".join(f" + {w[i][j]}::double * {x}" for i, x in enumerate(inputs)) + ")))" for j in range(len(b))]
+    return f"({c[0]}::double" + "".join(f" + {v[j][0]}::double * {h}" for j, h in enumerate(hidden)) + ")"
+
+
+_RATE = f"exp({RATE['intercept']}::double + {RATE['precision']}::double * precision + {RATE['log_total']}::double * ln(total)" + "".join(f" + case when seq[{CUT if k[0] == '5' else CUT + 1}] = '{k[1]}' then {v}::double else 0 end" for k, v in RATE.items() if k[0] in "53") + ")"
+_BASES = "case " + " ".join(f"when seq[{CUT}] = '{b}' then map {{{', '.join(f'{chr(39)}{i}{chr(39)}: {p}::double' for i, p in v.items())}}}" for b, v in INSERTED.items()) + " end"
+REPAIRED = SITES + f""", l as (select guide, seq, unnest(range(1, 60)) as length from z), i as (select guide, seq, length, unnest(range(0, length)) as i from l),
+e as (select *, i - row_number() over (partition by guide, length order by i) as g from i where seq[{CUT} - length + i + 1] = seq[{CUT} + i + 1]),
+r as (select guide, length, max(i) + 1 as position, count(*) as mh_len, avg((seq[{CUT} + i + 1] in ('G', 'C'))::int) as gc from e group by guide, length, g),
+w as (select guide, length, position, mh_len, exp({_forward(RUN_LAYERS, 'mh_len', 'gc')} - 0.25 * length) + case when mh_len = length then exp({_forward(LENGTH_LAYERS, 'length')} - 0.25 * length) else 0 end as weight from r
+ union all select guide, length, null, 0, exp({_forward(LENGTH_LAYERS, 'length')} - 0.25 * length) from l anti join (select guide, length from r where mh_len = length) f using (guide, length)),
+d as (select *, sum(weight) over (partition by guide) as total, weight / sum(weight) over (partition by guide) as freq from w),
+s as (select guide, any_value(total) as total, length, sum(freq) as f from d where length <= 28 group by guide, length), p as (select guide, any_value(total) as total, 1 - (ln(sum(f)) - sum(f * ln(f)) / sum(f)) / ln(28) as precision from s group by guide),
+n as (select guide, {_RATE} as odds, {_BASES} as bases from p join z using (guide)), k as (select guide, odds, bases, unnest(map_keys(bases)) as inserted from n),
+o as (select guide, 'del' as category, length, position, mh_len, null as inserted, freq from d union all select guide, 'ins', 1, null, 0, inserted, odds * bases[inserted] from k), x as (select * replace (freq / sum(freq) over (partition by guide) as freq) from o)"""
+
+
+def _repaired(s, d):
+    return S.with_insertions(S.deletion_outcomes(sites(s, d), RUN_LAYERS, LENGTH_LAYERS), RATE, INSERTED)
+
+
+@query("d28_repair_outcomes", REPAIRED + " select guide, category, length::integer as length, position::integer as position, mh_len::integer as mh_len, inserted, round(freq, 9) as freq from x")
+def _(s, d):
+    """Deletions and insertions of each guide, scored by networks that the caller gives."""
+    x = _repaired(s, d)
+    return x.select("guide", "category", "length", "position", "mh_len", "inserted", F.round("freq", 9).alias("freq"))
+
+
+@query("d31_outcome_genotypes")
+def _(s, d):
+    """What each outcome leaves, deletions without a homology split over the places where they can be."""
+    return S.outcome_genotypes(_repaired(s, d))
+
+
+#: A target with four bases before and three after it.
+THIRTY = sites_sql(4, 3)
+TWENTY = sites_sql(0, 0)
 
 
-def _part(s, d, part):
-    return sites(s, d).select("guide", F.expr(part).alias("seq"))
+def _thirty(s, d):
+    return sites(s, d, 4, 3)
 
 
-@query("d20_nucleotide_features", SITES + f", x as (select guide, {SPACER} as seq from z), a as (select guide, seq, unnest(range(1, 21)) as i from x), m as (select guide, i, seq[i] as word from a union all select guide, i, substring(seq, i, 2) from a where i < 20), f as (select guide, word || '_' || (i - 1)::varchar as feature from m union all select guide, word from m) select guide, feature, count(*)::bigint as value from f group by 1, 2")
+@query("d20_nucleotide_features", TWENTY + ", x as (select guide, left(seq, 20) as seq from z), a as (select guide, seq, unnest(range(1, 21)) as i from x), m as (select guide, i, seq[i] as word from a union all select guide, i, substring(seq, i, 2) from a where i < 20), f as (select guide, word || '_' || (i - 1)::varchar as feature from m union all select guide, word from m) select guide, feature, count(*)::bigint as value from f group by 1, 2")
 def _(s, d):
-    return S.nucleotide_features(_part(s, d, SPACER))
+    return S.nucleotide_features(sites(s, d, 0, 0).select("guide", F.left("seq", F.lit(20)).alias("seq")))
 
 
-@query("d21_gc_flags", SITES + f", x as (select guide, length(regexp_replace(substring({THIRTY}, 5, 20), '[^GC]', '', 'g')) as gc from z) select guide, gc::integer as gc, gc > 10 as high, gc < 10 as low from x")
+@query("d21_gc_flags", THIRTY + ", x as (select guide, length(regexp_replace(substring(seq, 5, 20), '[^GC]', '', 'g')) as gc from z) select guide, gc::integer as gc, gc > 10 as high, gc < 10 as low from x")
 def _(s, d):
     n = F.length(F.regexp_replace(F.substring("seq", 5, 20), "[^GC]", ""))
-    return _part(s, d, THIRTY).select("guide", n.alias("gc"), (n > 10).alias("high"), (n < 10).alias("low"))
+    return _thirty(s, d).select("guide", n.alias("gc"), (n > 10).alias("high"), (n < 10).alias("low"))
+
+
+@query("d22_nggx", THIRTY + " select guide, seq[25] || seq[28] as nx, seq[26:27] = 'GG' as gg from z")
+def _(s, d):
+    return _thirty(s, d).select("guide", F.concat(F.substring("seq", 25, 1), F.substring("seq", 28, 1)).alias("nx"), (F.substring("seq", 26, 2) == "GG").alias("gg"))
+
+
+def _tm(a, b):
+    """The SQL of a melting temperature of bases a to b (0-based, end left out)."""
+    table = lambda t_, k: "map {" + ", ".join(f"'{w}': {v[k]}::double" for w, v in t_.items()) + "}"
+    text = f"substring(seq, {a + 1}, {b - a})"
+    h, e = (f"(list_sum([{table(S.NEIGHBOURS, k)}[substring(seq, {a} + i, 2)] for i in range(1, {b - a})]) + {table(S.ENDS, k)}[left({text}, 1)] + {table(S.ENDS, k)}[right({text}, 1)])" for k in (0, 1))
+    return f"(1000 * {h} / ({e} + 0.368::double * {b - a - 1} * ln(0.05::double) + 1.987::double * ln(50e-9::double / 4)) - 273.15)"
+
+
+FEATURED = THIRTY + f""", x as (select guide, seq, substring(seq, 5, 20) as sp from z), a as (select guide, sp, unnest(range(1, 21)) as i from x), m as (select guide, i, sp[i] as word from a union all select guide, i, substring(sp, i, 2) from a where i < 20),
+c as (select guide, length(regexp_replace(sp, '[^GC]', '', 'g')) as gc, seq from x),
+f as (select guide, word || '_' || (i - 1)::varchar as feature, 1::double as value from m union all select guide, word, count(*)::double from m group by all
+ union all select guide, unnest(['gc', 'gc_high', 'gc_low']), unnest([gc::double, (gc > 10)::int::double, (gc < 10)::int::double]) from c union all select guide, 'nggx_' || seq[25] || seq[28], 1 from x
+ union all select guide, unnest(['weight', {", ".join(f"'{n}'" for n in S._PARTS)}]), unnest([length(regexp_replace(seq, '[^A]', '', 'g')) * 313.21::double + length(regexp_replace(seq, '[^C]', '', 'g')) * 289.18::double + length(regexp_replace(seq, '[^G]', '', 'g')) * 329.21::double + length(regexp_replace(seq, '[^T]', '', 'g')) * 304.2::double - 61.96::double, {", ".join(_tm(*p) for p in S._PARTS.values())}]) from x),
+q as (select count(*) as n from x), g as (select feature, count(*) as k, avg(value) as a, var_pop(value) as v from f where value <> 0 group by feature),
+t as (select feature, a * k / n as mean, sqrt(greatest((v * k + a * a * k * (n - k) / n) / (n - 1), 0)) as std from g, q), y as (select feature, mean, std from t where std > 1e-9), b as (select sum(mean / std) as z, sum((mean / std) * (mean / std)) as zz from y)"""
 
 
-@query("d22_nggx", SITES + f", x as (select guide, {THIRTY} as seq from z) select guide, seq[25] || seq[28] as nx, seq[26:27] = 'GG' as gg from x")
+@query("d24_feature_matrix", FEATURED + " select guide, count(*)::bigint as filled, round(sum(value / std) - any_value(z), 6) as z_sum, round(sum(((value - mean) / std) ** 2 - (mean / std) ** 2) + any_value(zz), 5) as z_squares from f join y using (feature), b where value <> 0 group by guide")
 def _(s, d):
-    x = _part(s, d, THIRTY)
-    return x.select("guide", F.concat(F.substring("seq", 25, 1), F.substring("seq", 28, 1)).alias("nx"), (F.substring("seq", 26, 2) == "GG").alias("gg"))
+    """Each guide's vector of all features, z-scored: how many are not zero, the sum and the sum of squares of its z-scores."""
+    vectors = t.written(S.feature_vectors(_thirty(s, d)))
+    mean, std = S.feature_statistics(vectors)
+    varies = F.array(*[F.lit(v > 1e-9) for v in std])
+    filled = vectors.select("guide", F.size(F.filter("places", lambda p: F.get(varies, p))).cast("long").alias("filled"))
+    z = S.z_scored(vectors, mean, std)
+    total = lambda f: F.aggregate("z", F.lit(0.0), lambda a, v: a + f(v))
+    return filled.join(z.select("guide", F.round(total(lambda v: v), 6).alias("z_sum"), F.round(total(lambda v: v * v), 5).alias("z_squares")), "guide")
 
 
-@query("d25_one_hot", SITES + ", b as (select guide, unnest(range(1, length(seq) + 1)) as i, seq from z) select guide, sum((seq[i] = 'A')::int)::bigint as a, sum((seq[i] = 'C')::int)::bigint as c from b group by guide")
+@query("d25_one_hot", THIRTY + ", b as (select guide, unnest(range(1, length(seq) + 1)) as i, seq from z) select guide, sum((seq[i] = 'A')::int)::bigint as a, sum((seq[i] = 'C')::int)::bigint as c from b group by guide")
 def _(s, d):
-    x = sites(s, d).select("guide", F.explode(S.one_hot(F.col("seq"))).alias("h"))
+    x = _thirty(s, d).select("guide", F.explode(S.one_hot(F.col("seq"))).alias("h"))
     return x.groupBy("guide").agg(F.sum(F.col("h")[0]).alias("a"), F.sum(F.col("h")[1]).alias("c"))
 
 
@@ -399,6 +479,6 @@ def _(s, d):
     return S.percentile_against(g.where("strand = '-'").select("guide_id", "score"), g.where("strand = '+'")).select("guide_id", r6("percentile").alias("percentile"))
 
 
-@query("d32_molecular_weight", SITES + f", x as (select guide, {THIRTY} as s from z) select guide, round(length(regexp_replace(s, '[^A]', '', 'g')) * 313.21 + length(regexp_replace(s, '[^C]', '', 'g')) * 289.18 + length(regexp_replace(s, '[^G]', '', 'g')) * 329.21 + length(regexp_replace(s, '[^T]', '', 'g')) * 304.2 - 61.96, 4)::double as weight from x")
+@query("d32_molecular_weight", THIRTY + " select guide, round(length(regexp_replace(seq, '[^A]', '', 'g')) * 313.21 + length(regexp_replace(seq, '[^C]', '', 'g')) * 289.18 + length(regexp_replace(seq, '[^G]', '', 'g')) * 329.21 + length(regexp_replace(seq, '[^T]', '', 'g')) * 304.2 - 61.96, 4)::double as weight from z")
 def _(s, d):
-    return _part(s, d, THIRTY).select("guide", F.round(S.molecular_weight(F.col("seq")), 4).alias("weight"))
+    return _thirty(s, d).select("guide", F.round(S.molecular_weight(F.col("seq")), 4).alias("weight"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a temporary one only where a session on one machine names none."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = "file://" + tempfile.gettempdir()
+    return os.path.join(top, f"files-{uuid.uuid4().hex}")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in a new shared folder, read again: made once, however often it is read."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 _KEY = "md5(concat_ws('|', cast(l_orderkey as {s}), cast(l_partkey as {s}), cast(l_suppkey as {s}), cast(l_linenumber as {s}), cast(cast(l_quantity as bigint) as {s}), cast(cast(round(l_extendedprice * 100) as bigint) as {s})))"
 _GUIDES = (
     "{key} as guide_id", "concat('G', cast(l_orderkey as {s})) as gene", "cast(l_quantity * 2 as double) as efficacy",

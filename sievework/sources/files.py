@@ -139,9 +139,19 @@ def with_thresholds(df: DataFrame, presets: DataFrame) -> DataFrame:
     return df.join(F.broadcast(presets), "tool")
 
 
+#: A target's rows as they are written.
+TARGET_HITS = "rank int, guide string, hit string, locus string, hit_strand string, mismatches int, target long"
+
+
 def write_hits(hits: DataFrame, path: str) -> None:
-    """A folder of off-targets for each guide."""
-    hits.write.partitionBy("guide").option("sep", "\t").csv(path)
+    """A folder of off-targets for each target: rows are dealt by target first, so a folder is written by one task."""
+    hits.repartition("target").sortWithinPartitions("target", "rank", "mismatches").write.partitionBy("target").option("sep", "\t").csv(path)
+
+
+def read_target_hits(spark: SparkSession, path: str, target=None) -> DataFrame:
+    """The off-targets of one target, whose folder alone is read, or of all."""
+    df = spark.read.option("sep", "\t").schema(TARGET_HITS).csv(path)
+    return df if target is None else df.where(F.col("target") == target)
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
