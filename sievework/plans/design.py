@@ -293,7 +293,7 @@ def _(s, d):
     return _near(_genome(s, d), seed=(11, 0)).select(q.decoded(F.col("a"), 20).alias("guide"), q.decoded(F.col("b"), 20).alias("site"), "mismatches", F.col("n").alias("sites"))
 
 
-CAPPED = HITS + f", o as (select * from (select *, row_number() over (partition by guide order by mismatches, hit, hit_contig, hit_start, hit_strand) as k from h) where k <= {CAP})"
+CAPPED = HITS + f", o as materialized (select * from (select *, row_number() over (partition by guide order by mismatches, hit, hit_contig, hit_start, hit_strand) as k from h) where k <= {CAP})"
 
 
 def _off_targets(genome):

@@ -25,8 +25,9 @@ def _named_pairs(pairs, between):
 #: Pairs of off-targets 20 to 40 bases apart; ``o`` has the hits and ``p`` the pairs, whose stretch between is searched for
 #: the enzymes' motifs.
 CUTS = "concat_ws(';', " + ", ".join(f"case when len(regexp_extract_all(between, '{m}')) > 0 then '{n}:' || len(regexp_extract_all(between, '{m}')) end" for n, m in sorted(ENZYMES)) + ")"
-SCORED = """, x as (select contig || ':' || start_a as a, contig || ':' || start_b as b, {strand} as strand, substring(seq, start_a + {size}, greatest(start_b - start_a - {size}, 0)) as between from p join dna using (contig)),
-f as (select x.a, x.b, count(*) filter (l.hit_strand = r.hit_strand) as same, count(*) filter (l.hit_strand <> r.hit_strand) as other from x join o l on l.guide = x.a join o r on r.guide = x.b and r.hit_contig = l.hit_contig and abs(r.hit_start - l.hit_start) between 20 and 40 group by 1, 2)
+SCORED = """, x as materialized (select contig || ':' || start_a as a, contig || ':' || start_b as b, {strand} as strand, substring(seq, start_a + {size}, greatest(start_b - start_a - {size}, 0)) as between from p join dna using (contig)),
+l as materialized (select x.a, x.b, o.hit_contig, o.hit_start, o.hit_strand from x join o on o.guide = x.a), r as materialized (select guide as b, hit_contig, hit_start, hit_strand from o where guide in (select b from x)),
+f as materialized (select l.a, l.b, count(*) filter (l.hit_strand = r.hit_strand) as same, count(*) filter (l.hit_strand <> r.hit_strand) as other from l join r on r.b = l.b and r.hit_contig = l.hit_contig where abs(r.hit_start - l.hit_start) between 20 and 40 group by 1, 2)
 select x.a || '|' || x.b as pair, coalesce(same, 0)::bigint as off_same, coalesce(other, 0)::bigint as off_other, coalesce(same, 0)::bigint * {c[0]} + coalesce(other, 0)::bigint * {c[1]} + case when strand = '+' then {inside} else 0 end as score, {cuts} as enzymes from x left join f using (a, b)"""
 
 
@@ -40,7 +41,7 @@ def _(s, d):
 TALEN_HITS = TALEN_PAIRS + f""", e as (select contig, start, contig || ':' || start as guide, w as seq from w where w like 'T%' or w like '%A'),
 b as (select contig, start, '+' as strand, seq from e union all select contig, start, '-', reverse(translate(seq, 'ACGT', 'TGCA')) from e),
 u as (select distinct seq from e), v as (select distinct seq from b), n as (select u.seq as a, v.seq as b, hamming(u.seq, v.seq) as mismatches from u join v on left(u.seq, 9) = left(v.seq, 9) where hamming(u.seq, v.seq) <= 1 union select u.seq, v.seq, hamming(u.seq, v.seq) from u join v on right(u.seq, 9) = right(v.seq, 9) where hamming(u.seq, v.seq) <= 1),
-o as (select e.guide, y.contig as hit_contig, y.start as hit_start, y.strand as hit_strand from n join e on e.seq = n.a join b y on y.seq = n.b where not (e.contig = y.contig and e.start = y.start and y.strand = '+')
+o as materialized (select e.guide, y.contig as hit_contig, y.start as hit_start, y.strand as hit_strand from n join e on e.seq = n.a join b y on y.seq = n.b where not (e.contig = y.contig and e.start = y.start and y.strand = '+')
  qualify row_number() over (partition by e.guide order by n.mismatches, y.seq, y.contig, y.start, y.strand) <= {CAP})"""
 
 
