@@ -337,14 +337,18 @@ def feature_vectors(targets: DataFrame) -> DataFrame:
     names = feature_names()
     place = {n: i for i, n in enumerate(names)}
     spacer = F.substring("seq", 5, 20)
-    entries = []
-    for k in (1, 2):
+    number = lambda i, k: sum(((F.position(F.substring("_spacer", i + 1 + j, F.lit(1)), F.lit("ACGT")) - 1) * 4 ** (k - 1 - j) for j in range(k)), F.lit(0))
+
+    def placed(k: int) -> Column:
+        """One for each place's k-mer: k-mers count in the order of their letters."""
         first = place[f"{_MERS[k][0]}_0"]
-        word = lambda i, k=k: F.substring("_spacer", i + 1, F.lit(k))
-        number = lambda i, k=k: F.expr("0") + sum(((F.position(F.substring("_spacer", i + 1 + j, F.lit(1)), F.lit("ACGT")) - 1) * 4 ** (k - 1 - j) for j in range(1, k)), (F.position(F.substring("_spacer", i + 1, F.lit(1)), F.lit("ACGT")) - 1) * 4 ** (k - 1))
-        entries.append(F.transform(F.sequence(F.lit(0), F.lit(20 - k)), lambda i, k=k, first=first, number=number: F.struct((F.lit(first) + i * 4**k + number(i)).cast("int").alias("place"), F.lit(1.0).alias("value"))))
-        counts = [(m, F.size(F.filter(F.sequence(F.lit(0), F.lit(20 - k)), lambda i, m=m, word=word: word(i) == m)).cast("double")) for m in _MERS[k]]
-        entries.append(F.array(*[F.struct(F.lit(place[m]).alias("place"), c.alias("value")) for m, c in counts]))
+        return F.transform(F.sequence(F.lit(0), F.lit(20 - k)), lambda i: F.struct((F.lit(first) + i * 4**k + number(i, k)).cast("int").alias("place"), F.lit(1.0).alias("value")))
+
+    def counted(word: str) -> Column:
+        there = F.filter(F.sequence(F.lit(0), F.lit(20 - len(word))), lambda i: F.substring("_spacer", i + 1, F.lit(len(word))) == word)
+        return F.struct(F.lit(place[word]).alias("place"), F.size(there).cast("double").alias("value"))
+
+    entries = [placed(1), placed(2), F.array(*[counted(m) for k in (1, 2) for m in _MERS[k]])]
     gc = F.length(F.regexp_replace("_spacer", "[^GC]", ""))
     beside = F.concat(F.substring("seq", 25, 1), F.substring("seq", 28, 1))
     more = {"gc": gc.cast("double"), "gc_high": (gc > 10).cast("double"), "gc_low": (gc < 10).cast("double")}

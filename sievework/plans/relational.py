@@ -385,11 +385,11 @@ def _forward(layers, *inputs):
 _RATE = f"exp({RATE['intercept']}::double + {RATE['precision']}::double * precision + {RATE['log_total']}::double * ln(total)" + "".join(f" + case when seq[{CUT if k[0] == '5' else CUT + 1}] = '{k[1]}' then {v}::double else 0 end" for k, v in RATE.items() if k[0] in "53") + ")"
 _BASES = "case " + " ".join(f"when seq[{CUT}] = '{b}' then map {{{', '.join(f'{chr(39)}{i}{chr(39)}: {p}::double' for i, p in v.items())}}}" for b, v in INSERTED.items()) + " end"
 REPAIRED = SITES + f""", l as (select guide, seq, unnest(range(1, 60)) as length from z), i as (select guide, seq, length, unnest(range(0, length)) as i from l),
-e as (select *, i - row_number() over (partition by guide, length order by i) as g from i where seq[{CUT} - length + i + 1] = seq[{CUT} + i + 1]),
+e as materialized (select *, i - row_number() over (partition by guide, length order by i) as g from i where seq[{CUT} - length + i + 1] = seq[{CUT} + i + 1]),
 r as (select guide, length, max(i) + 1 as position, count(*) as mh_len, avg((seq[{CUT} + i + 1] in ('G', 'C'))::int) as gc from e group by guide, length, g),
-w as (select guide, length, position, mh_len, exp({_forward(RUN_LAYERS, 'mh_len', 'gc')} - 0.25 * length) + case when mh_len = length then exp({_forward(LENGTH_LAYERS, 'length')} - 0.25 * length) else 0 end as weight from r
+v as (select guide, length, position, mh_len, exp({_forward(RUN_LAYERS, 'mh_len', 'gc')} - 0.25 * length) + case when mh_len = length then exp({_forward(LENGTH_LAYERS, 'length')} - 0.25 * length) else 0 end as weight from r
  union all select guide, length, null, 0, exp({_forward(LENGTH_LAYERS, 'length')} - 0.25 * length) from l anti join (select guide, length from r where mh_len = length) f using (guide, length)),
-d as (select *, sum(weight) over (partition by guide) as total, weight / sum(weight) over (partition by guide) as freq from w),
+d as materialized (select *, sum(weight) over (partition by guide) as total, weight / sum(weight) over (partition by guide) as freq from v),
 s as (select guide, any_value(total) as total, length, sum(freq) as f from d where length <= 28 group by guide, length), p as (select guide, any_value(total) as total, 1 - (ln(sum(f)) - sum(f * ln(f)) / sum(f)) / ln(28) as precision from s group by guide),
 n as (select guide, {_RATE} as odds, {_BASES} as bases from p join z using (guide)), k as (select guide, odds, bases, unnest(map_keys(bases)) as inserted from n),
 o as (select guide, 'del' as category, length, position, mh_len, null as inserted, freq from d union all select guide, 'ins', 1, null, 0, inserted, odds * bases[inserted] from k), x as (select * replace (freq / sum(freq) over (partition by guide) as freq) from o)"""
@@ -408,8 +408,11 @@ def _(s, d):
 
 @query("d31_outcome_genotypes")
 def _(s, d):
-    """What each outcome leaves, deletions without a homology split over the places where they can be."""
-    return S.outcome_genotypes(_repaired(s, d))
+    """What each outcome leaves, deletions without a homology split over the places where they can be: for each guide, kind and
+    length how many outcomes there are, their frequency, and sums over their names and genotypes that tell whether these are the same."""
+    x = S.outcome_genotypes(_repaired(s, d))
+    digest = lambda c: F.sum(F.crc32(F.encode(F.coalesce(c, F.lit("")), "UTF-8")))
+    return x.groupBy("guide", "category", "length").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("freq"), 9).alias("freq"), digest(F.col("name")).alias("names"), digest(F.col("genotype")).alias("genotypes"))
 
 
 #: A target with four bases before and three after it.
@@ -447,11 +450,11 @@ def _tm(a, b):
 
 FEATURED = THIRTY + f""", x as (select guide, seq, substring(seq, 5, 20) as sp from z), a as (select guide, sp, unnest(range(1, 21)) as i from x), m as (select guide, i, sp[i] as word from a union all select guide, i, substring(sp, i, 2) from a where i < 20),
 c as (select guide, length(regexp_replace(sp, '[^GC]', '', 'g')) as gc, seq from x),
-f as (select guide, word || '_' || (i - 1)::varchar as feature, 1::double as value from m union all select guide, word, count(*)::double from m group by all
+f as materialized (select guide, word || '_' || (i - 1)::varchar as feature, 1::double as value from m union all select guide, word, count(*)::double from m group by all
  union all select guide, unnest(['gc', 'gc_high', 'gc_low']), unnest([gc::double, (gc > 10)::int::double, (gc < 10)::int::double]) from c union all select guide, 'nggx_' || seq[25] || seq[28], 1 from x
  union all select guide, unnest(['weight', {", ".join(f"'{n}'" for n in S._PARTS)}]), unnest([length(regexp_replace(seq, '[^A]', '', 'g')) * 313.21::double + length(regexp_replace(seq, '[^C]', '', 'g')) * 289.18::double + length(regexp_replace(seq, '[^G]', '', 'g')) * 329.21::double + length(regexp_replace(seq, '[^T]', '', 'g')) * 304.2::double - 61.96::double, {", ".join(_tm(*p) for p in S._PARTS.values())}]) from x),
-q as (select count(*) as n from x), g as (select feature, count(*) as k, avg(value) as a, var_pop(value) as v from f where value <> 0 group by feature),
-t as (select feature, a * k / n as mean, sqrt(greatest((v * k + a * a * k * (n - k) / n) / (n - 1), 0)) as std from g, q), y as (select feature, mean, std from t where std > 1e-9), b as (select sum(mean / std) as z, sum((mean / std) * (mean / std)) as zz from y)"""
+q as (select count(*) as n from x), fs as (select feature, count(*) as k, avg(value) as a, var_pop(value) as v from f where value <> 0 group by feature),
+t as (select feature, a * k / n as mean, sqrt(greatest((v * k + a * a * k * (n - k) / n) / (n - 1), 0)) as std from fs, q), y as (select feature, mean, std from t where std > 1e-9), b as (select sum(mean / std) as z, sum((mean / std) * (mean / std)) as zz from y)"""
 
 
 @query("d24_feature_matrix", FEATURED + " select guide, count(*)::bigint as filled, round(sum(value / std) - any_value(z), 6) as z_sum, round(sum(((value - mean) / std) ** 2 - (mean / std) ** 2) + any_value(zz), 5) as z_squares from f join y using (feature), b where value <> 0 group by guide")

@@ -51,13 +51,16 @@ def test_reverse_complement_twice(spark):
     assert all(r[0] == r[1] for r in df.select("s", q.reverse_complement(q.reverse_complement(F.col("s")))).collect())
 
 
-def test_near_sites_equal_brute_force(spark):
+@pytest.mark.parametrize("hot", [2, 1_000_000])
+def test_near_sequences_equal_brute_force(spark, hot):
     import random
 
     random.seed(3)
     seqs = ["".join(random.choice("ACGT") for _ in range(20)) for _ in range(40)]
     seqs += [s[:i] + random.choice("ACGT") + s[i + 1 :] for s in seqs[:20] for i in (2, 11)]
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "guide int, seq string")
-    got = {(r[0], r[1], r[2]) for r in D.near_sites(df, df.withColumnRenamed("guide", "site")).collect()}
-    want = {(i, j, m) for i, a in enumerate(seqs) for j, b in enumerate(seqs) if (m := sum(x != y for x, y in zip(a, b))) <= 3}
+    seqs += seqs[:9] * 3 + ["A" * 20, "A" * 17 + "CCC", "ACGTN" * 4, "ACGT"]
+    df = spark.createDataFrame([(s,) for s in seqs], "seq string")
+    got = sorted(tuple(r) for r in D.near_sequences(df.limit(70), df, hot=hot).select(q.decoded(F.col("a"), 20), q.decoded(F.col("b"), 20), "mismatches", "n").collect())
+    good = [s for s in seqs if len(s) == 20 and "N" not in s]
+    want = sorted((a, b, m, good.count(b)) for a in set(good[:70]) for b in set(good) if (m := sum(x != y for x, y in zip(a, b))) <= 3)
     assert got == want

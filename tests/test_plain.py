@@ -1,5 +1,6 @@
 """Operators and queries that SQL can't express, or whose SQL shares their idea, against plain versions."""
 
+import math
 import random
 import statistics
 
@@ -7,10 +8,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sievework.functions import sequences as q
 from sievework.operators import design as D
 from sievework.operators import metrics as M
-from sievework.operators import prefix
+from sievework.operators import models, prefix
+from sievework.operators import screen as S
 from sievework.plans import catalog
+from sievework.sources import files
 
 D_SMALL = "/root/testdata/sf0.001"
 PAIR = str.maketrans("ACGT", "TGCA")
@@ -33,7 +37,7 @@ def test_guides_of_pieces_are_those_of_whole_contigs(spark, monkeypatch, step):
     rng = random.Random(1)
     seqs = {i: "".join(rng.choice("ACGGC") for _ in range(n)) for i, n in enumerate([0, 22, 23, 39, 40, 41, 83, 500, 9000])}
     df = spark.createDataFrame([*seqs.items(), (99, None)], "contig int, seq string")
-    monkeypatch.setattr(D.pieces, "__defaults__", (0, step))
+    monkeypatch.setattr(D, "SITE_PIECE", step)
     got = {(r["contig"], r["start"], r["strand"], r["target"], r["before"], r["after"]) for r in D.enumerate_guides(df, flank=12).collect()}
     assert got == {(c, *g) for c, s in seqs.items() for g in plain_guides(s, 12)}
 
@@ -44,59 +48,288 @@ def test_time_goes_with_the_contig(spark):
     assert D.enumerate_guides(df).count() > 40_000
 
 
-def test_near_sites_with_a_seed(spark):
+def test_near_sequences_with_a_seed(spark):
     rng = random.Random(3)
-    seqs = ["".join(rng.choice("AC") for _ in range(20)) for _ in range(120)]
-    df = spark.createDataFrame(list(enumerate(seqs)), "guide int, seq string")
-    got = {tuple(r) for r in D.near_sites(df, df.withColumnRenamed("guide", "site"), 3, 20, (8, 1)).collect()}
+    seqs = sorted({"".join(rng.choice("AC") for _ in range(20)) for _ in range(120)})
+    df = spark.createDataFrame([(s,) for s in seqs], "seq string")
+    found = D.near_sequences(df, df, 3, 20, (8, 1)).select(q.decoded(F.col("a"), 20), q.decoded(F.col("b"), 20), "mismatches")
     far = lambda a, b: sum(x != y for x, y in zip(a, b))
-    assert got == {(i, j, far(a, b)) for i, a in enumerate(seqs) for j, b in enumerate(seqs) if far(a, b) <= 3 and far(a[-8:], b[-8:]) <= 1}
-
-
-def test_off_targets_drop_own_places_and_repeats(spark):
-    sites = spark.createDataFrame([("a", "c1", 5, "+"), ("b", "c1", 9, "-"), ("b2", "c1", 9, "-")], "site string, contig string, start int, strand string")
-    hits = spark.createDataFrame([("a", "a", 0), ("a", "b", 2), ("a", "b2", 1)], "guide string, site string, mismatches int")
-    assert [(r["guide"], r["start"], r["mismatches"]) for r in D.off_targets(hits, sites).collect()] == [("a", 9, 1)]
-
-
-def guides_of(spark):
-    return D.enumerate_guides(catalog.design.t.dna(spark, D_SMALL)).select("contig", "start", F.round(F.length(F.regexp_replace("target", "[^GC]", "")) / F.length("target"), 9).alias("score")).collect()
-
-
-def test_spaced_guides_are_the_greedy_ones(spark):
-    got, want, rows = {}, {}, {}
-    for r in catalog.QUERIES["w11_spaced"](spark, D_SMALL).collect():
-        got.setdefault(r["contig"], set()).add(r["start"])
-    for r in guides_of(spark):
-        rows.setdefault(r["contig"], []).append((r["score"], r["start"]))
-    for c, found in got.items():  # a chosen set is spaced, and nothing that is left out would have fitted
-        assert all(abs(a - b) > 60 for a in found for b in found if a != b)
-        assert all(any(abs(s - x) <= 60 for x in found) for _, s in rows[c])
-    assert set(got) == set(rows)
-
-
-def test_guides_without_overlap(spark):
-    got, want = {}, {}
-    for r in catalog.QUERIES["w14_without_overlap"](spark, D_SMALL).collect():
-        got.setdefault(r["contig"], []).append(r["start"])
-    rows = {}
-    for r in guides_of(spark):
-        rows.setdefault(r["contig"], []).append(r["start"])
-    for c, starts in rows.items():
-        end = -1
-        for s in sorted(starts):
-            if s > end:
-                want.setdefault(c, []).append(s)
-                end = s + 22
-    assert {c: sorted(v) for c, v in got.items()} == want
+    assert {tuple(r) for r in found.collect()} == {(a, b, far(a, b)) for a in seqs for b in seqs if far(a, b) <= 3 and far(a[-8:], b[-8:]) <= 1}
+
+
+def genome_with_copies():
+    rng = random.Random(8)
+    unit = ["".join(rng.choices("ACGT", k=23 + 12)) for _ in range(4)]
+    parts = [rng.choice(unit)[:21] + "GG" + rng.choice(("", "CC", "CCTT")) for _ in range(60)]
+    parts += [u[:5] + rng.choice("ACGT") + u[6:20] + "AGG" for u in unit for _ in range(6)]
+    rng.shuffle(parts)
+    return {1: "".join(parts[:40]), 2: "".join(rng.choices("ACGT", k=900)), 3: "".join(parts[40:]), 4: "ACGT", 5: ""}
+
+
+@pytest.mark.parametrize("cap", [3, 300])
+def test_off_targets_of_both_strands(spark, cap):
+    contigs = genome_with_copies()
+    genome = D.site_table(spark.createDataFrame(list(contigs.items()), "contig int, seq string")).cache()
+    sites = [(c, i + 1, s, w[:20]) for c, t in contigs.items() for i in range(len(t) - 22) for s, w in (("+", t[i : i + 23]), ("-", rc(t[i : i + 23]))) if w.endswith("GG")]
+    first = {(c, i, s) for c, i, s, _ in sites if s == "+" or (c, i, "+") not in {x[:3] for x in sites}}
+    assert {tuple(r) for r in genome.collect()} == {(*x, x[:3] in first) for x in sites}
+    assert len(first) < len(sites)  # some places have both
+    guides = genome.where("first").select(F.concat_ws(":", "contig", "start").alias("guide"), "contig", "start", "strand", "seq")
+    pairs = D.near_sequences(guides, genome)
+    want, counts = set(), set()
+    for c, i, s, w in sites:
+        if (c, i, s) in first:
+            hits = sorted((m, x[3], *x[:3]) for x in sites if x[:3] != (c, i, s) and (m := sum(a != b for a, b in zip(w, x[3]))) <= 3)
+            want |= {(f"{c}:{i}", h[2], h[3], h[4], h[0], h[1]) for h in hits[:cap]}
+            counts.add((f"{c}:{i}", *(sum(h[0] == m for h in hits) for m in range(4)), len(hits) > cap))
+    assert {tuple(r) for r in D.off_targets(guides, genome, pairs, cap).collect()} == want
+    assert {tuple(r) for r in D.hit_counts(guides, pairs, cap).collect()} == counts and any(c[1:5] == (0, 0, 0, 0) for c in counts)
+
+
+def places(rng, n, span):
+    return [(c, p, rng.randrange(9) / 2) for c in range(3) for p in sorted(rng.sample(range(span), n))]
+
+
+@pytest.mark.parametrize("stretch", [37, 65_536])
+def test_greedy_choices_by_islands_are_those_of_whole_contigs(spark, monkeypatch, stretch):
+    monkeypatch.setattr(D.islands, "__defaults__", (stretch,))
+    rng = random.Random(6)
+    for n, span in ((60, 900), (60, 9000)):
+        rows = places(rng, n, span)
+        df = spark.createDataFrame(rows, "contig int, start int, score double").repartition(3)
+        chosen, walked = set(), set()
+        for c in range(3):
+            own, free, taken = [r for r in rows if r[0] == c], -1, []
+            for _, p, s in sorted(own, key=lambda r: (r[2], r[1])):
+                if all(abs(p - x) > 40 for x in taken):
+                    taken.append(p)
+            chosen |= {(c, p) for p in taken}
+            for _, p, _ in own:
+                if p >= free:
+                    walked.add((c, p))
+                    free = p + 23
+        assert {(r[0], r[1]) for r in D.spaced(df, "contig", "start", "score", 40).collect()} == chosen
+        assert {(r[0], r[1]) for r in D.without_overlap(df, "contig", "start", 23).collect()} == walked
+
+
+@pytest.mark.parametrize("stretch", [29, 65_536])
+def test_clusters_are_carried_from_stretch_to_stretch(spark, stretch):
+    rng = random.Random(7)
+    rows = [(c, p, p + rng.randrange(1, 60)) for c in range(3) for p in sorted(rng.sample(range(1500), 70))]
+    want = set()
+    for c in range(3):
+        run, place, end = 0, 0, None
+        for _, a, b in sorted(r for r in rows if r[0] == c):
+            run, place = (run, place + 1) if end is not None and a <= end else (run + 1, 0)
+            want.add((c, a, b, f"{run}.{place // 2}"))
+            end = b
+    df = spark.createDataFrame(rows, "contig int, a int, b int").repartition(3)
+    assert {tuple(r) for r in D.clusters(df, "contig", "a", "b", stretch).collect()} == want
+
+
+def test_ranks_without_a_sort_of_the_group(spark):
+    rng = random.Random(10)
+    rows = [(g, float(rng.randrange(20)), i) for g in range(3) for i in range(200)]
+    want = {(g, s, i, k + 1) for g in range(3) for k, (s, i) in enumerate(sorted((s, i) for h, s, i in rows if h == g))}
+    assert {tuple(r) for r in D.ranked(spark.createDataFrame(rows, "g int, s double, i int"), "g", "s", "i").collect()} == want
+
+
+def test_amplicons(spark):
+    rng = random.Random(11)
+    guides = [("g", f"x{i:02}", 7 * i, rng.randrange(4) / 2) for i in range(40)]
+    primers = [(g[1], rng.choice("fg"), rng.choice("rs"), rng.randrange(2), p) for g in guides for p in range(2)]
+    got = D.amplicons(spark.createDataFrame(guides, "gene string, guide string, position int, score double"), spark.createDataFrame(primers, "guide string, forward string, reverse string, off_targets int, place int"), ["b1", "b2"], 20)
+    taken, used, want = [], {}, set()
+    for _, g, p, s in sorted(guides, key=lambda r: (r[3], r[2])):
+        if all(abs(p - x) > 20 for _, x in taken):
+            taken.append((g, p))
+    for g, _ in sorted(taken):
+        clean = sorted((p, f, r) for x, f, r, n, p in primers if x == g and n == 0)
+        if clean:
+            pair = clean[0][1:]
+            k = used[pair] = used.get(pair, -1) + 1
+            want.add(("g", g, *pair, ["b1", "b2"][k] if k < 2 else None))
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_one_target_is_read_from_its_own_folder(spark, tmp_path):
+    rows = [(t, k, f"g{t}.{k}", "ACGT", "1:5", "+", k) for t in (3, 40, 7) for k in (1, 2)]
+    df = spark.createDataFrame(rows, "target long, rank int, guide string, hit string, locus string, hit_strand string, mismatches int")
+    files.write_hits(df, f"file://{tmp_path}/hits")
+    one = files.read_target_hits(spark, f"file://{tmp_path}/hits", 40)
+    assert {r["guide"] for r in one.collect()} == {"g40.1", "g40.2"}
+    assert "PartitionFilters: [isnotnull(target" in one._jdf.queryExecution().toString() and {r[0].split("target=")[1][:2] for r in one.select(F.input_file_name()).collect()} == {"40"}
+    assert files.read_target_hits(spark, f"file://{tmp_path}/hits").count() == 6
+
+
+def plain_logistic(x, y, w, penalty):
+    b = np.zeros(x.shape[1] + 1)
+    x = np.column_stack([np.ones(len(x)), x])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ b))
+        b = b - np.linalg.solve((x.T * (w * p * (1 - p))) @ x / w.sum() + np.diag([0.0] + [penalty] * (len(b) - 1)), x.T @ (w * (p - y)) / w.sum() + penalty * np.r_[0.0, b[1:]])
+    return b
+
+
+def test_cross_validated_consensus_equals_a_plain_fit(spark):
+    rng = np.random.default_rng(12)
+    a, b = rng.normal(size=400), rng.normal(size=400)
+    e = 60 + 20 * a - 8 * b + rng.normal(size=400) * 12
+    rows = [(f"G{i // 4}", float(x), float(y), float(z)) for i, (x, y, z) in enumerate(zip(a, b, e))] + [("G1", None, 1.0, 2.0), ("G2", 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "gene string, a double, b double, efficacy double").repartition(3)
+    model, held, thresholds = models.cross_validated(df, ["a", "b"], "efficacy", 70)
+    x = np.column_stack([(v - v.mean()) / v.std(ddof=1) for v in (a, b)])
+    y = (e >= 70).astype(float)
+    w = np.where(y == 1, 1.0, y.sum() / (len(y) - y.sum()))
+    want = plain_logistic(x, y, w, 0.01)
+    assert np.allclose([model["intercept"], model["betas"]["a"], model["betas"]["b"]], want, atol=1e-6)
+    alone = models.fit_logistic(df, ["a", "b"], "efficacy", 70)
+    assert np.allclose([alone["intercept"], alone["betas"]["a"], alone["betas"]["b"]], want, atol=1e-3)
+    fold = {r["gene"]: r["fold"] for r in models.folds(df).select("gene", "fold").distinct().collect()}
+    own = np.array([fold[f"G{i // 4}"] for i in range(400)])
+    found = {(r["a"], r["b"]): r["probability"] for r in held.collect()}
+    best = []
+    for f in range(5):
+        m = plain_logistic(x[own != f], y[own != f], w[own != f], 0.01)
+        p = 1 / (1 + np.exp(-(m[0] + x[own == f] @ m[1:])))
+        assert np.allclose([found[float(i), float(j)] for i, j in zip(a[own == f], b[own == f])], p, atol=1e-6)
+        youden = lambda t, p=p, f=f: round(((p >= t) & (y[own == f] == 1)).sum() / (y[own == f] == 1).sum() - ((p >= t) & (y[own == f] == 0)).sum() / (y[own == f] == 0).sum(), 12)
+        best.append(max((t / 100 for t in range(1, 100)), key=lambda t: (youden(t), t)))
+    assert {r["fold"]: r["threshold"] for r in thresholds.collect()} == dict(enumerate(best)) and model["threshold"] == pytest.approx(np.mean(best))
+    with pytest.raises(ValueError, match="classes"):
+        models.cross_validated(df, ["a"], "efficacy", 1e9)
+
+
+def test_normal_tail():
+    z = np.array([0.0, -1.0, 1.0, -1.96, 3.0, -3.0, -6.0, 8.0, -40.0])
+    assert np.allclose(S.normal_tail(z), [0.5 * math.erfc(-v / math.sqrt(2)) for v in z], rtol=1e-12, atol=0) and np.isnan(S.normal_tail(np.array([np.nan])))[0]
+
+
+def test_depletion_against_a_plain_version(spark):
+    rng = np.random.default_rng(13)
+    rows = [(f"g{i}", s, int(v)) for i in range(60) for s, v in zip(("c1", "c2", "t1"), rng.poisson(40 + i, 3) * (1, 1, 0.2 if i < 15 else 1))]
+    long = spark.createDataFrame([("e", *r) for r in rows], "experiment string, guide_id string, sample string, count long")
+    got = {r["guide_id"]: r for r in S.depletion(long, ["c1", "c2"], ["t1"]).collect()}
+    x = np.array([[v for g, _, v in rows if g == f"g{i}"] for i in range(60)], float)
+    whole = (x > 0).all(1)
+    x = x / np.median(x[whole] / np.exp(np.log(x[whole]).mean(1))[:, None], axis=0)
+    mc, mt, v = x[:, :2].mean(1), x[:, 2], x[:, :2].var(axis=1, ddof=1)
+    over = (v > mc) & (mc > 0)
+    slope, cut = np.polyfit(np.log(mc[over]), np.log(v[over] - mc[over]), 1)
+    z = (mt - mc) / np.sqrt(mc + np.exp(cut) * mc**slope)
+    p = np.array([0.5 * math.erfc(-t / math.sqrt(2)) for t in z])
+    order = np.argsort(-p)
+    fdr = np.empty(60)
+    fdr[order] = np.minimum.accumulate(np.minimum(1, p[order] * 60 / (60 - np.arange(60))))
+    for i in range(60):
+        r = got[f"g{i}"]
+        assert (r["lfc"], r["p"], r["fdr"]) == pytest.approx((np.log2((mt[i] + 1) / (mc[i] + 1)), p[i], fdr[i]), rel=1e-6)
+
+
+RUNS = [([[0.3, -0.2], [1.5, 0.8]], [-0.4, 0.1]), ([[2.0], [-1.0]], [0.5])]
+LENGTHS = [([[1.2]], [-3.0])]
+RATE = {"intercept": -1.0, "precision": 0.5, "log_total": 0.2, "5A": 0.4, "3G": -0.3}
+BASES = {b: {"A": 0.5, b: 0.5} if b != "A" else {"A": 1.0} for b in "ACGT"}
+
+
+def plain_outcomes(seq, cut):
+    """(category, length, position, mh_len, inserted): weight, by loops."""
+    score = lambda layers, x: float(S.forward(layers, np.array([x], float))[0])
+    out = {}
+    for n in range(1, min(59, cut, len(seq) - cut) + 1):
+        left, right = seq[cut - n : cut], seq[cut : cut + n]
+        alone = math.exp(score(LENGTHS, [n]) - 0.25 * n)
+        i = 0
+        while i < n:
+            j = i
+            while j < n and left[j] == right[j]:
+                j += 1
+            if j > i:
+                gc = sum(c in "GC" for c in left[i:j]) / (j - i)
+                out["del", n, j, j - i, None] = math.exp(score(RUNS, [j - i, gc]) - 0.25 * n) + (alone if j - i == n else 0)
+            i = max(j, i + 1)
+        if left != right:
+            out["del", n, None, 0, None] = alone
+    total = sum(out.values())
+    out = {k: v / total for k, v in out.items()}
+    short = np.array([sum(v for k, v in out.items() if k[1] == n) for n in range(1, 29)])
+    short = short[short > 0] / short.sum()
+    precision = 1 + (short * np.log(short)).sum() / math.log(28)
+    odds = math.exp(-1.0 + 0.5 * precision + 0.2 * math.log(total) + (0.4 if seq[cut - 1] == "A" else 0) - (0.3 if seq[cut] == "G" else 0))
+    out |= {("ins", 1, None, 0, b): odds * p for b, p in BASES[seq[cut - 1]].items()}
+    return {k: v / sum(out.values()) for k, v in out.items()}
+
+
+def test_repair_outcomes_and_genotypes(spark):
+    rng = random.Random(14)
+    seqs = {f"s{i}": "".join(rng.choices("ACGT" if i % 2 else "AC", k=120)) for i in range(6)} | {"rep": "ACACAC" * 20, "short": "ACGTACGT"}
+    df = spark.createDataFrame([(g, s, len(s) // 2) for g, s in seqs.items()], "guide string, seq string, cut int").repartition(2)
+    found = S.with_insertions(S.deletion_outcomes(df, RUNS, LENGTHS), RATE, BASES)
+    got, parts = {}, {}
+    for r in found.collect():
+        got.setdefault(r["guide"], {})[r["category"], r["length"], r["position"], r["mh_len"], r["inserted"]] = r["freq"]
+    for r in S.outcome_genotypes(found).collect():
+        parts.setdefault(r["guide"], []).append(r)
+    for g, s in seqs.items():
+        want, cut = plain_outcomes(s, len(s) // 2), len(s) // 2
+        assert got[g].keys() == want.keys() and all(got[g][k] == pytest.approx(v, rel=1e-9) for k, v in want.items())
+        assert sum(r["freq"] for r in parts[g]) == pytest.approx(1)
+        split = {}
+        for r in parts[g]:
+            n, p = r["length"], r["position"]
+            if r["category"] == "ins":
+                assert r["genotype"] == s[:cut] + r["name"][3:] + s[cut:]
+            elif p is None:
+                assert r["name"] == f"del{n}" and r["genotype"] is None
+                split.setdefault(n, []).append((None, r["freq"]))
+            else:
+                assert r["genotype"] == s[: cut - n + p] + s[cut + p :] and r["name"] == "del" + s[cut - n + p : cut + p]
+                if not r["mh_len"]:
+                    split.setdefault(n, []).append((p, r["freq"]))
+        for (kind, n, p, m, _), f in want.items():
+            if kind == "del" and p is None:
+                differ = [a != b for a, b in zip(s[cut - n : cut], s[cut : cut + n])]
+                ends, middle = [k for k, d in ((0, differ[0]), (n, differ[-1])) if d], [i for i in range(1, n) if differ[i - 1] and differ[i]]
+                kinds = len(ends) + bool(middle)
+                plain = {k: f / kinds for k in ends} | {k: f / kinds / len(middle) for k in middle} if kinds else {None: f}
+                assert dict(split[n]) == pytest.approx(plain)
+
+
+def test_feature_vectors(spark):
+    rng = random.Random(15)
+    seqs = {f"s{i}": "".join(rng.choices("ACGT", k=24)) + "AGG" + "".join(rng.choices("ACGT", k=3)) for i in range(30)}
+    vectors = S.feature_vectors(spark.createDataFrame(list(seqs.items()), "guide string, seq string")).cache()
+    names, dense = S.feature_names(), {}
+    for r in vectors.collect():
+        assert len(set(r["places"])) == len(r["places"])
+        dense[r["guide"]] = dict(zip((names[p] for p in r["places"]), r["values"]))
+    for g, s in seqs.items():
+        sp, want = s[4:24], {}
+        for k in (1, 2):
+            for i in range(21 - k):
+                want[f"{sp[i : i + k]}_{i}"] = 1.0
+                want[sp[i : i + k]] = want.get(sp[i : i + k], 0) + 1.0
+        gc = sum(c in "GC" for c in sp)
+        want |= {f"nggx_{s[24]}{s[27]}": 1.0} | ({"gc": gc} if gc else {}) | ({"gc_high": 1.0} if gc > 10 else {}) | ({"gc_low": 1.0} if gc < 10 else {})
+        rest = {n: v for n, v in dense[g].items() if not n.startswith("tm") and n != "weight"}
+        assert rest == want and {"tm", "tm_near", "tm_middle", "tm_far", "weight"} <= set(dense[g])
+    x = np.array([[dense[g].get(n, 0.0) for n in names] for g in sorted(dense)])
+    mean, std = S.feature_statistics(vectors)
+    assert np.allclose(mean, x.mean(0)) and np.allclose(std, x.std(0, ddof=1))
+    z = np.array([r["z"] for r in S.z_scored(vectors, mean, std).orderBy("guide").collect()])
+    still = x.std(0, ddof=1) < 1e-9
+    assert np.allclose(z[:, ~still], (x - x.mean(0))[:, ~still] / x.std(0, ddof=1)[~still]) and (z[:, still] == 0).all()
+    with pytest.raises(ValueError, match="null values of tm"):
+        S.feature_statistics(S.feature_vectors(spark.createDataFrame([("n", "N" * 30)], "guide string, seq string")))
 
 
 def test_control_guides_have_no_near_site(spark):
     got = [r[0] for r in catalog.QUERIES["d19_control_guides"](spark, D_SMALL).select("seq").collect()]
-    sites = {r["target"][:20] for r in D.enumerate_guides(catalog.design.t.dna(spark, D_SMALL)).collect()}
+    sites = {r["seq"] for r in D.site_table(catalog.design.t.dna(spark, D_SMALL)).collect()}
     codes = np.array([np.frombuffer(s.encode(), np.uint8) for s in sites])
     assert len(set(got)) == len(got) == 100
     assert all((codes != np.frombuffer(s.encode(), np.uint8)).sum(1).min() > 3 for s in got)
+    assert not any(m in x for s in got for x in (s, rc(s)) for _, m in catalog.design.ENZYMES)
 
 
 def test_student_t():
@@ -155,10 +388,14 @@ def test_transcript_coordinates(spark):
 
 
 def test_isoform_hits(spark):
+    word = {n: "".join(random.Random(n).choices("ACGT", k=20)) for n in range(3)}
+    near = "T" + word[0][1:] if word[0][0] != "T" else "A" + word[0][1:]
+    sites = [(1, word[0]), (2, word[0]), (2, word[0]), (3, near), (1, word[1]), (4, word[2]), (4, word[2])]
     isoforms = spark.createDataFrame([("g", 1), ("g", 2), ("h", 3), ("k", 4)], "gene string, tx int")
-    hits = spark.createDataFrame([("x", 1, 1, 0, 50.0), ("x", 1, 2, 0, 50.0), ("x", 1, 3, 2, 50.0), ("y", 2, 2, 0, 0.0), ("y", 2, 1, 1, 0.0), ("z", 4, 4, 0, 1.0), ("z", 4, 3, 0, 1.0)], "guide string, tx int, hit_tx int, mismatches int, p double")
-    got = {tuple(r) for r in D.isoform_hits(hits, isoforms, F.col("p")).collect()}
-    assert got == {("x", 2, 0, 0, 1, 0, True, 650.0), ("y", 2, 0, 0, 0, 0, False, 0.0), ("z", 1, 1, 0, 0, 0, True, 1001.0)}
+    guides = spark.createDataFrame([("x", 1, word[0], 50.0), ("y", 1, word[1], 0.0), ("z", 4, word[2], 1.0), ("v", 3, near, 2.0)], "guide string, tx int, seq string, p double")
+    places = spark.createDataFrame(sites, "tx int, seq string")
+    got = {tuple(r) for r in D.isoform_hits(guides, places, D.near_sequences(guides, places), isoforms, F.col("p")).collect()}
+    assert got == {("x", 3, 0, 1, 0, 0, True, 850.0), ("y", 1, 0, 0, 0, 0, False, 0.0), ("z", 2, 0, 0, 0, 0, True, 1.0), ("v", 1, 0, 3, 0, 0, True, 2402.0)}
 
 
 def test_medians(spark):
