@@ -25,7 +25,8 @@ SEED = 42
 BUCKET_DOCS = 2048
 #: Buckets share tasks beyond this many.
 MOST_PARTITIONS = 50_000
-CELLS = 4096
+#: Ranges of ids, and ids with so many rows that each has ranges of its own, at most.
+RANGES, MOST_HEAVY = 4096, 1000
 #: The sample of a text without words.
 NONE = (1 << 63) - 1
 #: Bits of a sample that name the term and level; those above them order by ln a in steps of 2**-28.
@@ -93,50 +94,71 @@ def fingerprint(docs: DataFrame, count: int = SAMPLES, seed: int = SEED) -> Data
     return least_samples(entries, ["id"], ["samples"], count, seed)
 
 
+def _below(cuts: list[int], value) -> "F.Column":
+    """How many of the ascending cuts are below a value: those of one block of 64 are compared after the blocks' first ones."""
+    if not cuts:
+        return F.lit(0)
+    blocks = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
+    lower = lambda array: F.size(F.filter(array, lambda c: c < value))
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    block = lower(longs([b[0] for b in blocks]))
+    return F.when(block > 0, (block - 1) * 64 + lower(F.element_at(F.array(*[longs(b) for b in blocks]), F.greatest(block, F.lit(1))))).otherwise(0)
+
+
 def in_order(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     """Rows (bucket, place, copy, doc_id, text, next_text), each document with the text of the next lower doc_id.
 
     Documents are cut by doc_id into buckets of about ``bucket_docs``; a bucket is put in descending order in one task. The
     first document of a bucket also ends the one before it, as a copy that lends its text; the highest document of all
     ends the lowest bucket. Equal doc_ids follow one another by text; null ids come last. A lone document is its own
-    next. Which bucket an id is in comes from a histogram of ids over CELLS equal intervals, heavy ones cut further.
+    next. Ids may be any longs: buckets are ranges between quantiles of the ids, at most RANGES, cut further into equal
+    parts beyond RANGES * ``bucket_docs`` documents. An id, or null, with more than a thousandth of all rows
+    and more than ``bucket_docs`` has ranges of its own, over a hash of each row's place in its input partition, and its rows
+    follow one another by that hash; docs has to have the same partitions whenever it is read, as files have.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
+    n, nulls, low, high = ids.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull()), F.min("doc_id"), F.max("doc_id")).first()
+    most = max(bucket_docs, n // MOST_HEAVY)
+    heavy = {r["doc_id"]: r["n"] for r in ids.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).collect()}  # at most MOST_HEAVY rows
+    ranges = max(1, min(RANGES, math.ceil(n / bucket_docs)))
+    light = ids.where(~F.col("doc_id").isin(*heavy)) if heavy else ids
+    found = light.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 8 * RANGES)).first()[0] if ranges > 1 else None
+    own = {x for h in heavy for x in (h - 1, h) if x >= -(1 << 63)}
+    cuts = sorted({*(found or []), *own})
     low, high = (0, 0) if low is None else (low, high)
-    width = max(1, math.ceil((high - low + 1) / CELLS))
-    cell = F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)).cast("int")
-    counts = {r["cell"]: r["n"] for r in ids.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most CELLS + 1 rows
-    first, parts, at, room = [0], [1], 1, 0
-    for k in range(CELLS):
-        size = counts.get(k, 0)
-        split = max(1, min(width, math.ceil(size / bucket_docs)))
-        if k and split == 1 and parts[-1] == 1 and room + size <= bucket_docs:  # light cells share a bucket
-            first.append(first[-1])
-            parts.append(1)
-            room += size
-        else:
-            first.append(at)
-            parts.append(split)
-            at, room = at + split, size
-    firsts, splits = (F.array(*[F.lit(x) for x in xs]) for xs in (first, parts))
-    inside = F.coalesce(F.pmod(F.col("doc_id") - low, F.lit(width)), F.lit(0))
-    bucket = F.element_at(firsts, cell + 2) + F.floor(inside * F.element_at(splits, cell + 2) / width).cast("int")
-    bucketed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", bucket.alias("bucket"))
-
-    tops = bucketed.groupBy("bucket").agg(F.max("doc_id").alias("top"))
+    # Nulls are range 0; range k + 1 has the ids above cut k - 1, up to cut k.
+    edges = [low, *cuts, high]
+    parts = [max(1, math.ceil(nulls / bucket_docs)) if nulls > most else 1]
+    spread = [parts[0] > 1]
+    for upper in edges[1:]:
+        spread.append(upper in heavy)
+        parts.append(math.ceil(heavy[upper] / bucket_docs) if upper in heavy else max(1, math.ceil(n / ranges / bucket_docs)))
+    firsts = [0]
+    for k in parts[:-1]:
+        firsts.append(firsts[-1] + k)
+    lows = [0.0, *map(float, edges[:-1])]
+    spans = [1.0, *(max(1.0, float(b) - float(a)) for a, b in zip(edges, edges[1:]))]
+    place = F.when(F.col("doc_id").isNull(), 0).otherwise(_below(cuts, F.col("doc_id")) + 1) + 1
+    of = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("range"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.monotonically_increasing_id()).alias("hash"))
+    rows = rows.withColumn("range", place.cast("int")).withColumn("tie", F.when(of(spread), F.col("hash")).otherwise(0))
+    share = F.when(of(spread), F.col("hash").cast("double") / 2.0**64 + 0.5).otherwise((F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)) - of(lows)) / of(spans))
+    part = F.least(F.floor(F.greatest(share, F.lit(0.0)) * of(parts)), (of(parts) - 1).cast("long")).cast("int")
+    bucketed = rows.select("doc_id", "text", "tie", (of(firsts) + part).alias("bucket"))
+
+    tops = bucketed.groupBy("bucket").agg(F.max(F.struct("doc_id", "tie")).alias("top"))
     ring = W.Window.orderBy(F.col("bucket").desc())  # one row a bucket
     before = F.coalesce(F.lag("bucket").over(ring), F.first("bucket").over(W.Window.orderBy("bucket")))
     ends = tops.select(F.col("bucket").alias("of"), "top", before.alias("ends"))
     if n / bucket_docs <= 500_000:  # buckets, so rows
         ends = F.broadcast(ends)
-    matched = bucketed.join(ends, (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top")), "left")
+    matched = bucketed.join(ends, (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("tie") == F.col("top.tie")), "left")
     copies = F.when(F.col("ends").isNull(), F.array(F.struct("bucket", F.lit(False).alias("copy")))).otherwise(
         F.array(F.struct("bucket", F.lit(False).alias("copy")), F.struct(F.col("ends").alias("bucket"), F.lit(True).alias("copy")))
     )
     parts = max(1, min(MOST_PARTITIONS, math.ceil(n / bucket_docs)))
-    rows = matched.select("doc_id", "text", F.explode(copies).alias("x")).select("x.*", "doc_id", "text").repartition(parts, "bucket")
-    order = W.Window.partitionBy("bucket").orderBy("copy", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
+    rows = matched.select("doc_id", "text", "tie", F.explode(copies).alias("x")).select("x.*", "doc_id", "text", "tie").repartition(parts, "bucket")
+    order = W.Window.partitionBy("bucket").orderBy("copy", F.col("doc_id").desc_nulls_last(), F.col("tie").desc(), F.col("text").desc_nulls_last())
     return rows.select("bucket", F.row_number().over(order).alias("place"), "copy", "doc_id", "text", F.lead("text").over(order).alias("next_text"))
 
 

@@ -302,3 +302,26 @@ def test_preferences(spark):
     r = chat.format_preferences(pair).first()
     assert (r["n_prompt_turns"], r["prompt"], r["chosen_completion"]) == (1, "<|user|>\nq<|end|>\n", "<|assistant|>\ngood<|end|>\n")
     assert [tuple(x) for x in r["rejected_mask"]] == [(14, 25)] and r["rejected_completion"][14:25] == "bad<|end|>\n"
+
+
+def ids_of_all_kinds():
+    rng = random.Random(21)
+    far = [*range(-40, 300), 2**62, -(2**63), 2**63 - 1, 5 - 2**61]
+    return {
+        "far apart": far, "hashed": [rng.getrandbits(64) - 2**63 for _ in range(400)], "three": [-9 * 10**18, 5, 9 * 10**18], "mostly null": [None] * 900 + [4, 2**60],
+        "one repeated": [7] * 900 + list(range(30)), "ends repeated": [-(2**63)] * 300 + [2**63 - 1] * 300 + [0] * 20, "one": [3], "all null": [None] * 200,
+    }
+
+
+@pytest.mark.parametrize("kind", ids_of_all_kinds())
+def test_documents_in_order_whatever_the_ids(spark, kind):
+    ids = ids_of_all_kinds()[kind]
+    df = spark.createDataFrame([(d, f"text {i % 97}" if i % 5 else None) for i, d in enumerate(ids)], "doc_id long, text string").repartition(3).cache()
+    df.count()
+    rows = fingerprints.in_order(df, bucket_docs=16).collect()
+    own = sorted((r for r in rows if not r["copy"]), key=lambda r: (-r["bucket"], r["place"]))
+    assert sorted(map(str, [(r["doc_id"], r["text"]) for r in own])) == sorted(map(str, map(tuple, df.collect())))
+    found = [r["doc_id"] for r in own]
+    assert found == sorted(found, key=lambda d: (d is not None, d or 0), reverse=True)
+    assert [r["next_text"] for r in own] == [own[(i + 1) % len(own)]["text"] for i in range(len(own))]
+    assert max(collections.Counter(r["bucket"] for r in rows).values()) <= 80  # a bucket of 16, ties, copies and chance
