@@ -230,6 +230,14 @@ def transcript_coordinates(targets: DataFrame, exons: DataFrame, width: int = 10
     return first.select("target", "tx", F.col("x._at").alias("tx_start"), (F.col("x._at") + F.col("x.n")).alias("tx_end"))
 
 
+def constitutive(targets: DataFrame, placed: DataFrame, exons: DataFrame) -> DataFrame:
+    """(target, constitutive): whether a target (target, gene) lies, by transcript_coordinates, in every transcript of its gene."""
+    hit = placed.groupBy("target").agg(F.count_distinct("tx").alias("hit"))
+    every = exons.groupBy("gene").agg(F.count_distinct("tx").alias("every"))
+    rows = targets.select("target", "gene").distinct().join(every, "gene").join(hit, "target", "left")
+    return rows.select("target", (F.coalesce("hit", F.lit(0)) == F.col("every")).alias("constitutive"))
+
+
 def isoform_structure(targets: DataFrame, placed: DataFrame, pairing: DataFrame) -> DataFrame:
     """(target, p): the mean of pairing (tx, place, p) over a target's places (tx_start, tx_end), the greatest of its isoforms.
 

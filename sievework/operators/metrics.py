@@ -31,7 +31,7 @@ def roc_points(long: DataFrame, positive: Column, keys: tuple[str, ...] = ("tool
     """Keys, threshold, tpr, fpr, precision: one point for each distinct score, ties taken together."""
     s = steps(long, positive, keys)
     whole = s.groupBy(*keys).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
-    c = running_sums(s, keys, "score", ["p", "n"]).join(F.broadcast(whole), list(keys))
+    c = running_sums(s, keys, "score", ["p", "n"], few=True).join(F.broadcast(whole), list(keys))
     return c.select(
         *keys, F.col("score").alias("threshold"), "p", (F.col("cum_p") / F.nullif("pos", F.lit(0))).alias("tpr"), (F.col("cum_n") / F.nullif("neg", F.lit(0))).alias("fpr"),
         (F.col("cum_p") / (F.col("cum_p") + F.col("cum_n"))).alias("precision"), "pos", "neg",
@@ -40,7 +40,7 @@ def roc_points(long: DataFrame, positive: Column, keys: tuple[str, ...] = ("tool
 
 def auc(long: DataFrame, positive: Column, keys: tuple[str, ...] = ("tool",)) -> DataFrame:
     """Keys, auc, pos, neg: the area under the ROC curve with ties at half; null where a class is missing."""
-    s = running_sums(steps(long, positive, keys), keys, "score", ["n"], descending=False)
+    s = running_sums(steps(long, positive, keys), keys, "score", ["n"], descending=False, few=True)
     part = F.col("p") * (F.col("cum_n") - F.col("n") / 2)
     a = s.groupBy(*keys).agg(F.sum(part).alias("a"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
     return a.select(*keys, (F.col("a") / F.nullif(F.col("pos") * F.col("neg"), F.lit(0))).alias("auc"), "pos", "neg")
@@ -139,7 +139,7 @@ def class_bins(guides: DataFrame) -> DataFrame:
 def with_average_ranks(df: DataFrame, keys: tuple[str, ...], column: str, name: str) -> DataFrame:
     """Average ranks among equal values, without a window over all rows: by counts of distinct values."""
     values = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_sums(values, keys, column, ["_n"], descending=False)
+    ranked = running_sums(values, keys, column, ["_n"], descending=False, few=True)
     return df.join(ranked.select(*keys, column, (F.col("cum__n") - (F.col("_n") - 1) / 2).alias(name)), [*keys, column])
 
 
@@ -167,7 +167,7 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     """
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
     cells = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    xs = running_sums(cells.groupBy("x").agg(F.lit(1).alias("one"), F.lit(0).alias("k")), ("k",), "x", ["one"], descending=False).select("x", (F.col("cum_one") - 1).cast("long").alias("rank"))
+    xs = running_sums(cells.groupBy("x").agg(F.lit(1).alias("one"), F.lit(0).alias("k")), ("k",), "x", ["one"], descending=False, few=True).select("x", (F.col("cum_one") - 1).cast("long").alias("rank"))
     cells = cells.join(xs, "x")
     bits = max(1, (xs.agg(F.max("rank")).first()[0] or 0).bit_length())
     half = F.expr("shiftright(rank, level) & 1")
@@ -177,7 +177,7 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     # At the top levels a block has much of the table: running sums in buckets. Below, a block is a window.
     top = bits - TOP_LEVELS
     low = levels.where(F.col("level") < top).withColumn("cum_left", F.sum("left").over(W.Window.partitionBy(*keys).orderBy("y").rowsBetween(W.Window.unboundedPreceding, 0)))
-    high = running_sums(levels.where(F.col("level") >= top), keys, "y", ["left"], descending=False).select(*low.columns)
+    high = running_sums(levels.where(F.col("level") >= top), keys, "y", ["left"], descending=False, few=True).select(*low.columns)
     both = low.unionByName(high).join(levels.groupBy(*keys).agg(F.sum("left").alias("whole")), [*keys])
     right = F.col("right").cast("double")
     found = both.agg(F.sum(right * (F.col("cum_left") - F.col("left"))).alias("c"), F.sum(right * (F.col("whole") - F.col("cum_left"))).alias("d"))
@@ -264,7 +264,7 @@ def poor_detection(long: DataFrame, poor: Column) -> DataFrame:
     """Predicted poor: score at or below the quantile (linear) at the true share of poor rows; rates of that."""
     rows = long.withColumn("poor", poor).where("score is not null and poor is not null")
     share = rows.groupBy("tool").agg(F.avg(F.col("poor").cast("int")).alias("share"), F.array_sort(F.collect_set("poor")).alias("_"))
-    cells = running_sums(rows.groupBy("tool", "score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("poor").cast("long")).alias("p")), ("tool",), "score", ["n"], descending=False)
+    cells = running_sums(rows.groupBy("tool", "score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("poor").cast("long")).alias("p")), ("tool",), "score", ["n"], descending=False, few=True)
     whole = cells.groupBy("tool").agg(F.sum("n").alias("rows"), F.sum("p").alias("pos"))
     at = cells.join(F.broadcast(share.drop("_")), "tool").join(F.broadcast(whole), "tool").withColumn("place", F.col("share") * (F.col("rows") - 1))
     low = at.where(F.col("cum_n") > F.floor("place")).groupBy("tool").agg(F.min("score").alias("low"))

@@ -20,12 +20,11 @@ def sent_out(df: DataFrame, few: bool) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
-def running_sums(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], descending: bool = True, few: bool = True) -> DataFrame:
+def running_sums(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], descending: bool = True, few: bool = False) -> DataFrame:
     """Adds ``cum_<v>`` for each value: its sum over rows of the same keys up to this row and its equals in the order.
 
     Rows are cut into buckets by approximate quantiles of the order within the keys, summed within buckets, and each
-    bucket gets the total of those before it. ``few`` says that there are few keys (names of columns, levels); with
-    keys from the data, such as experiments, it is False. The result does not depend on the number of buckets.
+    bucket gets the total of those before it. ``few`` says that there are few keys, which only the caller can know (names of columns, levels). The result does not depend on the number of buckets.
     """
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     cuts = df.groupBy(*keys).agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)]).alias("_cuts"))

@@ -278,7 +278,7 @@ def one_hot(s: Column) -> Column:
 def percentile_against(df: DataFrame, reference: DataFrame, column: str = "score") -> DataFrame:
     """Share of the reference's scores at or below each score: ranks over the union, no pairs."""
     both = df.select(F.col(column).alias("s"), F.lit(0).alias("r")).unionByName(reference.select(F.col(column).alias("s"), F.lit(1).alias("r"))).where("s is not null")
-    cells = running_sums(both.groupBy("s").agg(F.sum("r").cast("long").alias("r")).withColumn("k", F.lit(1)), ("k",), "s", ["r"], descending=False)
+    cells = running_sums(both.groupBy("s").agg(F.sum("r").cast("long").alias("r")).withColumn("k", F.lit(1)), ("k",), "s", ["r"], descending=False, few=True)
     total = reference.agg(F.count(column).alias("total"))
     share = cells.crossJoin(F.broadcast(total)).select(F.col("s").alias(column), (F.col("cum_r") / F.col("total")).alias("percentile"))
     return df.join(share, column, "left")

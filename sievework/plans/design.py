@@ -390,6 +390,12 @@ def _(s, d):
     return D.transcript_coordinates(_targets(s, d), t.exons(s, d)).select("target", "tx", F.col("tx_start").cast("long").alias("tx_start"), F.col("tx_end").cast("long").alias("tx_end"))
 
 
+@query("u07_constitutive", PLACED + ", n as (select gene, count(distinct tx) as n from exons group by gene), k as (select target, count(*) as k from c group by target) select distinct target, coalesce(k, 0) = n as constitutive from t join n using (gene) left join k using (target)")
+def _(s, d):
+    targets, e = _targets(s, d), t.exons(s, d)
+    return D.constitutive(targets, D.transcript_coordinates(targets, e), e)
+
+
 @query("a19_isoform_structure", PLACED + """, m as (select target, tx, avg((tx::bigint + place) % 11 * 10.0::double) as p from c, unnest(range(tx_start, tx_end)) u(place) group by 1, 2), y as (select target, max(p) as p from m group by 1)
 select target, round(coalesce(p, 100), 6) as p from (select distinct target from t) left join y using (target)""")
 def _(s, d):

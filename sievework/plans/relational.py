@@ -151,7 +151,7 @@ def _(s, d):
     from sievework.operators.prefix import running_sums
 
     v = t.guides(s, d).groupBy("tool_price").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(1))
-    return running_sums(v, ("k",), "tool_price", ["n"]).select("tool_price", F.col("cum_n").alias("cum"))
+    return running_sums(v, ("k",), "tool_price", ["n"], few=True).select("tool_price", F.col("cum_n").alias("cum"))
 
 
 @query("w13_cumulative_contributions", "with " + t.LONG + " select guide_id, tool, round(sum(score) over (partition by guide_id order by score, tool rows unbounded preceding), 6) as cum from long where score is not null")
@@ -203,13 +203,6 @@ def _(s, d):
     return S.first_of_each(t.guides(s, d).withColumn("odd", F.col("chromosome").rlike("1$")), "gene", ["odd", "guide_id"]).select("gene", "chromosome", "guide_id")
 
 
-@query("u07_constitutive", "with " + t.EXONS + ", a as (select gene, list_sort(list(distinct tx)) as alltx from exons group by 1), h as (select gene, list_sort(list(distinct tx)) as hit from exons where exon_start % 20 = 0 group by 1) select gene, alltx = hit as constitutive from h join a using (gene)")
-def _(s, d):
-    e = t.exons(s, d)
-    tx = lambda name: F.array_sort(F.collect_set("tx")).alias(name)
-    return e.where("exon_start % 20 = 0").groupBy("gene").agg(tx("hit")).join(e.groupBy("gene").agg(tx("alltx")), "gene").select("gene", (F.col("hit") == F.col("alltx")).alias("constitutive"))
-
-
 # --- screens ---------------------------------------------------------------------------------------------------------
 
 
@@ -250,14 +243,6 @@ def _(s, d):
     return t.guides(s, d).transform(keep).withColumn("chromosome", C.with_prefix(F.col("chromosome"))).select("guide_id", "chromosome", r6("efficacy").alias("efficacy"))
 
 
-@query("c07_predicted", G + " select guide_id, round(coalesce(tool_tax, 0) * 100, 6) as prediction from guides")
-def _(s, d):
-    def predict(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"guide_id": pdf["guide_id"], "prediction": (pdf["tool_tax"].fillna(0) * 100).round(6)})
-
-    return S.predicted(t.guides(s, d).select("guide_id", "tool_tax"), predict, "guide_id string, prediction double")
-
-
 # --- models ----------------------------------------------------------------------------------------------------------
 
 P2 = ["tool_price", "tool_disc"]
@@ -270,6 +255,19 @@ def _(s, d):
     return s.createDataFrame([(k, round(v, 6)) for k, v in model["weights"].items()], "feature string, weight double")
 
 
+@query("c07_predicted", Z + " select guide_id, round(wa * a + wb * b, 6) as prediction from z, w")
+def _(s, d):
+    """Batch inference keyed by guide: a model that was fitted on the guides, as a callable over batches."""
+    g = t.guides(s, d)
+    model = m.fit_ridge(g, P2, "efficacy")
+
+    def predict(pdf: pd.DataFrame) -> pd.DataFrame:
+        z = sum((pdf[c] - model["means"][c]) / model["stds"][c] * model["weights"][c] for c in P2)
+        return pd.DataFrame({"guide_id": pdf["guide_id"], "prediction": z.fillna(0).round(6)})
+
+    return S.predicted(g.select("guide_id", *P2), predict, "guide_id string, prediction double")
+
+
 def _given(s, d):
     g = t.guides(s, d)
     x = g.agg(*[f(c).alias(f"{k}_{c}") for c in P2 for k, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
