@@ -28,7 +28,8 @@ def conversations(turns: DataFrame) -> DataFrame:
 
     Null roles and texts count as empty. Rows equal in all of turn, role and text are one turn; rows that share
     the number only follow one another by role and text. Rows without a conv_id belong to no conversation.
-    A conversation is one rendered text, so its turns have to fit in a task.
+    A conversation is one rendered text, so its turns have to fit in a task. An empty table gives no conversations;
+    other columns are not read.
     """
     turn = F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return turns.where("conv_id is not null").select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_set("t")).alias("turns"))

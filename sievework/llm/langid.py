@@ -158,7 +158,8 @@ def fit(docs: DataFrame) -> Network | None:
 def predict(docs: DataFrame, network: Network | None) -> DataFrame:
     """(c0, c1, ..., lang_pred, score) for each row, over whole texts: c0 and so on are the columns of docs.
 
-    A text that is null or without a letter is ``und`` with score 0, and so is every text where nothing was learned.
+    A text that is null or without a letter is ``und`` with score 0, and so is every text where nothing was learned. Rows
+    that are repeated are rows like any other; an empty table gives none.
     """
     common.small_batches(docs.sparkSession)
     own, at_text = common.numbered(docs), f"c{docs.columns.index('text')}"

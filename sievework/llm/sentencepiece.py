@@ -129,7 +129,11 @@ def loaded(path: str) -> Pieces:
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
-    """Adds ``ids`` (binary, little-endian unsigned 32-bit) to (doc_id, text); a null text has no ids."""
+    """Adds ``ids`` (binary, little-endian unsigned 32-bit) to (doc_id, text); a null text has no ids.
+
+    Texts are encoded whole, whatever their length; repeated rows are rows each, an empty table gives none, and other
+    columns are not read.
+    """
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = loaded(model)
@@ -158,6 +162,8 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
     """Encode and decode in one pass: (doc_id, n_ids, ids_crc32, decoded_sha256, round_trip).
 
     round_trip tells whether the decoded text is the text (null: empty); it is not where a text has U+2581 itself.
+    Texts are taken whole, whatever their length; repeated rows are rows each, an empty table gives none, and other
+    columns are not read.
     """
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

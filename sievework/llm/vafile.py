@@ -95,7 +95,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_R
 
     A row never meets a query of its own vec_id. Of repeated query ids one vector is asked for. No rows or no
     queries give no result; with fewer than k candidates all are returned. Equal rows are counted first, and k of them
-    stand for all, as no more can be among the best; a block is dealt by id and vector, so no id fills one.
+    stand for all, as no more can be among the best; a block is dealt by id and vector, so no id fills one. Other columns
+    are not read.
     """
     rows = rows.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n"))
     n, dims = rows.agg(F.sum(F.least("n", F.lit(k))), F.max(F.size("v"))).first()

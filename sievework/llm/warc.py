@@ -40,14 +40,16 @@ def label_revisits(pages: DataFrame, least: int = REVISIT_LEAST) -> DataFrame:
     """page_id, url, payload (binary), digest, record_type and refers_to for each row of (page_id, url, html).
 
     A null html is an empty payload. Of equal payloads of ``least`` bytes or more the largest page_id is the
-    response (each row of it, if that row is repeated). A null page_id is smaller than any other.
+    response (each row of it, if that row is repeated). A null page_id is smaller than any other. An empty table gives
+    no rows; other columns are not read. Shorter records can't match, so they go through the join under keys of their own,
+    spread over all tasks.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("long_enough", F.octet_length("payload") >= least)
     # A group of copies of any size comes down to one row for each task before the shuffle.
     groups = rows.where("long_enough").groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = groups.select("digest", "response", F.lit(True).alias("long_enough"))
-    found = rows.join(groups, ["digest", "long_enough"], "left")
+    alone = F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))  # no digest
+    found = rows.withColumn("key", F.when(F.col("long_enough"), F.col("digest")).otherwise(alone)).join(groups.select(F.col("digest").alias("key"), "response"), "key", "left")
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     return found.select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("response")).alias("refers_to"))
 
