@@ -387,6 +387,18 @@ def test_transcript_coordinates(spark):
     assert {tuple(r) for r in found} == {("t", 64.5), ("u", 100.0), ("v", 24.5)}
 
 
+def test_constitutive_targets_lie_in_every_transcript(spark):
+    exons = spark.createDataFrame([("g", "a", "+", 100, 150), ("g", "b", "-", 100, 150), ("g", "b", "-", 200, 260), ("h", "c", "+", 200, 300)], "gene string, tx string, strand string, exon_start int, exon_end int")
+    targets = spark.createDataFrame([("t", "g", 111, 121), ("u", "g", 211, 221), ("v", "h", 211, 221), ("w", "h", 500, 510)], "target string, gene string, start int, end int")
+    got = {tuple(r) for r in D.constitutive(targets, D.transcript_coordinates(targets, exons), exons).collect()}
+    assert got == {("t", True), ("u", False), ("v", True), ("w", False)}
+
+
+def test_enzymes_that_cut(spark):
+    df = spark.createDataFrame([("AGCTTTAGCTGGCC",), ("",), (None,), ("GAATTC",)], "s string")
+    assert [r[0] for r in df.select(q.site_list(F.col("s"), catalog.design.ENZYMES)).collect()] == ["AluI:2;HaeIII:1", "", "", "EcoRI:1"]
+
+
 def test_isoform_hits(spark):
     word = {n: "".join(random.Random(n).choices("ACGT", k=20)) for n in range(3)}
     near = "T" + word[0][1:] if word[0][0] != "T" else "A" + word[0][1:]
