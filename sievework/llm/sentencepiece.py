@@ -1,12 +1,21 @@
-"""SentencePiece encoding and decoding of whole texts.
+"""SentencePiece encoding and decoding of whole texts, with the ids that the model itself gives.
 
 An Aho-Corasick automaton over the pieces finds, at each position, all pieces that end there (a match and its output
-links, longest first), and one pass over the text relaxes the best score of that position with each of them: Viterbi
-without a second scan. Spaces become the mark U+2581, and one is put before the text. A character that no piece
-covers costs ``UNKNOWN_COST`` more than the worst piece and becomes its byte pieces.
+links, longest first), and one pass over the text decides that position from them: Viterbi without a second scan.
 
-No piece has the mark after another character, so no piece crosses the start of a marked word, and the best
-segmentation of a text is that of its words one after the other. A worker keeps the words that it has segmented.
+* Unigram model: the best sum of scores is relaxed with each piece. A character that no piece covers costs
+  ``UNKNOWN_COST`` more than the worst piece.
+* BPE model: scores are the order of merges and don't add up. The segmentation of a prefix ends in the one piece that
+  stays apart from the piece before it when the two are merged on their own, since a segmentation stands if and only
+  if each two neighbours do. So the step from a position is open to a piece only after the piece that got there lets
+  it; of the matches one is open.
+
+Unknown characters become their byte pieces. Spaces become the mark U+2581; whether one is put before the text and
+whether runs of spaces count as one is read from the model. A model with other rules (a normaliser's table, word or
+character pieces, marks at the end) is refused, as its ids would not be its own.
+
+No piece has the mark after another character, so no piece crosses the start of a marked word, and the segmentation of
+a text is that of its words one after the other. A worker keeps the words that it has segmented.
 """
 
 from __future__ import annotations
@@ -26,26 +35,40 @@ from . import common
 
 MARK = "▁"
 #: Fixed values of the model format: kinds of pieces, and what an unknown character costs beyond the worst piece.
-NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
+NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6
+UNIGRAM, BPE = 1, 2
 UNKNOWN_COST = 10.0
 CACHED_WORDS = 600_000
+CACHED_PAIRS = 1_000_000
 
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+_SPACES = re.compile(" +")
 
 
 class Pieces:
-    """The automaton and tables of a model: pieces as (piece, score, kind) in the order of their ids."""
+    """The automaton and tables of a model: pieces as (piece, score, kind) in the order of their ids.
+
+    prefix: a space is put before a text; squeeze: spaces at its ends go and runs of them count as one.
+    """
 
-    def __init__(self, pieces: list[tuple[str, float, int]], cached: int = CACHED_WORDS):
-        if any(MARK in p.lstrip(MARK) for p, _, kind in pieces if kind in (NORMAL, USER_DEFINED)):
+    def __init__(self, pieces: list[tuple[str, float, int]], cached: int = CACHED_WORDS, kind: int = UNIGRAM, prefix: bool = True, squeeze: bool = False):
+        kinds = {of for _, _, of in pieces}
+        if any(MARK in p.lstrip(MARK) for p, _, of in pieces if of in (NORMAL, USER_DEFINED)):
             raise ValueError("a piece has the space mark inside")
+        if kind not in (UNIGRAM, BPE) or kind == BPE and kinds & {USER_DEFINED, UNUSED}:
+            raise ValueError("only unigram models and BPE models without user-defined or unused pieces are known")
+        self.bpe, self.prefix, self.squeeze = kind == BPE, prefix, squeeze
+        self.merges = {p: s for p, s, of in pieces if of == NORMAL}
+        self.pairs: dict[tuple[str, str], bool] = {}
         self.automaton = ahocorasick.Automaton()
-        worst = min((s for _, s, kind in pieces if kind == NORMAL), default=0.0)
+        worst, most = min(self.merges.values(), default=0.0), max(self.merges.values(), default=0.0)
         self.unknown, self.bytes, self.unk = worst - UNKNOWN_COST, {}, 0
         self.text: list[bytes] = []
         for i, (piece, score, kind) in enumerate(pieces):
             shown = b""
             if kind in (NORMAL, USER_DEFINED) and piece:
+                if kind == USER_DEFINED:  # a fixed rule of the format: it wins over any other pieces of its bytes
+                    score = len(piece.encode()) * most - 0.1
                 self.automaton.add_word(piece, (len(piece), score, i))
                 shown = piece.replace(MARK, " ").encode()
             elif kind == BYTE:
@@ -66,10 +89,48 @@ class Pieces:
         model = proto.ModelProto()
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
-        return cls([(p.piece, p.score, p.type) for p in model.pieces])
+        rules, kind = model.normalizer_spec, model.trainer_spec
+        if rules.precompiled_charsmap or not rules.escape_whitespaces or kind.treat_whitespace_as_suffix:
+            raise ValueError("the model has rules for texts that are not known here")
+        return cls([(p.piece, p.score, p.type) for p in model.pieces], kind=kind.model_type, prefix=rules.add_dummy_prefix, squeeze=rules.remove_extra_whitespaces)
+
+    def merged(self, text: str) -> list[str]:
+        """The merges of a BPE model on a few characters: the best pair first, of equal ones the leftmost."""
+        parts = list(text)
+        while True:
+            found = [(-self.merges[both], i) for i in range(len(parts) - 1) if (both := parts[i] + parts[i + 1]) in self.merges]
+            if not found:
+                return parts
+            i = min(found)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    def apart(self, before: str, piece: str) -> bool:
+        """Whether a piece stays as it is after another (none: at the start of a word)."""
+        found = self.pairs.get((before, piece))
+        if found is None:
+            found = self.merged(before + piece) == ([before, piece] if before else [piece])
+            if len(self.pairs) < CACHED_PAIRS:
+                self.pairs[before, piece] = found
+        return found
+
+    def _steps_of_merges(self, word: str) -> list:
+        """The last step (length, id) to each position; id -1 is an unknown character."""
+        last, step = [""] * (len(word) + 1), [None] * (len(word) + 1)
+        matches = self.automaton.iter(word)
+        found = next(matches, None)
+        for end, character in enumerate(word):
+            via = None
+            while found is not None and found[0] == end:  # the longest first, then along the output links
+                size, _, i = found[1]
+                if via is None and self.apart(last[end + 1 - size], word[end + 1 - size : end + 1]):
+                    via = (size, i)
+                found = next(matches, None)
+            step[end + 1] = via = via or (1, -1)
+            last[end + 1] = word[end + 1 - via[0] : end + 1]
+        return step
 
-    def segment(self, word: str) -> list[int]:
-        """Viterbi over one word. Of equal scores the longer last piece wins."""
+    def _steps_of_scores(self, word: str) -> list:
+        """The same by the best sum of scores. Of equal scores the longer last piece wins."""
         n = len(word)
         best, step = [0.0] + [float("-inf")] * n, [None] * (n + 1)
         matches = self.automaton.iter(word)
@@ -85,8 +146,13 @@ class Pieces:
             if not single and (total := best[end] + self.unknown) > score:
                 score, via = total, (1, -1)
             best[end + 1], step[end + 1] = score, via
+        return step
+
+    def segment(self, word: str) -> list[int]:
+        """The ids of one word."""
+        step = self._steps_of_merges(word) if self.bpe else self._steps_of_scores(word)
         ids: list[int] = []
-        at = n
+        at = len(word)
         while at:
             size, i = step[at]
             if i >= 0:
@@ -100,9 +166,11 @@ class Pieces:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers; none for an empty text."""
+        if self.squeeze:
+            text = _SPACES.sub(" ", text.lstrip(" ")).rstrip(" " + MARK)
         if not text:
             return b""
-        words, known = _WORD.findall(MARK + text.replace(" ", MARK)), self.words
+        words, known = _WORD.findall(MARK * self.prefix + text.replace(" ", MARK)), self.words
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
@@ -120,7 +188,7 @@ class Pieces:
     def decode(self, ids: bytes) -> str:
         """The text of ids: without the space before it; bytes that form no character become U+FFFD."""
         text = b"".join(map(self.text.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return text[1:] if text.startswith(" ") and (self.prefix or self.squeeze) else text
 
 
 @functools.lru_cache(maxsize=2)

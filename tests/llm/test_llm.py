@@ -188,6 +188,55 @@ def test_sentencepiece_equals_the_library_and_round_trips(texts):
         assert real.decode(real.encode(t)) == t
 
 
+def test_sentencepiece_has_the_ids_of_a_bpe_model(texts):
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=sentencepiece.default_model())
+    own = sentencepiece.Pieces.load(sentencepiece.default_model())
+    dice = random.Random(6)
+    made = ["".join(dice.choice("  aaabcdeinorst.,0一é\n\t▁😀") for _ in range(dice.randrange(1, 60))) for _ in range(3000)]
+    for t in [t or "" for _, t in texts] + made + ["a" * 5000, " " * 77, "in" * 900 + "the", "x  y   z     ", "▁", "\n\n"]:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t), t[:99]
+
+
+@pytest.mark.parametrize("prefix, squeeze", [(True, False), (False, False), (True, True), (False, True)])
+def test_sentencepiece_follows_the_flags_of_a_unigram_model(prefix, squeeze):
+    from sentencepiece import SentencePieceProcessor
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    p, dice = proto.ModelProto(), random.Random(7)
+    own_words = ["▁", "a", "b", "c", "ab", "▁a", "bc", "abc", "▁ab", "cab", "▁c", "ca"]
+    for piece, kind in [("<unk>", 2), ("<s>", 3), ("</s>", 3)] + [(w, 1) for w in own_words] + [("bab", 4), ("ac", 5)]:
+        p.pieces.add(piece=piece, score=-dice.randrange(100, 900) / 128 if kind == 1 else 0.0, type=kind)
+    p.trainer_spec.model_type = 1
+    p.normalizer_spec.name, p.normalizer_spec.add_dummy_prefix, p.normalizer_spec.remove_extra_whitespaces = "identity", prefix, squeeze
+    library = SentencePieceProcessor(model_proto=p.SerializeToString())
+    own = sentencepiece.Pieces([(x.piece, x.score, x.type) for x in p.pieces], prefix=prefix, squeeze=squeeze)
+    score = {x.piece: x.score for x in p.pieces}
+    for _ in range(2000):
+        t = "".join(dice.choice("aabbcc  ") for _ in range(dice.randrange(0, 25)))
+        got, want = np.frombuffer(own.encode(t), "<u4").tolist(), library.encode(t)
+        if got != want:  # of equal scores either
+            cost = lambda ids: sum(score[p.pieces[i].piece] if p.pieces[i].type == 1 else 3 * max(score[w] for w in own_words) - 0.1 for i in ids)
+            assert cost(got) == pytest.approx(cost(want), abs=1e-4), t
+        assert own.decode(np.array(want, "<u4").tobytes()) == library.decode(want)
+
+
+def test_sentencepiece_refuses_what_it_does_not_know(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    p = proto.ModelProto()
+    with open(sentencepiece.default_model(), "rb") as f:
+        p.ParseFromString(f.read())
+    p.normalizer_spec.precompiled_charsmap = b"x"
+    (tmp_path / "m").write_bytes(p.SerializeToString())
+    with pytest.raises(ValueError):
+        sentencepiece.Pieces.load(str(tmp_path / "m"))
+    for kind, pieces in ((3, []), (2, [("ab", 0.0, 4)]), (2, [("ab", 0.0, 5)]), (1, [("a▁", 0.0, 1)])):
+        with pytest.raises(ValueError):
+            sentencepiece.Pieces(pieces, kind=kind)
+
+
 def test_sentencepiece_viterbi_equals_all_segmentations():
     own = sentencepiece.Pieces([("<unk>", 0, 2), ("▁", -3, 1), ("a", -2, 1), ("b", -2, 1), ("ab", -3, 1), ("▁a", -2.5, 1), ("ba", -2.2, 1), ("aba", -4.1, 1)])
     table = {t: s for t, s in (("▁", -3), ("a", -2), ("b", -2), ("ab", -3), ("▁a", -2.5), ("ba", -2.2), ("aba", -4.1))}
