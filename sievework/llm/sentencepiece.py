@@ -61,14 +61,14 @@ class Pieces:
         self.merges = {p: s for p, s, of in pieces if of == NORMAL}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.automaton = ahocorasick.Automaton()
-        worst, most = min(self.merges.values(), default=0.0), max(self.merges.values(), default=0.0)
+        worst = min(self.merges.values(), default=0.0)
         self.unknown, self.bytes, self.unk = worst - UNKNOWN_COST, {}, 0
         self.text: list[bytes] = []
         for i, (piece, score, kind) in enumerate(pieces):
             shown = b""
             if kind in (NORMAL, USER_DEFINED) and piece:
-                if kind == USER_DEFINED:  # a fixed rule of the format: it wins over any other pieces of its bytes
-                    score = len(piece.encode()) * most - 0.1
+                if kind == USER_DEFINED:  # measured on the library: no score of its own, more than any pieces of scores below zero
+                    score = 0.1 * (len(piece.encode()) - 1)
                 self.automaton.add_word(piece, (len(piece), score, i))
                 shown = piece.replace(MARK, " ").encode()
             elif kind == BYTE:
