@@ -134,13 +134,38 @@ def test_simhash_links_lose_no_connection(spark, bucket_rows):
     assert {d: got.get(d, d) for d in want} == want
 
 
-@pytest.mark.parametrize("scale", [3, 60, 1 << 40])
-def test_va_file_equals_a_scan(scale):
-    rng = np.random.default_rng(1)
-    rows = rng.integers(-scale, scale + 1, (700, 9))
-    rows[300:] = rows[0]
-    ids = rng.permutation(2000)[:700]
-    assert vafile.search_block(ids, rows, ids[:9], rows[:9], 20) == vafile._plain(ids, rows, ids[:9], rows[:9], 20)
+def plain_top_k(rows, queries, k):
+    longest = max(len(v) for _, v in rows + queries)
+    full = lambda v: [*v, *[0] * (longest - len(v))]
+    held = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    found = []
+    for own, q in queries:
+        best = sorted((-held(sum(a * b for a, b in zip(full(v), full(q)))), i) for i, v in rows if i != own)[:k]
+        found += [(own, rank, i, -x) for rank, (x, i) in enumerate(best, 1)]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("scale, bits", [(1, 5), (40, 1), (40, 9), (1 << 40, 5), (1 << 62, 5)])
+def test_top_k_equals_a_scan(spark, scale, bits):
+    dice = random.Random(scale)
+    rows = [(i, [dice.randint(-scale, scale) for _ in range(dice.choice([3, 5, 5, 5]))]) for i in dice.sample(range(-200, 1000), 260)]
+    rows += [(i + 2000, rows[0][1]) for i in range(60)]  # many ids of a vector
+    rows += [rows[1]] * 9 + [(rows[2][0], [scale, -scale, scale])] * 2  # repeated rows, two vectors of an id
+    queries = [rows[0], rows[1], rows[270], (-999, [scale] * 7), (5000, [-scale])] + rows[3:9]
+    kind = "vec_id long, v array<long>"
+    got = vafile.top_k(spark.createDataFrame([(*r, "x") for r in rows], kind + ", row string"), spark.createDataFrame(queries, kind), 6, block_rows=100, group_queries=5, bits=bits)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    assert sorted(map(tuple, got.collect())) == plain_top_k(rows, list({i: v for i, v in queries}.items()), 6)
+
+
+def test_cells_bound_every_score():
+    rng = np.random.default_rng(4)
+    for low, high in ((-3, 9), (-(1 << 63), (1 << 63) - 1), (5, 5)):
+        rows, queries = (rng.integers(low, high, (n, 8), endpoint=True) for n in (200, 9))
+        grid = vafile.Cells(rows.min(0).tolist(), rows.max(0).tolist())
+        for i, centre, slack in vafile.bounds(grid, grid.of(rows), queries):
+            score = [sum(int(a) * int(b) for a, b in zip(r, queries[i])) for r in rows]
+            assert all(c - slack <= x <= c + slack for c, x in zip(centre, score))
 
 
 def test_top_k_leaves_out_broken_vectors(spark):
