@@ -28,7 +28,7 @@ from . import common
 
 BLOCK_ROWS = 16_384
 GROUP_QUERIES = 4_096
-CELL_BITS = 5
+CELL_BITS = 8  # a cell is a byte
 #: Scores beyond a long are held at its ends, and so are bounds.
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 #: A bound in floats of doubles is widened by this share of the sum of all products' sizes, far beyond what rounding loses.
