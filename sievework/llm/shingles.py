@@ -12,7 +12,9 @@ left is decided by the shingles themselves.
 
 Pairs are proposed in three turns, so that a large group of copies costs few of them: rows to a leader that is near many
 of its bucket; then, between what is not connected by then, the best pair of each row with each group; then all that
-remain. A bucket of more than ``BUCKET_ROWS`` texts is cut into blocks, and each two blocks meet in a task of their own.
+remain. A bucket of more than ``BUCKET_ROWS`` texts goes through a turn before these: its rows, dealt over tasks, meet a
+few leaders. Rows of the largest group that comes of it need no longer meet each other, only the bucket's other rows. What
+has to meet is cut into blocks, and each two blocks meet in a task of their own.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ SAMPLED = 3
 DISTANCE = 1
 SEGMENTS = 4
 BUCKET_ROWS = 4096
+#: Leaders that all rows of a larger bucket meet first.
+LEADERS = 4
 #: Bits of a sketch: a power of two of at least four for each shingle, within these.
 SKETCH_BITS = (1 << 10, 1 << 20)
 PAIRS_AT_ONCE = 100_000
@@ -140,6 +144,13 @@ class Bucket:
             alone = [x[0] for x in found if not len(x[1])]
             left[alone] = False
 
+    def led(self) -> Iterator[tuple[int, int]]:
+        """Pairs of the leaders, which are in block -1, with the rows that may be near them."""
+        everyone = np.arange(len(self.node))
+        for i in np.flatnonzero(self.block < 0).tolist():
+            for j in self.near(i, everyone)[0].tolist():
+                yield i, j
+
     def between(self, best_only: bool) -> Iterator[tuple[int, int]]:
         """Pairs of different groups: for a row the best one with each other group, or all."""
         if (self.comp == self.comp[0]).all():
@@ -160,7 +171,7 @@ class Bucket:
 
 
 def _pairs(rows: DataFrame, least: tuple[int, int], turn: int) -> DataFrame:
-    """(a, b), a < b, for rows (key, start, block, node, comp, print, size, sketch): what turn 1, 2 or 3 proposes."""
+    """(a, b), a < b, for rows (key, start, block, node, comp, print, size, sketch): what turn 0, 1, 2 or 3 proposes."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[int, int]] = []
@@ -172,7 +183,7 @@ def _pairs(rows: DataFrame, least: tuple[int, int], turn: int) -> DataFrame:
 
         for pdf in common.groups(batches, "key"):
             bucket = Bucket(pdf, least, DISTANCE)
-            for i, j in bucket.leaders() if turn == 1 else bucket.between(turn == 2):
+            for i, j in bucket.led() if turn == 0 else bucket.leaders() if turn == 1 else bucket.between(turn == 2):
                 held.append((bucket.node[i], bucket.node[j]))
                 if len(held) >= PAIRS_AT_ONCE:
                     yield flush()
@@ -182,22 +193,46 @@ def _pairs(rows: DataFrame, least: tuple[int, int], turn: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInPandas(task, "a long, b long").distinct()
 
 
-def _met(nodes: DataFrame, count: int, bucket_rows: int) -> DataFrame:
-    """(key, start, block, node, print) of the texts that share a key with another: pigeonring keys of each print.
+def _met(nodes: DataFrame, count: int) -> DataFrame:
+    """(key, start, node, print, n) of the texts that share a key with n - 1 others: pigeonring keys of each print.
 
-    Texts whose print is the same meet at the first start of its ring; the other starts are for those that differ. A
-    large bucket becomes one for each two of its blocks.
+    Texts whose print is the same meet at the first start of its ring; the other starts are for those that differ.
     """
     keys = [k for i in range(count) for k in simhash.ring_keys(F.col("prints")[i], i, DISTANCE, SEGMENTS)]
     rows = nodes.select("node", F.explode(F.array(*keys)).alias("k")).select("node", "k.start", "k.key", "k.print").repartition("key")
     of = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("low"), F.max("print").alias("high"), F.min("start").alias("s"))
-    of = of.where("n > 1 and (s = 0 or low <> high)").select("key", F.ceil(F.col("n") / bucket_rows).cast("int").alias("blocks"))
-    found = rows.join(of, "key")
-    mine = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    found = found.select("node", "start", "print", "key", "blocks", mine.alias("block"), F.explode(others).alias("other"))
-    pair = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
-    return found.select(pair.alias("key"), "start", "block", "node", "print")
+    return rows.join(of.where("n > 1 and (s = 0 or low <> high)").select("key", "n"), "key").select("key", "start", "node", "print", "n")
+
+
+def _with_leaders(hot: DataFrame, bucket_rows: int) -> DataFrame:
+    """(key, start, block, node, print): the rows of large buckets in parts of about bucket_rows, the leaders in each of them."""
+    parts = F.ceil(F.col("n") / bucket_rows).cast("int")
+    part = lambda at: F.xxhash64("key", at).alias("key")
+    least = [F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node", "print")) for i in range(LEADERS)]
+    leaders = hot.groupBy("key", "n").agg(F.array(*least).alias("l")).select("key", "n", F.explode(F.array_distinct(F.transform("l", lambda x: F.struct(x["node"].alias("node"), x["print"].alias("print"))))).alias("l"))
+    leaders = leaders.select("key", "l.*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("at"))
+    rows = hot.select(part(F.pmod(F.xxhash64("node"), parts)), F.lit(0).alias("start"), F.lit(0).alias("block"), "node", "print")
+    return rows.union(leaders.select(part(F.col("at").cast("long")), F.lit(0), F.lit(-1), "node", "print"))
+
+
+def _in_blocks(hot: DataFrame, members: DataFrame, bucket_rows: int) -> DataFrame:
+    """(key, start, block, node, print): large buckets as one for each two blocks whose rows have to meet.
+
+    Members of a bucket's largest group are in even blocks, all others in odd ones; two even blocks don't meet. A
+    bucket that is one group gives no rows.
+    """
+    rows = hot.join(members, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    groups = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"))
+    of = groups.groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("top"), F.sum("rows").alias("all"))
+    blocks = lambda n: F.ceil(n / bucket_rows).cast("int")
+    of = of.select("key", F.col("top.comp").alias("top"), blocks(F.col("top.rows")).alias("even"), blocks(F.col("all") - F.col("top.rows")).alias("odd")).where("odd > 0")
+    met = rows.join(of, "key")
+    in_top, at = F.col("comp") == F.col("top"), F.xxhash64("node")
+    block = F.when(in_top, F.pmod(at, "even") * 2).otherwise(F.pmod(at, "odd") * 2 + 1).cast("int")
+    odd, even = F.sequence(F.lit(1), F.col("odd") * 2 - 1, F.lit(2)), F.sequence(F.lit(0), F.col("even") * 2 - 2, F.lit(2))
+    met = met.select("key", "start", "node", "print", block.alias("block"), F.explode(F.when(in_top, odd).otherwise(F.concat(even, odd))).alias("other"))
+    pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    return met.select(pair.alias("key"), "start", "block", "node", "print")
 
 
 def _judged(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -245,14 +280,34 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = LEAST, bucket_rows
     nodes = common.keep(whole.groupBy("node").agg(F.min_by(F.struct("of_text", "size", "prints", "sketch"), "of_text").alias("x")).select("node", "x.*"))
     signed_rows = whole.select("doc_id", "of_text", "node")
     facts = nodes.select("node", "size", "sketch")
-    met = common.keep(_met(nodes, count, bucket_rows).join(facts, "node"))
-    tested = common.keep(_pairs(met.withColumn("comp", F.col("node")), least, 1))
-    wanted = tested.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    named = common.sent_out(common.keep(nodes.join(wanted, "node").select("node", "of_text")))
-    sets = texts.join(named, "of_text").groupBy("node").agg(F.first("text").alias("text")).mapInPandas(sets_of, "node long, shingles binary")
-    sets = common.keep(sets)
+    rows = common.keep(_met(nodes, count))
+    hot = rows.where(F.col("n") > bucket_rows)
+    met = rows.where(F.col("n") <= bucket_rows).select("key", "start", F.lit(0).alias("block"), "node", "print")
+
+    def sets_for(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = wanted if known is None else wanted.join(known.select("node"), "node", "left_anti")
+        named = common.sent_out(common.keep(nodes.join(wanted, "node").select("node", "of_text")))
+        return common.keep(texts.join(named, "of_text").groupBy("node").agg(F.first("text").alias("text")).mapInPandas(sets_of, "node long, shingles binary"))
+
+    led = None
+    if not hot.isEmpty():
+        led = common.keep(_pairs(_with_leaders(hot, bucket_rows).join(facts, "node").withColumn("comp", F.col("node")), least, 0))
+        sets = sets_for(led)
+        near = common.keep(_judged(led, sets, least))
+        met = met.union(_in_blocks(hot, graph.connected_components(near), bucket_rows))
+    met = common.keep(met.join(facts, "node"))
+    tested = _pairs(met.withColumn("comp", F.col("node")), least, 1)
+    if led is None:
+        tested = common.keep(tested)
+        sets = sets_for(tested)
+        linked = common.keep(_judged(tested, sets, least))
+    else:
+        tested = common.keep(tested.join(led, ["a", "b"], "left_anti"))
+        sets = sets.union(sets_for(tested, sets))
+        linked = common.keep(near.union(_judged(tested, sets, least)))
+        tested = tested.union(led)
     met = common.keep(met.join(sets.select("node"), "node", "left_semi"))
-    linked = common.keep(_judged(tested, sets, least))
     groups = common.keep(graph.connected_components(linked))
     for turn in (2, 3):
         grouped = met.join(groups, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")

@@ -123,3 +123,26 @@ def test_without_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert shingles.near_duplicates(none).count() == 0
     assert corpus_pipeline.near_duplicates(spark, none, "").count() == 0
+
+
+def test_a_large_group_meets_only_the_other_rows_of_its_bucket(spark):
+    """100 rows of a bucket, 90 of one group, in blocks of about 20: no two of the group are left to meet, all others are."""
+    hot = spark.createDataFrame([(7, 0, i, 5, 100) for i in range(100)], "key long, start int, node long, print long, n long")
+    members = spark.createDataFrame([(i, 0) for i in range(90)], "node long, component long")
+    rows = shingles._in_blocks(hot, members, 20).toPandas()
+    met = set()
+    for _, g in rows.groupby("key"):
+        one = g["block"].nunique() == 1
+        met |= {(min(a, b), max(a, b)) for a, x in zip(g["node"], g["block"]) for b, y in zip(g["node"], g["block"]) if a != b and (one or x != y)}
+    assert met == {(a, b) for b in range(90, 100) for a in range(b)}
+    assert len(rows) <= 90 + 10 * 7  # 90 rows in some five blocks, 10 in one
+    whole = spark.createDataFrame([(i, 0) for i in range(100)], "node long, component long")
+    assert shingles._in_blocks(hot, whole, 20).count() == 0
+
+
+def test_leaders_are_in_each_part_of_a_large_bucket(spark):
+    hot = spark.createDataFrame([(7, 0, i, 5, 100) for i in range(100)], "key long, start int, node long, print long, n long")
+    rows = shingles._with_leaders(hot, 20).toPandas()
+    assert sorted(rows[rows["block"] == 0]["node"]) == list(range(100))
+    leaders = {k: set(g[g["block"] < 0]["node"]) for k, g in rows.groupby("key")}
+    assert len(leaders) == 5 and len(set(map(frozenset, leaders.values()))) == 1 and 1 <= len(leaders[rows["key"][0]]) <= shingles.LEADERS
