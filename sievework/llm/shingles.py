@@ -145,11 +145,13 @@ class Bucket:
             left[alone] = False
 
     def led(self) -> Iterator[tuple[int, int]]:
-        """Pairs of the leaders, which are in block -1, with the rows that may be near them."""
-        everyone = np.arange(len(self.node))
+        """A pair for each row that may be near a leader, with the first such one; leaders are in block -1."""
+        left = np.flatnonzero(self.block >= 0)
         for i in np.flatnonzero(self.block < 0).tolist():
-            for j in self.near(i, everyone)[0].tolist():
+            others = self.near(i, left)[0]
+            for j in others.tolist():
                 yield i, j
+            left = np.setdiff1d(left, others, assume_unique=True)
 
     def between(self, best_only: bool) -> Iterator[tuple[int, int]]:
         """Pairs of different groups: for a row the best one with each other group, or all."""
