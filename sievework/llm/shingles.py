@@ -316,6 +316,8 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = LEAST, bucket_rows
         open_ = grouped.groupBy("key").agg(F.min("comp").alias("m"), F.max("comp").alias("x")).where("m <> x").select("key")
         more = common.keep(_pairs(grouped.join(open_, "key", "left_semi"), least, turn).join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(more)
-        linked = common.keep(linked.union(_judged(more, sets, least)))
-        groups = common.keep(graph.connected_components(linked))
+        linked = common.keep(_judged(more, sets, least))
+        if not linked.isEmpty():  # a row's link to its component stands for all earlier links
+            linked = linked.union(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            groups = common.keep(graph.connected_components(linked))
     return signed_rows.join(groups, "node", "left").select("doc_id", "of_text", F.coalesce("component", "node").alias("component"))
