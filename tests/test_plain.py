@@ -417,3 +417,18 @@ def test_medians(spark):
     df = spark.createDataFrame([*rows, (0, None), (9, None)], "k int, v double")
     for few in (False, True):
         assert {tuple(r) for r in prefix.medians(df, ("k",), "v", few).collect()} == want
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_of_near_sequences_are_not_broadcast(spark, tmp_path):
+    """Keys are exploded twenty times after their size is guessed; as a broadcast they went through the driver."""
+    spark.createDataFrame([("ACGTACGTACGTACGTACGT", "x", 1, "+")], "seq string, contig string, start int, strand string").write.parquet(str(tmp_path / "s"))
+    s = spark.read.parquet(str(tmp_path / "s"))
+    near = D.near_sequences(s, s)
+    joins = [x for x in plan_of(near).splitlines() if "Join" in x and "piece" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+    g = s.withColumn("guide", F.lit("g"))
+    assert "BroadcastHashJoin [a#" not in plan_of(D.hit_counts(g, near)) + plan_of(D.off_targets(g, s, near))
