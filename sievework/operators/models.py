@@ -19,7 +19,8 @@ def moments(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     z = C.z_scores(rows, features)
     parts = [F.count(F.lit(1)).alias("n")]
     for i, a in enumerate(features):
-        parts.append(F.sum(F.col(f"{a}_z") * F.col(target)).alias(f"xy_{a}"))
+        # z-scores add up to 0, so the sum of products is that with the centred target: large targets would cancel out.
+        parts.append((F.covar_pop(f"{a}_z", target) * F.count(F.lit(1))).alias(f"xy_{a}"))
         parts += [F.sum(F.col(f"{a}_z") * F.col(f"{b}_z")).alias(f"xx_{a}_{b}") for b in features[i:]]
     stats = rows.agg(*[f(c).alias(f"{k}_{c}") for c in features for k, f in (("mean", F.avg), ("std", F.stddev_samp))])
     return z.agg(*parts).crossJoin(stats)
