@@ -432,3 +432,67 @@ def test_keys_of_near_sequences_are_not_broadcast(spark, tmp_path):
     assert joins and all("SortMergeJoin" in x for x in joins)
     g = s.withColumn("guide", F.lit("g"))
     assert "BroadcastHashJoin [a#" not in plan_of(D.hit_counts(g, near)) + plan_of(D.off_targets(g, s, near))
+
+
+def test_guides_at_every_kind_of_place(spark, monkeypatch):
+    """PAMs at the first and last place of a contig and of its pieces, overlapping ones, and letters beyond ACGT; no place is
+    looked at by itself (that took twice the time)."""
+    contigs = ["A" * 20 + "GGG", "CCCC" + "A" * 20, "G" * 60, "C" * 40 + "G" * 40, "A" * 20 + "NGG" + "A" * 20 + "TGG", "A" * 22, "", "CCT" + "A" * 17 + "TGG"]
+    monkeypatch.setattr(D, "SITE_PIECE", 30)
+    df = spark.createDataFrame(list(enumerate(contigs)), "contig int, seq string")
+    found = D.enumerate_guides(df)
+    want = {(c, i + 1, "+" if p else "-", s[i : i + 23] if p else rc(s[i : i + 23])) for c, s in enumerate(contigs) for i in range(len(s) - 22)
+            for p in [s[i + 21 : i + 23] == "GG" and s[i + 20] in "ACGT"] if p or (s[i : i + 2] == "CC" and s[i + 2] in "ACGT")}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    both = {(r["contig"], r["start"], r["strand"], r["first"]) for r in D.site_table(df).collect()}
+    assert {x[:3] for x in both if x[3]} == {x[:3] for x in want} and {(7, 1, "-", False), (7, 1, "+", True)} <= both
+    assert "split(" in plan_of(found)
+
+
+def test_ridge_with_a_large_mean(spark):
+    """Sums of products of z-scores with a target far from 0 lost digits that decide how a prediction is rounded."""
+    rng = random.Random(3)
+    rows = [(rng.random(), rng.random(), 1e9 + rng.random()) for _ in range(2000)]
+    m = models.fit_ridge(spark.createDataFrame(rows, "a double, b double, y double"), ["a", "b"], "y")
+    x, y = np.array([r[:2] for r in rows]), np.array([r[2] - 1e9 for r in rows])
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    want = np.linalg.solve(z.T @ z + np.eye(2), z.T @ (y - y.mean()))
+    assert np.allclose([m["weights"]["a"], m["weights"]["b"]], want, rtol=1e-6)
+
+
+def test_choices_take_many_islands_at_once(spark):
+    """A group or an island was a call of its own; now batches hold many."""
+    rng = random.Random(5)
+    rows = [(g, 10**17 + p if g == "b" else p, rng.choice([None, 0.25, 0.5])) for g in ("a", "b", *map(str, range(300))) for p in rng.sample(range(3000), 40)]
+    df = spark.createDataFrame(rows, "g string, pos long, score double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        spaced, walked = D.spaced(df, "g", "pos", "score", 60), D.without_overlap(df, "g", "pos", 23)
+        got = {(r["g"], r["pos"]) for r in spaced.collect()}, {(r["g"], r["pos"]) for r in walked.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = set(), set()
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is None, r[2] or 0, r[1]))
+        for _, p, _ in own:
+            if all(abs(p - x) > 60 for k, x in want[0] if k == g):
+                want[0].add((g, p))
+        free = None
+        for p in sorted(r[1] for r in own):
+            if free is None or p >= free:
+                want[1].add((g, p))
+                free = p + 23
+    assert got == want
+    assert "FlatMapGroupsInPandas" not in plan_of(spaced) + plan_of(walked)
+
+
+def test_isoform_structure_from_stretches(spark):
+    """Pairing values by stretches give what values by place give, over the ends of stretches and where there are none."""
+    rng = random.Random(8)
+    p = {tx: [rng.choice([None, 10.0 * rng.randrange(11)]) for _ in range(n)] for tx, n in (("a", 40), ("b", 16), ("c", 1))}
+    targets = spark.createDataFrame([(f"t{i}",) for i in range(12)], "target string")
+    placed = spark.createDataFrame([(f"t{i}", tx, a, a + rng.randrange(24)) for i in range(10) for tx in ("a", "b", "c", "d") for a in [rng.randrange(40)]], "target string, tx string, tx_start long, tx_end long")
+    rows = spark.createDataFrame([(tx, i, v) for tx, vs in p.items() for i, v in enumerate(vs)], "tx string, place long, p double")
+    cut = spark.createDataFrame([(tx, i, vs[i * 16 : i * 16 + 16]) for tx, vs in p.items() for i in range(-(-len(vs) // 16))], "tx string, stretch long, values array<double>")
+    want, got = D.isoform_structure(targets, placed, rows), D.isoform_structure_by_stretch(targets, placed, cut, 16)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
