@@ -51,3 +51,31 @@ def test_near_sites_name_every_place(spark, corpus, name, seed):
     links = lambda a, b: differences(a, b) <= 3 and (not seed or a[-seed:] == b[-seed:])
     want = {(x[:3], y[:3], differences(x[3], y[3])) for x in sites if x[4] for y in sites if links(x[3], y[3])}
     assert {(x, y, pairs[g, s]) for x, (_, g) in of.items() if g for y, (s, _) in of.items() if (g, s) in pairs} == want
+
+
+def clustered(texts):
+    """(contig, start_a, start_b, cluster) of all pairs of guides of opposite strands 11 to 60 bases apart."""
+    for c in range(len(texts)):
+        g = [x for x in places(texts) if x[0] == c and x[4]]
+        run, last, place = 0, None, 0
+        for a, b in sorted((x[1], y[1]) for x in g for y in g if 10 < y[1] - x[1] <= 60 and x[2] != y[2]):
+            run, place = (run, place + 1) if last is not None and a <= last else (run + 1, 0)
+            last = b
+            yield c, a, b, f"{run}.{place // 2}"
+
+
+@pytest.mark.parametrize("name", ["w10_clusters", "d14_best_of_clusters", "t06_reranked"])
+def test_clusters_take_pairs_of_all_places(spark, corpus, name):
+    """Guides in a quarter of a contig, and those over the ends of its exons, were left out."""
+    path, texts = corpus
+    want = sorted(clustered(texts))
+    assert any((a - 1) // 400 != (b - 1) // 400 or (a - 1) % 400 >= 300 for _, a, b, _ in want)
+    found = catalog.QUERIES[name](spark, path)
+    if name != "w10_clusters":
+        best = {}
+        for c, a, b, k in want:
+            best[c, k] = min(best.get((c, k), (9**9,)), (b - a, a, b))
+        rank = lambda c, x: 1 + sum(y < x for (d, _), y in best.items() if d == c)
+        want = sorted((c, k, *x[1:]) if name[0] == "d" else (c, k, rank(c, x)) for (c, k), x in best.items())
+    columns = {"w10_clusters": ["contig", "start_a", "start_b", "cluster"], "d14_best_of_clusters": ["contig", "cluster", "start_a", "start_b"], "t06_reranked": ["contig", "cluster", "rank"]}
+    assert sorted(tuple(r) for r in found.select(*columns[name]).collect()) == want
