@@ -79,3 +79,32 @@ def test_clusters_take_pairs_of_all_places(spark, corpus, name):
         want = sorted((c, k, *x[1:]) if name[0] == "d" else (c, k, rank(c, x)) for (c, k), x in best.items())
     columns = {"w10_clusters": ["contig", "start_a", "start_b", "cluster"], "d14_best_of_clusters": ["contig", "cluster", "start_a", "start_b"], "t06_reranked": ["contig", "cluster", "rank"]}
     assert sorted(tuple(r) for r in found.select(*columns[name]).collect()) == want
+
+
+def test_sorted_hits_have_no_cap(spark, tmp_path):
+    """A guide's hits beyond 300 were left out."""
+    rng = random.Random(9)
+    text = "".join(rng.choice("ACGGGTCC") for _ in range(90))
+    texts = [text] * 320 + [text[:40] + rc(text[40])[0] + text[41:]] * 3
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sites, of = list(places(texts)), {}
+    for x in sites:
+        of.setdefault(x[3], []).append(x)
+    want = set()
+    for a in {x[3] for x in sites if x[4]}:
+        hits = sorted((*x[:3], differences(a, b), x[4]) for b, xs in of.items() if differences(a, b) <= 3 for x in xs)
+        want |= {(a, i + 1, *h) for i, h in enumerate(hits)}
+    found = catalog.QUERIES["t05_sorted_hits"](spark, str(tmp_path)).select("guide", "place", "hit_contig", "hit_start", "hit_strand", "mismatches", "own")
+    assert {tuple(r) for r in found.collect()} == want and max(x[1] for x in want) > 300
+
+
+def test_one_hot_takes_every_guide_with_its_whole_context(spark, corpus):
+    """Guides near an end of their contig were left out, and the context was 7 bases instead of 120."""
+    path, texts = corpus
+    want = set()
+    for c, i, strand, _, own in places(texts):
+        if own:
+            s = ("N" * 60 + texts[c] + "N" * 60)[i - 1 : i + 142]
+            s = s if strand == "+" else rc(s)
+            want.add((f"{c}:{i}", sum(x in "AN" for x in s), sum(x in "CN" for x in s)))
+    assert {tuple(r) for r in catalog.QUERIES["d25_one_hot"](spark, path).select("guide", "a", "c").collect()} == want
