@@ -75,7 +75,7 @@ ENDS = """, v as (select * from long where score is not null and efficacy is not
 
 @query("w02_top_and_bottom", L + ENDS + " select * from e")
 def _(s, d):
-    return g.top_and_bottom(t.long_guides(s, d))
+    return g.top_and_bottom(t.long_guides(s, d, together="gene"))
 
 
 @query("w03_problem_guides", L + ", x as (select *, min(score) over (partition by tool, gene) as low from long) select tool, count(*)::bigint as bad, count(*) filter (score > low)::bigint as problems, round(count(*) filter (score > low) / count(*), 6) as failed_share from x where efficacy < 60 group by tool")
@@ -130,7 +130,7 @@ r as (select tool, gene, rank() over (partition by tool, gene order by score des
 h as (select tool, count(*) as high from (select tool, gene, corr(x, y2) as s from r group by 1, 2) where round(s, 9) > 0.5 group by 1)
 select tool, count(*)::bigint as genes, round(avg((top_score = top_efficacy)::int), 6) as top_agreement, round(avg((bottom_score = bottom_efficacy)::int), 6) as bottom_agreement, round(coalesce(any_value(high), 0) / count(*), 6) as high_spearman_share from e left join h using (tool) where n > 1 group by tool""")
 def _(s, d):
-    r = g.within_gene_ranking(t.long_guides(s, d))
+    r = g.within_gene_ranking(t.long_guides(s, d, together="gene"))
     return r.select("tool", "genes", *[M.r6(c).alias(c) for c in ("top_agreement", "bottom_agreement", "high_spearman_share")])
 
 
@@ -141,7 +141,7 @@ q as (select tool, gene, sign(a.score - b.score) * sign(a.efficacy - b.efficacy)
 k as (select tool, gene, sum(s) / sqrt(count(*) filter (dx)::double * count(*) filter (dy)) as tau from q group by 1, 2)
 select tool, count(*)::bigint as genes, round(avg(s), 6) as mean_spearman, round(avg(tau), 6) as mean_kendall, round(avg((top_score = top_efficacy)::int), 6) as best_agreement, round(avg((bottom_score = bottom_efficacy)::int), 6) as worst_agreement from c join k using (tool, gene) join e using (tool, gene) group by tool""")
 def _(s, d):
-    r = g.agreement_within(t.long_guides(s, d))
+    r = g.agreement_within(t.long_guides(s, d, together="gene"))
     return r.select("tool", "genes", *[M.r6(c).alias(c) for c in ("mean_spearman", "mean_kendall", "best_agreement", "worst_agreement")])
 
 

@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from sievework.operators import columns as C
+from sievework.operators import genes, metrics
 from sievework.plans import catalog
 
 
@@ -108,3 +110,24 @@ def test_one_hot_takes_every_guide_with_its_whole_context(spark, corpus):
             s = s if strand == "+" else rc(s)
             want.add((f"{c}:{i}", sum(x in "AN" for x in s), sum(x in "CN" for x in s)))
     assert {tuple(r) for r in catalog.QUERIES["d25_one_hot"](spark, path).select("guide", "a", "c").collect()} == want
+
+
+def exchanges(df):
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+
+
+def test_rows_of_a_gene_are_shuffled_once(spark, tmp_path):
+    """Rows of every tool were shuffled by tool and gene, and again for each rank and join."""
+    rng = random.Random(3)
+    rows = [(f"{i:03x}", f"g{rng.randrange(30)}", float(rng.randrange(5)), *(rng.choice([None, 0.0, 1.0, 2.5]) if k else rng.random() for k in range(3))) for i in range(200)]
+    spark.createDataFrame(rows, "guide_id string, gene string, efficacy double, a double, b double, c double").write.parquet(str(tmp_path / "g"))
+    wide = spark.read.parquet(str(tmp_path / "g"))
+    ids, tools = ("guide_id", "gene", "efficacy"), ("a", "b", "c")
+    long, together = C.to_long(wide, ids, tools), C.to_long(wide, ids, tools, together="gene")
+    plain = lambda df: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()), key=str)
+    assert plain(long) == plain(together.select(long.columns))
+    for f in (genes.top_and_bottom, genes.spearman_within, genes.within_gene_ranking, genes.agreement_within, lambda x: metrics.kendall_within(x, ("tool", "gene"))):
+        assert plain(f(long)) == plain(f(together))
+        assert all("(gene#" in x or "(tool#" in x and "gene#" not in x for x in exchanges(f(together)))
+    assert len(exchanges(C.to_wide(long, ["guide_id"], tools))) == 1
+    assert plain(C.to_wide(long, ["guide_id"], tools)) == plain(wide.select("guide_id", *tools))
