@@ -1,11 +1,14 @@
 """Queries that once did less than their whole job, against brute force on documents made for that."""
 
+import math
 import random
+import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievework.operators import columns as C
-from sievework.operators import genes, metrics
+from sievework.operators import genes, metrics, screen
 from sievework.plans import catalog
 
 
@@ -131,3 +134,21 @@ def test_rows_of_a_gene_are_shuffled_once(spark, tmp_path):
         assert all("(gene#" in x or "(tool#" in x and "gene#" not in x for x in exchanges(f(together)))
     assert len(exchanges(C.to_wide(long, ["guide_id"], tools))) == 1
     assert plain(C.to_wide(long, ["guide_id"], tools)) == plain(wide.select("guide_id", *tools))
+
+
+def test_depletion_shuffles_a_guide_once_for_its_counts(spark):
+    """Every row was shuffled with its guide's name for the factors, for the means and again for each table of experiments."""
+    rng = random.Random(6)
+    rows = [(e, f"{e}{i}", x, rng.randrange(1, 60)) for e in "uv" for i in range(60) for x in ("t0", "t1", "t2")]
+    long = spark.createDataFrame(rows, "experiment string, guide_id string, sample string, count long")
+    found = screen.depletion(long, ["t0", "t1"], ["t2"])
+    joins = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "SortMergeJoin" in x]
+    assert not any("guide_id#" in x for x in joins)
+    counts = {(e, g, x): n for e, g, x, n in rows}
+    for e in "uv":
+        names = [f"{e}{i}" for i in range(60)]
+        mean = {g: math.prod(counts[e, g, x] for x in ("t0", "t1", "t2")) ** (1 / 3) for g in names}
+        f = {x: statistics.median(counts[e, g, x] / mean[g] for g in names) for x in ("t0", "t1", "t2")}
+        want = {g: math.log2((counts[e, g, "t2"] / f["t2"] + 1) / ((counts[e, g, "t0"] / f["t0"] + counts[e, g, "t1"] / f["t1"]) / 2 + 1)) for g in names}
+        got = {r["guide_id"]: r["lfc"] for r in found.where(F.col("experiment") == e).collect()}
+        assert got == pytest.approx(want, abs=1e-9)
