@@ -496,3 +496,19 @@ def test_isoform_structure_from_stretches(spark):
     cut = spark.createDataFrame([(tx, i, vs[i * 16 : i * 16 + 16]) for tx, vs in p.items() for i in range(-(-len(vs) // 16))], "tx string, stretch long, values array<double>")
     want, got = D.isoform_structure(targets, placed, rows), D.isoform_structure_by_stretch(targets, placed, cut, 16)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_hits_of_copies_are_numbered_once(spark):
+    """Copies of a guide share the list of hits; each leaves its own place out, also where that is beyond the cap."""
+    places = [(c, 1, "+", "ACGTACGTACGTACGTACGT") for c in range(5)] + [(9, 4, "-", "ACGTACGTACGTACGTACGA")]
+    sites = spark.createDataFrame(places, "contig long, start int, strand string, seq string")
+    guides = sites.withColumn("guide", F.concat_ws(":", "contig", "start"))
+    for cap in (1, 2, 5):
+        found = D.off_targets(guides, sites, D.near_sequences(guides, sites), cap)
+        order = [sorted((p for p in places if p[:3] != own[:3]), key=lambda p, s=own[3]: (p[3] != s, p[0]))[:cap] for own in places]
+        want = {(f"{own[0]}:1" if own[0] < 9 else "9:4", p[0]) for own, hits in zip(places, order) for p in hits}
+        got = [(r["guide"], r["hit_contig"]) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    plan = found._jdf.queryExecution().toString()
+    assert "windowspecdefinition(guide" not in plan  # hits of all guides are not sorted
+    assert "SortMergeJoin [bases" in plan  # few keys are alike in what is sorted by first
