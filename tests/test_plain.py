@@ -13,7 +13,7 @@ from sievework.operators import design as D
 from sievework.operators import metrics as M
 from sievework.operators import models, prefix
 from sievework.operators import screen as S
-from sievework.plans import catalog
+from sievework.plans import catalog, tables
 from sievework.sources import files
 
 D_SMALL = "/root/testdata/sf0.001"
@@ -512,3 +512,14 @@ def test_hits_of_copies_are_numbered_once(spark):
     plan = found._jdf.queryExecution().toString()
     assert "windowspecdefinition(guide" not in plan  # hits of all guides are not sorted
     assert "SortMergeJoin [bases" in plan  # few keys are alike in what is sorted by first
+
+
+def test_exons_of_a_gene_are_sorted_in_small_tasks(spark, monkeypatch):
+    """Partitions follow the lines, and what follows by gene shuffles nothing more: orders, lines and exons once each."""
+    monkeypatch.setattr(tables, "EXONS_A_TASK", 100)
+    d = "/root/testdata/sf0.001"
+    exons = tables.exons(spark, d)
+    assert exons.rdd.getNumPartitions() > tables.read(spark, d, "lineitem").count() // 100
+    for df in (D.consensus(exons.selectExpr("gene", "tx", "exon_start as start", "exon_end as end")), D.splice_sites(exons)):
+        keys = {line.split("hashpartitioning(")[1].split("#")[0] for line in plan_of(df).splitlines() if "hashpartitioning(" in line}
+        assert keys == {"o_orderkey", "l_orderkey", "gene"} and plan_of(df).count("REPARTITION_BY_NUM") == plan_of(df).count("hashpartitioning(")
