@@ -523,3 +523,17 @@ def test_exons_of_a_gene_are_sorted_in_small_tasks(spark, monkeypatch):
     for df in (D.consensus(exons.selectExpr("gene", "tx", "exon_start as start", "exon_end as end")), D.splice_sites(exons)):
         keys = {line.split("hashpartitioning(")[1].split("#")[0] for line in plan_of(df).splitlines() if "hashpartitioning(" in line}
         assert keys == {"o_orderkey", "l_orderkey", "gene"} and plan_of(df).count("REPARTITION_BY_NUM") == plan_of(df).count("hashpartitioning(")
+
+
+def test_tool_correlations_rank_counts_of_equal_pairs(spark):
+    """Ties in both tools, nulls and a tool that never varies; rows are grouped before any of them is shuffled."""
+    a, b = [1.0, 1.0, 2.0, 2.0, 3.0, 5.0, None], [2.0, 2.0, 1.0, 4.0, 4.0, 6.0, 7.0]
+    df = spark.createDataFrame([(x, y, 1.0) for x, y in zip(a, b)] * 3, "a double, b double, c double")
+    found = M.tool_correlations(df, ("a", "b", "c"))
+    got = {(r["tool_a"], r["tool_b"]): (r["n"], r["pearson"], r["spearman"]) for r in found.collect()}
+    x, y = a[:6] * 3, b[:6] * 3
+    rank = lambda v: [sum(w < u for w in v) + (v.count(u) + 1) / 2 for u in v]
+    want = (18, statistics.correlation(x, y), statistics.correlation(rank(x), rank(y)))
+    assert got["a", "b"] == pytest.approx(want) and got["b", "a"] == pytest.approx(want)
+    assert len(got) == 6 and got["a", "c"][0] == 18 and got["c", "b"][0] == 21 and got["a", "c"][2] is None
+    assert "corr(_x" not in plan_of(found)  # ranks are joined to counts of pairs, not to rows
