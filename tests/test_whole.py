@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators import columns as C
 from sievework.operators import genes, metrics, screen
-from sievework.plans import catalog
+from sievework.plans import catalog, design
 
 
 def rc(s):
@@ -152,3 +152,16 @@ def test_depletion_shuffles_a_guide_once_for_its_counts(spark):
         want = {g: math.log2((counts[e, g, "t2"] / f["t2"] + 1) / ((counts[e, g, "t0"] / f["t0"] + counts[e, g, "t1"] / f["t1"]) / 2 + 1)) for g in names}
         got = {r["guide_id"]: r["lfc"] for r in found.where(F.col("experiment") == e).collect()}
         assert got == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("name", ["w10_clusters", "d14_best_of_clusters", "t06_reranked", "w12_ranked"])
+def test_short_contigs_are_shuffled_once(spark, corpus, monkeypatch, name):
+    """Guides were found two or three times, and shuffled again for pairs, stretches, counts and ranks; long contigs still are."""
+    path, texts = corpus
+    found = catalog.QUERIES[name](spark, path)
+    assert len(exchanges(found)) == 1
+    monkeypatch.setattr(design, "SHORT", 200)
+    both = catalog.QUERIES[name](spark, path)
+    assert len(exchanges(both)) > 2
+    rows = lambda df: sorted(tuple(r) for r in df.select(*found.columns).collect())
+    assert rows(both) == rows(found) and len({r[0] for r in rows(found)}) > 3
