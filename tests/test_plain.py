@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 import statistics
 
 import numpy as np
@@ -537,3 +538,22 @@ def test_tool_correlations_rank_counts_of_equal_pairs(spark):
     assert got["a", "b"] == pytest.approx(want) and got["b", "a"] == pytest.approx(want)
     assert len(got) == 6 and got["a", "c"][0] == 18 and got["c", "b"][0] == 21 and got["a", "c"][2] is None
     assert "corr(_x" not in plan_of(found)  # ranks are joined to counts of pairs, not to rows
+
+
+def test_genotype_sums_are_those_of_the_rows_of_outcomes(spark):
+    """Every outcome was a row with its sequence, shuffled and sorted by guide for sums of weights."""
+    rng = random.Random(21)
+    seqs = {f"s{i}": "".join(rng.choices("ACGT" if i % 2 else "AC", k=120)) for i in range(5)} | {"rep": "ACACAC" * 20, "one": "GT", "n": "ACNTACGT", "none": "ACGT"}
+    df = spark.createDataFrame([(g, s, len(s) // 2 if g != "none" else 0) for g, s in seqs.items()], "guide string, seq string, cut int").repartition(2)
+    bases = {"A": {"AC": 0.5, "T": 0.5}, "C": {"G": 1.0}, "G": {"A": 1.0}}  # none after T
+    found = S.genotype_sums(df, RUNS, LENGTHS, RATE, bases)
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for r in S.outcome_genotypes(S.with_insertions(S.deletion_outcomes(df, RUNS, LENGTHS), RATE, bases)).collect():
+        want.setdefault((r["guide"], r["category"], r["length"]), []).append((r["freq"], zlib.crc32(r["name"].encode()), zlib.crc32((r["genotype"] or "").encode())))
+    rows = found.collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        x = want[r["guide"], r["category"], r["length"]]
+        assert (r["n"], r["names"], r["genotypes"]) == (len(x), sum(v[1] for v in x), sum(v[2] for v in x))
+        assert r["freq"] == pytest.approx(sum(v[0] for v in x), rel=1e-9)
