@@ -163,6 +163,19 @@ def test_one_target_is_read_from_its_own_folder(spark, tmp_path):
     assert files.read_target_hits(spark, f"file://{tmp_path}/hits").count() == 6
 
 
+def test_many_targets_share_few_folders(spark, tmp_path):
+    """A folder for each target took most of the time where there are many."""
+    rows = [(t, k, f"g{t}.{k}", "ACGT", "1:5", "+", k) for t in range(40) for k in (1, 2)]
+    df = spark.createDataFrame(rows, "target long, rank int, guide string, hit string, locus string, hit_strand string, mismatches int")
+    files.write_hits(df, f"file://{tmp_path}/hits", 5)
+    assert len([p for p in (tmp_path / "hits").iterdir() if p.is_dir()]) <= 5
+    columns = sorted(df.columns)
+    read = lambda **x: sorted(tuple(r) for r in files.read_target_hits(spark, f"file://{tmp_path}/hits", folders=5, **x).select(*columns).collect())
+    assert read() == sorted(tuple(r) for r in df.select(*columns).collect()) and {r[0] for r in read(target=7)} == {"g7.1", "g7.2"}
+    one = files.read_target_hits(spark, f"file://{tmp_path}/hits", 7, 5).select(F.input_file_name()).distinct().collect()
+    assert len(one) == 1 and "PartitionFilters: [isnotnull(folder" in files.read_target_hits(spark, f"file://{tmp_path}/hits", 7, 5)._jdf.queryExecution().toString()
+
+
 def plain_logistic(x, y, w, penalty):
     b = np.zeros(x.shape[1] + 1)
     x = np.column_stack([np.ones(len(x)), x])
