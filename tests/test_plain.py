@@ -337,6 +337,21 @@ def test_feature_vectors(spark):
         S.feature_statistics(S.feature_vectors(spark.createDataFrame([("n", "N" * 30)], "guide string, seq string")))
 
 
+def test_sums_of_z_scores_are_those_of_the_dense_vectors(spark):
+    """Dense vectors were looked up feature by feature, and a guide's sums joined to them by a shuffle."""
+    rng = random.Random(16)
+    rows = [(f"s{i}", "".join(rng.choices("ACGT", k=25)) + "GG" + "".join(rng.choices("ACGT", k=3))) for i in range(50)]
+    vectors = S.feature_vectors(spark.createDataFrame(rows, "guide string, seq string").repartition(3))
+    mean, std = S.feature_statistics(vectors)
+    z = {r["guide"]: np.array(r["z"]) for r in S.z_scored(vectors, mean, std).collect()}
+    found = S.z_sums(vectors, mean, std)
+    for r in found.collect():
+        assert (r["z_sum"], r["z_squares"]) == pytest.approx((z[r["guide"]].sum(), (z[r["guide"]] ** 2).sum()), abs=1e-6)
+    filled = {r["guide"]: sum(std[p] > 1e-9 for p in r["places"]) for r in vectors.collect()}
+    assert {r["guide"]: r["filled"] for r in found.collect()} == filled and len(filled) == 50
+    assert "Exchange hashpartitioning" not in plan_of(found).replace("REPARTITION", "") and "Join" not in plan_of(found)
+
+
 def test_control_guides_have_no_near_site(spark):
     got = [r[0] for r in catalog.QUERIES["d19_control_guides"](spark, D_SMALL).select("seq").collect()]
     sites = {r["seq"] for r in D.site_table(catalog.design.t.dna(spark, D_SMALL)).collect()}
