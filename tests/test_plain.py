@@ -585,3 +585,34 @@ def test_genotype_sums_are_those_of_the_rows_of_outcomes(spark):
         x = want[r["guide"], r["category"], r["length"]]
         assert (r["n"], r["names"], r["genotypes"]) == (len(x), sum(v[1] for v in x), sum(v[2] for v in x))
         assert r["freq"] == pytest.approx(sum(v[0] for v in x), rel=1e-9)
+
+
+def test_outcome_sums_and_runs_are_made_without_a_shuffle(spark):
+    """Outcomes were rows with their sequence that were shuffled by guide, and runs of shared bases were cut out of texts one by one."""
+    rng = random.Random(22)
+    seqs = {f"s{i}": "".join(rng.choices("ACGT" if i % 2 else "AC", k=120)) for i in range(5)} | {"rep": "ACACAC" * 20, "one": "GT", "n": "ACNTACGT", "none": "ACGT"}
+    df = spark.createDataFrame([(g, s, len(s) // 2 if g != "none" else 0) for g, s in seqs.items()], "guide string, seq string, cut int").repartition(2)
+    found, want = S.outcome_sums(df, RUNS, LENGTHS, RATE, BASES), {}
+    assert "Exchange hashpartitioning" not in plan_of(found)
+    for r in S.with_insertions(S.deletion_outcomes(df, RUNS, LENGTHS), RATE, BASES).collect():
+        want.setdefault((r["guide"], r["category"], r["length"], r["inserted"]), []).append((r["freq"], (r["position"] or 0) * r["mh_len"]))
+    rows = found.collect()
+    assert {(r["guide"], r["category"], r["length"], r["inserted"]) for r in rows} == set(want) and len(rows) == len(want)
+    for r in rows:
+        x = want[r["guide"], r["category"], r["length"], r["inserted"]]
+        assert (r["n"], r["homology"]) == (len(x), sum(v[1] for v in x))
+        assert (r["freq"], r["highest"]) == pytest.approx((sum(v[0] for v in x), max(v[0] for v in x)), rel=1e-9)
+    runs, plain = S.microhomologies(df), set()
+    for g, s in seqs.items():
+        cut = len(s) // 2 if g != "none" else 0
+        for n in range(1, min(59, cut, len(s) - cut) + 1):
+            left, right, i = s[cut - n : cut], s[cut : cut + n], 0
+            while i < n:
+                j = i
+                while j < n and left[j] == right[j]:
+                    j += 1
+                if j > i:
+                    plain.add((g, n, i, j - i, round(sum(c in "GC" for c in left[i:j]) / (j - i), 9)))
+                i = max(j, i + 1)
+    assert sorted((*r[:4], round(r[4], 9)) for r in runs.select("guide", "length", "start", "mh_len", "gc").collect()) == sorted(plain)
+    assert "MapInArrow" in plan_of(runs)
