@@ -616,3 +616,27 @@ def test_outcome_sums_and_runs_are_made_without_a_shuffle(spark):
                 i = max(j, i + 1)
     assert sorted((*r[:4], round(r[4], 9)) for r in runs.select("guide", "length", "start", "mh_len", "gc").collect()) == sorted(plain)
     assert "MapInArrow" in plan_of(runs)
+
+
+def test_keys_of_near_sequences_are_dealt_once(spark, tmp_path):
+    """Keys were made and shuffled for their counts, for guides and for sites; a seed that has to agree was asked for only afterwards."""
+    rng = random.Random(23)
+    seqs = sorted({"".join(rng.choice("AC") for _ in range(20)) for _ in range(150)})
+    spark.createDataFrame([(s,) for s in seqs], "seq string").write.parquet(str(tmp_path / "s"))
+    s, far = spark.read.parquet(str(tmp_path / "s")), lambda a, b: sum(x != y for x, y in zip(a, b))
+    for seed, hot in ((None, 20), ((8, 0), 20), ((8, 0), 10**6)):
+        near = D.near_sequences(s.limit(60), s, seed=seed, hot=hot).select(q.decoded(F.col("a"), 20), q.decoded(F.col("b"), 20), "mismatches")
+        found, few = {tuple(r) for r in near.collect()}, {r[0] for r in s.limit(60).collect()}
+        assert found == {(a, b, far(a, b)) for a in few for b in seqs if far(a, b) <= 3 and (seed is None or a[-8:] == b[-8:])}
+        assert "ReusedExchange" in plan_of(near)
+    assert "array(4095" not in plan_of(near) and "[65535]" in plan_of(near)  # one key a sequence
+
+
+def test_places_of_hits_are_not_looked_up_by_a_join(spark):
+    """Every site was numbered and joined to the guides by its place; hits were rows with their texts when they were shuffled."""
+    places = [(c, 1, "+", "ACGTACGTACGTACGTACGT") for c in range(5)] + [(9, 4, "-", "ACGTACGTACGTACGTACGA")]
+    sites = spark.createDataFrame(places, "contig long, start int, strand string, seq string")
+    guides = sites.withColumn("guide", F.concat_ws(":", "contig", "start"))
+    found = D.off_targets(guides, sites, D.near_sequences(guides, sites), 3)
+    assert not [x for x in plan_of(found).splitlines() if "Join" in x and "contig" in x]
+    assert found.schema["hit_start"].dataType == sites.schema["start"].dataType and found.where("guide = '9:4'").count() == 3
