@@ -640,3 +640,27 @@ def test_places_of_hits_are_not_looked_up_by_a_join(spark):
     found = D.off_targets(guides, sites, D.near_sequences(guides, sites), 3)
     assert not [x for x in plan_of(found).splitlines() if "Join" in x and "contig" in x]
     assert found.schema["hit_start"].dataType == sites.schema["start"].dataType and found.where("guide = '9:4'").count() == 3
+
+
+def test_hits_of_pairs_are_read_once(spark, tmp_path):
+    """Hits were made and shuffled for either member, and again for bins of the left one's."""
+    rng = random.Random(24)
+    hits = [(g, rng.randrange(2), rng.randrange(1, 200), rng.choice("+-")) for g in "abcd" for _ in range(30)]
+    spark.createDataFrame(hits, "guide string, hit_contig int, hit_start int, hit_strand string").write.parquet(str(tmp_path / "h"))
+    pairs = [(f"{x}|{y}", x, y, rng.choice("+-")) for x, y in ("ab", "bc", "ad", "ae")]
+    df = spark.createDataFrame(pairs, "pair string, left string, right string, strand string")
+    for low, high, kind in ((20, 40, "nickase"), (0, 15, "talen")):
+        found = D.scored_pairs(df, spark.read.parquet(str(tmp_path / "h")), low, high, kind)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+        for r in found.collect():
+            met = [x[3] == y[3] for x in hits if x[0] == r["left"] for y in hits if y[0] == r["right"] and x[1] == y[1] and low <= abs(x[2] - y[2]) <= high]
+            assert (r["off_same"], r["off_other"]) == (sum(met), len(met) - sum(met))
+            cost = D.PAIR_PENALTY[kind]
+            assert r["score"] == sum(met) * cost[0] + (len(met) - sum(met)) * cost[1] + (D.PAM_IN_PENALTY if kind == "nickase" and r["strand"] == "+" else 0)
+
+
+def test_counts_of_hits_take_a_guide_of_several_columns(spark):
+    """Lines of the report met their counts by a join on a name, and guides were found once more for it."""
+    df = spark.createDataFrame([(1, "x", "ACGTACGTACGTACGTACGT"), (2, "y", "ACGTACGTACGTACGTACGA")], "rank int, target string, seq string")
+    found = D.hit_counts(df.select(F.struct("rank", "target").alias("guide"), "seq"), D.near_sequences(df, df), 0).select("guide.*", "mm0", "mm1", "capped")
+    assert sorted(map(tuple, found.collect())) == [(1, "x", 0, 1, True), (2, "y", 0, 1, True)]
