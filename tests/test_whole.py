@@ -165,3 +165,11 @@ def test_short_contigs_are_shuffled_once(spark, corpus, monkeypatch, name):
     assert len(exchanges(both)) > 2
     rows = lambda df: sorted(tuple(r) for r in df.select(*found.columns).collect())
     assert rows(both) == rows(found) and len({r[0] for r in rows(found)}) > 3
+
+
+def test_hits_are_written_compressed_and_pairs_once(spark, corpus):
+    """The sink of hits was plain text; pairs of sequences were found twice for hits in a guide's own gene."""
+    path, _ = corpus
+    sink = catalog.QUERIES["s20_hit_sink"](spark, path)
+    assert sink.inputFiles() and all(f.endswith(".csv.gz") for f in sink.inputFiles()) and sink.count() > 0
+    assert "Generate posexplode" not in catalog.QUERIES["d16_own_gene_hits"](spark, path)._jdf.queryExecution().optimizedPlan().toString()
