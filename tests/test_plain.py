@@ -664,3 +664,14 @@ def test_counts_of_hits_take_a_guide_of_several_columns(spark):
     df = spark.createDataFrame([(1, "x", "ACGTACGTACGTACGTACGT"), (2, "y", "ACGTACGTACGTACGTACGA")], "rank int, target string, seq string")
     found = D.hit_counts(df.select(F.struct("rank", "target").alias("guide"), "seq"), D.near_sequences(df, df), 0).select("guide.*", "mm0", "mm1", "capped")
     assert sorted(map(tuple, found.collect())) == [(1, "x", 0, 1, True), (2, "y", 0, 1, True)]
+
+
+def test_ranks_of_spearman_are_joined_to_counts(spark):
+    """Every row was joined to its two ranks, and shuffled for it."""
+    a, b = [1.0, 1.0, 2.0, 2.0, 3.0, 5.0], [2.0, 2.0, 1.0, 4.0, 4.0, 6.0]
+    rows = [("t", x, y) for x, y in zip(a, b)] * 3 + [("t", None, 1.0), ("t", 1.0, None), ("flat", 1.0, 1.0), ("flat", 1.0, 2.0)]
+    found = M.spearman(spark.createDataFrame(rows, "tool string, score double, efficacy double"))
+    got = {r["tool"]: (r["spearman"], r["n"]) for r in found.collect()}
+    rank = lambda v: [sum(w < u for w in v) + (v.count(u) + 1) / 2 for u in v]
+    assert got["t"] == (pytest.approx(statistics.correlation(rank(a * 3), rank(b * 3))), 18) and got["flat"] == (None, 2)
+    assert "corr(" not in plan_of(found) and plan_of(found).count("partial_count(1)") > 0
